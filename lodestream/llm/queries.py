@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from lodestream.llm import chat_format, fingerprints, secret_scan
+from lodestream.llm import chat_format, fingerprints, line_dedup, packing, secret_scan, topk
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_secret_scan": secret_scan.op2_secret_scan,
+    "op5_topk": topk.op5_topk,
+    "op7_packing": packing.op7_packing,
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_chat_format": chat_format.op10_chat_format,
 }
 ORACLES = {
+    "op1_line_dedup": line_dedup.ORACLE,
+    "op5_topk": topk.ORACLE,
     "op10_chat_format": chat_format.ORACLE,
 }
