@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lodestream.llm import chat_format, fingerprints, line_dedup, packing, secret_scan, topk
+from lodestream.llm import chat_format, fingerprints, line_dedup, near_dedup, packing, secret_scan, topk
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_secret_scan": secret_scan.op2_secret_scan,
     "op5_topk": topk.op5_topk,
     "op7_packing": packing.op7_packing,
+    "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_chat_format": chat_format.op10_chat_format,
 }
