@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from lodestream.llm import chat_format, fingerprints, line_dedup, near_dedup, packing, secret_scan, topk
+from lodestream.llm import chat_format, fingerprints, html_text, line_dedup, mixing, near_dedup, packing, quality, secret_scan, topk
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_secret_scan": secret_scan.op2_secret_scan,
+    "op3_mixing": mixing.op3_mixing,
+    "op4_quality": quality.op4_quality,
     "op5_topk": topk.op5_topk,
+    "op6_html_text": html_text.op6_html_text,
     "op7_packing": packing.op7_packing,
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_fingerprints": fingerprints.op9_fingerprints,
