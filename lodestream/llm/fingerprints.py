@@ -82,7 +82,7 @@ def as_string(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
-def with_next(docs: DataFrame, cols: list[str], id_col: str = "doc_id", parts: int | None = None) -> DataFrame:
+def with_next(docs: DataFrame, cols: list[str], id_col: str = "doc_id", parts: int | None = None, ties: list[str] | None = None) -> DataFrame:
     """Each row with ``next_<col>`` of the row that follows in descending id order, cyclically.
 
     The ids are cut into ranges by an approximate quantile sketch (its size is ``parts``, whatever the input), and each
@@ -91,7 +91,7 @@ def with_next(docs: DataFrame, cols: list[str], id_col: str = "doc_id", parts: i
     """
     parts = parts or max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST))
-    keyed = docs.select(key.alias("k"), F.xxhash64(*cols).alias("tie"), F.struct("*").alias("row"))
+    keyed = docs.select(key.alias("k"), F.xxhash64(*(ties or cols)).alias("tie"), F.struct("*").alias("row"))
     cuts = keyed.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 10000).alias("cuts")).first()["cuts"] or []
     cuts = sorted(set(cuts))
     edges = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>")
@@ -121,7 +121,7 @@ def op9_fingerprints(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, with their likeness."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     drawn = docs.select("doc_id", "text", sketch(F.col("text")).alias("fp"))
-    paired = with_next(drawn, ["text", "fp"])
+    paired = with_next(drawn, ["text", "fp"], ties=["text"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = paired.select(
