@@ -187,7 +187,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """The rows of ``docs`` that the classifier keeps, all columns."""
     kept = staged(classify(docs, labels, id_col, text_col, **kw).filter("kept").select("uid").distinct(), "kept")
     rows = docs.select(F.struct("*").alias("row")).withColumn("uid", F.xxhash64(F.col(f"row.{id_col}"), F.col(f"row.{text_col}")))
-    return rows.join(kept, "uid", "left_semi").select("row.*")
+    return rows.hint("merge").join(kept, "uid", "left_semi").select("row.*")  # the ids kept grow with the input
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:
