@@ -1,4 +1,6 @@
 """The registered queries of the engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lodestream.plans import market
+
+QUERIES: dict = {**market.Q}
+ORACLES: dict = {**market.SQL}
