@@ -99,7 +99,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     n_gone = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
     lines = F.when(text.isNull(), F.lit(0)).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
-    return whole.join(staged(gone, "gone"), "uid", "left").select("row", F.when(F.col("gone").isNull(), text).otherwise(left["text"]).alias("text"), lines.alias("n_lines"), n_gone.alias("n_removed"))
+    # Merged at any size: what is deleted grows with the input, so a broadcast would only serve small ones.
+    return whole.hint("merge").join(staged(gone, "gone"), "uid", "left").select("row", F.when(F.col("gone").isNull(), text).otherwise(left["text"]).alias("text"), lines.alias("n_lines"), n_gone.alias("n_removed"))
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
