@@ -1,6 +1,6 @@
 """The registered queries of the engine and their SQL."""
 
-from lodestream.plans import market
+from lodestream.plans import documents, market
 
-QUERIES: dict = {**market.Q}
-ORACLES: dict = {**market.SQL}
+QUERIES: dict = {**market.Q, **documents.Q}
+ORACLES: dict = {**market.SQL, **documents.SQL}
