@@ -98,7 +98,7 @@ def is_fund_category(c: Column) -> Column:
 
 
 def percent(c: Column, digits: int = 2) -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f%%", c), F.lit("-"))
+    return F.when(c.isNull(), "-").otherwise(F.format_string(f"%.{digits}f%%", c))
 
 
 def document_weight(name: Column) -> Column:

@@ -74,11 +74,11 @@ def budget_pass(kept: Column, limit: int, budget: int) -> Column:
     return F.aggregate(kept, start, step)["kept"]
 
 
-def profiles(sents: DataFrame, key: str, weight: Column = F.lit(0), section: tuple[int, int] = (16, 1200), whole: tuple[int, int] = (32, 2600)) -> DataFrame:
+def profiles(sents: DataFrame, key: str, weight: Column | None = None, section: tuple[int, int] = (16, 1200), whole: tuple[int, int] = (32, 2600)) -> DataFrame:
     """One profile a key: component and risk sentences by score under budgets, with tags; candidates are not noise and at
     most 420 characters. The candidates of a key meet in one array; they are few after the filters."""
     clean = sents.filter(~C.is_noise(F.col("text")) & (F.length("text") <= 420))
-    scored = clean.select(key, "pos", "text", (C.keyword_score(F.col("text"), fixed.COMPONENT_KEYWORDS)).alias("component"), C.keyword_score(F.col("text"), fixed.RISK_KEYWORDS).alias("risk"), C.risk_focus(F.col("text")).alias("focus"), weight.alias("weight"))
+    scored = clean.select(key, "pos", "text", (C.keyword_score(F.col("text"), fixed.COMPONENT_KEYWORDS)).alias("component"), C.keyword_score(F.col("text"), fixed.RISK_KEYWORDS).alias("risk"), C.risk_focus(F.col("text")).alias("focus"), (F.lit(0) if weight is None else weight).alias("weight"))
     row = lambda s: F.struct((F.col(s) + F.col("weight")).alias("score"), "pos", "text")
     g = scored.groupBy(key).agg(
         F.collect_list(F.when(F.col("component") > 0, row("component"))).alias("c"),
