@@ -64,7 +64,7 @@ SQL["boosted_topk"] = f"""WITH {_DOT}, r AS (SELECT *, row_number() OVER (PARTIT
 j AS (SELECT r.query_id, r.item, r.score, lower(t.p_name || ' ' || t.p_brand || ' ' || t.p_partkey) AS text, m.p_brand, m.p_type, string_split(replace(m.p_name, ' ', '_'), '_') AS tags
   FROM r LEFT JOIN part t ON t.p_partkey - 1 = r.query_id LEFT JOIN part m ON m.p_partkey - 1 = r.item WHERE i <= 20),
 b AS (SELECT query_id, item, score, CASE WHEN contains(text, item::VARCHAR) THEN 0.35 ELSE 0 END
-  + 0.1 * ((length(p_brand) >= 4 AND contains(text, lower(trim(p_brand))))::INT + (length(p_type) >= 4 AND contains(text, lower(trim(p_type))))::INT)
+  + 0.1 * (coalesce((length(p_brand) >= 4 AND contains(text, lower(trim(p_brand))))::INT, 0) + coalesce((length(p_type) >= 4 AND contains(text, lower(trim(p_type))))::INT, 0))
   + 0.1 * len([x FOR x IN coalesce(tags, []) IF x <> '' AND contains(text, x)]) AS boost FROM j),
 f AS (SELECT *, score + boost AS final_score, row_number() OVER (PARTITION BY query_id ORDER BY score + boost DESC, item) AS rank FROM b)
 SELECT query_id, item, round(score, 6) AS score, round(boost, 6) AS boost, round(final_score, 6) AS final_score, CAST(rank AS INTEGER) AS rank FROM f WHERE rank <= 5"""
