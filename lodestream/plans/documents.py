@@ -201,11 +201,11 @@ def archive_calendar(spark, d):
     """Every day between the first and last event, with its count: calendar expansion."""
     e = read(spark, d, "events").select(F.to_date("ts").alias("day"))
     days = e.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias("day"))
-    return days.join(e.groupBy("day").agg(F.count("*").alias("n")), "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
+    return days.join(e.groupBy("day").agg(F.count("*").alias("n")), "day", "left").select(F.col("day").cast("string").alias("day"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 SQL["archive_calendar"] = """WITH e AS (SELECT CAST(ts AS DATE) AS day FROM events), d AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM e)
-SELECT d.day, count(e.day) AS n FROM d LEFT JOIN e USING (day) GROUP BY 1"""
+SELECT strftime(d.day, '%Y-%m-%d') AS day, count(e.day) AS n FROM d LEFT JOIN e USING (day) GROUP BY 1"""
 
 
 @query

@@ -311,21 +311,21 @@ def category_top5(spark, d):
     w = series.week_return(bars(spark, d)).join(F.broadcast(geo), "ticker").select("bucket", "ticker", "week_return")
     up = frames.top_n(w, ["bucket"], 5, F.col("week_return").desc_nulls_last(), F.col("ticker"), rank="best")
     down = frames.top_n(w, ["bucket"], 5, F.col("week_return").asc_nulls_last(), F.col("ticker"), rank="worst")
-    return rounded(up.join(down.select("ticker", "worst"), "ticker", "full").join(w.select("ticker", F.col("week_return").alias("r"), F.col("bucket").alias("b")), "ticker").select("ticker", F.col("b").alias("bucket"), F.col("r").alias("week_return"), "best", "worst"))
+    return rounded(up.join(down.select("ticker", "worst"), "ticker", "full").join(w.select("ticker", F.col("week_return").alias("r"), F.col("bucket").alias("b")), "ticker").select("ticker", F.col("b").alias("bucket"), F.col("r").alias("week_return"), F.coalesce("best", F.lit(0)).alias("best"), F.coalesce("worst", F.lit(0)).alias("worst")))
 
 
 SQL["category_top5"] = f"""WITH {BARS}, {_WEEK},
 k AS (SELECT w.ticker, r_name AS bucket, x, row_number() OVER (PARTITION BY r_name ORDER BY x DESC, w.ticker) AS best, row_number() OVER (PARTITION BY r_name ORDER BY x, w.ticker) AS worst
   FROM w JOIN nation ON n_name = w.ticker JOIN region ON n_regionkey = r_regionkey)
-SELECT ticker, bucket, round(x, 6) AS week_return, CASE WHEN best <= 5 THEN CAST(best AS INTEGER) END AS best, CASE WHEN worst <= 5 THEN CAST(worst AS INTEGER) END AS worst FROM k WHERE best <= 5 OR worst <= 5"""
+SELECT ticker, bucket, round(x, 6) AS week_return, CASE WHEN best <= 5 THEN CAST(best AS INTEGER) ELSE 0 END AS best, CASE WHEN worst <= 5 THEN CAST(worst AS INTEGER) ELSE 0 END AS worst FROM k WHERE best <= 5 OR worst <= 5"""
 
 
 @query
 def last_252_closes(spark, d):
-    return rounded(series.with_returns(bars(spark, d)).filter("age <= 252").select("ticker", "date", "close"))
+    return rounded(series.with_returns(bars(spark, d)).filter("age <= 252").select("ticker", F.col("date").cast("string").alias("date"), "close"))
 
 
-SQL["last_252_closes"] = f"WITH {BARS} SELECT ticker, date, round(close, 6) AS close FROM r WHERE age <= 252"
+SQL["last_252_closes"] = f"WITH {BARS} SELECT ticker, strftime(date, '%Y-%m-%d') AS date, round(close, 6) AS close FROM r WHERE age <= 252"
 
 
 def screen(df: DataFrame, search: str = "", search_in: list[str] = (), choices: dict[str, list] | None = None, ranges: dict[str, tuple] | None = None) -> DataFrame:

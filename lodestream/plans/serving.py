@@ -130,10 +130,10 @@ SQL["sentiment_adjusted_rank"] = f"WITH {_NEWS}, r AS (SELECT *, row_number() OV
 
 @query
 def daily_news_score(spark, d):
-    return rounded(_news(spark, d).groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("events"), F.avg("score").alias("mean_score"), F.avg("adjusted").alias("mean_adjusted")), 4)
+    return rounded(_news(spark, d).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("events"), F.avg("score").alias("mean_score"), F.avg("adjusted").alias("mean_adjusted")), 4)
 
 
-SQL["daily_news_score"] = f"WITH {_NEWS} SELECT CAST(ts AS DATE) AS day, count(*) AS events, round(avg(score), 4) AS mean_score, round(avg(adjusted), 4) AS mean_adjusted FROM n GROUP BY 1"
+SQL["daily_news_score"] = f"WITH {_NEWS} SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS events, round(avg(score), 4) AS mean_score, round(avg(adjusted), 4) AS mean_adjusted FROM n GROUP BY 1"
 
 
 @query
@@ -174,14 +174,14 @@ def alerts(spark, d):
     n = _news(spark, d).filter(F.col("score") >= 70).withColumn("day", F.to_date("ts"))
     once = frames.keep_first(n, ["user_id", "day", "event_type"], F.col("score").desc(), F.col("event_id"))
     first = frames.top_n(once, ["user_id"], 16, F.col("day").desc(), F.col("score").desc(), F.col("event_id"), rank="age")
-    return frames.top_n(first, ["user_id"], 8, F.col("score").desc(), F.col("event_id")).select("user_id", "rank", "age", "event_id", "day", F.round("score", 4).alias("score"))
+    return frames.top_n(first, ["user_id"], 8, F.col("score").desc(), F.col("event_id")).select("user_id", "rank", "age", "event_id", F.col("day").cast("string").alias("day"), F.round("score", 4).alias("score"))
 
 
 SQL["alerts"] = """WITH n AS (SELECT event_id, user_id, CAST(ts AS DATE) AS day, event_type, value AS score FROM events WHERE value >= 70),
 o AS (SELECT *, row_number() OVER (PARTITION BY user_id, day, event_type ORDER BY score DESC, event_id) AS i FROM n),
 a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day DESC, score DESC, event_id) AS age FROM o WHERE i = 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_id) AS rank FROM a WHERE age <= 16)
-SELECT user_id, CAST(rank AS INTEGER) AS rank, CAST(age AS INTEGER) AS age, event_id, day, round(score, 4) AS score FROM r WHERE rank <= 8"""
+SELECT user_id, CAST(rank AS INTEGER) AS rank, CAST(age AS INTEGER) AS age, event_id, strftime(day, '%Y-%m-%d') AS day, round(score, 4) AS score FROM r WHERE rank <= 8"""
 
 
 def _ranks(spark, d):
