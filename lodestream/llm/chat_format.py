@@ -99,7 +99,7 @@ def mismatched_pairs(convs: DataFrame) -> DataFrame:
 def op10_chat_format(spark, sf_dir: str) -> DataFrame:
     """Preference pairs of all conversations."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return format_preferences(mismatched_pairs(conversations(turns)))
+    return format_preferences(mismatched_pairs(conversations(turns))).withColumn("rejected_conv_id", F.coalesce("rejected_conv_id", F.lit(-1)))
 
 
 ORACLE = r"""
@@ -125,7 +125,7 @@ y AS (SELECT conv_id,
       FROM x GROUP BY conv_id),
 z AS (SELECT *, CASE WHEN other IS NOT NULL AND reply <> mine THEN '<|im_start|>assistant' || chr(10) || replace(reply, '<|', '< |') || '<|im_end|>' || chr(10)
         WHEN other IS NOT NULL THEN '' END AS rs FROM k)
-SELECT z.conv_id, z.other AS rejected_conv_id, CAST(z.c AS BIGINT) AS n_common, y.prompt, y.chosen, y.chosen_mask, z.rs AS rejected,
+SELECT z.conv_id, coalesce(z.other, -1) AS rejected_conv_id, CAST(z.c AS BIGINT) AS n_common, y.prompt, y.chosen, y.chosen_mask, z.rs AS rejected,
   CASE WHEN z.rs IS NULL THEN NULL WHEN z.rs = '' THEN '' ELSE '22:' || CAST(length(z.rs) - 1 AS VARCHAR) END AS rejected_mask
 FROM z JOIN y USING (conv_id)
 """
