@@ -138,7 +138,7 @@ def summary_sentence(c: Column, most: int = 220) -> Column:
 
 def low_quality_response(c: Column) -> Column:
     t = F.trim(c)
-    odd = F.length(F.regexp_replace(t, r"[\p{L}\p{N}]", ""))
+    odd = F.length(F.regexp_replace(t, r"[\p{L}\p{N} \n]", ""))
     return (F.length(t) < 24) | (F.try_divide(odd, F.length(t)) > 0.6)
 
 

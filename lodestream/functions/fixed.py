@@ -129,3 +129,71 @@ PARAPHRASES = [
     "{catalyst} and {driver} together are driving repricing in {region} {theme} {asset}.",
     "{region} {theme} {asset} pricing now reflects {driver} signaled by {catalyst}.",
 ]
+
+# English question beginning, Chinese question; the first beginning that fits counts, so their order matters.
+CHINESE_QUESTIONS = [
+    ("What is the stock code", "這隻ETF的股票代號是甚麼"),
+    ("What is the trading lot size", "這隻ETF每手交易單位是多少"),
+    ("Who is the fund manager", "這隻ETF的基金經理是誰"),
+    ("What index does", "這隻ETF追蹤哪個指數"),
+    ("What is the base currency", "這隻ETF的基礎貨幣是甚麼"),
+    ("What are the ongoing charges", "這隻ETF的全年持續費用是多少"),
+    ("What is the latest tracking difference", "這隻ETF最新追蹤偏離是多少"),
+    ("What is the dividend policy", "這隻ETF的派息政策是甚麼"),
+    ("What is the investment objective", "這隻ETF的投資目標是甚麼"),
+    ("How does", "這隻ETF如何執行其追蹤策略"),
+    ("What are the key risks", "這隻ETF有哪些主要風險"),
+    ("What risk factors are highlighted", "這隻ETF的產品資料概要重點風險有哪些"),
+    ("Which risks could cause losses", "哪些風險可能導致這隻ETF出現虧損"),
+    ("What fees and charges", "這隻ETF涉及哪些費用與收費"),
+    ("What are the key trading and ongoing costs", "這隻ETF的交易與持有成本有哪些"),
+    ("Does", "這隻ETF是否使用衍生工具，以及有甚麼限制"),
+    ("How are futures/options/warrants addressed", "這隻ETF在文件中如何規範期貨、期權及認股權證"),
+    ("What are the termination conditions", "這隻ETF在甚麼情況下可能終止"),
+    ("Under what scenarios may", "這隻ETF在甚麼情況下可能被終止"),
+    ("How does low NAV affect termination risk", "資產淨值偏低如何影響這隻ETF的終止風險"),
+    ("How does dividend distribution work", "這隻ETF如何派發股息"),
+    ("When are dividends generally paid", "這隻ETF一般在何時派息"),
+    ("Are dividend payouts guaranteed", "這隻ETF派息是否有保證"),
+    ("How do HKD and RMB counters work", "這隻ETF的港幣／人民幣櫃台如何運作"),
+    ("What dual-counter risks", "這隻ETF的雙櫃台交易有甚麼風險"),
+    ("What currency-related trading considerations", "這隻ETF在貨幣及交易櫃台方面有甚麼注意事項"),
+    ("Is", "這隻ETF是否屬於被動管理"),
+    ("What causes tracking error", "這隻ETF的追蹤誤差主要由甚麼造成"),
+    ("What equity market risks affect", "這隻ETF面對哪些股票市場風險"),
+]
+
+# Facts of a key-facts sheet and what ends them.
+KEY_FACTS = {
+    "stock_code": r"Stock code:\s*([^\.]+?)(?:\s{2,}|Trading lot size:|Fund manager:|$)",
+    "trading_lot_size": r"Trading lot size:\s*([^\.]+?)(?:\s{2,}|Fund manager:|Underlying index:|$)",
+    "fund_manager": r"Fund manager:\s*([^\.]+?)(?:\s{2,}|Trustee and Custodian:|Underlying index:|$)",
+    "underlying_index": r"Underlying index:\s*([^\.]+?)(?:\s{2,}|Trading currency:|Base currency:|$)",
+    "base_currency": r"Base currency:\s*([^\.]+?)(?:\s{2,}|Ongoing charges|Financial year end|$)",
+    "ongoing_charges": r"Ongoing charges over a year[#:\s]*([^\.]+?)(?:\s{2,}|Tracking difference|$)",
+    "tracking_difference": r"Tracking difference[^:]*:\s*([^\.]+?)(?:\s{2,}|Financial year end|$)",
+    "dividend_policy": r"Dividend policy[#:\s]*([^\.]+?)(?:\s{2,}|website|$)",
+}
+
+# Sentences that call a known instrument unknown, and cut-off tails.
+WRONG_CLAIMS = [
+    r"[^.\n]*there isn['’]t an etf with the ticker[^.\n]*[.\n]?",
+    r"[^.\n]*there is no etf with the ticker[^.\n]*[.\n]?",
+    r"[^.\n]*does not correspond to any known etf[^.\n]*[.\n]?",
+    r"[^.\n]*does not correspond to an existing etf[^.\n]*[.\n]?",
+    r"[^.\n]*isn['’]t in our database[^.\n]*[.\n]?",
+    r"[^.\n]*is not in our database[^.\n]*[.\n]?",
+    r"[^.\n]*couldn['’]t find any information about the etf with the ticker[^.\n]*[.\n]?",
+    r"[^.\n]*could not find any information about the etf with the ticker[^.\n]*[.\n]?",
+    r"[^.\n]*might be incorrect[^.\n]*[.\n]?",
+    r"[^.\n]*not listed in the hong kong market[^.\n]*[.\n]?",
+    r"[^.\n]*confirm if[^.\n]*correct ticker[^.\n]*[.\n]?",
+    r"[^.\n]*check the ticker again[^.\n]*[.\n]?",
+    r"[^.\n]*provide more details[^.\n]*[.\n]?",
+    r"[^.\n]*local data is currently insufficient[^.\n]*[.\n]?",
+    r"[^.\n]*insufficient local data[^.\n]*[.\n]?",
+    r"[^。\n]*不是一個現有的etf[^。\n]*[。\n]?",
+    r"[^。\n]*未能找到對應的etf[^。\n]*[。\n]?",
+    r"[^。\n]*目前本地資料不足以確認細節[^。\n]*[。\n]?",
+]
+CUT_TAILS = [r"(?s)(\(|（)\s*key\s*$", r"(?s)\bwould you like more.*$"]

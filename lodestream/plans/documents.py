@@ -218,5 +218,5 @@ def text_cleaning(spark, d):
 SQL["text_cleaning"] = r"""WITH t AS (SELECT doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g'), ' .;,:') AS s FROM documents)
 SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS normal,
   CASE WHEN s = '' THEN '' WHEN length(s) > 220 THEN regexp_replace(left(s, 220), ' [^ ]*$', '') || '.' ELSE s || '.' END AS summary,
-  length(trim(text)) < 24 OR length(regexp_replace(trim(text), '[\p{L}\p{N}]', '', 'g')) / length(trim(text)) > 0.6 AS low,
+  length(trim(text)) < 24 OR length(regexp_replace(trim(text), '[\p{L}\p{N} \n]', '', 'g')) / length(trim(text)) > 0.6 AS low,
   CASE WHEN regexp_matches(text, '[\x{4e00}-\x{9fff}]') THEN 'zh' ELSE 'en' END AS language FROM t"""

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from lodestream import frames
 from lodestream.frames import read
 from lodestream.functions import columns as C
-from lodestream.functions import fixed
+from lodestream.functions import fixed, replies
 from lodestream.operators import qa, retrieval, stability
 from lodestream.plans.documents import _any_sql, _quote
 
@@ -398,3 +398,39 @@ def summary_card(spark, d):
 
 SQL["summary_card"] = """WITH r AS (SELECT doc_id % 150 AS s_suppkey, arg_min(text, doc_id) AS text FROM documents WHERE lang = 'en' GROUP BY 1)
 SELECT s_suppkey, coalesce(n_name, '-') AS geo, coalesce(left(text, 200), '-') AS risks, CASE WHEN s_acctbal > 0 THEN format('{:.2f}%', floor(s_acctbal / 100) / 10.0::DOUBLE) ELSE '-' END AS fee FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN r USING (s_suppkey)"""
+
+
+@query
+def embedding_text(spark, d):
+    p = read(spark, d, "part")
+    return p.select("p_partkey", replies.embedding_text(F.col("p_partkey"), F.col("p_brand"), F.when(F.col("p_size") > 10, F.col("p_type")), F.when(F.col("p_size") > 30, F.lit("nan")).otherwise("Asia"), F.when(F.col("p_size") % 2 == 0, F.col("p_name")), F.col("p_name")).alias("text"))
+
+
+SQL["embedding_text"] = r"""SELECT p_partkey, concat_ws(' ', 'Ticker ' || CASE WHEN p_partkey < 100000 THEN lpad(p_partkey::VARCHAR, 5, '0') ELSE p_partkey::VARCHAR END || '.', 'Benchmark ' || p_brand || '.',
+  CASE WHEN p_size > 10 THEN 'Asset class ' || p_type || '.' END, CASE WHEN p_size <= 30 THEN 'Geographic focus Asia.' END, CASE WHEN p_size % 2 = 0 THEN 'Risk summary: ' || p_name ELSE left(p_name, 900) END) AS text FROM part"""
+
+
+@query
+def chinese_questions(spark, d):
+    """Bilingual expansion by the first fitting beginning."""
+    q = F.concat(F.get(F.array(*[F.lit(a) for a, _ in fixed.CHINESE_QUESTIONS], F.lit("Tell me")), (F.col("p_partkey") % (len(fixed.CHINESE_QUESTIONS) + 1)).cast("int")), F.lit(" this fund?"))
+    return read(spark, d, "part").select("p_partkey", q.alias("question"), replies.chinese_question(q, F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("zh")).filter("zh is not null")
+
+
+_ZH = "[" + ", ".join(_quote(a) for a, _ in fixed.CHINESE_QUESTIONS) + ", 'Tell me']"
+SQL["chinese_questions"] = f"""WITH q AS (SELECT p_partkey, (SELECT {_ZH})[1 + p_partkey % {len(fixed.CHINESE_QUESTIONS) + 1}] || ' this fund?' AS question FROM part),
+z AS (SELECT *, CASE {' '.join(f'WHEN starts_with(question, {_quote(a)}) THEN {_quote(b)}' for a, b in fixed.CHINESE_QUESTIONS)} END AS t FROM q)
+SELECT p_partkey, question, t || '（' || lpad(p_partkey::VARCHAR, 6, '0') || '）？' AS zh FROM z WHERE t IS NOT NULL"""
+
+
+@query
+def fallback_replies(spark, d):
+    """Replies of user turns without a model, and prompts' intent rules."""
+    t = _turns(spark, d).filter("role = 'user'")
+    q = F.concat("text", F.when(F.col("conv_id") % 3 == 0, " recommend one").otherwise(""))
+    return t.select("conv_id", "turn", replies.fallback(q, F.col("conv_id"), F.when(F.col("conv_id") % 2 == 0, F.array(F.lit("0001"), F.lit("0002"))).otherwise(F.array().cast("array<string>"))).alias("reply"))
+
+
+SQL["fallback_replies"] = rf"""WITH {_TURNS}, u AS (SELECT conv_id, turn, lower(text || CASE WHEN conv_id % 3 = 0 THEN ' recommend one' ELSE '' END) AS q,
+  'You asked about ' || CASE WHEN conv_id < 10000 THEN lpad(conv_id::VARCHAR, 4, '0') ELSE conv_id::VARCHAR END || '. Confirm the exact benchmark in the fund name and the official key facts statement.' AS base FROM t WHERE role = 'user')
+SELECT conv_id, turn, CASE WHEN {_I['recommendation']} AND conv_id % 2 = 0 THEN base || ' You can review: 0001, 0002.' WHEN {_I['risk']} THEN base || ' Check market volatility, concentration and tracking error.' ELSE base END AS reply FROM u"""

@@ -181,3 +181,16 @@ def test_pipelines_run(spark):
     s = spark.createDataFrame([("t", i, t) for i, t in enumerate(["The management fee of the fund is 0.5% a year.", "Investors face currency risk and credit risk in this fund at all times.", "The base currency: HKD is used for all classes."])], "ticker string, pos int, text string")
     made = api.generate_qa(s)
     assert made.count() >= 2 and made.select("id").distinct().count() == made.count()
+
+
+def test_replies(spark):
+    from lodestream.functions import replies as R
+
+    known = lambda c: R.clean_reply(c, F.lit("2800"), F.lit(True))
+    assert col(spark, "It tracks the index. There is no ETF with the ticker 2800. Fine.", known) == "Using ticker `2800` as the active ETF context.\n\nIt tracks the index. Fine."
+    assert col(spark, "All good. Would you like more", known) == "All good." and col(spark, "It tracks.", known) == "It tracks."
+    facts = col(spark, "Stock code: 2800 Trading lot size: 500 units  Fund manager: A B  Base currency: HKD", R.key_facts)
+    assert (facts.stock_code, facts.trading_lot_size, facts.base_currency, facts.dividend_policy) == ("2800", "500 units", "HKD", None)
+    assert col(spark, "How does low NAV matter?", lambda c: R.chinese_question(c, F.lit("1"))) == "這隻ETF如何執行其追蹤策略（1）？"
+    df = spark.createDataFrame([("a",), ("b",)], "x string")
+    assert R.only_if_any(df, F.col("x") == "z").count() == 2 and R.only_if_any(df, F.col("x") == "a").count() == 1
