@@ -1,7 +1,7 @@
 """The corpus pipeline: raw ``documents`` to packed batches, each stage written as Parquet and read by the next.
 
 1. quality classifier: documents that it rejects go;
-2. line dedup: later copies of repeated runs of lines are cut from the texts;
+2. line dedup: later copies of repeated runs of lines are cut from the texts; a document of which nothing is left goes;
 3. MinHash near-dedup (five words, 0.8): one document of each group stays;
 4. mixing: documents repeat at the rates that move the languages toward their target weights;
 5. packing: length buckets and batches of everything that is left.
@@ -21,8 +21,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``n_chars`` follows the new text."""
-    out = line_dedup.dedup_lines(docs)
+    """``n_chars`` follows the new text. A document all of whose lines occur earlier is a copy: it goes."""
+    out = line_dedup.dedup_lines(docs).filter((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
     row = lambda c: F.col("text") if c == "text" else F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"row.{c}").alias(c)
     return out.select(*[row(c) for c in docs.columns])
 
