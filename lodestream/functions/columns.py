@@ -75,14 +75,33 @@ def intent(c: Column) -> Column:
     )
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def present(c: Column, table: dict) -> Column:
+    """The keywords of a table that occur in the text, each looked for once."""
+    words = F.array(*[F.lit(w) for w in dict.fromkeys(w for ws in table.values() for w in ws)])
+    return let(F.lower(c), lambda t: F.filter(words, lambda w: t.contains(w)))
+
+
+def tags_of(hits: Column, table: dict) -> Column:
+    """Sorted names of the table's entries of which a keyword is among ``hits``."""
+    return F.array_sort(F.array_compact(F.array(*[F.when(F.arrays_overlap(hits, F.array(*[F.lit(w) for w in ws])), name) for name, ws in table.items()])))
+
+
+def score_of(hits: Column, table: dict) -> Column:
+    """Number of keywords among ``hits``; one that stands in two families counts twice."""
+    return reduce(lambda a, b: a + b, [F.size(F.array_intersect(hits, F.array(*[F.lit(w) for w in ws]))) for ws in table.values()])
+
+
 def matching(c: Column, table: dict) -> Column:
-    """Sorted names of the table's entries of which a keyword occurs."""
-    return F.array_sort(F.array_compact(F.array(*[F.when(contains_any(c, words), name) for name, words in table.items()])))
+    return let(present(c, table), lambda hits: tags_of(hits, table))
 
 
 def keyword_score(c: Column, table: dict) -> Column:
-    """Number of keywords present; one that stands in two families counts twice."""
-    return reduce(lambda a, b: a + b, [count_any(c, words) for words in table.values()])
+    return let(present(c, table), lambda hits: score_of(hits, table))
 
 
 def asset_bucket(c: Column) -> Column:

@@ -76,10 +76,10 @@ SELECT doc_id, count(*) AS sentences, count(*) FILTER (WHERE length(t) < 30 OR c
 
 @query
 def keyword_tags(spark, d):
-    t = F.col("text")
-    return read(spark, d, "documents").select(
-        "doc_id", F.array_join(C.matching(t, fixed.RISK_KEYWORDS), ",").alias("risk_tags"), F.array_join(C.matching(t, fixed.COMPONENT_KEYWORDS), ",").alias("component_tags"),
-        C.keyword_score(t, fixed.RISK_KEYWORDS).alias("risk_score"), C.keyword_score(t, fixed.COMPONENT_KEYWORDS).alias("component_score"), C.document_weight(F.col("source")).alias("weight"),
+    hits = read(spark, d, "documents").select("doc_id", "source", C.present(F.col("text"), fixed.RISK_KEYWORDS).alias("r"), C.present(F.col("text"), fixed.COMPONENT_KEYWORDS).alias("c"))
+    return hits.select(
+        "doc_id", F.array_join(C.tags_of(F.col("r"), fixed.RISK_KEYWORDS), ",").alias("risk_tags"), F.array_join(C.tags_of(F.col("c"), fixed.COMPONENT_KEYWORDS), ",").alias("component_tags"),
+        C.score_of(F.col("r"), fixed.RISK_KEYWORDS).alias("risk_score"), C.score_of(F.col("c"), fixed.COMPONENT_KEYWORDS).alias("component_score"), C.document_weight(F.col("source")).alias("weight"),
     )
 
 
