@@ -90,17 +90,21 @@ def test_sample_documents(spark):
     assert got == {i: (n, c, c == i) for i, (n, c) in brute(rows, 3, 85).items()}
 
 
-def test_odd_sketch_estimates():
+def test_odd_sketch_keeps_alike_and_drops_unlike():
     rng = np.random.default_rng(0)
-    for j in (0.85, 0.95):
-        shared = rng.integers(0, 2**62, 900, dtype=np.uint64)
-        own = int(900 / j) - 900
-        sets = [np.concatenate([shared, rng.integers(0, 2**62, own // 2, dtype=np.uint64)]) for _ in range(40)]
-        s = N.odd_sketches(N.minhashes(sets, 80))
-        bits = [int(np.bitwise_count(s[i] ^ s[i + 1]).sum()) for i in range(39)]
-        assert max(bits) <= N.most_bits(0.85, 80)
-    far = N.odd_sketches(N.minhashes([rng.integers(0, 2**62, 500, dtype=np.uint64) for _ in range(60)], 80))
-    assert sum(int(np.bitwise_count(far[i] ^ far[i + 1]).sum()) > N.most_bits(0.85, 80) for i in range(59)) >= 55
+    new = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    apart = lambda x, y: int(np.bitwise_count((N.odd_sketch(x) ^ N.odd_sketch(y)).view(np.uint64)).sum()) - N.most_bits(max(len(x), len(y)), 0.85)
+    for size in (7, 60, 150, 400, 1000, 4000):
+        for j in (0.85, 0.9, 0.97):
+            for _ in range(150):
+                shared = new(size)
+                more = int(size / j) - size
+                x, y = (np.unique(np.concatenate([shared, part])) for part in np.split(new(more), [more // 2]))
+                assert apart(x, y) <= 0
+    for size in (300, 3000):
+        shared = new(size // 2)
+        x, y = (np.unique(np.concatenate([shared, new(size // 2)])) for _ in range(2))
+        assert apart(x, y) > 0
 
 
 def test_odd_tables(spark):
