@@ -79,7 +79,7 @@ def posterior(counts: Column, prior: list[float], rates: list[list[float]], hits
 
 
 def _shares(q: Column) -> Column:
-    return let(F.aggregate(q, F.lit(0), lambda a, b: a + b), lambda s: F.transform(q, lambda x: F.try_divide(x.cast("double"), s)))
+    return let(q, lambda v: let(F.aggregate(v, F.lit(0), lambda a, b: a + b), lambda s: F.transform(v, lambda x: F.try_divide(x.cast("double"), s))))
 
 
 def rate_of(p: Column, steps: list[list[float]]) -> Column:
