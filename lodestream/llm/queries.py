@@ -17,6 +17,9 @@ QUERIES = {
     "op10_chat_format": chat_format.op10_chat_format,
 }
 ORACLES = {
+    "op2_secret_scan": secret_scan.ORACLE,
+    "op6_html_text": html_text.ORACLE,
+    "op8_near_dedup": near_dedup.ORACLE,
     "op1_line_dedup": line_dedup.ORACLE,
     "op5_topk": topk.ORACLE,
     "op10_chat_format": chat_format.ORACLE,

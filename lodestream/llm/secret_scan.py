@@ -144,3 +144,25 @@ def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
         _joined(F.col("spans")).alias("spans"),
         F.col("blob").alias("blob_sha256"),
     )
+
+
+def _oracle() -> str:
+    """The same offsets in DuckDB: gaps and matches of each rule summed up."""
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    parts = []
+    for i, r in enumerate(RULES):
+        base = "true" if r in BASE_RULES else "false"
+        parts.append(
+            f"SELECT doc_id, {i} AS o, {q(r.kind)} AS kind, {base} AS base, {r.least} AS least, regexp_extract_all(t, {q(r.pattern)}, 0) AS m, regexp_extract_all(t, {q(r.pattern)}, {r.group}) AS h, string_split_regex(t, {q(r.pattern)}) AS g FROM d WHERE regexp_matches(t, {q(r.pattern)})"
+        )
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({' UNION ALL '.join(parts)}),
+u AS (SELECT doc_id, o, kind, base, least, m, h, g, unnest(range(1, len(m) + 1)) AS i FROM f),
+p AS (SELECT doc_id, o, kind, base, length(m[i]) AS n, CAST(list_sum([length(x) FOR x IN g[1:i]]) + coalesce(list_sum([length(x) FOR x IN m[1:i - 1]]), 0) AS BIGINT) AS s FROM u WHERE length(h[i]) >= least),
+a AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, o) FILTER (WHERE base) AS b, string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, o) AS spans FROM p GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(t) AS blob_sha256
+FROM d LEFT JOIN a USING (doc_id)"""
+
+
+ORACLE = _oracle()
