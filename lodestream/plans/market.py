@@ -111,7 +111,7 @@ def feature_table_imputed(spark, d):
     universe = read(spark, d, "lineitem").filter("l_quantity >= 30").select(F.col("l_partkey").alias("p_partkey")).distinct()
     j = part.join(universe, "p_partkey", "left_semi").join(agg, "p_partkey", "left")
     j = frames.impute(j, "aum", "p_brand").withColumn("yield_to_cost", F.try_divide("discount", "charges"))
-    return rounded(frames.mean_fill(j.fillna({"discount": 0.0}), ["yield_to_cost", "charges", "top"]))
+    return rounded(frames.mean_fill(j.fillna({"discount": 0.0}), ["yield_to_cost", "charges", "top"]), 8)
 
 
 SQL["feature_table_imputed"] = """WITH p AS (SELECT p_partkey, p_brand, CAST(nullif(p_size % 7, 0) AS DOUBLE) AS aum, CAST(nullif(p_size % 3, 0) AS DOUBLE) AS charges, p_retailprice FROM part
@@ -119,8 +119,8 @@ SQL["feature_table_imputed"] = """WITH p AS (SELECT p_partkey, p_brand, CAST(nul
 a AS (SELECT l_partkey AS p_partkey, avg(l_discount) FILTER (WHERE l_discount > 0.05) AS discount, max(l_quantity) AS top FROM lineitem WHERE l_shipdate IS NULL OR l_shipdate <= '1999-12-31' GROUP BY 1),
 j AS (SELECT p.*, a.discount, a.top, a.discount / p.charges AS yc FROM p LEFT JOIN a USING (p_partkey)),
 m AS (SELECT p_brand, median(aum) AS m FROM j GROUP BY 1)
-SELECT p_partkey, p_brand, round(coalesce(aum, m.m, (SELECT avg(aum) FROM j)), 6) AS aum, round(coalesce(charges, (SELECT avg(charges) FROM j)), 6) AS charges, round(p_retailprice, 6) AS p_retailprice,
-  round(coalesce(discount, 0), 6) AS discount, round(coalesce(top, (SELECT avg(top) FROM j)), 6) AS top, round(coalesce(yc, (SELECT avg(yc) FROM j)), 6) AS yield_to_cost
+SELECT p_partkey, p_brand, round(coalesce(aum, m.m, (SELECT avg(aum) FROM j)), 8) AS aum, round(coalesce(charges, (SELECT avg(charges) FROM j)), 8) AS charges, round(p_retailprice, 8) AS p_retailprice,
+  round(coalesce(discount, 0), 8) AS discount, round(coalesce(top, (SELECT avg(top) FROM j)), 8) AS top, round(coalesce(yc, (SELECT avg(yc) FROM j)), 8) AS yield_to_cost
 FROM j LEFT JOIN m USING (p_brand)"""
 
 
