@@ -1,15 +1,13 @@
-"""Line dedup by winnowing over line hashes (operator 1, native).
+"""Line dedup over the hashes of runs of lines (operator 1, native).
 
-Two neighbouring lines make a gram, its hash comes from the two line hashes, and of every window of ``window`` grams the
-smallest (the rightmost on ties) is a fingerprint. So any run of ``window + 1`` or more lines that occurs twice shares a
-fingerprint, wherever it lies in its documents. A line, or a gram, of ``min_words`` words or more is a window of its own
-and always a fingerprint. Every later position of a fingerprint is joined with its first one, the match is extended line
-by line both ways, and runs of ``window + 1`` lines or of ``min_words`` words are deleted where they are not first.
+Every run of ``window + 1`` neighbouring lines, and every shorter one of ``min_words`` words or more, is hashed as a whole
+from its line hashes: winnowing with every window's own run as its fingerprint, so none is left out. Where a run is not the
+first of its hash, its lines are deleted. A longer repeated run consists of such runs, each of which has its own first copy
+wherever that lies, so it goes whole, also where its parts first occur in different documents. No pairs are formed: a run is
+joined with the first of its hash only, and all runs of one hash are equal.
 
-A fingerprint carries the hashes of the ``window`` lines on either side. As chosen grams are at most ``window`` apart,
-extending that far reaches the next fingerprint of the same run, which extends further: long runs are covered whole by
-rows of fixed size. "First" is the smallest (id, text hash, line), so a deleted line always has an equal line before it,
-and the first copy of any line stays.
+"First" is the smallest (id, text hash, line), so a deleted line always has an equal line before it, and the first copy of
+any line stays.
 
 Defined results: a null text has no lines and stays null; an empty text stays; null ids come after all others; equal
 rows of one id are one document and are kept alike; a document whose lines all occur earlier keeps an empty text, it is
@@ -37,56 +35,40 @@ def _words(line: Column) -> Column:
 
 
 def fingerprints(keyed: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
-    """(k, uid, text) to (kind, g, k, uid, pos, around, words): the chosen fingerprints with the lines about them."""
+    """(k, uid, text) to (n, g, g2, k, uid, pos): every run of ``n`` lines from ``pos`` on that must not occur twice, as a 128-bit hash."""
     lines = F.split("text", "\n", -1)
     hashed = keyed.filter(F.col("text").isNotNull()).select(
         "k", "uid", let(lines, lambda ls: F.struct(F.transform(ls, _line_hash).alias("h"), F.transform(ls, _words).alias("w"))).alias("x")
     )
-    hashed = hashed.select("k", "uid", "x.h", "x.w", F.transform(F.slice("x.h", F.lit(2), F.greatest(F.size("x.h") - 1, F.lit(0))), lambda b, i: F.shiftright(F.get(F.col("x.h"), i), 7).bitwiseXOR(b)).alias("g"))
-    h, w, g = F.col("h"), F.col("w"), F.col("g")
-    m = F.size(g)
-    wide = F.least(F.lit(window), m)
-
-    def smallest(x: Column, i: Column) -> Column:
-        starts = F.sequence(F.greatest(F.lit(0), i - wide + 1), F.least(i, m - wide))
-        return F.exists(starts, lambda j: F.forall(F.zip_with(F.slice(g, j + 1, wide), F.sequence(j, j + wide - 1), lambda y, at: (y > x) | ((y == x) & (at <= i))), lambda ok: ok))
-
-    grams = F.filter(
-        F.transform(g, lambda x, i: F.struct(F.lit(2).alias("kind"), x.alias("g"), i.alias("pos"), (smallest(x, i) | (F.get(w, i) + F.get(w, i + 1) >= min_words)).alias("on"))),
-        lambda s: s["on"],
-    )
-    single = F.filter(F.transform(h, lambda x, i: F.struct(F.lit(1).alias("kind"), x.alias("g"), i.alias("pos"), (F.get(w, i) >= min_words).alias("on"))), lambda s: s["on"])
-    found = hashed.select("k", "uid", "h", "w", F.explode(F.concat(grams, single)).alias("f"))
-    about = F.sequence(F.col("f.pos") - window, F.col("f.pos") + 1 + window)
-    return found.select(
-        F.col("f.kind").alias("kind"), F.col("f.g").alias("g"), "k", "uid", F.col("f.pos").alias("pos"),
-        F.transform(about, lambda t: F.get(F.col("h"), t)).alias("around"),
-        F.transform(about, lambda t: F.get(F.col("w"), t)).alias("words"),
-    )
+    hashed = hashed.select("k", "uid", "x.h", "x.w")
+
+    def of(n: int) -> Column:
+        """The runs of ``n`` lines: all of the full length, of shorter ones those with enough words."""
+        at = lambda c, i: [F.get(c, i + t) for t in range(n)]
+        runs = F.transform(
+            F.slice("h", 1, F.greatest(F.size("h") - (n - 1), F.lit(0))),
+            lambda _, i: F.struct(F.lit(n).alias("n"), F.xxhash64(*at(F.col("h"), i)).alias("g"), F.xxhash64(F.lit(n), *reversed(at(F.col("h"), i))).alias("g2"), i.alias("pos"), sum(at(F.col("w"), i)[1:], F.get("w", i)).alias("w")),
+        )
+        return runs if n > window else F.filter(runs, lambda s: s["w"] >= min_words)
+
+    found = hashed.select("k", "uid", F.explode(F.concat(*[of(n) for n in range(1, window + 2)])).alias("f"))
+    return found.select("f.n", "f.g", "f.g2", "k", "uid", "f.pos")
 
 
-def repeated_runs(prints: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_runs(prints: DataFrame) -> DataFrame:
     """(uid, lo, hi): the runs of lines to delete, by line number."""
-    occurrence = F.struct("k", "uid", "pos", "around")
-    first = prints.groupBy("kind", "g").agg(F.min(occurrence).alias("first"), F.count("*").alias("n")).filter("n > 1").select("kind", "g", "first")
-    # Written and read again, so that the join has an exchange of its own on both sides: a gram that half of all documents
+    first = prints.groupBy("n", "g", "g2").agg(F.min(F.struct("k", "uid", "pos")).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    # Written and read again, so that the join has an exchange of its own on both sides: a run that half of all documents
     # share then falls into splits instead of one task.
-    later = prints.join(staged(first, "first"), ["kind", "g"]).filter(F.struct("k", "uid", "pos") != F.struct("first.k", "first.uid", "first.pos"))
-    size = 2 * window + 2
-    unlike = F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda t: ~F.coalesce(F.get(F.col("around"), t) == F.get(F.col("first.around"), t), F.lit(False)))
-    lo = F.coalesce(F.array_max(F.filter("unlike", lambda t: t < window)), F.lit(-1)) + 1
-    hi = F.coalesce(F.array_min(F.filter("unlike", lambda t: t > window)), F.lit(size)) - 1
-    runs = later.filter(F.get("around", F.lit(window)) == F.get("first.around", F.lit(window)))
-    runs = runs.select("uid", "pos", "words", unlike.alias("unlike")).select("uid", "pos", "words", lo.alias("lo"), hi.alias("hi"))
-    total = F.aggregate(F.slice("words", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1), F.lit(0), lambda s, x: s + x)
-    return runs.filter((F.col("hi") - F.col("lo") + 1 > window) | (total >= min_words)).select("uid", (F.col("pos") - window + F.col("lo")).alias("lo"), (F.col("pos") - window + F.col("hi")).alias("hi"))
+    later = prints.join(staged(first, "first"), ["n", "g", "g2"]).filter(F.struct("k", "uid", "pos") != F.col("first"))
+    return later.select("uid", F.col("pos").alias("lo"), (F.col("pos") + F.col("n") - 1).alias("hi"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
     """(row, text, n_lines, n_removed): every row of ``docs`` as a struct, with its text less the later repeated runs."""
     uid = lambda i, t: F.xxhash64(i, t)
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("k"), uid(F.col(id_col), F.col(text_col)).alias("uid"), F.col(text_col).alias("text"))
-    runs = repeated_runs(staged(fingerprints(keyed, window, min_words), "prints"), window, min_words)
+    runs = repeated_runs(staged(fingerprints(keyed, window, min_words), "prints"))
     gone = runs.distinct().groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("lo", "hi")))).alias("gone"))
     whole = docs.select(F.struct("*").alias("row")).select("row", uid(F.col(f"row.{id_col}"), F.col(f"row.{text_col}")).alias("uid"))
     text = F.col(f"row.{text_col}")

@@ -38,6 +38,39 @@ def test_every_planted_run_goes_and_every_line_survives_once(spark):
     assert {x for t in got for x in t.split("\n")} == {x for t in texts for x in t.split("\n")}
 
 
+def brute_force(texts, window=2, min_words=50):
+    """Every run of window + 1 lines, or of min_words words, that occurs earlier."""
+    seen, out = set(), []
+    for text in texts:
+        ls, gone = text.split("\n"), set()
+        for i in range(len(ls)):
+            for j in range(i + 1, len(ls) + 1):
+                run = tuple(ls[i:j])
+                if len(run) > window or sum(x.count(" ") + 1 for x in run) >= min_words:
+                    if run in seen:
+                        gone |= set(range(i, j))
+                    seen.add(run)
+        out.append("\n".join(x for i, x in enumerate(ls) if i not in gone))
+    return out
+
+
+def test_a_run_goes_whole_although_a_part_of_it_occurs_before_both_copies(spark):
+    p1, p2, p3 = (" ".join(f"{c}{i}" for i in range(20)) for c in "pqr")
+    texts = [f"a\n{p1}\n{p2}\nb", f"c\n{p1}\n{p2}\n{p3}\nd", f"e\n{p1}\n{p2}\n{p3}\nf"]
+    assert run(spark, texts) == [texts[0], texts[1], "e\nf"]
+
+
+def test_equals_brute_force_on_excerpts(spark):
+    rng = random.Random(11)
+    lines = [" ".join(f"{c}{i}" for i in range(n)) for c, n in zip("abcdefghij", [3, 20, 31, 55, 24, 26, 1, 12, 49, 2], strict=True)]
+    texts = []
+    for _ in range(80):
+        i = rng.randrange(8)
+        texts.append("\n".join(rng.choice(lines) if rng.random() < 0.2 else x for x in lines[i : i + rng.randint(1, 7)]))
+    for window in (1, 2, 3):
+        assert run(spark, texts, window=window) == brute_force(texts, window)
+
+
 def test_repeats_inside_one_text(spark):
     (got,) = run(spark, ["a b\n" * 50 + "end"])
     assert got.startswith("a b") and got.endswith("end") and got.count("a b") <= 3
