@@ -330,8 +330,10 @@ SELECT tag, pos, question, CAST(row_number() OVER (PARTITION BY tag ORDER BY pos
 
 @query
 def qa_fuzzy_lookup(spark, d):
-    asked = read(spark, d, "benchmark").filter("item_id < 20").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("text"))
-    return rounded(qa.fuzzy_lookup(asked, _qa(spark, d).select(F.col("pos").alias("item"), "question", "answer")))
+    """Every benchmark text against every question, both whole."""
+    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    known = qa.question_pairs(_turns(spark, d)).select((F.col("conv_id") * 1000 + F.col("pos")).alias("item"), "question", "answer")
+    return rounded(qa.fuzzy_lookup(asked, known))
 
 
 @query

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestream import frames
 from lodestream.functions import columns as C
 from lodestream.operators import clustering, pairs, qa, retrieval, series, stability, text
-from lodestream.plans import api
+from lodestream.plans import api, serving
 
 
 def col(spark, value, f, kind="string"):
@@ -140,6 +140,14 @@ def test_fuzzy_lookup_ratio(spark):
     assert got[0]["item"] == 1 and abs(got[0].score - (0.7 * ratio + 0.3 * 6 / 8 + 0.16)) < 1e-9
 
 
+def test_fuzzy_query_takes_whole_texts_of_every_item(spark, tmp_path):
+    long = "what is known of " + " ".join(f"word{i}" for i in range(12))
+    save = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    save("benchmark", [(25, f"{long} last")], "item_id long, text string")
+    save("conversations", [(c, t, r, x) for c, end in ((1, "first"), (2, "last")) for t, r, x in ((1, "user", f"{long} {end}"), (2, "assistant", "y" * 60))], "conv_id long, turn long, role string, text string")
+    assert [(r["query_id"], r["item"], r.score) for r in serving.Q["qa_fuzzy_lookup"](spark, str(tmp_path)).collect()] == [(25, 2001, 1.0)]
+
+
 def test_shortest_answer_rule(spark):
     rows = [("q", 1, "a" * 60), ("q", 2, "b" * 50), ("q", 3, "c" * 50), ("q", 4, "d" * 20), ("p", 1, "e" * 45), ("p", 2, "f" * 45)]
     got = {r.k: r.answer[0] for r in qa.shortest_answers(spark.createDataFrame(rows, "k string, pos int, answer string"), ["k"]).collect()}
