@@ -2,6 +2,7 @@ import datetime as dt
 import difflib
 import math
 import random
+import re
 import statistics
 
 from pyspark.sql import functions as F
@@ -140,6 +141,33 @@ def test_fuzzy_lookup_ratio(spark):
     assert got[0]["item"] == 1 and abs(got[0].score - (0.7 * ratio + 0.3 * 6 / 8 + 0.16)) < 1e-9
 
 
+def test_fuzzy_lookup_without_a_common_token(spark):
+    q = spark.createDataFrame([(1, "feess of funnds"), (2, "這隻基金的資產規模有多大呢"), (3, "zzzz")], "query_id long, text string")
+    c = spark.createDataFrame([(1, "fees off fundds", "x" * 60), (2, "這隻基金的資產規模是多大", "y" * 60), (3, "q", "z" * 60), (4, "", "z" * 60)], "item long, question string, answer string")
+    assert {(r["query_id"], r["item"]) for r in qa.fuzzy_lookup(q, c).collect()} == {(1, 1), (2, 2)}
+
+
+def test_fuzzy_lookup_equals_brute_force(spark):
+    rng = random.Random(5)
+    words = "fund risk fees charge the a of index dividend tracking error growth 費用 風險 gold".split()
+    text = lambda n: " ".join(rng.choice(words) + rng.choice(["", "", "s", "x"]) for _ in range(n))
+    asked, known = [(i, text(rng.randint(3, 45))) for i in range(12)], [(i, text(rng.randint(3, 45)), "x" * rng.choice([10, 60])) for i in range(60)]
+    kinds = {"risk": (0.14, 0), "fee": (0.16, -0.45), "dividend": (0.14, 0), "tracking": (0.12, 0)}
+    has = lambda t, kind: any(w in t.lower() for w in qa.C.fixed.INTENTS[kind])
+    want = []
+    for i, t in asked:
+        scored = []
+        for j, u, a in known:
+            x, y = (set(re.findall("[a-z0-9\u4e00-\u9fff]+", v)) for v in (t, u))
+            s = 0.7 * difflib.SequenceMatcher(None, t, u).ratio() + 0.3 * len(x & y) / len(x | y) - (0.08 if len(a) < 40 else 0)
+            s += sum((plus if has(u, kind) else minus) for kind, (plus, minus) in kinds.items() if has(t, kind))
+            if s >= 0.38:
+                scored.append((-round(s, 9), j))
+        want += [(i, j, -s) for s, j in sorted(scored)[:2]]
+    got = qa.fuzzy_lookup(spark.createDataFrame(asked, "query_id long, text string"), spark.createDataFrame(known, "item long, question string, answer string"), k=2, block=7)
+    assert sorted((r["query_id"], r["item"], round(r.score, 9)) for r in got.collect()) == sorted(want) and want
+
+
 def test_fuzzy_query_takes_whole_texts_of_every_item(spark, tmp_path):
     long = "what is known of " + " ".join(f"word{i}" for i in range(12))
     save = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
