@@ -1,18 +1,25 @@
 """Exact top-k search by the threshold algorithm (operator 5).
 
-Candidates are dealt into blocks of about ``block`` rows. A block sorts its rows once by each dimension. For a query the
-lists are read from the end that its sign favours, a depth at a time; every row met is scored in full by random access,
-and reading stops once the k-th best score exceeds the bound, the score a row would have with the last value read in
-every list. What a block returns is exact, so the best k of all blocks' k are exact too. The named query set meets all
-rows in pairs of a query block and a candidate block, each of fixed size; no task holds more than one pair.
+Candidates are dealt into blocks of about ``block`` rows. A block turns its vectors to the principal axes of their second
+moments, which leaves inner products as they are and puts most of a structured table's weight on the first axes. Sorted
+lists are kept for the first ``AXES`` of these and one more for the length of the rest of each vector, which bounds what
+the remaining axes can add. For a query the lists are read from the end that its sign favours, a depth at a time; every
+row met is scored in full by random access, in integers, and reading stops once the k-th best score exceeds the bound, the
+score a row would have with the last value read in every list (and a margin for the rounding of the turned values). What
+a block returns is exact, so the best k of all blocks' k are exact too. The named query set meets all rows in pairs of a
+query block and a candidate block, each of fixed size; no task holds more than one pair.
 
 Defined results: null vectors, and vectors with a null or non-finite component, take no part; vectors are compared only
 with vectors of the same length; ties go to the smaller vec_id; a row is its own query's by vec_id; equal query rows
-count once; fewer candidates than k give fewer rows; an empty table gives none.
+count once; fewer candidates than k give fewer rows; an empty table gives none; scores beyond the range of a long are
+the nearest long, and rank as such; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,28 +32,37 @@ K = 5
 EVERY = 50
 BLOCK = 4096
 QUERY_BLOCK = 2048
+AXES = 16
+LONGS = (-(2**63), 2**63 - 1)
 
 
-def threshold_search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int):
-    """Yield (query index, row indices, scores) of the k best rows of each query, its own left out."""
+def threshold_search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, read: list | None = None):
+    """Yield (query index, row indices, scores) of the k best rows of each query, its own left out. Components are whole
+    numbers whose products and sums doubles hold exactly. ``read`` is told how many rows each query scored."""
     m, d = rows.shape
     if not m or not len(queries):
         return
-    up = np.argsort(rows, axis=0, kind="stable")  # sorted access: the list of each dimension, read from either end
-    lists = np.take_along_axis(rows, up, axis=0)
+    axes = np.linalg.eigh(rows.T @ rows)[1][:, ::-1] if d else np.zeros((0, 0))
+    turned, asked = rows @ axes, queries @ axes
+    h = min(AXES, d)
+    lists = np.hstack([turned[:, :h], np.linalg.norm(turned[:, h:], axis=1, keepdims=True)])
+    wants = np.hstack([asked[:, :h], np.linalg.norm(asked[:, h:], axis=1, keepdims=True)])
+    up = np.argsort(lists, axis=0, kind="stable")  # sorted access: each list, read from either end
+    lists = np.take_along_axis(lists, up, axis=0)
     depths = []
     t = 8
     while t < m:
         depths.append(t)
-        t *= 4
-    plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
-    bounds = np.stack([plus @ lists[m - t] + minus @ lists[t - 1] for t in depths], axis=1) if depths and d else np.zeros((len(queries), 0))
+        t *= 2
+    plus, minus = np.maximum(wants, 0), np.minimum(wants, 0)
+    margin = 1e-9 * np.linalg.norm(queries, axis=1) * np.linalg.norm(rows, axis=1).max() * max(1, d)
+    bounds = np.stack([plus @ lists[m - t] + minus @ lists[t - 1] + margin for t in depths], axis=1) if depths else np.zeros((len(queries), 0))
     for q in range(len(queries)):
         seen = np.zeros(m, dtype=bool)
         best_rows, best = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=rows.dtype)
-        down = queries[q] < 0
+        down = wants[q] < 0
         last = 0
-        for i, t in enumerate([*depths[: bounds.shape[1]], m]):
+        for i, t in enumerate([*depths, m]):
             if t < m:
                 met = np.concatenate([up[m - t : m - last, ~down].ravel(), up[last:t, down].ravel()])
                 fresh = np.unique(met[~seen[met]])
@@ -65,24 +81,40 @@ def threshold_search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarra
                 best_rows, best = best_rows[order], best[order]
             if t == m or (len(best) == k and best.min() > bounds[q, i]):
                 break
+        if read is not None:
+            read.append(int(seen.sum()))
         order = np.lexsort((ids[best_rows], -best))[:k]
         yield q, best_rows[order], best[order]
 
 
+def full_search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int):
+    """The same for whole numbers of any size (Python's own), every row scored; scores end at the range of a long."""
+    for q in range(len(queries)):
+        score = np.array([min(LONGS[1], max(LONGS[0], sum(a * b for a, b in zip(x, queries[q], strict=True)))) for x in rows], dtype=np.int64)
+        order = np.lexsort((ids, -score.astype(object)))
+        order = order[ids[order] != query_ids[q]][:k]
+        yield q, order, score[order]
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
-    x = np.floor(256.0 * np.stack(column.to_numpy())) if len(column) else np.zeros((0, 0))
-    return x
+    return np.floor(256.0 * np.stack(column.to_numpy())) if len(column) else np.zeros((0, 0))
+
+
+def _whole(column: pd.Series) -> np.ndarray:
+    """floor(256 x) as Python's whole numbers; 256 is a power of two, so the product is exact in them."""
+    return np.array([[math.floor(Fraction(float(x)) * 256) for x in v] for v in column], dtype=object)
 
 
 def _pair(k: int):
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            q, c = _matrix(left["v"]), _matrix(right["v"])
-            if max(np.abs(q).max(initial=0), 1) * max(np.abs(c).max(initial=0), 1) * max(1, q.shape[1]) >= 2**53:
-                q, c = q.astype(object).astype("int64"), c.astype(object).astype("int64")  # doubles would round the sums
             qid, cid = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-            out = [pd.DataFrame({"query_id": qid[i], "qh": left["qh"].iloc[i], "vec_id": cid[rows], "score": score.astype("int64")}) for i, rows, score in threshold_search(q, qid, c, cid, k)]
+            with np.errstate(over="ignore"):
+                q, c = _matrix(left["v"]), _matrix(right["v"])
+                exact = max(np.abs(q).max(initial=0), 1) * max(np.abs(c).max(initial=0), 1) * max(1, q.shape[1]) < 2**53
+            found = threshold_search(q, qid, c, cid, k) if exact else full_search(_whole(left["v"]), qid, _whole(right["v"]), cid, k)
+            out = [pd.DataFrame({"query_id": qid[i], "qh": left["qh"].iloc[i], "vec_id": cid[rows], "score": score.astype("int64")}) for i, rows, score in found]
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "qh": [], "vec_id": [], "score": []}).astype("int64")
 
     return search
