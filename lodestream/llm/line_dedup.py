@@ -23,11 +23,7 @@ from lodestream.llm.common import let, staged, table
 
 WINDOW = 2
 MIN_WORDS = 50
-
-
-def _line_hash(line: Column) -> Column:
-    """The first 60 bits of the line's MD5."""
-    return F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("bigint")
+_SEED = 0x9E3779B97F4A7C15 - 2**64
 
 
 def _words(line: Column) -> Column:
@@ -37,17 +33,19 @@ def _words(line: Column) -> Column:
 def fingerprints(keyed: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
     """(k, uid, text) to (n, g, g2, k, uid, pos): every run of ``n`` lines from ``pos`` on that must not occur twice, as a 128-bit hash."""
     lines = F.split("text", "\n", -1)
+    # Two hashes of each line, seeded apart, carry 128 bits into the hash of a run.
     hashed = keyed.filter(F.col("text").isNotNull()).select(
-        "k", "uid", let(lines, lambda ls: F.struct(F.transform(ls, _line_hash).alias("h"), F.transform(ls, _words).alias("w"))).alias("x")
+        "k", "uid",
+        let(lines, lambda ls: F.struct(F.transform(ls, lambda x: F.xxhash64(x)).alias("h"), F.transform(ls, lambda x: F.xxhash64(F.lit(_SEED), x)).alias("h2"), F.transform(ls, _words).alias("w"))).alias("x"),
     )
-    hashed = hashed.select("k", "uid", "x.h", "x.w")
+    hashed = hashed.select("k", "uid", "x.h", "x.h2", "x.w")
 
     def of(n: int) -> Column:
         """The runs of ``n`` lines: all of the full length, of shorter ones those with enough words."""
         at = lambda c, i: [F.get(c, i + t) for t in range(n)]
         runs = F.transform(
             F.slice("h", 1, F.greatest(F.size("h") - (n - 1), F.lit(0))),
-            lambda _, i: F.struct(F.lit(n).alias("n"), F.xxhash64(*at(F.col("h"), i)).alias("g"), F.xxhash64(F.lit(n), *reversed(at(F.col("h"), i))).alias("g2"), i.alias("pos"), sum(at(F.col("w"), i)[1:], F.get("w", i)).alias("w")),
+            lambda _, i: F.struct(F.lit(n).alias("n"), F.xxhash64(*at(F.col("h"), i)).alias("g"), F.xxhash64(*at(F.col("h2"), i)).alias("g2"), i.alias("pos"), sum(at(F.col("w"), i)[1:], F.get("w", i)).alias("w")),
         )
         return runs if n > window else F.filter(runs, lambda s: s["w"] >= min_words)
 
@@ -56,21 +54,22 @@ def fingerprints(keyed: DataFrame, window: int = WINDOW, min_words: int = MIN_WO
 
 
 def repeated_runs(prints: DataFrame) -> DataFrame:
-    """(uid, lo, hi): the runs of lines to delete, by line number."""
+    """(k, uid, lo, hi): the runs of lines to delete, by line number."""
     first = prints.groupBy("n", "g", "g2").agg(F.min(F.struct("k", "uid", "pos")).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
     # Written and read again, so that the join has an exchange of its own on both sides: a run that half of all documents
     # share then falls into splits instead of one task.
     later = prints.join(staged(first, "first"), ["n", "g", "g2"]).filter(F.struct("k", "uid", "pos") != F.col("first"))
-    return later.select("uid", F.col("pos").alias("lo"), (F.col("pos") + F.col("n") - 1).alias("hi"))
+    return later.select("k", "uid", F.col("pos").alias("lo"), (F.col("pos") + F.col("n") - 1).alias("hi"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
     """(row, text, n_lines, n_removed): every row of ``docs`` as a struct, with its text less the later repeated runs."""
     uid = lambda i, t: F.xxhash64(i, t)
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("k"), uid(F.col(id_col), F.col(text_col)).alias("uid"), F.col(text_col).alias("text"))
+    order = lambda c: F.coalesce(c.cast("long"), F.lit(2**63 - 1)).alias("k")
+    keyed = docs.select(order(F.col(id_col)), uid(F.col(id_col), F.col(text_col)).alias("uid"), F.col(text_col).alias("text"))
     runs = repeated_runs(staged(fingerprints(keyed, window, min_words), "prints"))
-    gone = runs.distinct().groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("lo", "hi")))).alias("gone"))
-    whole = docs.select(F.struct("*").alias("row")).select("row", uid(F.col(f"row.{id_col}"), F.col(f"row.{text_col}")).alias("uid"))
+    gone = runs.distinct().groupBy("k", "uid").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("lo", "hi")))).alias("gone"))
+    whole = docs.select(F.struct("*").alias("row")).select("row", order(F.col(f"row.{id_col}")), uid(F.col(f"row.{id_col}"), F.col(f"row.{text_col}")).alias("uid"))
     text = F.col(f"row.{text_col}")
     left = let(
         F.split(text, "\n", -1),
@@ -82,7 +81,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_gone = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
     lines = F.when(text.isNull(), F.lit(0)).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
     # Merged at any size: what is deleted grows with the input, so a broadcast would only serve small ones.
-    return whole.hint("merge").join(staged(gone, "gone"), "uid", "left").select("row", F.when(F.col("gone").isNull(), text).otherwise(left["text"]).alias("text"), lines.alias("n_lines"), n_gone.alias("n_removed"))
+    return whole.hint("merge").join(staged(gone, "gone"), ["k", "uid"], "left").select("row", F.when(F.col("gone").isNull(), text).otherwise(left["text"]).alias("text"), lines.alias("n_lines"), n_gone.alias("n_removed"))
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -92,24 +91,15 @@ def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
-l AS (SELECT doc_id, i, line, CAST('0x' || substr(md5(line), 1, 15) AS BIGINT) AS h, length(line) - length(replace(line, ' ', '')) + 1 AS w
-      FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d)),
-g AS (SELECT doc_id, i, h, w, xor(h >> 7, lead(h) OVER v) AS g, w + lead(w) OVER v AS gw FROM l WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
-s AS (SELECT *, lag(g) OVER v AS before, lead(g) OVER v AS after FROM g WHERE g IS NOT NULL WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
-f AS (SELECT 2 AS kind, g, doc_id, i FROM s WHERE gw >= 50 OR (before IS NULL AND after IS NULL) OR g <= before OR g < after
-      UNION ALL SELECT 1, h, doc_id, i FROM l WHERE w >= 50),
-o AS (SELECT *, row_number() OVER (PARTITION BY kind, g ORDER BY doc_id, i) AS r FROM f),
-m AS (SELECT a.kind, a.g, a.doc_id, a.i, b.doc_id AS doc0, b.i AS i0 FROM o a JOIN o b ON a.kind = b.kind AND a.g = b.g AND b.r = 1 AND a.r > 1),
-e AS (SELECT m.*, t.t, x.w, coalesce(x.h = y.h, false) AS same
-      FROM m CROSS JOIN (SELECT unnest(range(-2, 4)) AS t) t
-      LEFT JOIN l x ON x.doc_id = m.doc_id AND x.i = m.i + t.t LEFT JOIN l y ON y.doc_id = m.doc0 AND y.i = m.i0 + t.t),
-b AS (SELECT kind, g, doc_id, i, coalesce(max(t) FILTER (WHERE NOT same AND t < 0), -3) + 1 AS lo, coalesce(min(t) FILTER (WHERE NOT same AND t > 0), 4) - 1 AS hi
-      FROM e GROUP BY kind, g, doc_id, i),
-q AS (SELECT b.kind, b.g, b.doc_id, b.i, b.lo, b.hi FROM b JOIN e USING (kind, g, doc_id, i) WHERE e.t BETWEEN b.lo AND b.hi
-      GROUP BY b.kind, b.g, b.doc_id, b.i, b.lo, b.hi HAVING b.hi - b.lo + 1 > 2 OR sum(e.w) >= 50),
-z AS (SELECT DISTINCT doc_id, unnest(range(i + lo, i + hi + 1)) AS i FROM q),
+WITH l AS (SELECT doc_id, i, line, length(line) - length(replace(line, ' ', '')) + 1 AS w
+  FROM (SELECT doc_id, unnest(ls) AS line, CAST(unnest(range(len(ls))) AS BIGINT) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))),
+v AS (SELECT doc_id, i, line, w, lead(line) OVER p AS b, lead(w) OVER p AS wb, lead(line, 2) OVER p AS c FROM l WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i, 1 AS n, [line] AS run FROM v WHERE w >= 50
+  UNION ALL SELECT doc_id, i, 2, [line, b] FROM v WHERE b IS NOT NULL AND w + wb >= 50
+  UNION ALL SELECT doc_id, i, 3, [line, b, c] FROM v WHERE c IS NOT NULL),
+o AS (SELECT doc_id, i, n, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS nth FROM r),
+z AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM o WHERE nth > 1),
 k AS (SELECT l.doc_id, coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE z.i IS NULL), '') AS text, count(*) AS n_lines, count(z.i) AS n_removed
-      FROM l LEFT JOIN z ON z.doc_id = l.doc_id AND z.i = l.i GROUP BY l.doc_id)
+  FROM l LEFT JOIN z ON z.doc_id = l.doc_id AND z.i = l.i GROUP BY l.doc_id)
 SELECT documents.doc_id, k.text, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed FROM documents LEFT JOIN k USING (doc_id)
 """

@@ -1,10 +1,12 @@
 """Mixing sources to target weights with soft memberships (operator 3, native).
 
-A naive Bayes classifier over marker counts, fitted on a labelled table by grouped sums, gives every document a posterior
-over domains. Documents get nonnegative rates r such that the expected domain tokens sum_i r_i t_i p_ik meet the targets
-T_k in the least squares sense, each domain weighted by its present size S_k: minimise sum_k (S_k(r) - T_k)^2 / (2 S_k).
-Projected gradient with the metric of the documents' tokens moves r_i by -sum_k p_ik (S_k(r) - T_k) / S_k and cuts at 0;
-the step matrix has row sums 1, so the unit step is stable, and nearly hard memberships converge in a few rounds.
+A naive Bayes classifier over hashed words, fitted on a labelled table by grouped sums, gives every document a posterior
+over the table's domains, whatever they are. It is fitted on at most ``SAMPLE`` labels (smallest hash of the id first) with
+``BUCKETS`` word buckets, both parameters. Documents get nonnegative rates r such that the expected domain tokens
+sum_i r_i t_i p_ik meet the targets T_k in the least squares sense, each domain weighted by its present size S_k: minimise
+sum_k (S_k(r) - T_k)^2 / (2 S_k). Projected gradient with the metric of the documents' tokens moves r_i by
+-sum_k p_ik (S_k(r) - T_k) / S_k and cuts at 0; the step matrix has row sums 1, so the unit step is stable, and nearly hard
+memberships converge in a few rounds.
 
 As a rate depends on the posterior alone, posteriors are rounded to a grid of 1/``GRID`` and documents of one grid point
 are aggregated before the rounds: a round sums over grid points, however many documents there are. Only K sums a round
@@ -25,57 +27,64 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import let, staged, table
+from lodestream.llm.common import let, numbers, staged, table
 
-# Letters and letter groups that European languages use at different rates.
-MARKERS = ("th", "ing", "wh", "ed ", "sh", "of ", "ä", "ö", "ü", "ß", "sch", "ich", "ein", "é", "è", "ê", "ç", "eau", "que", "ou", "ñ", "ó", "ción", "ado", "rr", "í")
-HITS = 12.0
+SAMPLE = 20_000
+BUCKETS = 8192
+DOMAINS = 256
+SMOOTHING = 256.0
+HITS = 8.0
 GRID = 32
 ROUNDS = 60
 
 
-def marker_counts(text: Column, markers=MARKERS) -> Column:
-    """How often each marker occurs, without overlaps; plain byte search, no regular expression."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    return let(t, lambda x: F.array(*[((F.octet_length(x) - F.octet_length(F.replace(x, F.lit(m), F.lit("")))) / len(m.encode())).cast("int") for m in markers]))
+def words(text: Column) -> Column:
+    """The words of a text, as ``packing.n_words`` counts them, in lower case."""
+    t = F.translate(F.lower(F.coalesce(text, F.lit(""))), "\t\n\x0b\x0c\r", "     ")
+    return F.filter(F.split(t, " "), lambda w: w != "")
 
 
-def n_tokens(text: Column) -> Column:
-    t = F.coalesce(text, F.lit(""))
-    return F.when(F.length(F.trim(t)) == 0, 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1).cast("long")
+def hashed(tokens: Column, buckets: int = BUCKETS) -> Column:
+    return F.transform(tokens, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
 
 
-def fit_domains(features: DataFrame, labelled: DataFrame, limit: int = 256):
-    """Grouped sums to (domains, log priors, log marker rates). ``features`` (doc_id, c); ``labelled`` (doc_id, domain);
-    at most ``limit`` domains, or it is an error."""
-    n = len(MARKERS)
-    told = features.join(labelled.filter("doc_id is not null and domain is not null").dropDuplicates(["doc_id"]), "doc_id")
-    sums = told.groupBy("domain").agg(F.count("*").alias("n"), *[F.sum(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(n)]).orderBy("domain").limit(limit + 1).collect()
-    if len(sums) > limit:
+def fit_domains(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS, limit: int = DOMAINS):
+    """Grouped sums to (domains, log priors, log word rates by bucket). ``docs`` (doc_id, text); ``labelled`` (doc_id,
+    domain), of which an id counts with its least domain; more than ``limit`` domains are an error, as each is a row of
+    the model that every task holds."""
+    told = labelled.filter("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
+    told = staged(told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "told")  # so small that it may be broadcast
+    sizes = {r["domain"]: r["n"] for r in told.groupBy("domain").agg(F.count("*").alias("n")).limit(limit + 1).collect()}
+    if len(sizes) > limit:
         raise ValueError(f"more than {limit} domains")
-    all_docs = sum(r["n"] for r in sums)
-    domains = [r["domain"] for r in sums]
-    prior = [math.log(r["n"] / all_docs) for r in sums]
-    rates = []
-    for r in sums:
-        c = [(r[f"c{i}"] or 0) + 1.0 for i in range(n)]
-        rates.append([math.log(x / sum(c)) for x in c])
+    domains = sorted(sizes)
+    prior = [math.log(sizes[d] / sum(sizes.values())) for d in domains]
+    met = docs.join(F.broadcast(told), "doc_id").select("domain", F.explode(hashed(words(F.col("text")), buckets)).alias("b"))
+    counts = [[0] * buckets for _ in domains]
+    for r in met.groupBy("domain", "b").agg(F.count("*").alias("n")).collect():
+        counts[domains.index(r["domain"])][r["b"]] = r["n"]
+    # Smoothed toward the words of all domains, so that a word seen nowhere speaks for none.
+    every = [sum(c) for c in zip(*counts, strict=True)] if domains else []
+    total = sum(every)
+    base = [(x + 1.0) / (total + buckets) for x in every]
+    rates = [[math.log((x + SMOOTHING * g) / (total_of + SMOOTHING)) if n else math.log(g) for x, g, n in zip(c, base, every, strict=True)] for c, total_of in ((c, sum(c)) for c in counts)]
     return domains, prior, rates
 
 
-def posterior(counts: Column, prior: list[float], rates: list[list[float]], hits: float = HITS) -> Column:
-    """Posterior in units of 1/GRID, an int array that sums to about GRID. The evidence of a text counts as at most
-    ``hits`` markers, which keeps memberships soft on long texts."""
+def posterior(idx: Column, prior: list[float], rates: list[list[float]], hits: float = HITS) -> Column:
+    """Posterior in units of 1/GRID, an int array that sums to about GRID. The evidence of a text counts as at most ``hits``
+    words, which keeps the memberships of long texts with words of several domains soft."""
 
-    def scores(c: Column) -> Column:
-        total = F.aggregate(c, F.lit(0), lambda s, x: s + x)
-        scale = F.when(total > hits, F.lit(hits) / total).otherwise(F.lit(1.0))
-        return F.array(*[F.lit(p) + scale * sum((F.get(c, F.lit(i)) * F.lit(r[i]) for i in range(len(r))), F.lit(0.0)) for p, r in zip(prior, rates, strict=True)])
+    def scores(i: Column) -> Column:
+        n = F.size(i)
+        scale = F.when(n > hits, F.lit(hits) / n).otherwise(F.lit(1.0))
+        fold = lambda r: F.aggregate(i, F.lit(0.0), lambda s, b: s + F.get(numbers([round(x, 9) for x in r]), b))
+        return F.array(*[F.lit(p) + scale * fold(r) for p, r in zip(prior, rates, strict=True)])
 
     def soft(s: Column) -> Column:
         return let(F.transform(s, lambda x: F.exp(x - F.array_max(s))), lambda e: F.transform(e, lambda x: F.round(x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b) * GRID).cast("int")))
 
-    return let(counts, lambda c: let(scores(c), soft))
+    return let(idx, lambda i: let(scores(i), soft))
 
 
 def _shares(q: Column) -> Column:
@@ -113,17 +122,19 @@ def fit_rates(groups: DataFrame, domains: list[str], targets: dict[str, float] |
     return steps, now, wanted
 
 
-def plan(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] | None = None, budget: float | None = None):
-    """Fit on all ``docs``; returns (domains, posterior column, rate column, sums, wanted), columns over ``text_col``."""
-    features = staged(docs.select(F.col(id_col).alias("doc_id"), n_tokens(F.col(text_col)).alias("t"), marker_counts(F.col(text_col)).alias("c")), "features")
-    domains, prior, rates = fit_domains(features, labelled)
+def plan(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] | None = None, budget: float | None = None, sample: int = SAMPLE):
+    """Fit on all ``docs``; returns (scored, domains, rate column of a posterior, sums, wanted). ``scored`` (row, t, p) has
+    every row of ``docs`` as a struct with its tokens and posterior, written once, so that texts are read a single time."""
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    domains, prior, rates = fit_domains(texts, labelled, sample)
     if not domains:
-        domains, prior, rates = ["all"], [0.0], [[0.0] * len(MARKERS)]
-    groups = features.select(posterior(F.col("c"), prior, rates).alias("q"), "t").groupBy("q").agg(F.sum("t").cast("double").alias("w"))
-    groups = staged(groups.select(_shares(F.col("q")).alias("p"), "w").coalesce(4), "groups")
+        domains, prior, rates = ["all"], [0.0], [[0.0] * BUCKETS]
+    of = lambda ws: F.struct(F.size(ws).cast("long").alias("t"), posterior(hashed(ws), prior, rates).alias("q"))
+    rows = docs.select(F.struct("*").alias("row"))
+    scored = staged(rows.select("row", let(words(F.col(f"row.`{text_col}`")), of).alias("x")).select("row", "x.t", "x.q"), "scored")
+    groups = staged(scored.groupBy("q").agg(F.sum("t").cast("double").alias("w")).select(_shares(F.col("q")).alias("p"), "w"), "groups")
     steps, now, wanted = fit_rates(groups, domains, targets, budget)
-    of = lambda c: _shares(posterior(c, prior, rates))
-    return features, domains, of, lambda p: rate_of(p, steps), now, wanted
+    return scored.select("row", "t", _shares(F.col("q")).alias("p")), domains, lambda p: rate_of(p, steps), now, wanted
 
 
 def copies(rate: Column, *identity: Column) -> Column:
@@ -134,24 +145,22 @@ def copies(rate: Column, *identity: Column) -> Column:
 
 def mix(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] | None = None, budget: float | None = None) -> DataFrame:
     """The rows of ``docs``, each as often as its rate says, all columns; the texts are not shuffled."""
-    _, _, of, rate, _, _ = plan(docs, labelled, id_col, text_col, targets, budget)
-    rows = docs.select(F.struct("*").alias("row"))
-    times = let(of(marker_counts(F.col(f"row.{text_col}"))), rate)
-    n = rows.select("row", copies(times, F.col(f"row.{id_col}"), F.col(f"row.{text_col}")).alias("n")).filter("n > 0")
+    scored, _, rate, _, _ = plan(docs, labelled, id_col, text_col, targets, budget)
+    n = scored.select("row", copies(rate(F.col("p")), F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`")).alias("n")).filter("n > 0")
     return n.select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).select("row.*")
 
 
-def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, domain): the language of the documents that are labelled good and clean."""
+def labelled_domains(docs: DataFrame, labels: DataFrame, domain_col: str = "lang") -> DataFrame:
+    """(doc_id, domain): ``domain_col`` of the documents that are labelled good and clean."""
     good = labels.filter("quality = 1 and toxic = 0").select("doc_id").distinct()
-    return docs.select("doc_id", F.col("lang").alias("domain")).join(good, "doc_id", "left_semi")
+    return docs.select("doc_id", F.col(domain_col).alias("domain")).join(good, "doc_id", "left_semi")
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     """Tokens, domain posterior, rate and copies of every document."""
-    docs = table(spark, sf_dir, "documents")
-    features, domains, of, rate, _, _ = plan(docs, labelled_domains(docs, table(spark, sf_dir, "labels")))
-    scored = features.select("doc_id", F.col("t").alias("n_tokens"), of(F.col("c")).alias("p"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    told = labelled_domains(docs, table(spark, sf_dir, "labels"))
+    scored, domains, rate, _, _ = plan(docs.select("doc_id", "text"), told)
     top = F.get(F.array(*[F.lit(d) for d in domains]), (F.array_position("p", F.array_max("p")) - 1).cast("int"))
-    scored = scored.select("doc_id", "n_tokens", top.alias("domain"), "p", rate(F.col("p")).alias("rate"))
-    return scored.select("doc_id", "n_tokens", "domain", F.array_join(F.transform("p", lambda x: F.format_number(x, 4)), ",").alias("posterior"), "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+    out = scored.select("row.doc_id", F.col("t").alias("n_tokens"), top.alias("domain"), "p", rate(F.col("p")).alias("rate"))
+    return out.select("doc_id", "n_tokens", "domain", F.array_join(F.transform("p", lambda x: F.format_number(x, 4)), ",").alias("posterior"), "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))

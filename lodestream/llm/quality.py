@@ -6,11 +6,11 @@ half of the labelled sample and the regressions from the other, so that the weig
 
 Sites: the mean document posterior of a host is shrunk toward the global mean, that of a path (host and section) toward
 its host's, each by a Beta prior whose strength the grouped between-site variance gives (method of moments): sparse sites
-stay near their parent, large ones speak for themselves. A document's log odds are then moved from the global prior to
-that of its path.
+stay near their parent, large ones speak for themselves. A document's own evidence is taken out of both means before they
+are shrunk, so that it counts once; its log odds are then moved from the global prior to that of its path.
 
-The labelled sample is bounded by ``SAMPLE`` rows (smallest hash of the id first), the vocabulary by ``VOCABULARY``
-entries; both are parameters. Everything else, the site statistics included, is over all documents.
+The labelled sample is bounded by ``SAMPLE`` labels (smallest hash of the id first; of several rows with one id, one
+text), the vocabulary by ``VOCABULARY`` entries in ``RARE`` labelled texts or more; all are parameters. Everything else, the site statistics included, is over all documents.
 
 Defined results: a null or empty text, or one without words, is rejected; null hosts and sections are a site of their
 own (""); label rows with nulls are ignored, of several for one id the mean counts; without labels of both kinds a head
@@ -32,6 +32,7 @@ from lodestream.llm.common import ship, staged, table
 
 SAMPLE = 20_000
 VOCABULARY = 20_000
+RARE = 3
 WORD = re.compile(r"[^\W_]+")
 SYMBOLS = "*#$%&|~^=<>{}[]\\@"
 FEATURES = 16
@@ -50,7 +51,7 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for f in frames:
         for text, b, t in zip(f["text"], f["bad"], f["toxic"], strict=True):
-            for p in pieces({w[:30] for w in WORD.findall((text or "").lower())}):
+            for p in pieces(set(WORD.findall((text or "").lower()))):
                 n[p] += 1
                 bad[p] += b
                 toxic[p] += t
@@ -66,7 +67,7 @@ def features(text: str | None, bad: dict[str, float], toxic: dict[str, float]) -
     text = (text or "").lower()
     words = WORD.findall(text)
     n, size = len(words), max(1, len(text))
-    have = pieces({w[:30] for w in set(words)})
+    have = pieces(set(words))
     out = []
     for odds in (bad, toxic):
         hits = sorted((odds[p] for p in odds.keys() & have), reverse=True)
@@ -141,7 +142,7 @@ def _strength(groups: DataFrame, mean: Column, parent: Column, floor: float = 2.
     return float(min(ceiling, max(floor, r["v"] / r["between"] - 1)))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", sample: int = SAMPLE, vocabulary: int = VOCABULARY, rare: int = RARE) -> DataFrame:
     """(uid, doc_id, kept, p_low, p_toxic, p_doc, p_site, p_good) for every row; ``uid`` hashes its id and text."""
     base = docs.select(
         F.xxhash64(F.col(id_col), F.col(text_col)).alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
@@ -149,13 +150,15 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     )
     picked = staged(labelled_sample(labels, sample), "sample")
     # At most ``sample`` ids, so small enough to broadcast.
-    told = base.select("doc_id", "text").join(F.broadcast(picked.filter("fold = 0")), "doc_id").select("text", "bad", "toxic")
-    counts = staged(told.mapInPandas(_count, "piece string, n long, bad double, toxic double").groupBy("piece").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "toxic")]).filter("n >= 3"), "pieces")
+    one = base.select("doc_id", "uid", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("uid").alias("uid"))
+    chosen = staged(one.join(picked, "doc_id"), "chosen")
+    told = base.select("doc_id", "uid", "text").join(F.broadcast(chosen.filter("fold = 0")), ["doc_id", "uid"]).dropDuplicates(["doc_id"]).select("text", "bad", "toxic")
+    counts = staged(told.mapInPandas(_count, "piece string, n long, bad double, toxic double").groupBy("piece").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "toxic")]).filter(F.col("n") >= rare), "pieces")
     size = picked.filter("fold = 0").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"), F.sum("toxic").alias("toxic")).first()
     odds = {k: word_odds(counts, size["n"], size[k], k, vocabulary) if size["n"] and 0 < (size[k] or 0) < size["n"] else {} for k in ("bad", "toxic")}
     schema = "uid long, doc_id long, host string, path string, n_words long, x array<double>"
     seen = staged(base.mapInPandas(_evidence(odds["bad"], odds["toxic"]), schema), "evidence")
-    fit = seen.select("doc_id", "x").join(F.broadcast(picked.filter("fold = 1")), "doc_id").select("x", "bad", "toxic").limit(4 * sample).toPandas()
+    fit = seen.select("doc_id", "uid", "x").join(F.broadcast(chosen.filter("fold = 1")), ["doc_id", "uid"]).dropDuplicates(["doc_id"]).orderBy("doc_id").select("x", "bad", "toxic").toPandas()
     chance = {}
     for k in ("bad", "toxic"):
         y = fit[k].to_numpy() if len(fit) else np.zeros(0)
@@ -174,12 +177,14 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     m0 = min(1 - 1e-6, max(1e-6, (total["s"] or 0.0) / total["n"])) if total["n"] else 0.5
     k0 = _strength(hosts, F.col("s") / F.col("n"), F.lit(m0))
-    shrunk = hosts.select("host", ((F.col("s") + k0 * m0) / (F.col("n") + k0)).alias("of_host"))
-    nested = paths.join(shrunk, "host")
-    k1 = _strength(nested, F.col("s") / F.col("n"), F.col("of_host"))
-    sites = staged(nested.select("host", "path", ((F.col("s") + k1 * F.col("of_host")) / (F.col("n") + k1)).alias("p_site")), "sites")
+    above = hosts.select("host", F.col("n").alias("host_n"), F.col("s").alias("host_s"))
+    nested = staged(paths.join(above, "host"), "nested")
+    k1 = _strength(nested, F.col("s") / F.col("n"), (F.col("host_s") + k0 * m0) / (F.col("host_n") + k0))
+    # Without the document itself.
+    of_host = (F.col("host_s") - F.col("p_doc") + k0 * m0) / (F.col("host_n") - 1 + k0)
+    of_path = (F.col("s") - F.col("p_doc") + k1 * of_host) / (F.col("n") - 1 + k1)
     good = _sigmoid(_logit(F.col("p_doc")) + _logit(F.col("p_site")) - _logit(F.lit(m0)))
-    j = own.join(sites, ["host", "path"], "left").withColumn("p_good", F.when(F.col("n_words") == 0, 0.0).otherwise(good))
+    j = own.join(nested, ["host", "path"], "left").withColumn("p_site", of_path).withColumn("p_good", F.when(F.col("n_words") == 0, 0.0).otherwise(good))
     return j.select("uid", "doc_id", (F.col("p_good") >= 0.5).alias("kept"), "p_low", "p_toxic", "p_doc", "p_site", "p_good")
 
 

@@ -20,6 +20,7 @@ ORACLES = {
     "op2_secret_scan": secret_scan.ORACLE,
     "op6_html_text": html_text.ORACLE,
     "op8_near_dedup": near_dedup.ORACLE,
+    "op9_fingerprints": fingerprints.ORACLE,
     "op1_line_dedup": line_dedup.ORACLE,
     "op5_topk": topk.ORACLE,
     "op10_chat_format": chat_format.ORACLE,

@@ -12,12 +12,10 @@ names, inside a struct. Offsets are code points, ends exclusive.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import let, staged, table
+from lodestream.llm.common import let, offsets, staged, table
 
 
 @dataclass(frozen=True)
@@ -47,39 +45,25 @@ MORE_RULES = (
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )
 RULES = BASE_RULES + MORE_RULES
-SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
+SPAN = "array<struct<start:int,rank:int,end:int,kind:string,rule:string>>"
 
 
 def spans_of(text: Column, rule: Rule, rank: int) -> Column:
-    """All leftmost non-overlapping matches of ``rule`` as (start, rank, end, kind).
+    """All leftmost non-overlapping matches of ``rule`` as (start, rank, end, kind, rule).
 
     ``split`` gives the gaps and ``regexp_extract_all`` the matches of one and the same leftmost scan, so summing their
     lengths gives the offsets without a UDF.
     """
     empty = F.array().cast(SPAN)
-    wants = rule.least > 0
 
     def positions(found: Column) -> Column:
-        gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
-        pairs = F.arrays_zip(
-            gaps.alias("gap"),
-            F.transform(found, F.length).alias("size"),
-            (F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), F.length) if wants else F.transform(found, F.length)).alias("held"),
-        )
-        walked = F.aggregate(
-            pairs,
-            F.struct(F.lit(0).alias("at"), empty.alias("out")),
-            lambda s, p: F.struct(
-                (s["at"] + p["gap"] + F.coalesce(p["size"], F.lit(0))).alias("at"),
-                F.when(
-                    p["size"].isNotNull() & (p["held"] >= rule.least),
-                    F.concat(s["out"], F.array(F.struct((s["at"] + p["gap"]).alias("start"), F.lit(rank).alias("rank"), (s["at"] + p["gap"] + p["size"]).alias("end"), F.lit(rule.kind).alias("kind")))),
-                )
-                .otherwise(s["out"])
-                .alias("out"),
-            ),
-        )
-        return walked["out"].cast(SPAN)
+        sizes = F.transform(found, F.length)
+        gaps = F.slice(F.transform(F.split(text, rule.pattern, -1), F.length), F.lit(1), F.size(found))
+        held = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), F.length) if rule.least else sizes
+        starts = F.zip_with(offsets(F.zip_with(gaps, sizes, lambda g, n: g + n)), gaps, lambda at, g: at + g)
+        rows = F.arrays_zip(starts.alias("start"), sizes.alias("size"), held.alias("held"))
+        good = F.filter(rows, lambda r: r["held"] >= rule.least)
+        return F.transform(good, lambda r: F.struct(r["start"].alias("start"), F.lit(rank).alias("rank"), (r["start"] + r["size"]).alias("end"), F.lit(rule.kind).alias("kind"), F.lit(rule.key).alias("rule"))).cast(SPAN)
 
     return F.when(text.rlike(rule.pattern), let(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), positions)).otherwise(empty)
 
@@ -96,8 +80,9 @@ def scan(versions: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
     """Scan all versions; returns (paths, findings, ledger).
 
     ``ledger`` (blob, rule_key) and ``findings`` (blob, spans) are what earlier calls returned. Only blobs that miss a
-    rule version are read by a rule. ``paths`` has a row for every row of ``versions``: id, n_chars, blob, spans (of old
-    and new findings), and the struct ``row`` with all its columns.
+    rule version are read by a rule. Every span names its rule version; those of a kind that ``rules`` has in another
+    version are superseded and drop out of the findings. ``paths`` has a row for every row of ``versions``: id, n_chars,
+    blob, spans (of old and new findings), and the struct ``row`` with all its columns.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     named = versions.select(F.col(id_col).alias("id"), text.alias("text"))
@@ -110,7 +95,9 @@ def scan(versions: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
     scanned = staged(scan_blobs(blobs, rules), "blobs")
     fresh = scanned.filter(F.size("spans") > 0).select("blob", "spans")
     if findings is not None:
-        fresh = fresh.unionByName(findings).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+        kinds, keys = [r.kind for r in rules], [r.key for r in rules]
+        valid = findings.withColumn("spans", F.filter("spans", lambda s: s["rule"].isin(keys) | ~s["kind"].isin(kinds))).filter(F.size("spans") > 0)
+        fresh = fresh.unionByName(valid).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
         fresh = staged(fresh, "findings")
     entries = scanned.select("blob", F.explode("scanned").alias("rule_key"))
     entries = entries if ledger is None else ledger.unionByName(entries)

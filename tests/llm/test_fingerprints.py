@@ -47,3 +47,18 @@ def test_odd_tables(spark):
     for docs in odd_documents(spark):
         out = P.with_next(docs.select("*", P.sketch(F.coalesce("text", F.lit(""))).alias("fp")), ["fp"])
         assert out.select(P.likeness(F.col("fp"), F.col("next_fp"))).count() == docs.count()
+
+
+def test_query_on_odd_tables(spark, tmp_path):
+    for i, docs in enumerate(odd_documents(spark)):
+        docs.write.parquet(f"{tmp_path}/{i}/documents.parquet")
+        out = P.op9_fingerprints(spark, f"{tmp_path}/{i}").collect()
+        assert len(out) == docs.count() and all(r.edited_sha256 and 0 <= r.near_edited <= 1 for r in out)
+
+
+def test_ranges_spread_null_ids_and_pass_clashing_columns(spark):
+    docs = spark.createDataFrame([(None, f"text {i}", i, i, i) for i in range(300)], "doc_id long, text string, k int, `row` int, at int")
+    out = P.with_next(docs, ["text"], parts=6)
+    assert out.columns == [*docs.columns, "next_text"] and sorted(r.next_text for r in out.collect()) == sorted(f"text {i}" for i in range(300))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange rangepartitioning" in plan and "Exchange hashpartitioning" not in plan

@@ -1,5 +1,9 @@
+import math
+
 import numpy as np
+
 from lodestream.llm import mixing as M
+from lodestream.llm.packing import n_words
 from pyspark.sql import functions as F
 from tests_llm_data import DOCS, odd_documents
 
@@ -37,20 +41,61 @@ def test_unreachable_target_stays_nonnegative(spark):
 
 
 def test_posteriors_find_the_language_and_copies_follow_rates(spark):
-    docs = spark.read.parquet(f"{DOCS}/documents.parquet")
-    labels = spark.read.parquet(f"{DOCS}/labels.parquet")
-    got = M.op3_mixing(spark, DOCS).join(docs.select("doc_id", "lang"), "doc_id").collect()
-    assert len(got) == docs.count()
+    sf = "/root/testdata/sf0.01"  # with labels enough for the words of four languages
+    got = M.op3_mixing(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in got if r.n_tokens > 20]
-    assert sum(r.domain == r.lang for r in held) / len(held) > 0.95
+    assert len(got) == 1000 and sum(r.domain == r.lang for r in held) / len(held) > 0.95
     assert all(r.copies in (int(r.rate), int(r.rate) + 1) for r in got)
+    docs = spark.read.parquet(f"{DOCS}/documents.parquet")
+    labels = spark.read.parquet(f"{DOCS}/labels.parquet")
     mixed = M.mix(docs, M.labelled_domains(docs, labels))
     assert mixed.columns == docs.columns and mixed.select("doc_id").distinct().count() == docs.filter("length(trim(text)) > 0").count()
     even = {d: 0.25 for d in ("de", "en", "es", "fr")}
-    tokens = M.mix(docs, M.labelled_domains(docs, labels), targets=even, budget=60_000.0).groupBy("lang").agg(F.sum(M.n_tokens(F.col("text"))).alias("t")).collect()
+    tokens = M.mix(docs, M.labelled_domains(docs, labels), targets=even, budget=60_000.0).groupBy("lang").agg(F.sum(n_words(F.col("text"))).alias("t")).collect()
     assert all(7_000 < r.t < 23_000 for r in tokens)
 
 
+def test_posteriors_of_three_subjects_match_brute_force(spark):
+    """Domains that are no languages: texts of three subjects with common words, labels for a half, mixed texts among them."""
+    rng = np.random.default_rng(5)
+    own = {d: [f"{d}{i}" for i in range(40)] for d in ("law", "cooking", "sport")}
+    every = [f"common{i}" for i in range(60)]
+    rows, told = [], []
+    for i in range(300):
+        d = ["law", "cooking", "sport"][i % 3]
+        ws = [str(rng.choice(own[d] if rng.random() < 0.3 else every)) for _ in range(int(rng.integers(1, 60)))]
+        if i % 10 == 9:  # half of one subject, half of another
+            ws = [*own["law"][:10], *own["sport"][:10]]
+        rows.append((i, "\n".join([" ".join(ws[:5]), "  ".join(ws[5:])])))
+        if i % 2 == 0:
+            told.append((i, d))
+    docs = spark.createDataFrame([*rows, (900, ""), (901, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([*told, (900, "law")], "doc_id long, domain string")
+    scored, domains, _, _, _ = M.plan(docs, labels)
+    got = {r.id: (r.t, r.p) for r in scored.select(F.col("row.doc_id").alias("id"), "t", "p").collect()}
+    texts = {i: (t or "").lower().split() for i, t in [*rows, (900, ""), (901, None)]}
+    vocabulary = sorted({w for ws in texts.values() for w in ws})
+    place = {r.w: r.b for r in spark.createDataFrame([(w,) for w in vocabulary], "w string").select("w", M.hashed(F.array("w"))[0].alias("b")).collect()}
+    assert domains == ["cooking", "law", "sport"]
+    told = dict([*told, (900, "law")])
+    counts = np.zeros((3, M.BUCKETS))
+    for i, d in told.items():
+        for w in texts[i]:
+            counts[domains.index(d), place[w]] += 1
+    every = counts.sum(axis=0)
+    base, a = (every + 1) / (every.sum() + M.BUCKETS), M.SMOOTHING
+    rates = np.where(every > 0, np.log((counts + a * base) / (counts.sum(axis=1, keepdims=True) + a)), np.log(base))
+    prior = np.array([math.log(sum(d == x for x in told.values()) / len(told)) for d in domains])
+    right = 0
+    for i, ws in texts.items():
+        s = prior + min(1.0, M.HITS / max(1, len(ws))) * sum((rates[:, place[w]] for w in ws), np.zeros(3))
+        e = np.exp(s - s.max())
+        q = np.floor(e / e.sum() * M.GRID + 0.5)
+        assert got[i][0] == len(ws) and np.allclose(got[i][1], q / q.sum(), atol=1.01 / M.GRID), i
+        right += i < 300 and i % 10 != 9 and domains[int(np.argmax(got[i][1]))] == ["law", "cooking", "sport"][i % 3]
+    assert right > 0.8 * 270 and max(got[9][1]) < 0.75
+
+
 def test_odd_tables(spark):
     labels = spark.createDataFrame([(1, "a"), (1, None), (None, "b"), (2, "b")], "doc_id long, domain string")
     for docs in odd_documents(spark):

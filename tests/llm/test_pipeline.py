@@ -1,5 +1,5 @@
 import corpus_pipeline as C
-from lodestream.llm import mixing
+from lodestream.llm.packing import n_words
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -25,7 +25,7 @@ def test_stages_chain_and_take_effect(spark, tmp_path):
     before, after = seen["near_dedup"]
     assert after.count() < before.count() and after.exceptAll(before).isEmpty()
     before, after = seen["mixing"]
-    full = before.filter(mixing.n_tokens(F.col("text")) > 0)
+    full = before.filter(n_words(F.col("text")) > 0)
     assert after.select("doc_id").distinct().count() >= full.count() and after.count() >= full.count()
     before, after = seen["packing"]
     assert after.count() == before.count()

@@ -30,6 +30,41 @@ def test_site_posteriors_shrink(spark):
     assert got["bad"] < min(rare) and max(rare) < got["good"]
 
 
+def test_site_posteriors_against_brute_force(spark):
+    """The decision of every document from its own evidence and that of all others of its host and path."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = Q.classify(docs, labels).join(docs.select("doc_id", "source", "lang"), "doc_id").collect()
+    p = np.array([r.p_doc for r in rows])
+    clip = lambda x: np.clip(x, 1e-6, 1 - 1e-6)
+    logit = lambda x: np.log(clip(x) / (1 - clip(x)))
+    m0 = clip(p.mean())
+
+    def groups(keys):
+        names = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+        of = np.array([names[k] for k in keys])
+        return of, np.bincount(of).astype(float), np.bincount(of, weights=p)
+
+    def strength(n, mean, parent):
+        between = (n * (mean - parent) ** 2).sum() / n.sum() - (parent * (1 - parent)).sum() / n.sum()
+        v = (n * parent * (1 - parent)).sum() / n.sum()
+        return 1e4 if between <= 0 or not v else min(1e4, max(2.0, v / between - 1))
+
+    host, hn, hs = groups([r.source or "" for r in rows])
+    path, pn, ps = groups([(r.source or "", r.lang or "") for r in rows])
+    parent = np.zeros(len(pn), dtype=int)
+    parent[path] = host
+    k0 = strength(hn, hs / hn, np.full(len(hn), m0))
+    k1 = strength(pn, ps / pn, ((hs + k0 * m0) / (hn + k0))[parent])
+    of_host = (hs[host] - p + k0 * m0) / (hn[host] - 1 + k0)
+    site = (ps[path] - p + k1 * of_host) / (pn[path] - 1 + k1)
+    good = 1 / (1 + np.exp(-np.clip(logit(p) + logit(site) - logit(m0), -30, 30)))
+    words = np.array([bool(Q.WORD.findall(t.text or "")) for t in docs.orderBy("doc_id").collect()])
+    order = np.argsort([r.doc_id for r in rows])
+    good = np.where(words, good[order], 0.0)
+    assert np.allclose([rows[i].p_site for i in order], site[order], atol=1e-9)
+    assert np.allclose([rows[i].p_good for i in order], good, atol=1e-9) and [rows[i].kept for i in order] == (good >= 0.5).tolist()
+
+
 def test_logistic_recovers_weights():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 3)) * [1, 10, 0.1] + [0, 5, 1]
