@@ -96,14 +96,16 @@ def _below(cuts: Column, n: int, key: Column) -> Column:
     return F.aggregate(powers, F.lit(0), lambda at, s: F.when(reached(at, s) & (F.get(cuts, at + s - 1) < key), at + s).otherwise(at))
 
 
-def with_next(docs: DataFrame, cols: list[str], id_col: str = "doc_id", parts: int | None = None, ties: list[str] | None = None) -> DataFrame:
-    """Each row with ``next_<col>`` of the row that follows in descending id order, cyclically.
+def with_next(docs: DataFrame, cols: list[str], id_col: str = "doc_id", parts: int | None = None, ties: list[str] | None = None, derived: dict[str, Column] | None = None) -> DataFrame:
+    """Each row with ``next_<col>`` of the row that follows in descending id order, cyclically. ``derived`` columns, over the
+    fields of ``row``, are computed behind the exchange, once a row that is dealt, and are had of both rows.
 
     The ids are cut into ranges of about ``RANGE_BYTES`` (of which there are at most ``MOST_RANGES``; beyond, they grow, and
     sort with spilling) by an approximate quantile sketch, each range is ordered by itself, and the exchange deals ranges by
     their rows, not by a hash. The first row of a range is also dealt to the range before it, which makes the one row that
     crosses the border; the first row of all closes the ring. The heads are one row a range, small enough to broadcast.
     """
+    derived = derived or {}
     tie = F.xxhash64(*(ties or cols))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)) + F.pmod(tie, F.lit(2**40)))
     keyed = docs.select(key.alias("k"), tie.alias("tie"), F.struct("*").alias("row"))
@@ -117,7 +119,8 @@ def with_next(docs: DataFrame, cols: list[str], id_col: str = "doc_id", parts: i
     keyed = keyed.withColumn("place", (F.lit(len(cuts)) - (_below(numbers(cuts, "bigint"), len(cuts), F.col("k")) if cuts else F.lit(0))).cast("int"))
     heads = sorted(tuple(r) for r in keyed.groupBy("place").agg(F.max(F.struct("k", "tie")).alias("h")).select("place", "h.k", "h.tie").collect())
     if not heads:
-        return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in cols])
+        none = {c: F.col(c) for c in cols} | {c: F.lit(None).cast("array<bigint>") for c in derived}
+        return docs.select("*", *[none[c].alias(c) for c in derived], *[v.alias(f"next_{c}") for c, v in none.items()])
     # Each head goes to the range before it; the first of all to the last range.
     goes = [(p, k, t, heads[i - 1][0]) for i, (p, k, t) in enumerate(heads)]
     goes = F.broadcast(docs.sparkSession.createDataFrame(goes, "place int, k long, tie long, extra int"))
@@ -125,16 +128,17 @@ def with_next(docs: DataFrame, cols: list[str], id_col: str = "doc_id", parts: i
     both = F.concat(here, F.array(F.struct(F.col("extra").alias("at"), F.lit(1).alias("guest"))))
     dealt = keyed.join(goes, ["place", "k", "tie"], "left").select("k", "tie", "row", F.explode(F.when(F.col("extra").isNull(), here).otherwise(both)).alias("x"))
     dealt = dealt.select("k", "tie", "row", F.col("x.at").alias("at"), F.col("x.guest").alias("guest")).repartitionByRange("at")
+    dealt = dealt.select("*", *[c.alias(f"_own_{i}") for i, c in enumerate(derived.values())])
+    own = {c: F.col(f"row.`{c}`") for c in cols} | {c: F.col(f"_own_{i}") for i, c in enumerate(derived)}
     w = Window.partitionBy("at").orderBy(F.col("guest"), F.col("k").desc(), F.col("tie").desc())
-    out = dealt.select("row", "guest", *[F.lead(F.struct(F.col(f"row.{c}").alias("v"))).over(w).alias(f"_next_{i}") for i, c in enumerate(cols)])
-    return out.filter("guest = 0").select("row.*", *[F.coalesce(F.col(f"_next_{i}.v"), F.col(f"row.{c}")).alias(f"next_{c}") for i, c in enumerate(cols)])
+    out = dealt.select("row", "guest", *[F.col(f"_own_{i}") for i in range(len(derived))], *[F.lead(F.struct(c.alias("v"))).over(w).alias(f"_next_{i}") for i, c in enumerate(own.values())])
+    return out.filter("guest = 0").select("row.*", *[own[c].alias(c) for c in derived], *[F.coalesce(F.col(f"_next_{i}.v"), c).alias(f"next_{n}") for i, (n, c) in enumerate(own.items())])
 
 
 def op9_fingerprints(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, with their likeness."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    drawn = docs.select("doc_id", "text", sketch(F.col("text")).alias("fp"))
-    paired = with_next(drawn, ["text", "fp"], ties=["text"])
+    paired = with_next(docs, ["text"], derived={"fp": sketch(F.col("row.text"))})
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = paired.select(
