@@ -103,7 +103,7 @@ def with_next(docs: DataFrame, cols: list[str], id_col: str = "doc_id", parts: i
     The ids are cut into ranges of about ``RANGE_BYTES`` (of which there are at most ``MOST_RANGES``; beyond, they grow, and
     sort with spilling) by an approximate quantile sketch, each range is ordered by itself, and the exchange deals ranges by
     their rows, not by a hash. The first row of a range is also dealt to the range before it, which makes the one row that
-    crosses the border; the first row of all closes the ring. The heads are one row a range, small enough to broadcast.
+    crosses the border; the first row of all closes the ring. Cuts and heads are constants of the plan, one a range.
     """
     derived = derived or {}
     tie = F.xxhash64(*(ties or cols))
@@ -122,11 +122,12 @@ def with_next(docs: DataFrame, cols: list[str], id_col: str = "doc_id", parts: i
         none = {c: F.col(c) for c in cols} | {c: F.lit(None).cast("array<bigint>") for c in derived}
         return docs.select("*", *[none[c].alias(c) for c in derived], *[v.alias(f"next_{c}") for c, v in none.items()])
     # Each head goes to the range before it; the first of all to the last range.
-    goes = [(p, k, t, heads[i - 1][0]) for i, (p, k, t) in enumerate(heads)]
-    goes = F.broadcast(docs.sparkSession.createDataFrame(goes, "place int, k long, tie long, extra int"))
+    goes = {p: (k, t, heads[i - 1][0]) for i, (p, k, t) in enumerate(heads)}
+    of = lambda i, kind: F.get(numbers([goes.get(p, (0, 0, -1))[i] for p in range(len(cuts) + 1)], kind), F.col("place"))
+    keyed = keyed.withColumn("extra", F.when((F.col("k") == of(0, "bigint")) & (F.col("tie") == of(1, "bigint")), of(2, "int")).otherwise(-1))
     here = F.array(F.struct(F.col("place").alias("at"), F.lit(0).alias("guest")))
     both = F.concat(here, F.array(F.struct(F.col("extra").alias("at"), F.lit(1).alias("guest"))))
-    dealt = keyed.join(goes, ["place", "k", "tie"], "left").select("k", "tie", "row", F.explode(F.when(F.col("extra").isNull(), here).otherwise(both)).alias("x"))
+    dealt = keyed.select("k", "tie", "row", F.explode(F.when(F.col("extra") < 0, here).otherwise(both)).alias("x"))
     dealt = dealt.select("k", "tie", "row", F.col("x.at").alias("at"), F.col("x.guest").alias("guest")).repartitionByRange("at")
     dealt = dealt.select("*", *[c.alias(f"_own_{i}") for i, c in enumerate(derived.values())])
     own = {c: F.col(f"row.`{c}`") for c in cols} | {c: F.col(f"_own_{i}") for i, c in enumerate(derived)}
