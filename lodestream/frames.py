@@ -23,6 +23,8 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="lodestream-"))
             atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -76,6 +78,18 @@ def winsorise(df: DataFrame, columns: list[str], low: float = 0.02, high: float
     return j.drop(*q.columns)
 
 
+def flatten_names(df: DataFrame, separator: str = "|") -> DataFrame:
+    """Two-level column names to their first level, of equal ones the first; others stay."""
+    seen, cols = set(), []
+    for i, c in enumerate(df.columns):
+        name = c.split(separator)[0].strip()
+        if name not in seen:
+            seen.add(name)
+            cols.append((i, name))
+    flat = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    return flat.select(*[F.col(f"_{i}").alias(n) for i, n in cols])
+
+
 def resolve(df: DataFrame, names: list[str], contains: list[str] = ()) -> str | None:
     """The first column that has one of ``names`` (case-insensitive), else one that contains a token."""
     lower = {c.lower().strip(): c for c in df.columns}

@@ -116,6 +116,11 @@ def is_fund_category(c: Column) -> Column:
     return F.coalesce(contains_any(c, ["etf", "exchange traded fund"]), F.lit(False))
 
 
+def point_label(name: Column, geo: Column) -> Column:
+    known = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("NA"))
+    return F.concat(known(name), F.lit(" ("), known(geo), F.lit(")"))
+
+
 def percent(c: Column, digits: int = 2) -> Column:
     return F.when(c.isNull(), "-").otherwise(F.format_string(f"%.{digits}f%%", c))
 

@@ -197,3 +197,23 @@ WRONG_CLAIMS = [
     r"[^。\n]*目前本地資料不足以確認細節[^。\n]*[。\n]?",
 ]
 CUT_TAILS = [r"(?s)(\(|（)\s*key\s*$", r"(?s)\bwould you like more.*$"]
+
+# Words by which a recorded question is of a kind, and by which an answer is about lot sizes.
+LOOKUP_WORDS = {
+    "risk": ["risk", "risks", "volatility", "風險", "波動"],
+    "fee": ["fee", "charge", "expense", "費用", "收費", "管理費"],
+    "dividend": ["dividend", "distribution", "yield", "派息", "股息", "分派"],
+    "tracking": ["track", "index", "benchmark", "objective", "追蹤", "指數", "目標"],
+}
+LOT_WORDS = ["lot size", "trading lot size", "每手"]
+
+# Patterns of the question topics, searched in any case.
+TOPIC_PATTERNS = {
+    "objective_strategy": r"\bobjective\b|\binvestment objective\b|\bstrategy\b|\brebalance\b",
+    "key_risks": r"\bkey risks\b|\binvestment risk\b|\bindex risk\b|\btracking error\b|\bconcentration\b|\bvolatil",
+    "fees_charges": r"\bfees\b|\bcharges\b|\bmanagement fee\b|\btrustee fee\b|\bstamp duty\b|\btrading fee\b",
+    "derivatives": r"\bderivative\b|\bfutures\b|\boptions\b|\bwarrants\b|\bnet derivative exposure\b",
+    "termination": r"\btermination\b|\bsuccessor index\b|\brolling three month\b|\bhk\\$3 billion\b",
+    "dividend": r"\bdividend\b|\bsemi-annually\b|\bdistribution\b",
+    "currency_counter": r"\bhkd counter\b|\brmb counter\b|\bdual counter\b|\btrading currency\b",
+}

@@ -46,7 +46,7 @@ def silhouettes(df: DataFrame, key: str, label: str, column: str) -> DataFrame:
     return r.select(F.col("i").alias(key), F.col("li").alias(label), F.when(F.col("a").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("silhouette"))
 
 
-def best_kmeans(df: DataFrame, k: int, column: str = "x", seeds: int = 5) -> DataFrame:
+def best_kmeans(df: DataFrame, k: int, column: str = "x", seeds: int = 20) -> DataFrame:
     """k-means of the lowest cost over several seeds, clusters renumbered by their first centre coordinate."""
     v = df.withColumn("_v", array_to_vector(column))
     models = [KMeans(k=k, seed=42 + s, featuresCol="_v", predictionCol="_c").fit(v) for s in range(seeds)]
@@ -56,11 +56,13 @@ def best_kmeans(df: DataFrame, k: int, column: str = "x", seeds: int = 5) -> Dat
     return model.transform(v).withColumn("cluster_id", F.get(names, F.col("_c"))).drop("_v", "_c")
 
 
-def auto_kmeans(df: DataFrame, key: str, column: str = "x", ks=range(2, 7), least_share: float = 0.03, seeds: int = 3) -> DataFrame:
-    """The k of the best mean silhouette whose smallest cluster is not below the share; ties keep the smaller k."""
+def auto_kmeans(df: DataFrame, key: str, column: str = "x", ks=range(2, 7), least_share: float = 0.03, seeds: int = 20, n_clusters: int = 4) -> DataFrame:
+    """The k of the best mean silhouette whose smallest cluster is not below the share; ties keep the smaller k. Under six rows, or where no
+    k passes, it is ``n_clusters``, or what the rows allow."""
     n = df.count()
     if n < 6:
-        return best_kmeans(df, max(2, n - 1), column, seeds).withColumn("selected_k", F.lit(max(2, n - 1)))
+        k = min(n_clusters, max(2, n - 1))
+        return best_kmeans(df, k, column, seeds).withColumn("selected_k", F.lit(k))
     best = None
     for k in ks:
         if k >= n:
@@ -71,5 +73,5 @@ def auto_kmeans(df: DataFrame, key: str, column: str = "x", ks=range(2, 7), leas
         score = silhouettes(out, key, "cluster_id", column).agg(F.avg("silhouette")).first()[0]
         if best is None or score > best[0]:
             best = (score, k, out)
-    _, k, out = best or (0, min(ks), best_kmeans(df, min(ks), column, seeds))
+    _, k, out = best or (0, min(n_clusters, n - 1), best_kmeans(df, min(n_clusters, n - 1), column, seeds))
     return out.withColumn("selected_k", F.lit(k))

@@ -11,8 +11,9 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lodestream.frames import keep_first, top_n
+from lodestream.frames import materialise, top_n
 from lodestream.functions import columns as C
 import sys
 
@@ -36,19 +37,35 @@ def chatml(qa: DataFrame, system: str, metadata: list[str]) -> DataFrame:
 
 
 def train_eval_split(df: DataFrame, key: str, share: float = 0.05, seed: int = 42) -> DataFrame:
-    """Adds ``split`` by a hash of the key: stable under repartitioning, no shuffle of the rows."""
-    u = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(10_000))
-    return df.withColumn("split", F.when(u < share * 10_000, "eval").otherwise("train"))
-
-
-_KINDS = ("risk", "fee", "dividend", "tracking")
-#: Bonus where a query and a question both are of a kind, and where only the query is.
-_BONUS = np.array([[0.14, 0.16, 0.14, 0.12], [0.0, -0.45, 0.0, 0.0]])
+    """Adds ``split``: exactly max(1, int(share * n)) rows are "eval", those of the smallest hash of the key.
+
+    The hashes are cut into 65,536 ranges, whose counts tell in which one the last of these rows lies; only the rows of
+    that range are ranked.
+    """
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 12), 16, 10).cast("bigint")
+    d = materialise(df.withColumn("_h", h).withColumn("_r", F.shiftright("_h", 32).cast("int")).withColumn("_t", F.monotonically_increasing_id()))
+    counts = d.groupBy("_r").agg(F.count("*").alias("n")).orderBy("_r").collect()
+    left = max(1, int(share * sum(r["n"] for r in counts)))
+    for r in counts:
+        if r["n"] >= left:
+            break
+        left -= r["n"]
+    if not counts:
+        return df.withColumn("split", F.lit("train"))
+    border = d.filter(F.col("_r") == r["_r"]).withColumn("_n", F.row_number().over(Window.orderBy("_h", key, "_t"))).filter(F.col("_n") <= left).select("_t", F.lit(1).alias("_in"))
+    j = d.join(border, "_t", "left")
+    return j.withColumn("split", F.when((F.col("_r") < r["_r"]) | F.col("_in").isNotNull(), "eval").otherwise("train")).drop("_h", "_r", "_t", "_in")
+
+
+def _flags(words: Iterable[str], texts: pd.Series) -> np.ndarray:
+    return np.array([any(w in t for w in words) for t in texts.str.lower()], dtype=bool)
 
 
 def _best(q: pd.DataFrame, c: pd.DataFrame, k: int, accept: float) -> pd.DataFrame:
-    """The best ``k`` of a block's questions for each query. The ratio is at most the share of common characters, counted
+    """The best ``k`` of one ticker's questions for each query. The ratio is at most the share of common characters, counted
     with their repeats; questions come by that bound, and none is left out whose bound reaches the k-th score so far."""
+    if not len(q) or not len(c):
+        return pd.DataFrame({"query_id": [], "item": [], "score": []}).astype({"query_id": "int64", "item": "int64", "score": "float64"})
     c = c.sort_values("item", ignore_index=True)
     letters = {x: i for i, x in enumerate(sorted(set("".join(q["qk"]) + "".join(c["ck"]))))}
     words = {x: i for i, x in enumerate(sorted({t for ts in q["qt"] for t in ts}))}
@@ -65,11 +82,30 @@ def _best(q: pd.DataFrame, c: pd.DataFrame, k: int, accept: float) -> pd.DataFra
     shared = counts(q["qt"], words, np.float64) @ counts(c["ct"], words, np.float64).T
     union = q["qt"].map(len).to_numpy()[:, None] + c["ct"].map(len).to_numpy()[None, :] - shared
     jaccard = shared / np.maximum(union, 1)
-    c_kinds, c_size, short = np.array(c["kinds"].tolist(), bool), c["ck"].map(len).to_numpy(), np.where(c["short"], 0.08, 0.0)
+    tag, answer, size = c["tag"].str.lower(), c["answer"], c["ck"].map(len).to_numpy()
+    has = {kind: _flags(ws, c["ck"]) for kind, ws in C.fixed.LOOKUP_WORDS.items()}
+    risk_tag, fee_tag, dividend_tag = (_flags([w], tag) for w in ("risk", "fees_charges", "dividend"))
+    lots, old = _flags(C.fixed.LOT_WORDS, answer), _flags(["authorized under section 104"], answer)
+    short = np.where(answer.str.strip().str.len() < 25, 0.08, 0.0)
+    spoken = c["language"].to_numpy()
     items, keys, out = c["item"].to_numpy(), c["ck"].tolist(), []
-    for i, (query, key, kinds) in enumerate(zip(q["query_id"], q["qk"], q["kinds"], strict=True)):
-        rest = 0.3 * jaccard[i] + np.where(c_kinds, _BONUS[0], _BONUS[1]) @ np.array(kinds, float) - short
-        bound = 0.7 * 2 * np.minimum(c_letters, q_letters[i]).sum(1) / (len(key) + c_size) + rest
+    for i, (query, key, language, kinds) in enumerate(zip(q["query_id"], q["qk"], q["language"], q["kinds"], strict=True)):
+        risk, fee, dividend, tracking = kinds
+        pool = np.isin(spoken, ["zh", "zh-HK", "en"] if language == "zh" else ["en", "zh-HK"])
+        fits = pool if pool.any() else np.ones(len(c), dtype=bool)
+        rest = 0.3 * jaccard[i] - short
+        if risk:
+            fits = fits & (has["risk"] | risk_tag)
+            rest = rest + 0.14 * has["risk"] + 0.14 * risk_tag - 0.2 * old
+        if fee:
+            fits = fits & (has["fee"] | fee_tag)
+            rest = rest + 0.16 - 0.45 * lots
+        if dividend:
+            fits = fits & (has["dividend"] | dividend_tag)
+            rest = rest + 0.14
+        if tracking:
+            rest = rest + 0.12 * has["tracking"]
+        bound = np.where(fits, 0.7 * 2 * np.minimum(c_letters, q_letters[i]).sum(1) / (len(key) + size) + rest, -np.inf)
         best: list[tuple[float, int]] = []
         for j in np.argsort(-bound, kind="stable"):
             if bound[j] < (best[-1][0] if len(best) == k else accept) - 1e-9:
@@ -78,26 +114,40 @@ def _best(q: pd.DataFrame, c: pd.DataFrame, k: int, accept: float) -> pd.DataFra
             if score >= accept:
                 best = sorted([*best, (score, items[j])], key=lambda x: (-x[0], x[1]))[:k]
         out += [(query, item, score) for score, item in best]
-    return pd.DataFrame(out, columns=["query_id", "item", "score"])
+    return pd.DataFrame(out, columns=["query_id", "item", "score"]).astype({"query_id": "int64", "item": "int64", "score": "float64"})
 
 
 def fuzzy_lookup(queries: DataFrame, corpus: DataFrame, k: int = 1, accept: float = 0.38, block: int = 500) -> DataFrame:
-    """Best answers by 0.7 * Ratcliff-Obershelp ratio + 0.3 * token Jaccard, with bonuses by intent, at ``accept`` or
-    more. Every query meets every question, in blocks of about ``block`` rows of either; the ratio has no built-in and
-    runs over Arrow batches. An empty text has no answer and is none."""
-    kinds = lambda c: F.array(*[C.contains_any(c, C.fixed.INTENTS[x]) for x in _KINDS]).alias("kinds")
-    q = queries.select("query_id", C.question_key(F.col("text")).alias("qk")).filter("qk <> ''").select("query_id", "qk", C.tokens(F.col("qk")).alias("qt"), kinds(F.col("qk")))
-    c = corpus.select("item", C.question_key(F.col("question")).alias("ck"), F.coalesce(F.length("answer") < 40, F.lit(False)).alias("short")).filter("ck <> ''")
-    c = c.select("item", "ck", "short", C.tokens(F.col("ck")).alias("ct"), kinds(F.col("ck")))
-    nq, nc = (df.count() // block + 1 for df in (queries, corpus))
-    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    q = q.select("*", part("query_id", nq).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("cb"))
-    c = c.select("*", part("item", nc).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
-    schema = "query_id long, item long, score double"
-    r = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(lambda x, y: _best(x, y, k, accept), schema)
+    """Best answers of each query among the records of its ticker, by 0.7 * Ratcliff-Obershelp ratio + 0.3 * token Jaccard
+    with gates and bonuses by intent, at ``accept`` or more.
+
+    ``queries`` (query_id, ticker, text), ``corpus`` (item, ticker, question, answer, language, tag). Risk, fee and dividend
+    queries look only at records of their kind; languages outside the query's pool count only where the pool is empty in a
+    block. Every query meets every record of its ticker, in blocks of about ``block`` rows of either; the ratio has no
+    built-in and runs over Arrow batches. An empty question is none.
+    """
+    asks = lambda c: F.array(*[C.contains_any(c, C.fixed.INTENTS[x]) for x in ("risk", "fee", "dividend", "tracking")]).alias("kinds")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    q = queries.select("query_id", "ticker", C.question_key(text("text")).alias("qk")).filter("qk <> ''").select("query_id", "ticker", "qk", C.tokens(F.col("qk")).alias("qt"), C.language(F.col("qk")).alias("language"), asks(F.col("qk")))
+    c = corpus.select("item", "ticker", C.question_key(text("question")).alias("ck"), text("answer").alias("answer"), text("language").alias("language"), text("tag").alias("tag")).filter("ck <> ''")
+    c = c.withColumn("ct", C.tokens(F.col("ck")))
+    # As many blocks a ticker as its own rows fill.
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    counts = lambda df, n: materialise(df.groupBy("ticker").agg(F.ceil(F.count("*") / block).alias(n)))
+    nq, nc = counts(q, "nq"), counts(c, "nc")
+    q = q.join(nq, "ticker").join(nc, "ticker").select("*", part("query_id", "nq").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("nc").cast("int") - 1)).alias("cb")).drop("nq", "nc")
+    c = c.join(nq, "ticker").join(nc, "ticker").select("*", part("item", "nc").alias("cb"), F.explode(F.sequence(F.lit(0), F.col("nq").cast("int") - 1)).alias("qb")).drop("nq", "nc")
+    key = ["ticker", "qb", "cb"]
+    r = q.groupBy(*key).cogroup(c.groupBy(*key)).applyInPandas(lambda x, y: _best(x, y, k, accept), "query_id long, item long, score double")
     return top_n(r, ["query_id"], k, F.col("score").desc(), F.col("item"))
 
 
+def topic_rows(sentences: DataFrame, key: str, limit: int = 5) -> DataFrame:
+    """(key, topic, rank, pos, text): the first ``limit`` sentences of each topic's pattern, any case."""
+    topics = F.array(*[F.when(F.col("text").rlike(f"(?i){p}"), F.lit(t)) for t, p in C.fixed.TOPIC_PATTERNS.items()])
+    return top_n(sentences.select(key, "pos", "text", F.explode(F.array_compact(topics)).alias("topic")), [key, "topic"], limit, F.col("pos"))
+
+
 def question_pairs(turns: DataFrame) -> DataFrame:
     """(conv_id, pos, question, answer) of each user turn with the assistant turn right after it."""
     u = turns.filter("role = 'user'").select("conv_id", F.col("turn").alias("pos"), F.col("text").alias("question"))

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestream.frames import top_n
+from lodestream.frames import keep_first, top_n
 from lodestream.functions import columns as C
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 @dataclass(frozen=True)
 class Preset:
@@ -38,16 +45,37 @@ def boost(text: Column, code: Column, metadata: Column, tags: Column, p: Preset
     return named + p.metadata_weight * hits(values) + p.tag_weight * hits(words)
 
 
-def similar(queries: DataFrame, corpus: DataFrame, k: int, most_queries: int = 1000) -> DataFrame:
-    """(query_id, rank, item, score): exact top k by dot product, ties to the smaller item.
+def _nearest(k: int):
+    def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(c):
+            c = c.sort_values("item", ignore_index=True)
+            items = c["item"].to_numpy()
+            # Twelve decimals, so that equal vectors score alike wherever they stand in the product.
+            scores = np.round(np.stack(q["q"].to_numpy()).astype(float) @ np.stack(c["v"].to_numpy()).astype(float).T, 12)
+            for name, row in zip(q["query_id"], scores, strict=True):
+                at = np.arange(len(row)) if len(row) <= k else np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
+                at = at[np.argsort(-row[at], kind="stable")][:k]
+                out.append(pd.DataFrame({"query_id": name, "item": items[at], "score": row[at]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "item": [], "score": []}).astype({"query_id": "int64", "item": "int64"})
+
+    return best
+
 
-    ``queries`` (query_id, q) is an interactive batch: its size is checked, then it is broadcast; the corpus is read once
-    and never shuffled, and each partition keeps k rows a query before the exchange.
+def similar(queries: DataFrame, corpus: DataFrame, k: int, block: int = 8192, query_block: int = 2048) -> DataFrame:
+    """(query_id, item, score, rank): exact top k by dot product, ties to the smaller item.
+
+    ``queries`` (query_id, q) and ``corpus`` (item, v), any number of each: they meet in pairs of blocks of fixed size, each
+    a matrix product over Arrow batches that hands on k rows a query. Null vectors take no part.
     """
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries in a batch")
-    pairs = corpus.join(F.broadcast(queries)).select("query_id", "item", C.dot(F.col("q"), F.col("v")).alias("score"))
-    return top_n(pairs, ["query_id"], k, F.col("score").desc(), F.col("item"))
+    queries, corpus = queries.filter("q is not null"), corpus.filter("v is not null")
+    nq, nc = (max(1, -(-df.count() // n)) for df, n in ((queries, query_block), (corpus, block)))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(F.col("query_id").cast("long"), "q", part("query_id", nq).alias("qb"), spread(nc).alias("cb"))
+    c = corpus.select(F.col("item").cast("long"), "v", part("item", nc).alias("cb"), spread(nq).alias("qb"))
+    found = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(_nearest(k), "query_id long, item long, score double")
+    return top_n(found, ["query_id"], k, F.col("score").desc(), F.col("item"))
 
 
 def rerank(candidates: DataFrame, k: int, preset: Preset = FAST) -> DataFrame:
@@ -69,18 +97,69 @@ def evaluate(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     return labelled.agg(F.count("*").alias("labelled"), F.avg("top1").alias("top1_precision"), F.avg("hit").alias("topk_recall"))
 
 
-def p95(values: Column) -> Column:
-    """The element at max(int(0.95 n) - 1, 0) of the sorted values, not an interpolated percentile."""
-    s = F.array_sort(F.collect_list(values))
-    return F.get(s, F.greatest(F.floor(F.size(s) * 0.95).cast("int") - 1, F.lit(0)))
-
-
-def lexical(queries: DataFrame, rows: DataFrame, k: int, common: float = 0.5) -> DataFrame:
+def latencies(runs: DataFrame) -> DataFrame:
+    """``runs`` (ms) to mean and the element at max(int(0.95 n) - 1, 0) of the sorted values, not an interpolated one."""
+    r = runs.agg(F.avg("ms").alias("latency_avg"), F.array_sort(F.collect_list("ms")).alias("s"))
+    return r.select("latency_avg", F.get("s", F.greatest(F.floor(F.size("s") * 0.95).cast("int") - 1, F.lit(0))).alias("latency_p95"))
+
+
+def _lexical(asked: list[tuple[int, list[str]]], k: int):
+    ids = np.array([i for i, _ in asked], dtype=np.int64)
+    sizes = np.array([max(1, len(ts)) for _, ts in asked], dtype=float)
+    index: dict[str, list[int]] = {}
+    for n, (_, ts) in enumerate(asked):
+        for t in ts:
+            index.setdefault(t, []).append(n)
+    index = {t: np.array(ns) for t, ns in index.items()}
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: pd.DataFrame | None = None
+        for f in frames:
+            q, item, score = [], [], []
+            for name, ts in zip(f["item"], f["ts"], strict=True):
+                met = [index[t] for t in ts if t in index]
+                if met:
+                    shared = np.bincount(np.concatenate(met), minlength=len(ids))
+                    at = np.flatnonzero(shared)
+                    q.append(ids[at]), score.append(shared[at] / sizes[at]), item.append(np.full(len(at), name))
+            if q:
+                new = pd.DataFrame({"query_id": np.concatenate(q), "item": np.concatenate(item), "overlap": np.concatenate(score)})
+                best = new if best is None else pd.concat([best, new])
+                best = best.sort_values(["query_id", "overlap", "item"], ascending=[True, False, True]).groupby("query_id").head(k)
+        if best is not None:
+            yield best
+
+    return work
+
+
+def lexical(queries: DataFrame, rows: DataFrame, k: int, most_tokens: int = 2_000_000) -> DataFrame:
     """Top k rows a query by the share of its tokens they hold. ``queries`` (query_id, text), ``rows`` (item, text).
 
-    Joins on tokens, so pairs that share none never meet.
+    A batch of up to ``most_tokens`` query tokens is sent to the rows as an inverted index: each task hands on k rows a
+    query, and neither tokens nor pairs travel. A larger batch is joined on tokens.
     """
-    q = queries.select("query_id", C.tokens(F.col("text")).alias("ts")).select("query_id", F.size("ts").alias("n"), F.explode("ts").alias("token"))
-    r = rows.select("item", F.explode(C.tokens(F.col("text"))).alias("token"))
-    hit = q.join(r, "token").groupBy("query_id", "n", "item").agg(F.count("*").alias("shared"))
-    return top_n(hit.select("query_id", "item", (F.col("shared") / F.greatest("n", F.lit(1))).alias("overlap")), ["query_id"], k, F.col("overlap").desc(), F.col("item"))
+    q = queries.select(F.col("query_id").cast("long"), C.tokens(F.col("text")).alias("ts"))
+    r = rows.select(F.col("item").cast("long"), C.tokens(F.col("text")).alias("ts"))
+    if (q.agg(F.sum(F.size("ts")).alias("n")).first()["n"] or 0) <= most_tokens:
+        asked = [(x["query_id"], x["ts"]) for x in q.filter("ts is not null").collect()]
+        hit = r.filter("ts is not null").mapInPandas(_lexical(asked, k), "query_id long, item long, overlap double")
+    else:
+        words = q.select("query_id", F.size("ts").alias("n"), F.explode("ts").alias("token"))
+        shared = words.join(r.select("item", F.explode("ts").alias("token")), "token").groupBy("query_id", "n", "item").agg(F.count("*").alias("shared"))
+        hit = shared.select("query_id", "item", (F.col("shared") / F.greatest("n", F.lit(1))).alias("overlap"))
+    return top_n(hit, ["query_id"], k, F.col("overlap").desc(), F.col("item"))
+
+
+def risk_corpus(profiles: DataFrame, code: str, text_columns: tuple[str, ...] = ("key_risks", "profile_text"), order: str | None = None) -> DataFrame:
+    """(code, risk_text): the first of ``text_columns`` that the table has; blank texts and code 0000 go, the first row of
+    a code stays."""
+    text = next(c for c in text_columns if c in profiles.columns)
+    d = profiles.select(C.digits_code(F.col(code)).alias("code"), F.trim(F.col(text)).alias("risk_text"), F.col(order or code).alias("o"))
+    return keep_first(d.filter("risk_text <> '' and code <> '' and code <> '0000'"), ["code"], F.col("o")).drop("o")
+
+
+def candidates(queries: DataFrame, corpus: DataFrame, k: int = 3) -> DataFrame:
+    """Best ``k`` codes a query with a positive score: by vectors where both sides have them (q; v), else by tokens."""
+    if "q" in queries.columns and "v" in corpus.columns:
+        return similar(queries.select("query_id", "q"), corpus.select("item", "v"), k).filter("score > 0")
+    return lexical(queries, corpus, k).withColumnRenamed("overlap", "score")

@@ -35,18 +35,21 @@ def _mean(c: Column) -> Column:
 
 
 def _corr(x: Column, y: Column) -> Column:
-    """Pearson of two arrays; 0 where a side is constant."""
-    n = F.size(x)
+    """Pearson of two arrays; 0 where a side is constant. Each part is computed once a row."""
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    mx, my = total(x) / n, total(y) / n
-    cov = total(F.zip_with(x, y, lambda a, b: (a - mx) * (b - my)))
-    sx, sy = total(F.transform(x, lambda a: (a - mx) * (a - mx))), total(F.transform(y, lambda b: (b - my) * (b - my)))
-    return F.when((sx > 1e-18) & (sy > 1e-18), cov / F.sqrt(sx * sy)).otherwise(0.0)
+    centred = lambda a: C.let(total(a) / F.size(a), lambda m: F.transform(a, lambda v: v - m))
+    dot = lambda a, b: total(F.zip_with(a, b, lambda p, q: p * q))
+
+    def of(a: Column, b: Column) -> Column:
+        parts = F.struct(dot(a, b).alias("xy"), dot(a, a).alias("xx"), dot(b, b).alias("yy"))
+        return C.let(parts, lambda p: F.when((p["xx"] > 1e-18) & (p["yy"] > 1e-18), p["xy"] / F.sqrt(p["xx"] * p["yy"])).otherwise(0.0))
+
+    return C.let(x, lambda u: C.let(centred(u), lambda a: C.let(y, lambda v: C.let(centred(v), lambda b: of(a, b)))))
 
 
 def _ranks(x: Column) -> Column:
     """Average ranks."""
-    return F.transform(x, lambda v: F.size(F.filter(x, lambda u: u < v)) + (F.size(F.filter(x, lambda u: u == v)) + 1) / F.lit(2.0))
+    return C.let(x, lambda a: F.transform(a, lambda v: F.size(F.filter(a, lambda u: u < v)) + (F.size(F.filter(a, lambda u: u == v)) + 1) / F.lit(2.0)))
 
 
 def concept_stability(predictions: DataFrame, k: int = 5, epsilon: float = 0.01) -> DataFrame:

@@ -12,6 +12,9 @@ from lodestream.functions import columns as C
 from lodestream.operators import clustering, pairs, qa, retrieval, series, stability, text
 
 
+MOST_BENCHMARKS = 256
+
+
 @dataclass
 class Perspective:
     """A named set of feature columns; ``clip`` are winsorised first."""
@@ -23,17 +26,25 @@ class Perspective:
 
 RETURN_RISK = Perspective(
     "return_risk_profile",
-    ["return_1y", "return_3y", "return_5y", "average_yearly_return", "volatility_30d", "annualized_volatility", "sharpe_ratio", "return_to_risk_1y", "monthly_volatility"],
+    ["return_1y", "return_3y", "return_5y", "average_yearly_return", "mean_daily_log_return", "dividend_yield_pct", "monthly_volatility", "volatility_30d", "annualized_volatility", "return_to_risk_1y", "sharpe_ratio", "concentration_top10"],
     ["return_1y", "return_3y", "return_5y", "average_yearly_return"],
 )
 
 
+def default_perspectives(features: DataFrame) -> list[Perspective]:
+    """Returns, risks and the betas of all benchmarks; and the correlations with them."""
+    named = lambda kind: sorted(c for c in features.columns if c.startswith(kind))
+    return [Perspective(RETURN_RISK.name, RETURN_RISK.features + named("beta_"), RETURN_RISK.clip), Perspective("macro_sensitivity", named("corr_"))]
+
+
 def feature_table(bars: DataFrame, benchmarks: DataFrame | None = None, metadata: DataFrame | None = None, least: int = 200) -> DataFrame:
     """One row a ticker: metadata left-joined with return, risk, correlation and beta features, numbers mean-filled."""
     f = series.risk_features(bars, least).join(series.monthly_volatility(bars).drop("months"), "ticker", "left")
     if benchmarks is not None:
         cb = series.correlation_and_beta(bars, benchmarks)
-        names = sorted(r[0] for r in benchmarks.select("ticker").distinct().limit(256).collect())
+        names = sorted(r[0] for r in benchmarks.select("ticker").distinct().limit(MOST_BENCHMARKS + 1).collect())
+        if len(names) > MOST_BENCHMARKS:
+            raise ValueError(f"more than {MOST_BENCHMARKS} benchmarks, each of which would be two columns")
         token = lambda n: "".join(ch for ch in n.lower() if ch.isalnum())
         wide = cb.groupBy("ticker").agg(*[F.max(F.when(F.col("benchmark") == n, F.col(v))).alias(f"{v}_{token(n)}") for n in names for v in ("corr", "beta")])
         f = f.join(wide, "ticker", "left")
@@ -74,8 +85,7 @@ def advise(views: DataFrame, labels: DataFrame, label_cols: list[str], geo: str,
 
 def run_dna_pipeline(bars: DataFrame, benchmarks: DataFrame, metadata: DataFrame, label_cols: list[str], geo: str, perspectives: list[Perspective] | None = None) -> dict[str, DataFrame]:
     features = frames.materialise(feature_table(bars, benchmarks, metadata))
-    macro = Perspective("macro_sensitivity", [c for c in features.columns if c.startswith(("corr_", "beta_"))])
-    views = frames.materialise(cluster_views(features, perspectives or [macro, RETURN_RISK]))
+    views = frames.materialise(cluster_views(features, perspectives or default_perspectives(features)))
     return {"features": features, "views": views, **advise(views, metadata.select("ticker", *{*label_cols, geo}), label_cols, geo)}
 
 

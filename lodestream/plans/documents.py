@@ -8,7 +8,7 @@ from lodestream import frames
 from lodestream.frames import read
 from lodestream.functions import columns as C
 from lodestream.functions import fixed
-from lodestream.operators import stability, text
+from lodestream.operators import qa, stability, text
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -92,6 +92,16 @@ SQL["keyword_tags"] = f"""SELECT doc_id, {_tags_sql(fixed.RISK_KEYWORDS)} AS ris
 FROM (SELECT doc_id, lower(text) AS t FROM documents)"""
 
 
+@query
+def topic_rows(spark, d):
+    """First five sentences of each question topic in a document."""
+    return qa.topic_rows(text.sentences(read(spark, d, "documents"), "doc_id", "text"), "doc_id")
+
+
+SQL["topic_rows"] = f"""WITH {_SENTENCES}, m AS (SELECT doc_id, pos, text, unnest([{", ".join(f"CASE WHEN regexp_matches(text, {_quote(p)}, 'i') THEN {_quote(t)} END" for t, p in fixed.TOPIC_PATTERNS.items())}]) AS topic FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, topic ORDER BY pos) AS rank FROM m WHERE topic IS NOT NULL) SELECT doc_id, topic, CAST(rank AS INTEGER) AS rank, pos, text FROM r WHERE rank <= 5"""
+
+
 @query
 def structured_fields(spark, d):
     """First matching sentence of a document per field, patterns in order."""

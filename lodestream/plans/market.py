@@ -17,6 +17,7 @@ from lodestream.operators import clustering, pairs, series
 
 Q: dict = {}
 SQL: dict[str, str] = {}
+NEAR = 1.2  # of unit vectors in 64 dimensions about one pair in a hundred is as near
 
 
 def query(f):
@@ -176,14 +177,14 @@ SQL["normalise_code"] = r"""SELECT p_partkey, CASE WHEN p_partkey < 10000 THEN l
   regexp_replace(upper('^' || p_brand), '[^A-Za-z0-9]', '', 'g') AS token, 'ABC' AS no_digits FROM part"""
 
 
-def vectors(spark, d, dims: int = 8) -> DataFrame:
-    """Embeddings as instruments: the first dimensions as features, the label as cluster, part columns as labels."""
-    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("ticker"), F.transform(F.slice("embedding", 1, dims), lambda x: x.cast("double")).alias("pcs"), F.col("label").alias("cluster_id"))
+def vectors(spark, d) -> DataFrame:
+    """Embeddings as instruments: their dimensions as features, the label as cluster, part columns as labels."""
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("ticker"), F.transform("embedding", lambda x: x.cast("double")).alias("pcs"), F.col("label").alias("cluster_id"))
     p = read(spark, d, "part").select((F.col("p_partkey") - 1).alias("ticker"), F.when(F.col("p_size") % 5 != 0, F.col("p_brand")).alias("geo"), F.col("p_type").alias("kind"), F.col("p_size").cast("string").alias("focus"))
     return e.join(p, "ticker", "left").withColumn("perspective", F.lit("macro"))
 
 
-_VEC = """v AS (SELECT e.vec_id AS ticker, [CAST(x AS DOUBLE) FOR x IN embedding[1:8]] AS pcs, e.label AS cluster_id,
+_VEC = """v AS (SELECT e.vec_id AS ticker, [CAST(x AS DOUBLE) FOR x IN embedding] AS pcs, e.label AS cluster_id,
   CASE WHEN p_size % 5 <> 0 THEN p_brand END AS geo, p_type AS kind, CAST(p_size AS VARCHAR) AS focus FROM embeddings e LEFT JOIN part ON p_partkey - 1 = e.vec_id)"""
 
 
@@ -238,7 +239,7 @@ SQL["cluster_centroids"] = "SELECT 'macro' AS perspective, label AS cluster_id,
 
 
 def _home(spark, d):
-    return pairs.home_bias(vectors(spark, d), 0.25)
+    return pairs.home_bias(vectors(spark, d), NEAR)
 
 
 @query
@@ -248,12 +249,12 @@ def home_bias_pairs(spark, d):
 
 SQL["home_bias_pairs"] = f"""WITH {_VEC}
 SELECT 'macro' AS perspective, a.cluster_id, a.ticker AS source_ticker, a.geo AS source_geo, b.ticker AS alternative_ticker, b.geo AS alternative_geo, round(list_distance(a.pcs, b.pcs), 6) AS pc_distance
-FROM v a JOIN v b ON a.cluster_id = b.cluster_id AND a.ticker <> b.ticker WHERE b.geo IS NOT NULL AND coalesce(a.geo, '') <> b.geo AND list_distance(a.pcs, b.pcs) <= 0.25"""
+FROM v a JOIN v b ON a.cluster_id = b.cluster_id AND a.ticker <> b.ticker WHERE b.geo IS NOT NULL AND coalesce(a.geo, '') <> b.geo AND list_distance(a.pcs, b.pcs) <= {NEAR}"""
 
 
 @query
 def hidden_twin_pairs(spark, d):
-    return rounded(pairs.hidden_twins(vectors(spark, d), ["geo", "kind", "focus"], 0.25))
+    return rounded(pairs.hidden_twins(vectors(spark, d), ["geo", "kind", "focus"], NEAR))
 
 
 SQL["hidden_twin_pairs"] = f"""WITH {_VEC}, w AS (SELECT ticker, pcs, cluster_id, coalesce(geo, '') AS geo, coalesce(kind, '') AS kind, coalesce(focus, '') AS focus FROM v),
@@ -262,7 +263,7 @@ j AS (SELECT a.cluster_id, a.ticker AS ticker_a, b.ticker AS ticker_b, list_dist
    CASE WHEN a.focus <> '' AND b.focus <> '' AND a.focus <> b.focus THEN 'focus:' || a.focus || '!=' || b.focus END] AS m
   FROM w a JOIN w b ON a.cluster_id = b.cluster_id AND a.ticker < b.ticker),
 k AS (SELECT *, [x FOR x IN m IF x IS NOT NULL] AS f FROM j)
-SELECT 'macro' AS perspective, cluster_id, ticker_a, ticker_b, array_to_string(f, '|') AS label_mismatch, CAST(len(f) AS INTEGER) AS mismatch_count, round(dist, 6) AS pc_distance FROM k WHERE len(f) >= 2 AND dist <= 0.25"""
+SELECT 'macro' AS perspective, cluster_id, ticker_a, ticker_b, array_to_string(f, '|') AS label_mismatch, CAST(len(f) AS INTEGER) AS mismatch_count, round(dist, 6) AS pc_distance FROM k WHERE len(f) >= 2 AND dist <= {NEAR}"""
 
 
 @query
@@ -273,7 +274,7 @@ def pairs_degree_capped(spark, d):
 @query
 def dna_context(spark, d):
     """Per instrument: its cluster, the dominant cluster of its neighbours, three nearest alternatives over both directions."""
-    p = pairs.hidden_twins(vectors(spark, d), ["geo", "kind", "focus"], 0.3)
+    p = pairs.hidden_twins(vectors(spark, d), ["geo", "kind", "focus"], NEAR)
     both = p.select(F.col("ticker_a").alias("ticker"), F.col("ticker_b").alias("other"), "pc_distance", "cluster_id").unionByName(p.select(F.col("ticker_b").alias("ticker"), F.col("ticker_a").alias("other"), "pc_distance", "cluster_id"))
     best = frames.top_n(frames.keep_first(both, ["ticker", "other"], F.col("pc_distance")), ["ticker"], 3, F.col("pc_distance"), F.col("other"))
     alts = best.groupBy("ticker").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "other"))), lambda x: x["other"].cast("string")), ",").alias("alternatives"))
@@ -283,16 +284,16 @@ def dna_context(spark, d):
 
 SQL["dna_context"] = f"""WITH {_VEC}, w AS (SELECT ticker, pcs, cluster_id, coalesce(geo, '') AS geo, coalesce(kind, '') AS kind, coalesce(focus, '') AS focus FROM v),
 b AS (SELECT a.cluster_id, a.ticker, b.ticker AS other, list_distance(a.pcs, b.pcs) AS dist FROM w a JOIN w b ON a.cluster_id = b.cluster_id AND a.ticker <> b.ticker
-  WHERE (a.geo <> '' AND b.geo <> '' AND a.geo <> b.geo)::INT + (a.kind <> '' AND b.kind <> '' AND a.kind <> b.kind)::INT + (a.focus <> '' AND b.focus <> '' AND a.focus <> b.focus)::INT >= 2 AND list_distance(a.pcs, b.pcs) <= 0.3),
+  WHERE (a.geo <> '' AND b.geo <> '' AND a.geo <> b.geo)::INT + (a.kind <> '' AND b.kind <> '' AND a.kind <> b.kind)::INT + (a.focus <> '' AND b.focus <> '' AND a.focus <> b.focus)::INT >= 2 AND list_distance(a.pcs, b.pcs) <= {NEAR}),
 k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY dist, other) AS i FROM b)
 SELECT ticker, min(cluster_id) AS dominant_cluster, count(*) AS links, string_agg(other::VARCHAR, ',' ORDER BY i) FILTER (WHERE i <= 3) AS alternatives FROM k GROUP BY ticker"""
 
 
 @query
 def weekly_winners_losers(spark, d):
-    w = series.week_return(bars(spark, d)).filter("week_return is not null")
-    up = frames.top_n(w.withColumn("side", F.lit("winner")), ["side"], 5, F.col("week_return").desc(), F.col("ticker"))
-    down = frames.top_n(w.withColumn("side", F.lit("loser")), ["side"], 5, F.col("week_return"), F.col("ticker"))
+    w = series.week_return(bars(spark, d))
+    up = frames.top_n(w.withColumn("side", F.lit("winner")), ["side"], 5, F.col("week_return").desc_nulls_last(), F.col("ticker"))
+    down = frames.top_n(w.withColumn("side", F.lit("loser")), ["side"], 5, F.col("week_return").asc_nulls_first(), F.col("ticker"))
     total = w.agg(F.avg((F.col("week_return") > 0).cast("int")).alias("share_positive"), F.max("week_return").alias("best"), F.min("week_return").alias("worst"))
     return rounded(up.unionByName(down).crossJoin(F.broadcast(total)).select("side", "rank", "ticker", "week_return", "share_positive", "best", "worst"))
 
@@ -300,7 +301,7 @@ def weekly_winners_losers(spark, d):
 _WEEK = "w AS (SELECT ticker, (max(close) FILTER (WHERE age = 1) / max(close) FILTER (WHERE age = 6) - 1) * 100 AS x FROM r WHERE n >= 6 GROUP BY ticker)"
 SQL["weekly_winners_losers"] = f"""WITH {BARS}, {_WEEK},
 s AS (SELECT avg((x > 0)::INT) AS share_positive, max(x) AS best, min(x) AS worst FROM w),
-u AS (SELECT 'winner' AS side, row_number() OVER (ORDER BY x DESC, ticker) AS rank, ticker, x FROM w UNION ALL SELECT 'loser', row_number() OVER (ORDER BY x, ticker), ticker, x FROM w)
+u AS (SELECT 'winner' AS side, row_number() OVER (ORDER BY x DESC NULLS LAST, ticker) AS rank, ticker, x FROM w UNION ALL SELECT 'loser', row_number() OVER (ORDER BY x NULLS FIRST, ticker), ticker, x FROM w)
 SELECT side, CAST(rank AS INTEGER) AS rank, ticker, round(x, 6) AS week_return, round(share_positive, 6) AS share_positive, round(best, 6) AS best, round(worst, 6) AS worst FROM u, s WHERE rank <= 5"""
 
 
@@ -379,3 +380,13 @@ def universe_sets(spark, d):
 
 SQL["universe_sets"] = """WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice > 100000), b AS (SELECT c_custkey AS k, c_mktsegment FROM customer WHERE c_acctbal > 0)
 SELECT k, 'both' AS set, NULL AS c_mktsegment FROM a WHERE k IN (SELECT k FROM b) UNION ALL SELECT k, 'any', NULL FROM (SELECT k FROM a UNION SELECT k FROM b) UNION ALL SELECT k, 'customer', c_mktsegment FROM b"""
+
+
+@query
+def point_labels(spark, d):
+    """Name with geography in brackets; blanks are NA."""
+    s = read(spark, d, "supplier").join(F.broadcast(read(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    return s.select("s_suppkey", C.point_label(F.col("s_name"), F.when(F.col("s_acctbal") > 0, F.col("n_name"))).alias("label"))
+
+
+SQL["point_labels"] = "SELECT s_suppkey, coalesce(nullif(trim(s_name), ''), 'NA') || ' (' || CASE WHEN s_acctbal > 0 THEN coalesce(nullif(trim(n_name), ''), 'NA') ELSE 'NA' END || ')' AS label FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey"

@@ -14,7 +14,7 @@ from lodestream.plans.documents import _any_sql, _quote
 
 Q: dict = {}
 SQL: dict[str, str] = {}
-N_QUERIES, K = 8, 5
+EVERY, K = 100, 5
 
 
 def query(f):
@@ -31,11 +31,11 @@ def _corpus(spark, d):
 
 
 def _queries(spark, d):
-    return read(spark, d, "embeddings").filter(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("query_label"))
+    return read(spark, d, "embeddings").filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("query_label"))
 
 
 _DOT = """e AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings),
-p AS (SELECT q.vec_id AS query_id, q.label AS query_label, c.vec_id AS item, c.label AS item_label, list_dot_product(q.v, c.v) AS score FROM e q JOIN e c ON q.vec_id < 8)"""
+p AS (SELECT q.vec_id AS query_id, q.label AS query_label, c.vec_id AS item, c.label AS item_label, list_dot_product(q.v, c.v) AS score FROM e q JOIN e c ON q.vec_id % 100 = 0)"""
 
 
 @query
@@ -185,11 +185,10 @@ SELECT user_id, CAST(rank AS INTEGER) AS rank, CAST(age AS INTEGER) AS age, even
 
 
 def _ranks(spark, d):
-    """Concepts are labels, variants the first rows of a label, predictions their nearest rows of all."""
-    e = read(spark, d, "embeddings")
-    own = frames.top_n(e.select("label", "vec_id", "embedding"), ["label"], 6, F.col("vec_id"))
-    ranked = retrieval.similar(own.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), _corpus(spark, d), K)
-    return ranked.join(own.select(F.col("vec_id").alias("query_id"), F.col("label").alias("concept_id"), F.col("rank").alias("variant_id")), "query_id").select(
+    """Every row is a variant, twenty neighbouring ids are a concept, predictions are the nearest rows of all."""
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    ranked = retrieval.similar(e, _corpus(spark, d), K)
+    return ranked.select(F.floor(F.col("query_id") / 20).alias("concept_id"), (F.col("query_id") % 20 + 1).alias("variant_id"), "rank", "item", "score").select(
         "concept_id", F.concat(F.lit("d"), (F.col("concept_id") % 3).cast("string")).alias("domain"), "variant_id", "rank", F.col("item").cast("string").alias("item"), F.round("score", 6).alias("score")
     )
 
@@ -204,8 +203,8 @@ def stability_domain(spark, d):
     return stability.domain_stability(stability.concept_stability(_ranks(spark, d), K))
 
 
-_STAB = """WITH e AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings),
-p AS (SELECT q.label AS c, q.i AS v, x.vec_id AS item, list_dot_product(q.v, x.v) AS raw FROM e q JOIN e x ON q.i <= 6),
+_STAB = """WITH e AS (SELECT vec_id, vec_id // 20 AS label, [CAST(x AS DOUBLE) FOR x IN embedding] AS v, vec_id % 20 + 1 AS i FROM embeddings),
+p AS (SELECT q.label AS c, q.i AS v, x.vec_id AS item, list_dot_product(q.v, x.v) AS raw FROM e q, e x),
 r AS (SELECT c, v, item, round(raw, 6) AS score, row_number() OVER (PARTITION BY c, v ORDER BY raw DESC, item) AS rank FROM p QUALIFY rank <= 5),
 lo AS (SELECT c, min(score) - 0.05 AS floor FROM r GROUP BY c),
 ends AS (SELECT c, v, max(score) AS hi, min(score) AS low, count(*) AS n FROM r GROUP BY c, v),
@@ -293,22 +292,22 @@ SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[\x{{4e00}}-\x{{9fff}}]')
 
 def _qa(spark, d):
     p = qa.question_pairs(_turns(spark, d))
-    return p.select((F.col("conv_id") * 1000 + F.col("pos")).alias("pos"), F.concat(F.substring("question", 1, 40), F.lit("?")).alias("question"), "answer", F.concat(F.lit("tag"), (F.col("conv_id") % 3).cast("string")).alias("tag"))
+    return p.select((F.col("conv_id") * 1000 + F.col("pos")).alias("pos"), F.when(F.col("question").endswith("?"), F.col("question")).otherwise(F.concat("question", F.lit("?"))).alias("question"), "answer", F.concat(F.lit("tag"), (F.col("conv_id") % 3).cast("string")).alias("tag"))
 
 
-_QA = f"""{_TURNS}, qa AS (SELECT u.conv_id * 1000 + u.turn AS pos, left(u.text, 40) || '?' AS question, a.text AS answer, 'tag' || (u.conv_id % 3) AS tag
+_QA = f"""{_TURNS}, qa AS (SELECT u.conv_id * 1000 + u.turn AS pos, CASE WHEN right(u.text, 1) = '?' THEN u.text ELSE u.text || '?' END AS question, a.text AS answer, 'tag' || (u.conv_id % 3) AS tag
   FROM t u JOIN t a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"""
 _NORM = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 
 
 @query
 def qa_dedup_shortest(spark, d):
-    """Gates, then per question (its first 14 characters here) the first or a strictly shorter answer."""
-    good = _qa(spark, d).filter(C.is_question(F.col("question")) & ~C.is_bad_answer(F.col("answer"), F.col("tag"))).withColumn("key", F.substring(C.question_key(F.col("question")), 1, 26))
+    """Gates, then per question the first or a strictly shorter answer."""
+    good = _qa(spark, d).filter(C.is_question(F.col("question")) & ~C.is_bad_answer(F.col("answer"), F.col("tag"))).withColumn("key", C.question_key(F.col("question")))
     return qa.shortest_answers(good, ["key"]).select("key", "pos", "question", "answer", "tag")
 
 
-SQL["qa_dedup_shortest"] = rf"""WITH {_QA}, g AS (SELECT *, left(trim(regexp_replace(lower(question), '\s+', ' ', 'g')), 26) AS key, length({_NORM.format('answer')}) AS n, lower({_NORM.format('answer')}) AS a FROM qa
+SQL["qa_dedup_shortest"] = rf"""WITH {_QA}, g AS (SELECT *, trim(regexp_replace(lower(question), '\s+', ' ', 'g')) AS key, length({_NORM.format('answer')}) AS n, lower({_NORM.format('answer')}) AS a FROM qa
   WHERE regexp_matches(lower({_NORM.format('question')}), '^({"|".join(fixed.QUESTION_STARTS)})') AND right(trim(question), 1) = '?'),
 h AS (SELECT * FROM g WHERE length(a) >= 35 AND NOT ({" OR ".join(f"regexp_matches(a, {_quote(p)})" for p in fixed.BAD_ANSWERS)})),
 f AS (SELECT *, first_value(n) OVER (PARTITION BY key ORDER BY pos) AS n0, row_number() OVER (PARTITION BY key ORDER BY pos) AS i FROM h),
@@ -319,20 +318,20 @@ SELECT key, pos, question, answer, tag FROM c WHERE r = 1"""
 @query
 def qa_global_dedup(spark, d):
     """First record of each question by (tag, pos), numbered anew."""
-    q = _qa(spark, d).withColumn("key", F.substring(C.question_key(F.col("question")), 1, 30))
+    q = _qa(spark, d).withColumn("key", C.question_key(F.col("question")))
     one = frames.keep_first(q, ["key"], F.col("tag"), F.col("pos"))
     return one.select("tag", "pos", "question").withColumn("rank", F.row_number().over(Window.partitionBy("tag").orderBy("pos")))
 
 
-SQL["qa_global_dedup"] = rf"""WITH {_QA}, r AS (SELECT *, row_number() OVER (PARTITION BY left(trim(regexp_replace(lower(question), '\s+', ' ', 'g')), 30) ORDER BY tag, pos) AS i FROM qa)
+SQL["qa_global_dedup"] = rf"""WITH {_QA}, r AS (SELECT *, row_number() OVER (PARTITION BY trim(regexp_replace(lower(question), '\s+', ' ', 'g')) ORDER BY tag, pos) AS i FROM qa)
 SELECT tag, pos, question, CAST(row_number() OVER (PARTITION BY tag ORDER BY pos) AS INTEGER) AS rank FROM r WHERE i = 1"""
 
 
 @query
 def qa_fuzzy_lookup(spark, d):
-    """Every benchmark text against every question, both whole."""
-    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    known = qa.question_pairs(_turns(spark, d)).select((F.col("conv_id") * 1000 + F.col("pos")).alias("item"), "question", "answer")
+    """Every benchmark text against the questions of its ticker, both whole; the ticker is an id modulo ten."""
+    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 10).alias("ticker"), "text")
+    known = qa.question_pairs(_turns(spark, d)).select((F.col("conv_id") * 1000 + F.col("pos")).alias("item"), (F.col("conv_id") % 10).alias("ticker"), "question", "answer", F.lit("en").alias("language"), F.concat(F.lit("tag"), F.col("conv_id") % 3).alias("tag"))
     return rounded(qa.fuzzy_lookup(asked, known))
 
 
@@ -361,14 +360,67 @@ def train_eval_split(spark, d):
     return qa.train_eval_split(_qa(spark, d).select("pos", "tag"), "pos").groupBy("split", "tag").agg(F.count("*").alias("n"))
 
 
+SQL["train_eval_split"] = f"""WITH {_QA}, r AS (SELECT tag, row_number() OVER (ORDER BY CAST('0x' || substr(md5('42:' || pos), 1, 12) AS BIGINT), pos) AS i, count(*) OVER () AS n FROM qa)
+SELECT CASE WHEN i <= greatest(1, CAST(floor(0.05::DOUBLE * n) AS BIGINT)) THEN 'eval' ELSE 'train' END AS split, tag, count(*) AS n FROM r GROUP BY 1, 2"""
+
+
 @query
 def fee_answer(spark, d):
     """First realistic percentage of each document."""
-    t = F.concat(F.lit("costs 12.5% then "), (F.col("doc_id") % 7).cast("string"), F.lit(".25 % and 3%"))
-    return read(spark, d, "documents").select("doc_id", F.get(C.realistic_percents(t), F.lit(0)).alias("fee"))
+    return read(spark, d, "documents").select("doc_id", F.get(C.realistic_percents(F.col("text")), F.lit(0)).alias("fee"))
+
+
+SQL["fee_answer"] = r"""WITH p AS (SELECT doc_id, [TRY_CAST(x AS DOUBLE) FOR x IN regexp_extract_all(text, '(\d+(?:\.\d+)?)\s*%', 1)] AS xs FROM documents)
+SELECT doc_id, list_filter(xs, lambda x: x > 0 AND x <= 5)[1] AS fee FROM p"""
+
+
+@query
+def metadata_suggest(spark, d):
+    """Best five parts for each user turn by token overlap with their metadata, those with any."""
+    asked = _turns(spark, d).filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    rows = read(spark, d, "part").select(F.col("p_partkey").alias("item"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"))
+    return rounded(retrieval.lexical(asked, rows, 5))
+
+
+SQL["metadata_suggest"] = rf"""WITH {_TURNS}, q AS (SELECT conv_id * 1000 + turn AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9\x{{4e00}}-\x{{9fff}}]+')) AS ts FROM t WHERE role = 'user'),
+m AS (SELECT p_partkey AS item, unnest(list_distinct(regexp_extract_all(lower(p_name || ' ' || p_brand || ' ' || p_type), '[a-z0-9\x{{4e00}}-\x{{9fff}}]+'))) AS t FROM part),
+h AS (SELECT query_id, item, count(*) / any_value(n) AS overlap FROM (SELECT query_id, len(ts) AS n, unnest(ts) AS t FROM q) JOIN m USING (t) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, item) AS rank FROM h)
+SELECT query_id, item, round(overlap, 6) AS overlap, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5"""
+
+
+@query
+def risk_candidates(spark, d):
+    """Three best rows with a positive score for every query row."""
+    return rounded(retrieval.candidates(_queries(spark, d), _corpus(spark, d)))
+
+
+SQL["risk_candidates"] = f"WITH {_DOT}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS rank FROM p) SELECT query_id, item, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3 AND score > 0"
+
+
+@query
+def risk_corpus(spark, d):
+    """First text of each source's code; the code is a source's length, blank texts go."""
+    docs = read(spark, d, "documents").select("doc_id", F.length("source").cast("string").alias("ticker"), F.col("text").alias("profile_text"))
+    return retrieval.risk_corpus(docs, "ticker", order="doc_id")
+
+
+SQL["risk_corpus"] = """WITH c AS (SELECT doc_id, lpad(length(source)::VARCHAR, 4, '0') AS code, trim(text, ' ') AS risk_text FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY doc_id) AS i FROM c WHERE risk_text <> '' AND code <> '0000') SELECT code, risk_text FROM r WHERE i = 1"""
+
+
+@query
+def qa_language_counts(spark, d):
+    """Pairs by language, tickers with any, and tickers without."""
+    p = qa.question_pairs(_turns(spark, d)).withColumn("zh", C.language(F.col("question")) == "zh")
+    all_ = read(spark, d, "conversations").agg(F.count_distinct("conv_id").alias("tickers"))
+    got = p.agg(F.count("*").alias("pairs"), F.count(F.when(F.col("zh"), 1)).alias("zh"), F.count(F.when(~F.col("zh"), 1)).alias("en"), F.count_distinct("conv_id").alias("with_pairs"))
+    return got.join(F.broadcast(all_)).withColumn("failed", F.col("tickers") - F.col("with_pairs"))
 
 
-SQL["fee_answer"] = "SELECT doc_id, CASE WHEN doc_id % 7 + 0.25 <= 5 THEN (doc_id % 7 + 0.25)::DOUBLE ELSE 3.0 END AS fee FROM documents"
+SQL["qa_language_counts"] = rf"""WITH {_TURNS}, p AS (SELECT u.conv_id, regexp_matches(u.text, '[\x{{4e00}}-\x{{9fff}}]') AS zh FROM t u JOIN t a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'),
+g AS (SELECT count(*) AS pairs, count(*) FILTER (WHERE zh) AS zh, count(*) FILTER (WHERE NOT zh) AS en, count(DISTINCT conv_id) AS with_pairs FROM p)
+SELECT *, tickers - with_pairs AS failed FROM g, (SELECT count(DISTINCT conv_id) AS tickers FROM conversations)"""
 
 
 @query

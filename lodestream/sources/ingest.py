@@ -15,9 +15,22 @@ HOLDINGS = T.StructType([T.StructField(c, T.StringType()) for c in ("etf_ticker"
 SENTENCES = T.StructType([T.StructField("sentence_id", T.IntegerType()), T.StructField("text", T.StringType())])
 
 
-def csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Header, quotes and line breaks inside fields, a byte-order mark before the first name; unreadable files are skipped."""
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8").option("enforceSchema", True).option("ignoreCorruptFiles", True).csv(path)
+def csv(spark: SparkSession, path: str, schema: T.StructType | str, skip_unreadable: bool = False) -> DataFrame:
+    """Header, quotes and line breaks inside fields, a byte-order mark before the first name. A file that cannot be read is an
+    error, unless it is to be skipped; ``unread_files`` names those."""
+    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8").option("enforceSchema", True).option("ignoreCorruptFiles", skip_unreadable).csv(path)
+
+
+def unread_files(read: DataFrame, spark: SparkSession, path: str) -> DataFrame:
+    """(file): the files under ``path`` of which ``read`` has no row."""
+    name = lambda c: F.regexp_replace(c, r"^\w+:/+", "/")
+    there = spark.read.format("binaryFile").load(path).select(name(F.col("path")).alias("file"))
+    return there.join(read.select(name(F.input_file_name()).alias("file")).distinct(), "file", "left_anti")
+
+
+def merge_replies(cache: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
+    """A keyed cache of replies after new ones: a new reply replaces the old one of its key."""
+    return cache.join(fresh.select(key), key, "left_anti").unionByName(fresh)
 
 
 def sentence_files(spark: SparkSession, path: str) -> DataFrame:
