@@ -5,6 +5,12 @@
 3. MinHash near-dedup (five words, 0.8): one document of each group stays;
 4. mixing: documents repeat at the rates that move the languages toward their target weights;
 5. packing: length buckets and batches of everything that is left.
+
+Defined results: documents with a null, empty or wordless text are rejected by the first stage; repeated rows are judged
+alike, lose the same lines and stay or go together in near-dedup, as rows of one id are one document; null ids come after
+all others and their texts name them; null languages and sources are a site of their own; without labels nothing is
+rejected but wordless texts, and mixing knows one domain; an empty table gives no batches; further columns, whatever their
+names, pass through all stages but the last.
 """
 
 from __future__ import annotations

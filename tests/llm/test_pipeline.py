@@ -34,3 +34,20 @@ def test_stages_chain_and_take_effect(spark, tmp_path):
 
 def test_run_is_the_stages(spark):
     assert C.run(spark, SF).count() > 0 and [n for n, _ in C.STAGES] == ["quality", "line_dedup", "near_dedup", "mixing", "packing"]
+
+
+def test_odd_documents_pass_all_stages(spark, tmp_path):
+    cols = "doc_id long, text string, lang string, source string, n_chars long, row string, k long, uid long, p double"
+    texts = [None, "", " \n", "one two three four five six seven eight nine ten", *[f"some calm words of text number {i} and {i * 7} more words of it" for i in range(8)]]
+    rows = [(i if i % 4 else None, t, "en" if i % 3 else None, None if i % 5 == 0 else "s", len(t or ""), "r", i, i, 0.5) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows + rows[3:6], cols).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in C.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert name == "packing" or out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        if name == "quality":
+            assert docs.filter("text is null or trim(text) = ''").isEmpty() and docs.count() == len(texts) - 3 + 3
+    assert docs.count() > 0
