@@ -254,15 +254,20 @@ def _apart(a: Column, b: Column) -> Column:
     return out
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether every node above another has one edge down, to a node that has none: nothing is left to do."""
+    ends = e.select(F.col("u").alias("c"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(e.select(F.col("v").alias("c"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("c").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 or down = 1 and up = 1").isEmpty()
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(c, label): the smallest node that each node reaches. ``edges`` (a, b); nodes without an edge are their own label.
 
     Rounds of large-star and small-star: every round ties the neighbours of a node to their smallest one, first those
-    above the node, then those below it. The edges never grow in number, and a star is left when nothing changes.
+    above the node, then those below it. The edges never grow in number, until only stars are left.
     """
     e = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    size = None
-    while True:
+    while not _stars(e):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -270,10 +275,6 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         down = staged(large.groupBy("u").agg(F.min("v").alias("m")), "down")
         small = large.join(down, "u").select("v", "m").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).distinct()
         e = staged(small, "small")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == size:
-            break
-        size = now
     return nodes.join(e.select(F.col("u").alias("c"), F.col("v").alias("to")), "c", "left").select("c", F.coalesce("to", "c").alias("label"))
 
 
