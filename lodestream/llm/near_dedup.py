@@ -38,7 +38,7 @@ BINS = 4096
 SKETCH_LONGS = 32
 SLACK = 4.5
 ROUNDS = 3
-BLOCK = 4096
+BLOCK = 512
 _LAST = 2**63 - 1
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
