@@ -90,6 +90,19 @@ def flatten_names(df: DataFrame, separator: str = "|") -> DataFrame:
     return flat.select(*[F.col(f"_{i}").alias(n) for i, n in cols])
 
 
+def mappable(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Keys of both tables, or of the one that is not empty, in one pass; null keys are none."""
+    u = a.select(key, F.lit(1).alias("_a"), F.lit(0).alias("_b")).union(b.select(key, F.lit(0), F.lit(1))).filter(F.col(key).isNotNull())
+    sides = u.groupBy(key).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+    some = sides.agg(F.max("_a").alias("_sa"), F.max("_b").alias("_sb"))
+    return sides.join(F.broadcast(some)).filter((F.col("_a") == F.col("_sa")) & (F.col("_b") == F.col("_sb"))).select(key)
+
+
+def last_of(df: DataFrame, key: str, value: str, *order: Column) -> DataFrame:
+    """A lookup table (key, value): of repeated keys the last row in ``order``."""
+    return keep_first(df, [key], *[o.desc() for o in order]).select(key, value)
+
+
 def resolve(df: DataFrame, names: list[str], contains: list[str] = ()) -> str | None:
     """The first column that has one of ``names`` (case-insensitive), else one that contains a token."""
     lower = {c.lower().strip(): c for c in df.columns}

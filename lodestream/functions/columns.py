@@ -121,8 +121,13 @@ def point_label(name: Column, geo: Column) -> Column:
     return F.concat(known(name), F.lit(" ("), known(geo), F.lit(")"))
 
 
+def fixed_point(c: Column, digits: int) -> Column:
+    """Rounds the binary value half to even, as printf does; ``format_string`` rounds its shortest decimal half up."""
+    return F.replace(F.format_number(c, digits), F.lit(","), F.lit(""))
+
+
 def percent(c: Column, digits: int = 2) -> Column:
-    return F.when(c.isNull(), "-").otherwise(F.format_string(f"%.{digits}f%%", c))
+    return F.when(c.isNull(), "-").otherwise(F.concat(fixed_point(c, digits), F.lit("%")))
 
 
 def document_weight(name: Column) -> Column:
@@ -227,9 +232,58 @@ def question_key(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(F.lower(c), F.lit("？"), F.lit("?")), r"\s+", " "))
 
 
-def is_question(c: Column) -> Column:
-    q = F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    return q.endswith("?") & q.rlike("^(" + "|".join(fixed.QUESTION_STARTS) + ")")
+def squeezed(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
+
+
+def is_question(c: Column, spoken: Column | None = None) -> Column:
+    """English by its first word and a question mark; Chinese (``spoken`` zh...) by the wide mark or an asking word, unless
+    it begins as an instruction."""
+    q = F.lower(squeezed(c))
+    english = q.endswith("?") & q.rlike("^(" + "|".join(fixed.QUESTION_STARTS) + ")")
+    if spoken is None:
+        return english
+    told = reduce(lambda a, b: a | b, [q.startswith(p) for p in fixed.CHINESE_INSTRUCTIONS])
+    return F.when(spoken.startswith("zh"), ~told & (q.contains("？") | contains_any(q, fixed.CHINESE_ASKING))).otherwise(english)
+
+
+def is_noisy_sentence(c: Column) -> Column:
+    """Too short for a question's answer, or legal and technical boilerplate."""
+    t = F.lower(squeezed(c))
+    return reduce(lambda a, b: a | b, [t.rlike(p) for p in fixed.NOISY_SENTENCES], F.length(t) < 25)
+
+
+def zero_filled(c: Column, width: int) -> Column:
+    return F.when(F.length(c) < width, F.lpad(c, width, "0")).otherwise(c)
+
+
+def file_stems(c: Column) -> Column:
+    """Names a code's file may have: the text itself, its number in four and in five digits; each once."""
+    text = F.trim(c.cast("string"))
+    number = F.nullif(F.regexp_replace(F.regexp_replace(text, r"\D", ""), r"^0+(?=\d)", ""), F.lit(""))
+    return F.array_distinct(F.array_compact(F.array(F.nullif(text, F.lit("")), zero_filled(number, 4), zero_filled(number, 5))))
+
+
+def safe_file_name(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9_.-]+", "_"), "^_+|_+$", "")
+
+
+def code_of_path(path: Column, default: str = "UNKNOWN") -> Column:
+    """The code in five digits of the folder over a ``csv`` folder (or over two of them), where it is a code."""
+    parts = F.reverse(F.split(F.regexp_replace(path, "/+$", ""), "/+"))
+    name = F.trim(F.when(F.lower(F.get(parts, F.lit(1))) == "csv", F.get(parts, F.lit(2))).otherwise(F.get(parts, F.lit(1))))
+    return F.when(name.rlike(r"^\d{4,5}$"), F.lpad(name, 5, "0")).otherwise(default)
+
+
+def compact_answer(c: Column, most: int) -> Column:
+    t = F.replace(F.replace(squeezed(c), F.lit(" ,"), F.lit(",")), F.lit(" ."), F.lit("."))
+    return F.trim(F.substring(t, 1, most))
+
+
+def cut_words(c: Column, most: int) -> Column:
+    """Squeezed; what is longer is cut back to a word boundary and ends in three points."""
+    t = squeezed(c)
+    return F.when(F.length(t) > most, F.concat(F.regexp_replace(F.substring(t, 1, most), " [^ ]*$", ""), F.lit("..."))).otherwise(t)
 
 
 def is_bad_answer(answer: Column, tag: Column) -> Column:

@@ -217,3 +217,104 @@ TOPIC_PATTERNS = {
     "dividend": r"\bdividend\b|\bsemi-annually\b|\bdistribution\b",
     "currency_counter": r"\bhkd counter\b|\brmb counter\b|\bdual counter\b|\btrading currency\b",
 }
+
+# Themes of an instrument's metadata; a query's themes are THEMES.
+BUNDLE_THEMES = {
+    "oil": ["oil", "crude", "wti", "brent", "石油", "原油", "能源"],
+    "gold": ["gold", "bullion", "黃金"],
+    "china_tech": ["china", "chinese", "tech", "科技", "科網", "internet"],
+    "dividend": ["dividend", "yield", "income", "派息", "股息"],
+    "bond": ["bond", "fixed income", "treasury", "債"],
+    "money_market": ["money market", "cash", "貨幣市場"],
+}
+
+# Sentences that give no question, Chinese instructions that are none, and words that mark a Chinese one.
+NOISY_SENTENCES = [
+    r"all rights reserved",
+    r"take no responsibility",
+    r"no representation as to",
+    r"copyright",
+    r"http://",
+    r"https://",
+    r"\b\d{6,}\b",
+    r"forms an integral part of",
+    r"shall be deemed to be deleted and replaced",
+    r"under the section entitled",
+    r"with the prior approval of the promoter",
+]
+CHINESE_INSTRUCTIONS = ["請根據基金文件說明", "請總結", "請介紹"]
+CHINESE_ASKING = ["是否", "甚麼", "什麼", "如何", "哪些", "哪個", "何時", "多少", "風險"]
+
+# Question and answer of each key fact; {} is the ticker or the value.
+FACT_QUESTIONS = {
+    "stock_code": ("What is the stock code of ETF {}?", "The stock code is {}."),
+    "trading_lot_size": ("What is the trading lot size for ETF {}?", "The trading lot size is {}."),
+    "fund_manager": ("Who is the fund manager of ETF {}?", "The fund manager is {}."),
+    "underlying_index": ("What index does ETF {} track?", "The ETF tracks {}."),
+    "base_currency": ("What is the base currency of ETF {}?", "The base currency is {}."),
+    "ongoing_charges": ("What are the ongoing charges of ETF {}?", "The ongoing charges are {}."),
+    "tracking_difference": ("What is the latest tracking difference for ETF {}?", "The latest tracking difference is {}."),
+    "dividend_policy": ("What is the dividend policy of ETF {}?", "The dividend policy is {}."),
+}
+
+# Questions of each topic.
+TOPIC_QUESTIONS = {
+    "objective_strategy": [
+        "What is the investment objective of ETF {}?",
+        "How does ETF {} implement its index-tracking strategy?",
+        "How closely does ETF {} aim to replicate its benchmark?",
+    ],
+    "key_risks": [
+        "What are the key risks investors should know for ETF {}?",
+        "What risk factors are highlighted in the product key facts for ETF {}?",
+        "Which risks could cause losses for ETF {} investors?",
+    ],
+    "fees_charges": [
+        "What fees and charges apply to ETF {}?",
+        "What are the key trading and ongoing costs for ETF {}?",
+        "How do management and trustee fees work for ETF {}?",
+    ],
+    "derivatives": [
+        "Does ETF {} use derivatives, and what are the limits?",
+        "What is the derivative exposure framework for ETF {}?",
+        "How are futures/options/warrants addressed in ETF {} documentation?",
+    ],
+    "termination": [
+        "What are the termination conditions for ETF {}?",
+        "Under what scenarios may ETF {} be terminated?",
+        "How does low NAV affect termination risk for ETF {}?",
+    ],
+    "dividend": [
+        "How does dividend distribution work for ETF {}?",
+        "When are dividends generally paid for ETF {}?",
+        "Are dividend payouts guaranteed for ETF {}?",
+    ],
+    "currency_counter": [
+        "How do HKD and RMB counters work for ETF {}?",
+        "What dual-counter risks should investors know for ETF {}?",
+        "What currency-related trading considerations apply to ETF {}?",
+    ],
+}
+
+# Pattern and question of answers that are one sentence.
+SENTENCE_QUESTIONS = [
+    (r"\bpassive exchange traded fund\b|\bpassive investment\b", "Is ETF {} actively managed or passive?"),
+    (r"\bno guarantee\b|\brepayment of principal\b", "Is principal guaranteed when investing in ETF {}?"),
+    (r"\btracking error\b", "What causes tracking error in ETF {}?"),
+    (r"\bequity market risk\b|\bequity securities\b", "What equity market risks affect ETF {}?"),
+]
+CHINESE_ANSWER = "根據基金文件：{}"
+
+# Words of an answer about fees, fragments of legal text, and the replies.
+FEE_HINTS = ["ongoing charges", "expense ratio", "management fee", "費用", "收費", "管理費"]
+LEGAL_FRAGMENTS = ["sub-section entitled", "forms an integral part", "addendum dated"]
+FEE_REPLIES = {
+    "en": (
+        "Based on fund documents, ongoing charges are about {}% per year. Additional dealing/creation-redemption fees may also apply.",
+        "Based on fund documents, this ETF has ongoing charges plus transaction and creation/redemption related fees; please refer to the latest KFS/prospectus for exact breakdown.",
+    ),
+    "zh": (
+        "根據基金文件，這隻ETF的全年持續收費約為 {}%。另外，交易及申購/贖回可能涉及其他費用。",
+        "根據基金文件，這隻ETF會有持續收費及交易相關費用；具體收費請以最新產品資料概要及基金章程為準。",
+    ),
+}

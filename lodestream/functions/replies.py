@@ -55,6 +55,13 @@ def fallback(query: Column, code: Column, alternatives: Column) -> Column:
     )
 
 
+def fee_reply(language: Column, percent: Column) -> Column:
+    """The yearly charge in either language, with up to three decimals; a general sentence where it is null."""
+    digits = F.regexp_replace(C.fixed_point(percent, 3), r"\.?0+$", "")
+    told = {k: F.when(percent.isNull(), b).otherwise(F.replace(F.lit(a), F.lit("{}"), digits)) for k, (a, b) in fixed.FEE_REPLIES.items()}
+    return F.when(language.startswith("zh"), told["zh"]).otherwise(told["en"])
+
+
 def prompt(query: Column, code: Column, context: Column, alerts: Column) -> Column:
     """User prompt with intent rules, context and alerts as JSON."""
     zh = C.language(query) == "zh"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestream.frames import materialise
+from lodestream.frames import keep_first, materialise, top_n
 from lodestream.functions.columns import distance
 
 _text = lambda c: F.trim(F.coalesce(c, F.lit("")))
@@ -60,3 +60,22 @@ def degree_capped(edges: DataFrame, a: str, b: str, order: list[str], cap: int =
         left = materialise(state.filter("keep = 0 and full = 0").drop("keep", "full"))
         if left.isEmpty():
             return taken
+
+
+def context(views: DataFrame, home: DataFrame, twins: DataFrame, k: int = 3) -> DataFrame:
+    """(ticker, dominant_cluster, clusters, alternatives) of every ticker of ``views`` (ticker, perspective, cluster_id).
+
+    ``clusters`` holds (perspective, cluster_id), the dominant cluster is the commonest of them, the smallest of ties.
+    ``alternatives`` holds the ``k`` nearest (ticker, signal, pc_distance, perspective) of both pair tables, each ticker once; a
+    missing distance counts as 999. Without pairs it is empty."""
+    view = views.filter("cluster_id is not null").select("ticker", "perspective", "cluster_id").distinct()
+    own = view.groupBy("ticker").agg(F.mode("cluster_id", True).alias("dominant_cluster"), F.array_sort(F.collect_list(F.struct("perspective", "cluster_id"))).alias("clusters"))
+    side = lambda df, a, b, signal: df.select(F.col(a).alias("ticker"), F.col(b).alias("other"), F.lit(signal).alias("signal"), F.coalesce("pc_distance", F.lit(999.0)).alias("pc_distance"), "perspective")
+    alts = side(home, "source_ticker", "alternative_ticker", "home_bias_candidate")
+    for a, b in (("ticker_a", "ticker_b"), ("ticker_b", "ticker_a")):
+        alts = alts.unionByName(side(twins, a, b, "hidden_twin_candidate"))
+    once = keep_first(alts.filter("other is not null"), ["ticker", "other"], F.col("pc_distance"), F.col("signal").desc(), F.col("perspective"))
+    best = top_n(once, ["ticker"], k, F.col("pc_distance"), F.col("other"))
+    got = best.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("other").alias("ticker"), "signal", "pc_distance", "perspective"))).alias("alternatives"))
+    none = F.array().cast(got.schema["alternatives"].dataType)
+    return views.select("ticker").distinct().join(own, "ticker", "left").join(got, "ticker", "left").withColumn("alternatives", F.coalesce("alternatives", none))

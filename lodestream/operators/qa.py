@@ -148,6 +148,33 @@ def topic_rows(sentences: DataFrame, key: str, limit: int = 5) -> DataFrame:
     return top_n(sentences.select(key, "pos", "text", F.explode(F.array_compact(topics)).alias("topic")), [key, "topic"], limit, F.col("pos"))
 
 
+def topic_answers(sentences: DataFrame, key: str, limit: int = 8, most_chars: int = 900, seed: int = 42) -> DataFrame:
+    """(key, topic, n, question, answer, pos): for each question of a topic two to four of the topic's first ``limit``
+    sentences. A hash of seed, key and question tells how many, a hash of these and the sentence which and in what order, so
+    that equal inputs give equal answers wherever they run."""
+    have = topic_rows(sentences, key, limit).groupBy(key, "topic").agg(F.array_sort(F.collect_list(F.struct("rank", "pos", "text"))).alias("rows"))
+    table = F.create_map(*[x for t, qs in C.fixed.TOPIC_QUESTIONS.items() for x in (F.lit(t), F.array(*[F.lit(q) for q in qs]))])
+    d = have.select(key, "topic", "rows", F.posexplode(table[F.col("topic")]).alias("n", "ask"))
+    d = d.withColumn("question", F.replace("ask", F.lit("{}"), F.col(key).cast("string"))).withColumn("_h", F.concat_ws(":", F.lit(str(seed)), "question"))
+    take = F.least(F.size("rows"), 2 + F.conv(F.substring(F.md5("_h"), 1, 4), 16, 10).cast("int") % 3)
+    dealt = F.array_sort(F.transform("rows", lambda r: F.struct(F.md5(F.concat_ws(":", F.col("_h"), r["text"])).alias("h"), r["text"].alias("text"))))
+    answer = C.compact_answer(F.array_join(F.transform(F.slice(dealt, F.lit(1), take), lambda x: x["text"]), " "), most_chars)
+    return d.select(key, "topic", "n", "question", answer.alias("answer"), F.get("rows", F.lit(0))["pos"].alias("pos"))
+
+
+def risk_bullets(scored: DataFrame, k: int = 3, top: int = 8, least: float = 0.30) -> DataFrame:
+    """(query_id, bullet, item, text): up to ``k`` different answers about risks among the ``top`` best of each query.
+
+    ``scored`` (query_id, item, score, question, answer, tag). Answers below ``least``, not about risks, empty or with legal
+    fragments go; of equal ones (in normal form) the better stays."""
+    first = top_n(scored, ["query_id"], top, F.col("score").desc(), F.col("item")).filter(F.col("score") >= least)
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    about = F.lower(text("tag")).contains("risk") | C.contains_any(text("question"), C.fixed.LOOKUP_WORDS["risk"])
+    said = first.filter(about & ~C.contains_any(text("answer"), C.fixed.LEGAL_FRAGMENTS)).select("query_id", "item", "rank", C.summary_sentence(text("answer")).alias("text"))
+    one = top_n(said.filter("text <> ''").withColumn("norm", C.normalise_text(F.col("text"))), ["query_id", "norm"], 1, F.col("rank"), rank="_one")
+    return top_n(one, ["query_id"], k, F.col("rank"), rank="bullet").select("query_id", "bullet", "item", "text")
+
+
 def question_pairs(turns: DataFrame) -> DataFrame:
     """(conv_id, pos, question, answer) of each user turn with the assistant turn right after it."""
     u = turns.filter("role = 'user'").select("conv_id", F.col("turn").alias("pos"), F.col("text").alias("question"))

@@ -163,3 +163,76 @@ def candidates(queries: DataFrame, corpus: DataFrame, k: int = 3) -> DataFrame:
     if "q" in queries.columns and "v" in corpus.columns:
         return similar(queries.select("query_id", "q"), corpus.select("item", "v"), k).filter("score > 0")
     return lexical(queries, corpus, k).withColumnRenamed("overlap", "score")
+
+
+def meet(queries: DataFrame, rows: DataFrame, query: str, row: str, query_block: int = 512, block: int = 4096) -> DataFrame:
+    """Every query beside every row, in pairs of blocks of bounded size, for scores that built-ins express. Rows of a null
+    id meet as those of one block."""
+    nq, nc = (max(1, -(-df.count() // n)) for df, n in ((queries, query_block), (rows, block)))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select("*", part(query, nq).alias("_qb"), spread(nc).alias("_cb"))
+    return q.join(rows.select("*", part(row, nc).alias("_cb"), spread(nq).alias("_qb")), ["_qb", "_cb"]).drop("_qb", "_cb")
+
+
+def hybrid(queries: DataFrame, catalogue: DataFrame, risks: DataFrame, news: DataFrame, k: int = 5, most_risks: int = 30) -> DataFrame:
+    """Best ``k`` instruments of each query by .40 theme + .30 metadata + .25 risk / the query's best risk + .05 news.
+
+    ``queries`` (query_id, text), ``catalogue`` (ticker, name, bundle) with one row a ticker, ``risks`` (query_id, ticker,
+    score), of which the ``most_risks`` best positive ones of a query count, ``news`` (ticker, text, score), of which a ticker's
+    best .6 overlap + .4 score counts; negative scores of news are 0. All of the catalogue and whatever has a risk score
+    is ranked, ties by ticker. Risk and news only add, so that what has neither is among the first k by metadata alone: no
+    more of the pairs than these travel.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    q = queries.select("query_id", C.tokens(text("text")).alias("qt"), C.matching(text("text"), C.fixed.THEMES).alias("qth"))
+    m = catalogue.select("ticker", "name", C.tokens(text("bundle")).alias("mt"), C.matching(text("bundle"), C.fixed.BUNDLE_THEMES).alias("mth"))
+    meta = C.overlap(F.col("qt"), F.col("mt"))
+    theme = F.size(F.array_intersect("qth", "mth")) / F.greatest(F.size("qth"), F.lit(1))
+    plain = top_n(meet(q, m, "query_id", "ticker").select("query_id", "ticker", (0.4 * theme + 0.3 * meta).alias("s")), ["query_id"], k, F.col("s").desc(), F.col("ticker"))
+    risk = top_n(risks.filter("score > 0"), ["query_id"], most_risks, F.col("score").desc(), F.col("ticker")).select("query_id", "ticker", F.col("score").alias("risk_score"))
+    best = risk.groupBy("query_id").agg(F.max("risk_score").alias("best_risk"))
+    said = news.groupBy("ticker", F.array_sort(C.tokens(text("text"))).alias("nt")).agg(F.greatest(F.coalesce(F.max("score"), F.lit(0.0)), F.lit(0.0)).alias("ns"))
+    told = meet(q.filter(F.size("qt") > 0), said, "query_id", "ticker")
+    aux = told.groupBy("query_id", "ticker").agg(F.max(0.6 * C.overlap(F.col("qt"), F.col("nt")) + 0.4 * F.col("ns")).alias("news_score"))
+    names = lambda df: df.select("query_id", "ticker")
+    some = names(plain).union(names(risk)).union(names(aux).join(m.select("ticker"), "ticker", "left_semi").select("query_id", "ticker")).distinct()
+    j = some.join(q, "query_id").join(m, "ticker", "left").join(risk, ["query_id", "ticker"], "left").join(best, "query_id", "left").join(aux, ["query_id", "ticker"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    j = j.select("query_id", "ticker", F.coalesce("name", F.lit("Unknown ETF")).alias("name"), zero(theme).alias("theme_score"), zero(meta).alias("metadata_score"), zero(F.col("risk_score")).alias("risk_score"), zero(F.col("news_score")).alias("news_score"), zero(F.col("risk_score") / F.greatest("best_risk", F.lit(1e-6))).alias("_n"))
+    final = 0.40 * F.col("theme_score") + 0.30 * F.col("metadata_score") + 0.25 * F.col("_n") + 0.05 * F.col("news_score")
+    return top_n(j.withColumn("final_score", F.round(final, 9)).drop("_n"), ["query_id"], k, F.col("final_score").desc(), F.col("ticker"))
+
+
+def resolve_codes(queries: DataFrame, catalogue: DataFrame, ranked: DataFrame, suggested: DataFrame) -> DataFrame:
+    """(query_id, rule, ticker, suggestions): the first rule that hits. 1: the first four-digit code of the text that is in
+    the catalogue; 2: a name in the text or around it, the first by ticker; 3: the best of ``ranked`` with .20 or more and .03
+    before the next; 4: the best with .16 or more; 5: none, with the ``suggested`` tickers (query_id, ticker, rank).
+
+    ``queries`` (query_id, text), ``catalogue`` (ticker, name); code 0000 and blank names and texts hit nothing.
+    """
+    c = catalogue.select(F.col("ticker").cast("string").alias("ticker"), F.lower(F.trim("name")).alias("name")).filter("ticker <> '0000'")
+    code = F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{N}_])(\d{4})(?![\p{L}\p{N}_])"), F.lit(1))
+    hits = queries.select("query_id", F.posexplode(code).alias("o", "ticker")).join(c.select("ticker"), "ticker", "left_semi")
+    first = hits.groupBy("query_id").agg(F.min(F.struct("o", "ticker"))["ticker"].alias("t1"))
+    asked = queries.select("query_id", F.lower(F.trim("text")).alias("asked")).filter("asked <> ''")
+    near = meet(asked, c.filter("name <> ''"), "query_id", "ticker").filter(F.col("asked").contains(F.col("name")) | F.col("name").contains(F.col("asked")))
+    named = near.groupBy("query_id").agg(F.min("ticker").alias("t2"))
+    top = ranked.groupBy("query_id").agg(*[F.max(F.when(F.col("rank") == r, F.col(v).cast(t))).alias(n) for r, v, t, n in ((1, "ticker", "string", "t3"), (1, "final_score", "double", "s1"), (2, "final_score", "double", "s2"))])
+    hint = suggested.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("ticker").cast("string").alias("t")))), lambda x: x["t"]), ",").alias("hint"))
+    j = queries.select("query_id").join(first, "query_id", "left").join(named, "query_id", "left").join(top, "query_id", "left").join(hint, "query_id", "left")
+    sure = (F.col("s1") >= 0.20) & (F.col("s1") - F.coalesce("s2", F.lit(0.0)) >= 0.03)
+    rule = F.when(F.col("t1").isNotNull(), 1).when(F.col("t2").isNotNull(), 2).when(sure, 3).when(F.col("s1") >= 0.16, 4).otherwise(5)
+    j = j.withColumn("rule", rule)
+    ticker = F.when(F.col("rule") == 1, F.col("t1")).when(F.col("rule") == 2, F.col("t2")).when(F.col("rule") < 5, F.col("t3"))
+    return j.select("query_id", "rule", ticker.alias("ticker"), F.when(F.col("rule") == 5, F.coalesce("hint", F.lit(""))).alias("suggestions"))
+
+
+def cards(ranked: DataFrame, details: DataFrame) -> DataFrame:
+    """One row a query of ``ranked``: the best instrument with benchmark, risks cut at 200 characters, fee and up to three
+    alternatives. ``details`` (ticker, benchmark, key_risks, fee), one row a ticker; missing pieces are "-"."""
+    known = lambda c: F.nullif(F.nullif(F.trim(c), F.lit("")), F.lit("nan"))
+    other = F.array_sort(F.collect_list(F.when(F.col("rank").between(2, 4), F.struct("rank", F.concat_ws(" ", "ticker", "name").alias("t")))))
+    g = ranked.groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.struct("ticker", "name", "final_score"))).alias("b"), F.array_join(F.transform(other, lambda x: x["t"]), ", ").alias("alternatives"))
+    j = g.select("query_id", "b.*", "alternatives").join(details, "ticker", "left")
+    return j.select("query_id", "ticker", "name", "final_score", F.coalesce(known(F.col("benchmark")), F.lit("-")).alias("benchmark"), F.coalesce(C.cut_words(known(F.col("key_risks")), 200), F.lit("-")).alias("key_risks"), C.percent(F.col("fee")).alias("fee"), F.when(F.col("alternatives") == "", "No close alternatives found").otherwise(F.col("alternatives")).alias("alternatives"))

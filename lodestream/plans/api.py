@@ -6,9 +6,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestream import frames
 from lodestream.functions import columns as C
+from lodestream.functions import replies
 from lodestream.operators import clustering, pairs, qa, retrieval, series, stability, text
 
 
@@ -108,32 +110,53 @@ def run_stability(spark: SparkSession, encode, corpus: DataFrame, concepts: int
     return {"headlines": h.drop("query_id"), "concepts": by_concept, "domains": stability.domain_stability(by_concept)}
 
 
-#: Question templates by fact, and the pattern that finds the fact in the first sentence that has it.
-FACTS = {
-    "management_fee": ("What is the management fee?", r"management fee[^.]*?(\d+(?:\.\d+)?\s*%)"),
-    "ongoing_charges": ("What are the ongoing charges?", r"ongoing charges[^.]*?(\d+(?:\.\d+)?\s*%)"),
-    "base_currency": ("What is the base currency?", r"base currency\s*:?\s*([A-Z]{3})"),
-    "index": ("Which index is tracked?", r"underlying index\s*:?\s*([^.;]{3,80})"),
-    "dividend": ("What is the dividend policy?", r"(?:dividend|distribution) policy\s*:?\s*([^.;]{3,120})"),
-}
-
-
-def generate_qa(sentences: DataFrame, key: str = "ticker", most: int = 240, least_chars: int = 40, seed: int = 42) -> DataFrame:
-    """(key, id, question, answer, source_tag, pos): facts, then single sentences by topic, deduplicated, gated, the
-    shortest sound answer a question, at most ``most`` a key in a hash order that depends on nothing but the pair."""
-    facts = None
-    for tag, (question, pattern) in FACTS.items():
-        v = F.regexp_extract("text", f"(?i){pattern}", 1)
-        one = frames.keep_first(sentences.withColumn("v", v).filter("v <> ''"), [key], F.col("pos"))
-        f = one.select(key, "pos", F.lit(question).alias("question"), F.concat(F.lit("According to the fund documents, the answer is "), F.trim("v"), F.lit(".")).alias("answer"), F.lit(tag).alias("source_tag"))
-        facts = f if facts is None else facts.unionByName(f)
-    tags = C.matching(F.col("text"), C.fixed.RISK_KEYWORDS)
-    single = sentences.filter(~C.is_noise(F.col("text"))).select(key, "pos", F.explode(tags).alias("tag"), "text")
-    single = single.select(key, "pos", F.concat(F.lit("What do the documents say about "), F.replace("tag", F.lit("_"), F.lit(" ")), F.lit("?")).alias("question"), F.col("text").alias("answer"), F.concat(F.lit("topic_"), "tag").alias("source_tag"))
-    all_ = facts.unionByName(single).filter(C.is_question(F.col("question")) & ~C.is_bad_answer(F.col("answer"), F.col("source_tag")))
-    best = qa.shortest_answers(all_.withColumn("qk", C.question_key(F.col("question"))), [key, "qk"], least_chars)
-    ranked = frames.top_n(best, [key], most, F.xxhash64(F.lit(seed), "qk"), F.col("qk"))
-    return ranked.select(key, F.concat_ws("-", F.col(key).cast("string"), F.lpad(F.col("rank").cast("string"), 4, "0")).alias("id"), "question", "answer", "source_tag", "pos")
+def run_side_by_side(queries: DataFrame, gold: DataFrame, corpora: dict[str, DataFrame], k: int = 3, preset: retrieval.Preset = retrieval.FAST) -> DataFrame:
+    """One row a corpus: top-1 precision and top-k recall of the same labelled queries against each. ``gold`` (query_id, item)."""
+    out = None
+    for name, corpus in corpora.items():
+        r = retrieval.evaluate(run_news(queries, corpus, k, preset), gold, k).select(F.lit(name).alias("corpus"), "*")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def _facts(sentences: DataFrame, key: str) -> DataFrame:
+    """(key, fact, pos, value): first value of each fact. A sentence is read with the three after it, so that a heading may
+    stand apart from its value; only a text's last sentence may end a value."""
+    w = Window.partitionBy(key).orderBy("pos")
+    ahead = F.concat_ws(" ", "text", *[F.lead("text", i).over(w) for i in (1, 2, 3)])
+    d = sentences.withColumn("ahead", F.when(F.lead("text", 3).over(w).isNull(), ahead).otherwise(F.concat(ahead, F.lit(" ."))))
+    d = d.select(key, "pos", replies.key_facts(F.col("ahead")).alias("f"))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("fact"), F.col(f"f.{n}").alias("value")) for n in C.fixed.KEY_FACTS]))
+    return frames.keep_first(d.select(key, "pos", each.alias("x")).select(key, "pos", "x.*").filter("value is not null"), [key, "fact"], F.col("pos"))
+
+
+def generate_qa(sentences: DataFrame, key: str = "ticker", most: int = 240, least_chars: int = 40, most_chars: int = 900, seed: int = 42, bilingual: bool = True) -> DataFrame:
+    """(key, id, question, answer, source_tag, language, pos): key facts, topics of two to four sentences and single
+    sentences, each also in Chinese where its question has a translation; gated, the shortest sound answer a question, at
+    most ``most`` a key in a hash order that depends on nothing but key and question.
+
+    ``sentences`` (key, pos, text): noisy, short and repeated ones of a key go first."""
+    d = sentences.select(key, "pos", C.squeezed(F.col("text")).alias("text")).filter(~C.is_noisy_sentence(F.col("text")) & (F.length("text") >= least_chars))
+    d = frames.materialise(frames.keep_first(d, [key, "text"], F.col("pos")))
+    name = F.col(key).cast("string")
+    fill = lambda template, value: F.replace(template, F.lit("{}"), value)
+    pick = lambda table, i: F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v[i]))])[F.col("fact")]
+    rank = F.create_map(*[x for i, n in enumerate(C.fixed.FACT_QUESTIONS) for x in (F.lit(n), F.lit(i))])[F.col("fact")]
+    facts = _facts(d, key).select(key, F.struct(F.lit(0), rank, F.lit(0)).alias("o"), "pos", fill(pick(C.fixed.FACT_QUESTIONS, 0), name).alias("question"), fill(pick(C.fixed.FACT_QUESTIONS, 1), F.col("value")).alias("answer"), F.lit("fact_extraction").alias("source_tag"))
+    place = F.create_map(*[x for i, n in enumerate(C.fixed.TOPIC_QUESTIONS) for x in (F.lit(n), F.lit(i))])[F.col("topic")]
+    topics = qa.topic_answers(d, key, most_chars=most_chars, seed=seed).select(key, F.struct(F.lit(1), place, "n").alias("o"), "pos", "question", "answer", F.col("topic").alias("source_tag"))
+    hits = F.array_compact(F.array(*[F.when(F.col("text").rlike(f"(?i){p}"), F.struct(F.lit(i).alias("i"), F.lit(q).alias("q"))) for i, (p, q) in enumerate(C.fixed.SENTENCE_QUESTIONS)]))
+    single = frames.top_n(d.select(key, "pos", "text", F.explode(hits).alias("h")).select(key, "pos", "text", "h.*"), [key, "i"], 3, F.col("pos"))
+    single = single.select(key, F.struct(F.lit(2), "i", "rank").alias("o"), "pos", fill(F.col("q"), name).alias("question"), C.compact_answer(F.col("text"), most_chars).alias("answer"), F.lit("single_sentence").alias("source_tag"))
+    plain = facts.union(topics.union(single).filter(F.length("answer") >= least_chars)).withColumn("language", F.lit("en"))
+    if bilingual:
+        zh = F.struct(F.lit("zh-HK").alias("language"), replies.chinese_question(F.col("question"), name).alias("question"), fill(F.lit(C.fixed.CHINESE_ANSWER), F.col("answer")).alias("answer"), F.concat("source_tag", F.lit("_zh")).alias("source_tag"))
+        en = F.struct("language", "question", "answer", "source_tag")
+        plain = plain.select(key, "o", "pos", F.explode(F.array(en, zh)).alias("x")).select(key, "o", "pos", "x.*").filter("question is not null")
+    good = plain.filter(C.is_question(F.col("question"), F.col("language")) & ~C.is_bad_answer(F.col("answer"), F.col("source_tag")))
+    best = qa.shortest_answers(good.withColumnRenamed("pos", "at").withColumnRenamed("o", "pos").withColumn("qk", C.question_key(F.col("question"))), [key, "language", "qk"], least_chars)
+    ranked = frames.top_n(best, [key], most, F.md5(F.concat_ws(":", F.lit(str(seed)), name, "qk")), F.col("qk"))
+    return ranked.select(key, F.concat_ws("-", name, F.lpad(F.col("rank").cast("string"), 4, "0")).alias("id"), "question", "answer", "source_tag", "language", F.col("at").alias("pos"))
 
 
 def build_profiles(documents: DataFrame, key: str, body: str) -> DataFrame:

@@ -273,20 +273,25 @@ def pairs_degree_capped(spark, d):
 
 @query
 def dna_context(spark, d):
-    """Per instrument: its cluster, the dominant cluster of its neighbours, three nearest alternatives over both directions."""
-    p = pairs.hidden_twins(vectors(spark, d), ["geo", "kind", "focus"], NEAR)
-    both = p.select(F.col("ticker_a").alias("ticker"), F.col("ticker_b").alias("other"), "pc_distance", "cluster_id").unionByName(p.select(F.col("ticker_b").alias("ticker"), F.col("ticker_a").alias("other"), "pc_distance", "cluster_id"))
-    best = frames.top_n(frames.keep_first(both, ["ticker", "other"], F.col("pc_distance")), ["ticker"], 3, F.col("pc_distance"), F.col("other"))
-    alts = best.groupBy("ticker").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "other"))), lambda x: x["other"].cast("string")), ",").alias("alternatives"))
-    own = both.groupBy("ticker").agg(F.mode("cluster_id", True).alias("dominant_cluster"), F.count("*").alias("links"))
-    return own.join(alts, "ticker")
+    """Per instrument: its clusters by perspective, the dominant one, and the nearest three alternatives of both pair tables."""
+    v = vectors(spark, d)
+    others = [v.select("ticker", F.lit(f"by_{n}").alias("perspective"), (F.col("ticker") % n).alias("cluster_id")) for n in (3, 4)]
+    views = v.select("ticker", "perspective", F.col("cluster_id").cast("long").alias("cluster_id")).unionByName(others[0]).unionByName(others[1])
+    c = pairs.context(views, pairs.home_bias(v, NEAR), pairs.hidden_twins(v, ["geo", "kind", "focus"], NEAR))
+    told = lambda c, *names: F.array_join(F.transform(c, lambda x: F.concat_ws(":", *[x[n].cast("string") for n in names])), ",")
+    return c.select("ticker", "dominant_cluster", told(F.col("clusters"), "perspective", "cluster_id").alias("clusters"), told(F.col("alternatives"), "ticker", "signal").alias("alternatives"))
 
 
 SQL["dna_context"] = f"""WITH {_VEC}, w AS (SELECT ticker, pcs, cluster_id, coalesce(geo, '') AS geo, coalesce(kind, '') AS kind, coalesce(focus, '') AS focus FROM v),
-b AS (SELECT a.cluster_id, a.ticker, b.ticker AS other, list_distance(a.pcs, b.pcs) AS dist FROM w a JOIN w b ON a.cluster_id = b.cluster_id AND a.ticker <> b.ticker
-  WHERE (a.geo <> '' AND b.geo <> '' AND a.geo <> b.geo)::INT + (a.kind <> '' AND b.kind <> '' AND a.kind <> b.kind)::INT + (a.focus <> '' AND b.focus <> '' AND a.focus <> b.focus)::INT >= 2 AND list_distance(a.pcs, b.pcs) <= {NEAR}),
-k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY dist, other) AS i FROM b)
-SELECT ticker, min(cluster_id) AS dominant_cluster, count(*) AS links, string_agg(other::VARCHAR, ',' ORDER BY i) FILTER (WHERE i <= 3) AS alternatives FROM k GROUP BY ticker"""
+j AS (SELECT a.ticker, b.ticker AS other, list_distance(a.pcs, b.pcs) AS dist, b.geo <> '' AND a.geo <> b.geo AS home,
+  (a.geo <> '' AND b.geo <> '' AND a.geo <> b.geo)::INT + (a.kind <> '' AND b.kind <> '' AND a.kind <> b.kind)::INT + (a.focus <> '' AND b.focus <> '' AND a.focus <> b.focus)::INT >= 2 AS twin
+  FROM w a JOIN w b ON a.cluster_id = b.cluster_id AND a.ticker <> b.ticker WHERE list_distance(a.pcs, b.pcs) <= {NEAR}),
+k AS (SELECT ticker, other, CASE WHEN home THEN 'home_bias_candidate' ELSE 'hidden_twin_candidate' END AS signal, row_number() OVER (PARTITION BY ticker ORDER BY dist, other) AS i FROM j WHERE home OR twin),
+n AS (SELECT ticker, string_agg(other || ':' || signal, ',' ORDER BY i) AS alternatives FROM k WHERE i <= 3 GROUP BY 1),
+p AS (SELECT ticker, 'macro' AS p, cluster_id::BIGINT AS c FROM v UNION ALL SELECT ticker, 'by_3', ticker % 3 FROM v UNION ALL SELECT ticker, 'by_4', ticker % 4 FROM v),
+o AS (SELECT ticker, c, row_number() OVER (PARTITION BY ticker ORDER BY count(*) DESC, c) AS i FROM p WHERE c IS NOT NULL GROUP BY ticker, c),
+t AS (SELECT ticker, string_agg(p || ':' || c, ',' ORDER BY p) AS clusters FROM p WHERE c IS NOT NULL GROUP BY 1)
+SELECT t.ticker, o.c AS dominant_cluster, clusters, coalesce(alternatives, '') AS alternatives FROM t JOIN o ON o.ticker = t.ticker AND o.i = 1 LEFT JOIN n ON n.ticker = t.ticker"""
 
 
 @query
@@ -390,3 +395,39 @@ def point_labels(spark, d):
 
 
 SQL["point_labels"] = "SELECT s_suppkey, coalesce(nullif(trim(s_name), ''), 'NA') || ' (' || CASE WHEN s_acctbal > 0 THEN coalesce(nullif(trim(n_name), ''), 'NA') ELSE 'NA' END || ')' AS label FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey"
+
+
+@query
+def mappable_universe(spark, d):
+    """Codes that both corpora know, or those of the one that is not empty; each with its last name."""
+    a, b = read(spark, d, "orders").filter("o_totalprice > 100000").select(F.col("o_custkey").alias("code")), read(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("code"))
+    names = frames.last_of(read(spark, d, "orders"), "o_custkey", "o_orderpriority", F.col("o_orderkey"))
+    got = frames.mappable(a, b, "code").withColumn("universe", F.lit("both")).unionByName(frames.mappable(a.filter("code < 0"), b, "code").withColumn("universe", F.lit("second")))
+    return got.join(names.toDF("code", "last_name"), "code", "left")
+
+
+SQL["mappable_universe"] = """WITH a AS (SELECT DISTINCT o_custkey AS code FROM orders WHERE o_totalprice > 100000), b AS (SELECT DISTINCT c_custkey AS code FROM customer WHERE c_acctbal > 0),
+g AS (SELECT code, 'both' AS universe FROM a WHERE code IN (SELECT code FROM b) UNION ALL SELECT code, 'second' FROM b),
+n AS (SELECT o_custkey AS code, arg_max(o_orderpriority, o_orderkey) AS last_name FROM orders GROUP BY 1)
+SELECT g.code, universe, last_name FROM g LEFT JOIN n USING (code)"""
+
+
+@query
+def code_names(spark, d):
+    """File names and titles of instruments, their codes' stems, the code in a path, and what a category says."""
+    p = read(spark, d, "part")
+    folder = F.concat(F.lit("docs/"), F.when(F.col("p_partkey") % 3 == 0, F.lpad(F.col("p_partkey").cast("string"), 4, "0")).otherwise(F.col("p_partkey").cast("string")), F.when(F.col("p_partkey") % 2 == 0, "/csv/csv").otherwise("/csv"))
+    return p.select(
+        "p_partkey", C.safe_file_name(F.concat("p_name", F.lit(": "), "p_brand", F.lit("?"))).alias("file"), C.safe_title(F.concat("p_name", F.lit(" (!) "), "p_type")).alias("title"),
+        F.array_join(C.file_stems(F.concat(F.lit("0"), F.col("p_partkey").cast("string"))), ",").alias("stems"), C.code_of_path(folder).alias("code"),
+        C.is_fund_category(F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("Equity ETF "), "p_type"))).alias("is_fund"), C.asset_bucket(F.get(F.array(*[F.lit(x) for x in ("Equity fund", "Commodity", "Bond", "Money Market", "Mixed")]), (F.col("p_partkey") % 5).cast("int"))).alias("bucket"),
+    )
+
+
+SQL["code_names"] = r"""WITH p AS (SELECT *, p_partkey::VARCHAR AS k FROM part)
+SELECT p_partkey, trim(regexp_replace(p_name || ': ' || p_brand || '?', '[^A-Za-z0-9_.-]+', '_', 'g'), '_') AS file,
+  left(regexp_replace(trim(regexp_replace(p_name || ' (!) ' || p_type, '[^A-Za-z0-9\s_-]', '', 'g')), '\s+', '_', 'g'), 60) AS title,
+  array_to_string(list_distinct_in_order, ',') AS stems, CASE WHEN regexp_full_match(f, '\d{4,5}') THEN lpad(f, 5, '0') ELSE 'UNKNOWN' END AS code,
+  p_size % 2 = 0 AS is_fund, CASE p_partkey % 5 WHEN 0 THEN 'Equity' WHEN 1 THEN 'Commodity' WHEN 4 THEN 'Other' ELSE 'Fixed Income' END AS bucket
+FROM (SELECT *, CASE WHEN p_partkey % 3 = 0 AND p_partkey < 10000 THEN lpad(k, 4, '0') WHEN p_partkey % 3 = 0 THEN left(k, 4) ELSE k END AS f,
+  list_filter(['0' || k, CASE WHEN length(k) < 4 AND lpad(k, 4, '0') <> '0' || k THEN lpad(k, 4, '0') WHEN length(k) >= 4 THEN k END, CASE WHEN length(k) < 4 THEN lpad(k, 5, '0') WHEN length(k) = 4 AND '0' || k <> lpad(k, 5, '0') THEN lpad(k, 5, '0') END], lambda x: x IS NOT NULL) AS list_distinct_in_order FROM p)"""

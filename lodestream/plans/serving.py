@@ -237,29 +237,68 @@ SQL["stability_domain"] = _STAB + """SELECT domain, count(*) AS concepts, round_
   round_even(avg(avg_tie_bucket_jaccard), 4) AS avg_tie_bucket_jaccard, round_even(avg(composite_stability_score), 4) AS avg_composite_stability_score FROM k GROUP BY domain"""
 
 
+def _asked(spark, d):
+    """All benchmark texts with a lead-in by id, so that themes and metadata words occur."""
+    lead = F.get(F.array(*[F.lit(x) for x in _LEADS]), (F.col("item_id") % len(_LEADS)).cast("int"))
+    return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(lead, "text").alias("text"))
+
+
+_LEADS = ["steel oil and gold ", "large brushed brass dividend ", "", "copper china tech "]
+
+
+def _listed(spark, d):
+    return read(spark, d, "part").select(F.col("p_partkey").alias("ticker"), F.col("p_name").alias("name"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("bundle"))
+
+
+def _hybrid(spark, d, k=5):
+    """Parts as instruments, documents as risk profiles, event types as news."""
+    q = frames.materialise(_asked(spark, d))
+    risks = retrieval.candidates(q, read(spark, d, "documents").select((F.col("doc_id") * 7 + 1).alias("item"), "text"), 30).withColumnRenamed("item", "ticker")
+    news = read(spark, d, "events").select((F.col("user_id") * 3).alias("ticker"), F.col("event_type").alias("text"), (F.col("value") / 100).alias("score"))
+    return retrieval.hybrid(q, _listed(spark, d), risks, news, k)
+
+
 @query
 def hybrid_rank(spark, d):
-    """.40 theme + .30 metadata + .25 normalised risk + .05 news, over the union of parts and scored users."""
-    words = C.tokens(F.lit("large oil steel brass gold dividend 1"))
-    part = read(spark, d, "part").select(F.col("p_partkey").alias("ticker"), F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type")).alias("bundle"))
-    themes = {k: fixed.THEMES[k] for k in ("oil", "gold", "dividend")}
-    hits = F.size(C.matching(F.col("bundle"), themes))
-    base = part.select("ticker", F.lit(True).alias("known"), C.overlap(words, C.tokens(F.col("bundle"))).alias("metadata_score"), (hits / len(themes)).alias("theme_score"))
-    risk = read(spark, d, "orders").groupBy((F.col("o_custkey") * 2).alias("ticker")).agg(F.avg("o_totalprice").alias("risk_score"))
-    risk = risk.join(F.broadcast(risk.agg(F.max("risk_score").alias("top"))))
-    news = _news(spark, d).groupBy((F.col("user_id") * 3).alias("ticker")).agg(F.max("score").alias("news"))
-    j = base.join(risk, "ticker", "full").join(news, "ticker", "left").fillna(0.0, ["metadata_score", "theme_score", "risk_score", "news"])
-    final = 0.40 * F.col("theme_score") + 0.30 * F.col("metadata_score") + 0.25 * F.coalesce(F.col("risk_score") / F.greatest("top", F.lit(1e-6)), F.lit(0.0)) + 0.05 * F.col("news") / 100
-    j = j.select("ticker", F.when(F.col("known"), "listed").otherwise("unknown").alias("kind"), F.round(final, 6).alias("final_score"), F.round("metadata_score", 6).alias("metadata_score"), F.round("theme_score", 6).alias("theme_score"))
-    return j.orderBy(F.col("final_score").desc(), "ticker").limit(30)
-
-
-SQL["hybrid_rank"] = f"""WITH q AS (SELECT ['large', 'oil', 'steel', 'brass', 'gold', 'dividend', '1'] AS w),
-b AS (SELECT p_partkey AS ticker, lower(p_name || ' ' || p_brand || ' ' || p_type) AS t FROM part),
-m AS (SELECT ticker, len(list_intersect(w, regexp_extract_all(t, '[a-z0-9]+'))) / 7 AS ms, ({_any_sql('t', fixed.THEMES['oil'])}::INT + {_any_sql('t', fixed.THEMES['gold'])}::INT + {_any_sql('t', fixed.THEMES['dividend'])}::INT) / 3 AS ts FROM b, q),
-r AS (SELECT o_custkey * 2 AS ticker, avg(o_totalprice) AS rs FROM orders GROUP BY 1), n AS (SELECT user_id * 3 AS ticker, max(value) AS news FROM events GROUP BY 1),
-j AS (SELECT coalesce(m.ticker, r.ticker) AS ticker, CASE WHEN m.ticker IS NULL THEN 'unknown' ELSE 'listed' END AS kind, coalesce(ms, 0) AS ms, coalesce(ts, 0) AS ts, coalesce(rs / (SELECT max(rs) FROM r), 0) AS rn FROM m FULL JOIN r ON m.ticker = r.ticker)
-SELECT j.ticker, kind, round(0.40 * ts + 0.30 * ms + 0.25 * rn + 0.05 * coalesce(news, 0) / 100, 6) AS final_score, round(ms, 6) AS metadata_score, round(ts, 6) AS theme_score FROM j LEFT JOIN n ON n.ticker = j.ticker ORDER BY final_score DESC, ticker LIMIT 30"""
+    """.40 theme + .30 metadata + .25 normalised risk + .05 news for each query over the parts and what has a risk score."""
+    return rounded(_hybrid(spark, d))
+
+
+def _has_themes(table):
+    return "[x FOR x IN [" + ", ".join(f"CASE WHEN {_any_sql('low', w)} THEN {_quote(k)} END" for k, w in table.items()) + "] IF x IS NOT NULL]"
+
+
+_WORDS = r"list_distinct(regexp_extract_all(low, '[a-z0-9\x{4e00}-\x{9fff}]+'))"
+_LISTED = "CASE item_id % 4 " + " ".join(f"WHEN {i} THEN {_quote(x)}" for i, x in enumerate(_LEADS)) + " END || text"
+_HYBRID = rf"""a AS (SELECT item_id AS query_id, {_LISTED} AS text FROM benchmark),
+q AS (SELECT query_id, {_WORDS} AS qt, {_has_themes(fixed.THEMES)} AS qth FROM (SELECT query_id, lower(text) AS low FROM a)),
+m AS (SELECT ticker, name, {_WORDS} AS mt, {_has_themes(fixed.BUNDLE_THEMES)} AS mth FROM (SELECT p_partkey AS ticker, p_name AS name, lower(p_name || ' ' || p_brand || ' ' || p_type) AS low FROM part)),
+dt AS (SELECT doc_id * 7 + 1 AS ticker, unnest({_WORDS}) AS t FROM (SELECT doc_id, lower(text) AS low FROM documents)),
+ro AS (SELECT query_id, ticker, count(*) / any_value(n) AS score FROM (SELECT query_id, len(qt) AS n, unnest(qt) AS t FROM q) JOIN dt USING (t) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ticker) AS i, max(score) OVER (PARTITION BY query_id) AS top FROM ro QUALIFY i <= 30),
+e AS (SELECT user_id * 3 AS ticker, {_WORDS} AS nt, max(value) / 100 AS ns FROM (SELECT *, lower(event_type) AS low FROM events) GROUP BY 1, 2),
+nw AS (SELECT query_id, ticker, max(0.6::DOUBLE * len(list_intersect(qt, nt)) / len(qt) + 0.4::DOUBLE * ns) AS news FROM q, e GROUP BY 1, 2),
+u AS (SELECT query_id, ticker FROM q, m UNION SELECT query_id, ticker FROM r),
+j AS (SELECT u.query_id, u.ticker, coalesce(name, 'Unknown ETF') AS name, coalesce(len(list_intersect(qth, mth)) / greatest(len(qth), 1), 0) AS theme_score, coalesce(len(list_intersect(qt, mt)) / greatest(len(qt), 1), 0) AS metadata_score,
+  coalesce(score, 0) AS risk_score, coalesce(news, 0) AS news_score, coalesce(score / greatest(top, 1e-6), 0) AS n FROM u JOIN q USING (query_id) LEFT JOIN m ON m.ticker = u.ticker LEFT JOIN r ON r.query_id = u.query_id AND r.ticker = u.ticker LEFT JOIN nw ON nw.query_id = u.query_id AND nw.ticker = u.ticker),
+h AS (SELECT *, round(0.40::DOUBLE * theme_score + 0.30::DOUBLE * metadata_score + 0.25::DOUBLE * n + 0.05::DOUBLE * news_score, 9) AS final_score FROM j),
+g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, ticker) AS rank FROM h)"""
+SQL["hybrid_rank"] = f"WITH {_HYBRID} SELECT query_id, ticker, name, round(theme_score, 6) AS theme_score, round(metadata_score, 6) AS metadata_score, round(risk_score, 6) AS risk_score, round(news_score, 6) AS news_score, round(final_score, 6) AS final_score, CAST(rank AS INTEGER) AS rank FROM g WHERE rank <= 5"
+
+
+@query
+def recommendation_card(spark, d):
+    """The best instrument of each query with benchmark, cut risks, fee and three alternatives."""
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("ticker"), F.when(F.col("p_size") > 10, F.col("p_brand")).alias("benchmark"), F.when(F.col("p_size") % 2 == 0, F.floor("p_retailprice") / 1000).alias("fee"))
+    risk = read(spark, d, "documents").select((F.col("doc_id") * 7 + 1).alias("ticker"), F.col("text").alias("key_risks"))
+    return rounded(retrieval.cards(_hybrid(spark, d), p.join(risk, "ticker", "full")))
+
+
+SQL["recommendation_card"] = rf"""WITH {_HYBRID}, k AS (SELECT doc_id * 7 + 1 AS ticker, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)
+SELECT g.query_id, g.ticker, g.name, round(g.final_score, 6) AS final_score, CASE WHEN p_size > 10 THEN p_brand ELSE '-' END AS benchmark, CASE WHEN k.t IS NULL OR k.t = '' THEN '-' WHEN length(k.t) > 200 THEN regexp_replace(left(k.t, 200), ' [^ ]*$', '') || '...' ELSE k.t END AS key_risks,
+  CASE WHEN p_size % 2 = 0 THEN format('{{:.2f}}%', floor(p_retailprice) / 1000) ELSE '-' END AS fee, (SELECT string_agg(o.ticker || ' ' || o.name, ', ' ORDER BY rank) FROM g o WHERE o.query_id = g.query_id AND rank BETWEEN 2 AND 4) AS alternatives
+FROM g LEFT JOIN part ON p_partkey = g.ticker LEFT JOIN k ON k.ticker = g.ticker WHERE g.rank = 1"""
+
 
 _VARIED = "CASE turn % 5 WHEN 0 THEN 'Tell me about ' WHEN 2 THEN 'What is the fee risk of ' WHEN 4 THEN 'any news? ' ELSE '' END"
 
@@ -425,20 +464,103 @@ SELECT *, tickers - with_pairs AS failed FROM g, (SELECT count(DISTINCT conv_id)
 
 @query
 def ticker_resolution(spark, d):
-    """Explicit four-digit code, else a name the text contains, else the fallback; the first rule that hits wins."""
-    texts = read(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", F.concat(F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("code "), F.lpad((F.col("conv_id") % 25).cast("string"), 4, "0"), F.lit(" "))).when(F.col("conv_id") % 4 == 1, "buy GERMANY now ").otherwise(""), "text").alias("text"))
-    nation = read(spark, d, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 4, "0").alias("code"), F.lower("n_name").alias("name"))
-    codes = texts.select("conv_id", "turn", F.explode(F.regexp_extract_all("text", F.lit(r"\b(\d{4})\b"), F.lit(1))).alias("code")).join(F.broadcast(nation), "code").select("conv_id", "turn", F.lit(1).alias("rule"), "code")
-    names = texts.join(F.broadcast(nation), F.lower("text").contains(F.col("name"))).select("conv_id", "turn", F.lit(2).alias("rule"), "code")
-    rest = texts.select("conv_id", "turn", F.lit(3).alias("rule"), F.lit("none").alias("code"))
-    return frames.keep_first(codes.union(names).union(rest), ["conv_id", "turn"], F.col("rule"), F.col("code"))
-
-
-SQL["ticker_resolution"] = r"""WITH t AS (SELECT conv_id, turn, CASE WHEN conv_id % 4 = 0 THEN 'code ' || lpad((conv_id % 25)::VARCHAR, 4, '0') || ' ' WHEN conv_id % 4 = 1 THEN 'buy GERMANY now ' ELSE '' END || text AS text FROM conversations WHERE role = 'user'),
-n AS (SELECT lpad(n_nationkey::VARCHAR, 4, '0') AS code, lower(n_name) AS name FROM nation),
-u AS (SELECT conv_id, turn, 1 AS rule, c AS code FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, '\b(\d{4})\b', 1)) AS c FROM t) WHERE c IN (SELECT code FROM n)
-  UNION ALL SELECT conv_id, turn, 2, code FROM t JOIN n ON contains(lower(text), name) UNION ALL SELECT conv_id, turn, 3, 'none' FROM t),
-r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY rule, code) AS i FROM u) SELECT conv_id, turn, rule, code FROM r WHERE i = 1"""
+    """The whole cascade for every user turn: code, name, sure and moderate hybrid rank, suggestions. Instruments are nations."""
+    lead = F.when(F.col("conv_id") % 5 == 0, F.concat(F.lit("code 9999 and "), F.lpad((F.col("conv_id") % 25).cast("string"), 4, "0"), F.lit(" "))).when(F.col("conv_id") % 5 == 1, "buy GERMANY now ").when(F.col("conv_id") % 5 == 2, "oil ").otherwise("")
+    text = F.when(F.col("conv_id") % 5 == 3, F.when(F.col("turn") == 0, "unit").otherwise("dividend income and oil of europe")).otherwise(F.concat(lead, "text"))
+    asked = frames.materialise(read(spark, d, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), text.alias("text")))
+    geo = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    nations = geo.select(F.lpad(F.col("n_nationkey").cast("string"), 4, "0").alias("ticker"), F.col("n_name").alias("name"), F.concat_ws(" ", "n_name", "r_name", F.when(F.col("n_nationkey") == 7, "oil dividend")).alias("bundle")).filter("ticker <> '0000'")
+    nothing = asked.select("query_id", F.lit("").alias("ticker"), F.lit(0.0).alias("score")).filter("false")
+    ranked = retrieval.hybrid(asked, nations, nothing, nations.select("ticker", F.lit("").alias("text"), F.lit(0.0).alias("score")).filter("false"), 3)
+    hints = retrieval.lexical(asked, nations.select(F.col("ticker").cast("long").alias("item"), F.col("bundle").alias("text")), 3).select("query_id", F.lpad(F.col("item").cast("string"), 4, "0").alias("ticker"), "rank")
+    return retrieval.resolve_codes(asked, nations, ranked, hints)
+
+
+SQL["ticker_resolution"] = rf"""WITH a AS (SELECT conv_id * 1000 + turn AS query_id, CASE conv_id % 5 WHEN 0 THEN 'code 9999 and ' || lpad((conv_id % 25)::VARCHAR, 4, '0') || ' ' || text WHEN 1 THEN 'buy GERMANY now ' || text WHEN 2 THEN 'oil ' || text
+  WHEN 3 THEN CASE WHEN turn = 0 THEN 'unit' ELSE 'dividend income and oil of europe' END ELSE text END AS text FROM conversations WHERE role = 'user'),
+n AS (SELECT lpad(n_nationkey::VARCHAR, 4, '0') AS ticker, lower(n_name) AS name, lower(n_name || ' ' || r_name || CASE WHEN n_nationkey = 7 THEN ' oil dividend' ELSE '' END) AS low FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey <> 0),
+q AS (SELECT query_id, {_WORDS} AS qt, {_has_themes(fixed.THEMES)} AS qth, low FROM (SELECT query_id, lower(trim(text, ' ')) AS low FROM a)),
+m AS (SELECT ticker, name, {_WORDS} AS mt, {_has_themes(fixed.BUNDLE_THEMES)} AS mth FROM n),
+c AS (SELECT query_id, first(h ORDER BY o) AS t1 FROM (SELECT query_id, unnest(hs) AS h, unnest(range(len(hs))) AS o FROM (SELECT query_id, regexp_extract_all(text, '\b(\d{{4}})\b', 1) AS hs FROM a)) WHERE h IN (SELECT ticker FROM n) GROUP BY 1),
+w AS (SELECT query_id, min(ticker) AS t2 FROM q JOIN m ON contains(low, name) OR contains(name, low) WHERE low <> '' GROUP BY 1),
+s AS (SELECT query_id, ticker, len(list_intersect(qt, mt)) / greatest(len(qt), 1) AS o, round(0.40::DOUBLE * len(list_intersect(qth, mth)) / greatest(len(qth), 1) + 0.30::DOUBLE * len(list_intersect(qt, mt)) / greatest(len(qt), 1), 9) AS f FROM q, m),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, ticker) AS i, row_number() OVER (PARTITION BY query_id ORDER BY o DESC, ticker) AS l FROM s),
+g AS (SELECT query_id, max(ticker) FILTER (WHERE i = 1) AS t3, max(f) FILTER (WHERE i = 1) AS s1, max(f) FILTER (WHERE i = 2) AS s2, coalesce(string_agg(ticker, ',' ORDER BY l) FILTER (WHERE l <= 3 AND o > 0), '') AS hint FROM r GROUP BY 1),
+x AS (SELECT *, CASE WHEN t1 IS NOT NULL THEN 1 WHEN t2 IS NOT NULL THEN 2 WHEN s1 >= 0.20 AND s1 - s2 >= 0.03 THEN 3 WHEN s1 >= 0.16 THEN 4 ELSE 5 END AS rule FROM q JOIN g USING (query_id) LEFT JOIN c USING (query_id) LEFT JOIN w USING (query_id))
+SELECT query_id, rule, CASE rule WHEN 1 THEN t1 WHEN 2 THEN t2 WHEN 5 THEN NULL ELSE t3 END AS ticker, CASE WHEN rule = 5 THEN hint END AS suggestions FROM x"""
+
+
+@query
+def risk_bullets(spark, d):
+    """Up to three answers about risks for every benchmark text, by token overlap with the recorded questions."""
+    p = qa.question_pairs(_turns(spark, d)).select((F.col("conv_id") * 1000 + F.col("pos")).alias("item"), "question", "answer", F.concat(F.lit("tag"), F.col("conv_id") % 3).alias("tag"))
+    asked = read(spark, d, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat(F.lit("what is the fee risk of "), F.substring_index("text", " ", 2)).alias("text"))
+    scored = retrieval.lexical(asked, p.select("item", F.col("question").alias("text")), 8).withColumnRenamed("overlap", "score").drop("rank")
+    return qa.risk_bullets(scored.join(p, "item"))
+
+
+SQL["risk_bullets"] = rf"""WITH {_TURNS}, p AS (SELECT u.conv_id * 1000 + u.turn AS item, u.text AS question, a.text AS answer FROM t u JOIN t a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'),
+q AS (SELECT query_id, {_WORDS} AS qt FROM (SELECT conv_id * 1000 + turn AS query_id, lower('what is the fee risk of ' || array_to_string(string_split(text, ' ')[1:2], ' ')) AS low FROM conversations WHERE role = 'user')),
+k AS (SELECT item, unnest({_WORDS}) AS t FROM (SELECT item, lower(question) AS low FROM p)),
+h AS (SELECT query_id, item, count(*) / any_value(n) AS score FROM (SELECT query_id, len(qt) AS n, unnest(qt) AS t FROM q) JOIN k USING (t) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS i FROM h QUALIFY i <= 8),
+s AS (SELECT query_id, item, i, trim(regexp_replace(answer, '\s+', ' ', 'g'), ' .;,:') AS x FROM r JOIN p USING (item) WHERE score >= 0.30 AND {_any_sql('lower(question)', fixed.LOOKUP_WORDS['risk'])} AND NOT {_any_sql('lower(answer)', fixed.LEGAL_FRAGMENTS)}),
+v AS (SELECT query_id, item, i, CASE WHEN length(x) > 220 THEN regexp_replace(left(x, 220), ' [^ ]*$', '') ELSE x END || '.' AS text FROM s WHERE x <> ''),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) ORDER BY i) AS j FROM v),
+b AS (SELECT query_id, item, text, row_number() OVER (PARTITION BY query_id ORDER BY i) AS bullet FROM o WHERE j = 1)
+SELECT query_id, CAST(bullet AS INTEGER) AS bullet, item, text FROM b WHERE bullet <= 3"""
+
+
+@query
+def fee_reply(spark, d):
+    """Reply about the charges of each document in the language of its text."""
+    t = read(spark, d, "documents").select("doc_id", "text", "lang")
+    return t.select("doc_id", replies.fee_reply(F.when(F.col("lang") == "en", "en").otherwise("zh"), F.coalesce(F.get(C.realistic_percents(F.col("text")), F.lit(0)), F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") % 41 / 8))).alias("reply"))
+
+
+SQL["fee_reply"] = rf"""WITH p AS (SELECT doc_id, lang, [TRY_CAST(x AS DOUBLE) FOR x IN regexp_extract_all(text, '(\d+(?:\.\d+)?)\s*%', 1)] AS xs FROM documents),
+f AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'en' ELSE 'zh' END AS lang, coalesce(list_filter(xs, lambda x: x > 0 AND x <= 5)[1], CASE WHEN doc_id % 3 = 0 THEN (doc_id % 41) / 8 END) AS fee FROM p),
+t AS (SELECT *, regexp_replace(printf('%.3f', fee), '\.?0+$', '') AS n FROM f)
+SELECT doc_id, CASE WHEN lang = 'en' AND fee IS NULL THEN {_quote(fixed.FEE_REPLIES['en'][1])} WHEN lang = 'en' THEN replace({_quote(fixed.FEE_REPLIES['en'][0])}, '{{}}', n) WHEN fee IS NULL THEN {_quote(fixed.FEE_REPLIES['zh'][1])} ELSE replace({_quote(fixed.FEE_REPLIES['zh'][0])}, '{{}}', n) END AS reply FROM t"""
+
+
+@query
+def question_gates(spark, d):
+    """English and Chinese question gates, and sentences too noisy for an answer."""
+    q = F.get(F.array(*[F.lit(x) for x in _ASKED]), (F.col("doc_id") % len(_ASKED)).cast("int"))
+    lang = F.when(F.col("doc_id") % len(_ASKED) < 3, "zh-HK").otherwise("en")
+    first = F.substring_index("text", ".", 1)
+    return read(spark, d, "documents").select("doc_id", C.is_question(q, lang).alias("asks"), C.is_noisy_sentence(first).alias("noisy"), C.compact_answer(first, 60).alias("answer"))
+
+
+_ASKED = ["請總結風險？", "這隻ETF的費用是多少", "這隻ETF很好", "What is the fee?", "Tell me the fee?", "How much"]
+SQL["question_gates"] = rf"""WITH f AS (SELECT doc_id, trim(regexp_replace(string_split(text, '.')[1], '\s+', ' ', 'g')) AS s FROM documents)
+SELECT doc_id, doc_id % 6 IN (1, 3) AS asks, length(s) < 25 OR {" OR ".join(f"regexp_matches(lower(s), {_quote(p)})" for p in fixed.NOISY_SENTENCES)} AS noisy, trim(left(replace(replace(s, ' ,', ','), ' .', '.'), 60)) AS answer FROM f"""
+
+
+@query
+def topic_answers(spark, d):
+    """Two to four sentences for each question of a topic, by source; sentences are lines led in by a topic's word."""
+    return qa.topic_answers(_topic_lines(spark, d), "source").select("source", "topic", "n", "question", "answer")
+
+
+_TOPIC_WORDS = ["The strategy is ", "Tracking error of ", "Fees are ", "Futures on ", "Termination of ", "A dividend of ", "Dual counter of "]
+
+
+def _topic_lines(spark, d):
+    lead = F.get(F.array(*[F.lit(x) for x in _TOPIC_WORDS]), (F.col("doc_id") % len(_TOPIC_WORDS)).cast("int"))
+    return read(spark, d, "documents").select("source", F.col("doc_id").alias("pos"), F.concat(lead, C.squeezed(F.substring_index("text", "\n", 1))).alias("text"))
+
+
+_HEX = " + ".join(f"(strpos('0123456789abcdef', substr(md5(h), {i}, 1)) - 1) * {16 ** (4 - i)}" for i in range(1, 5))
+SQL["topic_answers"] = rf"""WITH l AS (SELECT source, doc_id AS pos, CASE doc_id % 7 {" ".join(f"WHEN {i} THEN {_quote(x)}" for i, x in enumerate(_TOPIC_WORDS))} END || trim(regexp_replace(string_split(text, chr(10))[1], '\s+', ' ', 'g')) AS text FROM documents),
+p AS ({" UNION ALL ".join(f"SELECT source, pos, text, {_quote(t)} AS topic FROM l WHERE regexp_matches(lower(text), {_quote(x)})" for t, x in fixed.TOPIC_PATTERNS.items())}),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, topic ORDER BY pos) AS i, count(*) OVER (PARTITION BY source, topic) AS c FROM p QUALIFY i <= 8),
+k AS ({" UNION ALL ".join(f"SELECT {_quote(t)} AS topic, {i} AS n, {_quote(q)} AS ask" for t, qs in fixed.TOPIC_QUESTIONS.items() for i, q in enumerate(qs))}),
+j AS (SELECT source, r.topic, n, replace(ask, '{{}}', source) AS question, '42:' || replace(ask, '{{}}', source) AS h, text, c FROM r JOIN k ON k.topic = r.topic),
+o AS (SELECT *, row_number() OVER (PARTITION BY source, topic, n ORDER BY md5(h || ':' || text), text) AS i, 2 + ({_HEX}) % 3 AS take FROM j),
+a AS (SELECT source, topic, n, question, string_agg(text, ' ' ORDER BY i) AS t FROM o WHERE i <= take GROUP BY ALL)
+SELECT source, topic, CAST(n AS INTEGER) AS n, question, trim(left(replace(replace(trim(regexp_replace(t, '\s+', ' ', 'g')), ' ,', ','), ' .', '.'), 900)) AS answer FROM a"""
 
 
 @query

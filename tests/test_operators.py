@@ -301,3 +301,86 @@ def test_replies(spark):
     assert col(spark, "How does low NAV matter?", lambda c: R.chinese_question(c, F.lit("1"))) == "這隻ETF如何執行其追蹤策略（1）？"
     df = spark.createDataFrame([("a",), ("b",)], "x string")
     assert R.only_if_any(df, F.col("x") == "z").count() == 2 and R.only_if_any(df, F.col("x") == "a").count() == 1
+
+
+def test_question_gates_and_names(spark):
+    asks = lambda q, lang: col(spark, q, lambda c: C.is_question(c, F.lit(lang)))
+    assert asks("這隻ETF的費用是多少", "zh-HK") and not asks("請總結風險？", "zh") and not asks("這隻ETF很好", "zh")
+    assert asks("What is it?", "en") and not asks("What is it", "en") and not asks("Tell me?", "en")
+    assert col(spark, "02800.HK", C.file_stems) == ["02800.HK", "2800", "02800"] and col(spark, " ", C.file_stems) == [] and col(spark, "abc", C.file_stems) == ["abc"]
+    assert col(spark, "0000", C.file_stems) == ["0000", "00000"] and col(spark, None, C.file_stems) == []
+    assert col(spark, "_A b/c?.pdf_", C.safe_file_name) == "A_b_c_.pdf"
+    for path, want in (("x/documentation/2800/csv", "02800"), ("x/02800/csv/csv/", "02800"), ("x/280/csv", "UNKNOWN"), ("csv", "UNKNOWN")):
+        assert col(spark, path, C.code_of_path) == want
+    assert col(spark, "a  b " * 60, lambda c: C.cut_words(c, 10)) == "a b a b a..." and col(spark, " a  b ", lambda c: C.cut_words(c, 10)) == "a b"
+    assert col(spark, "0.955", lambda c: C.percent(c.cast("double"))) == f"{0.955:.2f}%" and col(spark, "12345.675", lambda c: C.percent(c.cast("double"))) == "12345.67%"
+
+
+def test_context_of_pairs(spark):
+    views = spark.createDataFrame([("a", "p", 2), ("a", "q", 1), ("b", "p", 3), ("b", "q", 3), ("b", "r", 1), ("c", "p", None)], "ticker string, perspective string, cluster_id int")
+    home = spark.createDataFrame([("a", "b", None, "p"), ("a", "d", 0.5, "p")], "source_ticker string, alternative_ticker string, pc_distance double, perspective string")
+    twins = spark.createDataFrame([("a", "b", 0.7, "q"), ("b", "e", None, "p")], "ticker_a string, ticker_b string, pc_distance double, perspective string")
+    got = {r["ticker"]: r for r in pairs.context(views, home, twins).collect()}
+    assert [got[t]["dominant_cluster"] for t in "abc"] == [1, 3, None]
+    assert [(x["ticker"], x["signal"], x["pc_distance"]) for x in got["a"]["alternatives"]] == [("d", "home_bias_candidate", 0.5), ("b", "hidden_twin_candidate", 0.7)]
+    assert [(x["ticker"], x["pc_distance"]) for x in got["b"]["alternatives"]] == [("a", 0.7), ("e", 999.0)] and got["c"]["alternatives"] == []
+
+
+def test_mappable_falls_back(spark):
+    t = lambda xs: spark.createDataFrame([(x,) for x in xs], "k string")
+    keys = lambda a, b: sorted(r[0] for r in frames.mappable(t(a), t(b), "k").collect())
+    assert keys("abb", "bc") == ["b"] and keys("ab", "") == ["a", "b"] and keys("", "bc") == ["b", "c"] and keys("", "") == [] and keys("a", "b") == []
+    d = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "z", 1)], "k string, v string, o int")
+    assert sorted(map(tuple, frames.last_of(d, "k", "v", F.col("o")).collect())) == [("a", "y"), ("b", "z")]
+
+
+def test_hybrid_ranks_like_brute_force(spark):
+    rng = random.Random(5)
+    words = ["oil", "gold", "china", "bond", "yield", "alpha", "beta", "gamma"]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    qs = [(i, say(4) if i else "") for i in range(8)]
+    rows = [(t, f"n{t}", say(5)) for t in range(30)]
+    risks = [(q, t, rng.choice([-0.1, 0.2, 0.5])) for q, _ in qs for t in range(20, 40) if rng.random() < 0.4]
+    news = [(rng.randrange(35), say(2), rng.choice([None, -1.0, 0.5])) for _ in range(40)]
+    got = retrieval.hybrid(spark.createDataFrame(qs, "query_id int, text string"), spark.createDataFrame(rows, "ticker int, name string, bundle string"), spark.createDataFrame(risks, "query_id int, ticker int, score double"), spark.createDataFrame(news, "ticker int, text string, score double"), 6, 4)
+    want = set()
+    for q, text in qs:
+        qt = set(text.split())
+        themes = {k for k, ws in C.fixed.THEMES.items() if any(w in text for w in ws)}
+        risk = dict(sorted(((t, s) for a, t, s in risks if a == q and s > 0), key=lambda x: (-x[1], x[0]))[:4])
+        scored = []
+        for t in {t for t, _, _ in rows} | set(risk):
+            bundle = rows[t][2] if t < 30 else ""
+            theme = len(themes & {k for k, ws in C.fixed.BUNDLE_THEMES.items() if any(w in bundle for w in ws)}) / max(len(themes), 1)
+            aux = max([0.6 * len(qt & set(x.split())) / max(len(qt), 1) + 0.4 * max(s or 0, 0) for n, x, s in news if n == t and qt], default=0)
+            scored.append((-round(0.4 * theme + 0.3 * len(qt & set(bundle.split())) / max(len(qt), 1) + 0.25 * risk.get(t, 0) / max([*risk.values(), 1e-6]) + 0.05 * aux, 6), t))
+        want |= {(q, t, i + 1) for i, (_, t) in enumerate(sorted(scored)[:6])}
+    assert {(r["query_id"], r["ticker"], r["rank"]) for r in got.collect()} == want
+
+
+def test_questions_of_a_fund(spark):
+    said = [
+        "Stock code: 2800 HKD counter", "Trading lot size: 500 units on the exchange board", "Base currency: Hong Kong dollars and nothing else at all.",
+        "The investment objective is to follow the index closely every day.", "The strategy is full replication of all the constituents held.", "The strategy may rebalance the basket four times a year.",
+        "Copyright of this fine document belongs to the manager alone.", "Tracking error can come from fees and from sampling the index.", "Tracking error can come from fees and from sampling the index.", "short",
+        "The dividend is paid semi-annually at the discretion of the manager.",
+    ]
+    d = spark.createDataFrame([("02800", i, t) for i, t in enumerate(said)], "ticker string, pos int, text string")
+    rows = api.generate_qa(d, least_chars=20).collect()
+    by = {(r["language"], r["question"]): r for r in rows}
+    objective = by["en", "What is the investment objective of ETF 02800?"]["answer"]
+    assert 2 <= sum(s in objective for s in said[3:6]) <= 3 and all(x in " ".join(said) for x in re.split(r"(?<=\.) ", objective))
+    assert by["en", "What causes tracking error in ETF 02800?"]["answer"] == said[7]
+    zh = by["zh-HK", "這隻ETF的追蹤誤差主要由甚麼造成（02800）？"]
+    assert zh["answer"] == "根據基金文件：" + said[7] and zh["source_tag"] == "single_sentence_zh"
+    assert not any("Copyright" in r["answer"] for r in rows) and len({(r["language"], r["question"]) for r in rows}) == len(rows)
+    assert sorted(map(str, api.generate_qa(d.repartition(3), least_chars=20).collect())) == sorted(map(str, rows))
+    assert api.generate_qa(d, least_chars=20, most=2).count() == 2 and {r["language"] for r in api.generate_qa(d, least_chars=20, bilingual=False).collect()} == {"en"}
+
+
+def test_side_by_side(spark):
+    corpus = spark.createDataFrame([(1, [1.0, 0.0], "0001", ["m"], ["t"]), (2, [0.0, 1.0], "0002", ["m"], ["t"])], "item long, v array<double>, code string, metadata array<string>, tags array<string>")
+    q = spark.createDataFrame([(10, [1.0, 0.1], "x", "positive", 0.5)], "query_id long, q array<double>, text string, label string, confidence double")
+    gold = spark.createDataFrame([(10, 1)], "query_id long, item long")
+    got = {r["corpus"]: (r["top1_precision"], r["topk_recall"]) for r in api.run_side_by_side(q, gold, {"profile": corpus, "sentence": corpus.filter("item = 2")}).collect()}
+    assert got == {"profile": (1.0, 1.0), "sentence": (0.0, 0.0)}
