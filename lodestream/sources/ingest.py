@@ -110,6 +110,17 @@ def write_lists(lists: DataFrame, path: str) -> None:
     lists.write.mode("overwrite").partitionBy("list").parquet(path)
 
 
+def write_by(df: DataFrame, path: str, *columns: str) -> None:
+    """One folder a value of the columns (perspective, say), each written by few tasks; a later read prunes by them."""
+    df.repartition(*columns, F.pmod(F.xxhash64(*df.columns), F.lit(8))).write.mode("overwrite").partitionBy(*columns).parquet(path)
+
+
+def write_records(records: DataFrame, path: str) -> None:
+    """One JSON record a line, as ``jsonl_messages`` reads them; from (record) or from the columns as they stand."""
+    line = F.col("record") if "record" in records.columns else F.to_json(F.struct("*"))
+    records.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
 def write_summary(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 

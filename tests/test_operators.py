@@ -384,3 +384,14 @@ def test_side_by_side(spark):
     gold = spark.createDataFrame([(10, 1)], "query_id long, item long")
     got = {r["corpus"]: (r["top1_precision"], r["topk_recall"]) for r in api.run_side_by_side(q, gold, {"profile": corpus, "sentence": corpus.filter("item = 2")}).collect()}
     assert got == {"profile": (1.0, 1.0), "sentence": (0.0, 0.0)}
+
+
+def test_writers_read_back(spark, tmp_path):
+    v = spark.createDataFrame([("a", "p", 1), ("b", "q", 2), ("c", "p", 3)], "ticker string, perspective string, cluster_id int")
+    ingest.write_by(v, str(tmp_path / "v"), "perspective")
+    back = spark.read.parquet(str(tmp_path / "v"))
+    assert sorted(r["ticker"] for r in back.filter("perspective = 'p'").collect()) == ["a", "c"] and (tmp_path / "v" / "perspective=q").exists()
+    pairs_ = spark.createDataFrame([("1", "What?\nNow", "It is \"so\"", "t")], "id string, question string, answer string, tag string")
+    ingest.write_records(qa.chatml(pairs_, "s", ["tag"]), str(tmp_path / "j"))
+    got = ingest.jsonl_messages(spark, str(tmp_path / "j")).first()
+    assert [m["content"] for m in got["messages"]] == ["s", "What?\nNow", "It is \"so\""] and got["metadata"] == {"tag": "t"}
