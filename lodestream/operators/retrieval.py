@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestream.frames import keep_first, top_n
+from lodestream.frames import keep_first, materialise, top_n
 from lodestream.functions import columns as C
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -187,14 +187,19 @@ def hybrid(queries: DataFrame, catalogue: DataFrame, risks: DataFrame, news: Dat
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     q = queries.select("query_id", C.tokens(text("text")).alias("qt"), C.matching(text("text"), C.fixed.THEMES).alias("qth"))
     m = catalogue.select("ticker", "name", C.tokens(text("bundle")).alias("mt"), C.matching(text("bundle"), C.fixed.BUNDLE_THEMES).alias("mth"))
-    meta = C.overlap(F.col("qt"), F.col("mt"))
+    said = news.groupBy("ticker", F.array_sort(C.tokens(text("text"))).alias("nt")).agg(F.greatest(F.coalesce(F.max("score"), F.lit(0.0)), F.lit(0.0)).alias("ns"))
+    # Only words that a bundle or news has can be shared: the others count in a query's size and need not meet anything.
+    known = m.select(F.explode("mt").alias("t")).union(said.select(F.explode("nt"))).distinct()
+    kept = q.select("query_id", F.explode("qt").alias("t")).join(known, "t", "left_semi").groupBy("query_id").agg(F.collect_set("t").alias("kt"))
+    q = materialise(q.join(kept, "query_id", "left").select("query_id", "qth", F.size("qt").alias("n"), F.coalesce("kt", F.array().cast("array<string>")).alias("qt")))
+    share = lambda row: F.size(F.array_intersect("qt", row)) / F.greatest("n", F.lit(1))
+    meta = share("mt")
     theme = F.size(F.array_intersect("qth", "mth")) / F.greatest(F.size("qth"), F.lit(1))
     plain = top_n(meet(q, m, "query_id", "ticker").select("query_id", "ticker", (0.4 * theme + 0.3 * meta).alias("s")), ["query_id"], k, F.col("s").desc(), F.col("ticker"))
     risk = top_n(risks.filter("score > 0"), ["query_id"], most_risks, F.col("score").desc(), F.col("ticker")).select("query_id", "ticker", F.col("score").alias("risk_score"))
     best = risk.groupBy("query_id").agg(F.max("risk_score").alias("best_risk"))
-    said = news.groupBy("ticker", F.array_sort(C.tokens(text("text"))).alias("nt")).agg(F.greatest(F.coalesce(F.max("score"), F.lit(0.0)), F.lit(0.0)).alias("ns"))
-    told = meet(q.filter(F.size("qt") > 0), said, "query_id", "ticker")
-    aux = told.groupBy("query_id", "ticker").agg(F.max(0.6 * C.overlap(F.col("qt"), F.col("nt")) + 0.4 * F.col("ns")).alias("news_score"))
+    told = meet(q.filter("n > 0"), said, "query_id", "ticker")
+    aux = told.groupBy("query_id", "ticker").agg(F.max(0.6 * share("nt") + 0.4 * F.col("ns")).alias("news_score"))
     names = lambda df: df.select("query_id", "ticker")
     some = names(plain).union(names(risk)).union(names(aux).join(m.select("ticker"), "ticker", "left_semi").select("query_id", "ticker")).distinct()
     j = some.join(q, "query_id").join(m, "ticker", "left").join(risk, ["query_id", "ticker"], "left").join(best, "query_id", "left").join(aux, ["query_id", "ticker"], "left")
