@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestream.llm import chat_format, fingerprints, html_text, line_dedup, mixing, near_dedup, packing, quality, secret_scan, topk
+from lodestream.llm import byte_bpe, chat_format, fingerprints, html_text, line_dedup, mixing, near_dedup, packing, periodic_runs, quality, secret_scan, topk
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_chat_format": chat_format.op10_chat_format,
+    "op12_byte_bpe": byte_bpe.op12_byte_bpe,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 ORACLES = {
     "op2_secret_scan": secret_scan.ORACLE,
