@@ -2,8 +2,8 @@
 
 A text is cut into pre-tokens by a pattern, and each pre-token is encoded by itself. One that the ranks list is its own
 token; any other starts as single bytes, and the adjacent pair of lowest rank is merged, leftmost first, until none is
-listed. The pairs wait in a queue with a bucket of positions for every merge rank. A bitmap has one bit a bucket, a second
-one a bit for each of its words, and so on up to a single word, so the lowest rank is found by one find-first-set a level.
+listed. The pairs wait in a queue with a bucket of positions for every merge rank. A bitmap has one bit a bucket, in words
+as wide as they are many, and a bitmap above it one bit a word, so the lowest rank is found by one find-first-set a level.
 Tokens are a linked list of positions; an entry whose position was merged away or now starts another pair is stale and
 skipped. A pre-token of n bytes takes O(n log n) steps, so one that fills a whole long text is no special case.
 
@@ -35,87 +35,74 @@ from lodestream.llm.common import ship, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 RANKS_BYTES = 64 << 20
-CACHE = 200_000
+CACHE = 300_000
 CACHED_CHARS = 64
 
 
-class RankQueue:
-    """Positions by rank, lowest rank and leftmost position first; empty again once all are taken."""
+class RankBits:
+    """The bits of the merge ranks that have a bucket: words of ``width`` bits, all clear between two pre-tokens, and the
+    powers of two. The bitmap above them is one whole number with a bit for each word."""
 
     def __init__(self, ranks: int) -> None:
-        self.buckets: dict[int, list[int]] = {}
-        self.levels = []
-        while True:
-            ranks = (ranks + 63) >> 6
-            self.levels.append([0] * max(1, ranks))
-            if ranks <= 1:
-                break
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        for words in self.levels:
-            at, rank = rank >> 6, rank & 63
-            was = words[at]
-            words[at] = was | 1 << rank
-            if was:
-                return
-            rank = at
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.levels[-1][0]:
-            return None
-        rank = 0
-        for words in reversed(self.levels):
-            word = words[rank]
-            rank = rank << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            at = rank
-            for words in self.levels:
-                words[at >> 6] &= ~(1 << (at & 63))
-                at >>= 6
-                if words[at]:
-                    break
-        return rank, position
-
-
-def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
+        self.shift = max(1, (ranks.bit_length() + 1) // 2)
+        self.width = 1 << self.shift
+        self.words = [0] * (ranks // self.width + 1)
+        self.bit = [1 << i for i in range(max(self.width, len(self.words)))]
+
+
+def merge(piece: bytes, ranks: dict[bytes, int], bits: RankBits) -> list[int]:
     """The ids of one pre-token. Every single byte has a rank."""
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    n = len(piece)
+    n, get, words, bit, shift, low = len(piece), ranks.get, bits.words, bits.bit, bits.shift, bits.width - 1
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # the token at i is piece[i : after[i]]; before[i] starts the one on its left
-    pair = [-1] * n  # rank of the pair that starts at i; -1: none, or i starts no token
-
-    def look(i: int) -> None:
-        mid = after[i]
-        rank = ranks.get(piece[i : after[mid]], -1) if mid < n else -1
-        pair[i] = rank
+    pair = [get(piece[i : i + 2], -1) for i in range(n - 1)] + [-1]  # rank of the pair that starts at i; -1: none, or i starts no token
+    buckets: dict[int, list[int]] = {}
+    top = 0
+    for i, rank in enumerate(pair):
         if rank >= 0:
-            queue.push(rank, i)
-
-    for i in range(n - 1):
-        look(i)
-    while (lowest := queue.pop()) is not None:
-        rank, i = lowest
+            if rank in buckets:
+                buckets[rank].append(i)  # in order, which makes it a heap
+            else:
+                buckets[rank] = [i]
+                words[rank >> shift] |= bit[rank & low]
+                top |= bit[rank >> shift]
+    while top:
+        at = (top & -top).bit_length() - 1
+        word = words[at]
+        rank = at << shift | (word & -word).bit_length() - 1
+        bucket = buckets[rank]
+        if len(bucket) > 1:
+            i = heappop(bucket)
+        else:
+            i = bucket[0]
+            del buckets[rank]
+            word &= word - 1
+            words[at] = word
+            if not word:
+                top &= top - 1
         if pair[i] != rank:
             continue
         mid = after[i]
-        end = after[mid]
-        pair[mid] = -1
-        after[i] = end
+        end = after[i] = after[mid]
+        pair[mid] = pair[i] = -1
+        left = before[i]
+        found = []
         if end < n:
             before[end] = i
-        look(i)
-        if before[i] >= 0:
-            look(before[i])
+            found.append((i, get(piece[i : after[end]], -1)))
+        if left >= 0:
+            found.append((left, get(piece[left:end], -1)))
+        for start, rank in found:
+            pair[start] = rank
+            if rank >= 0:
+                if rank in buckets:
+                    heappush(buckets[rank], start)
+                else:
+                    buckets[rank] = [start]
+                    words[rank >> shift] |= bit[rank & low]
+                    top |= bit[rank >> shift]
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : after[i]]])
@@ -127,11 +114,11 @@ class Encoder(dict):
     """Packed ids by pre-token, worked out when first met."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = CACHE) -> None:
-        self.ranks, self.cache, self.queue = ranks, cache, RankQueue(max(ranks.values(), default=0) + 1)
+        self.ranks, self.cache, self.bits = ranks, cache, RankBits(max(ranks.values(), default=0) + 1)
         self.find = regex.compile(pattern).findall
 
     def __missing__(self, piece: str) -> bytes:
-        ids = merge(piece.encode(), self.ranks, self.queue)
+        ids = merge(piece.encode(), self.ranks, self.bits)
         packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= CACHED_CHARS:
             if len(self) >= self.cache:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestream.llm import byte_bpe, chat_format, fingerprints, html_text, line_dedup, mixing, near_dedup, packing, periodic_runs, quality, secret_scan, topk
+from lodestream.llm import byte_bpe, chat_format, fingerprints, html_text, line_dedup, mixing, near_dedup, packing, periodic_runs, quality, secret_scan, spelling, topk
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_chat_format": chat_format.op10_chat_format,
+    "op11_spelling": spelling.op11_spelling,
     "op12_byte_bpe": byte_bpe.op12_byte_bpe,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
@@ -26,4 +27,5 @@ ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op5_topk": topk.ORACLE,
     "op10_chat_format": chat_format.ORACLE,
+    "op11_spelling": spelling.ORACLE,
 }

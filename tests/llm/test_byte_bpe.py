@@ -47,23 +47,11 @@ def test_equals_brute_force_for_any_ranks():
         order = sorted(tokens)
         rng.shuffle(order)
         ranks = {t: 3 * i for i, t in enumerate(order)}
-        queue = B.RankQueue(3 * len(order))
+        bits = B.RankBits(3 * len(order))
         for _ in range(20):
             piece = bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 40)))
-            assert B.merge(piece, ranks, queue) == brute_force(piece, ranks)
-        assert not queue.buckets and not any(map(any, queue.levels))
-
-
-def test_queue_takes_lowest_rank_then_leftmost():
-    rng = random.Random(2)
-    queue, held = B.RankQueue(300_000), []
-    for _ in range(5000):
-        if held and rng.random() < 0.45:
-            assert queue.pop() == held.pop(held.index(min(held)))
-        else:
-            held.append((rng.choice([rng.randrange(300_000), rng.randrange(70)]), rng.randrange(50)))
-            queue.push(*held[-1])
-    assert [queue.pop() for _ in held] == sorted(held) and queue.pop() is None
+            assert B.merge(piece, ranks, bits) == brute_force(piece, ranks)
+        assert not any(bits.words)
 
 
 @pytest.mark.parametrize("text", ["a" * 100_000, "ab" * 50_000, "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz", k=100_000)), " " * 5000, "中文" * 20_000])
