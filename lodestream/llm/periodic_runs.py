@@ -16,6 +16,7 @@ new columns are the last, in place of those of their names in any case, and othe
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,8 +93,9 @@ def find_runs(ids: np.ndarray, least: int = LEAST, power: int = POWER) -> np.nda
 def collapse(text: bytes, least: int = LEAST, power: int = POWER) -> tuple[np.ndarray, bytes]:
     """The runs of a text, and its words without those that a run repeats, joined by one space."""
     words = text.split()  # of bytes: at ASCII white space alone
-    number: dict[bytes, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+    number: defaultdict[bytes, int] = defaultdict()
+    number.default_factory = number.__len__
+    ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
     runs = find_runs(ids, least, power)
     if len(runs):
         edge = np.zeros(len(words) + 1, dtype=np.int64)
