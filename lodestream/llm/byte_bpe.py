@@ -41,22 +41,26 @@ CACHED_CHARS = 64
 
 class RankBits:
     """The bits of the merge ranks that have a bucket: words of ``width`` bits, all clear between two pre-tokens, and the
-    powers of two. The bitmap above them is one whole number with a bit for each word."""
+    powers of two; beside them the ids of the single bytes, which all have one. The bitmap above is one whole number with a
+    bit for each word."""
 
-    def __init__(self, ranks: int) -> None:
-        self.shift = max(1, (ranks.bit_length() + 1) // 2)
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        most = max(ranks.values())
+        self.single = [ranks[bytes([b])] for b in range(256)]
+        self.shift = max(1, (most.bit_length() + 1) // 2)
         self.width = 1 << self.shift
-        self.words = [0] * (ranks // self.width + 1)
+        self.words = [0] * (most // self.width + 1)
         self.bit = [1 << i for i in range(max(self.width, len(self.words)))]
 
 
 def merge(piece: bytes, ranks: dict[bytes, int], bits: RankBits) -> list[int]:
-    """The ids of one pre-token. Every single byte has a rank."""
+    """The ids of one pre-token."""
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
     n, get, words, bit, shift, low = len(piece), ranks.get, bits.words, bits.bit, bits.shift, bits.width - 1
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # the token at i is piece[i : after[i]]; before[i] starts the one on its left
+    ids = [bits.single[b] for b in piece]  # the token that starts at i; -1: none
     pair = [get(piece[i : i + 2], -1) for i in range(n - 1)] + [-1]  # rank of the pair that starts at i; -1: none, or i starts no token
     buckets: dict[int, list[int]] = {}
     top = 0
@@ -87,34 +91,36 @@ def merge(piece: bytes, ranks: dict[bytes, int], bits: RankBits) -> list[int]:
         mid = after[i]
         end = after[i] = after[mid]
         pair[mid] = pair[i] = -1
-        left = before[i]
-        found = []
+        ids[i], ids[mid] = rank, -1
         if end < n:
             before[end] = i
-            found.append((i, get(piece[i : after[end]], -1)))
-        if left >= 0:
-            found.append((left, get(piece[left:end], -1)))
-        for start, rank in found:
-            pair[start] = rank
+            rank = get(piece[i : after[end]], -1)
             if rank >= 0:
+                pair[i] = rank
                 if rank in buckets:
-                    heappush(buckets[rank], start)
+                    heappush(buckets[rank], i)
                 else:
-                    buckets[rank] = [start]
+                    buckets[rank] = [i]
                     words[rank >> shift] |= bit[rank & low]
                     top |= bit[rank >> shift]
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i : after[i]]])
-        i = after[i]
-    return out
+        i = before[i]
+        if i >= 0:
+            rank = pair[i] = get(piece[i:end], -1)
+            if rank >= 0:
+                if rank in buckets:
+                    heappush(buckets[rank], i)
+                else:
+                    buckets[rank] = [i]
+                    words[rank >> shift] |= bit[rank & low]
+                    top |= bit[rank >> shift]
+    return [x for x in ids if x >= 0]
 
 
 class Encoder(dict):
     """Packed ids by pre-token, worked out when first met."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = CACHE) -> None:
-        self.ranks, self.cache, self.bits = ranks, cache, RankBits(max(ranks.values(), default=0) + 1)
+        self.ranks, self.cache, self.bits = ranks, cache, RankBits(ranks)
         self.find = regex.compile(pattern).findall
 
     def __missing__(self, piece: str) -> bytes:

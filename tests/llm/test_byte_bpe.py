@@ -47,7 +47,7 @@ def test_equals_brute_force_for_any_ranks():
         order = sorted(tokens)
         rng.shuffle(order)
         ranks = {t: 3 * i for i, t in enumerate(order)}
-        bits = B.RankBits(3 * len(order))
+        bits = B.RankBits(ranks)
         for _ in range(20):
             piece = bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 40)))
             assert B.merge(piece, ranks, bits) == brute_force(piece, ranks)
