@@ -55,9 +55,11 @@ def latest_snapshot(df: DataFrame, run: str) -> DataFrame:
 
 
 def impute(df: DataFrame, column: str, group: str) -> DataFrame:
-    """Nulls by the group's median, then by the mean of the column as it was. Medians are aggregated and joined back, so
-    that no group has to fit into one window partition."""
-    medians = df.groupBy(F.coalesce(group, F.lit("UNKNOWN")).alias("_g")).agg(F.median(column).alias("_m"))
+    """Nulls by the group's median, then by the mean of the column as it was. Medians are selected by ranges and joined
+    back, so that no group has to fit into one task."""
+    from lodestream.operators.selection import quantiles
+
+    medians = quantiles(df.select(F.coalesce(group, F.lit("UNKNOWN")).alias("_g"), column), "_g", column, [0.5]).toDF("_g", "_m")
     mean = df.agg(F.avg(column).alias("_a"))
     j = df.withColumn("_g", F.coalesce(group, F.lit("UNKNOWN"))).join(medians, "_g", "left").join(F.broadcast(mean))
     return j.withColumn(column, F.coalesce(column, "_m", "_a")).drop("_g", "_m", "_a")
@@ -69,8 +71,12 @@ def mean_fill(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def winsorise(df: DataFrame, columns: list[str], low: float = 0.02, high: float = 0.98) -> DataFrame:
-    """Clip to exact quantiles where the lower one is below the upper; one pass for all columns, one row broadcast."""
-    q = df.agg(*[F.percentile(c, F.lit(p)).alias(f"_{c}_{n}") for c in columns for n, p in (("l", low), ("h", high))])
+    """Clip to exact quantiles where the lower one is below the upper; all columns are selected at once, one row broadcast."""
+    from lodestream.operators.selection import quantiles
+
+    tall = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("g"), F.col(f"`{c}`").cast("double").alias("x")) for i, c in enumerate(columns)])).alias("v")).select("v.*")
+    found = quantiles(tall, "g", "x", [low, high])
+    q = found.agg(*[F.max(F.when(F.col("g") == i, F.col(f"q{n}"))).alias(f"_{c}_{s}") for i, c in enumerate(columns) for n, s in enumerate("lh")])
     j = df.join(F.broadcast(q))
     for c in columns:
         lo, hi = F.col(f"_{c}_l"), F.col(f"_{c}_h")

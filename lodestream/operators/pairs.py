@@ -9,29 +9,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestream.frames import keep_first, materialise, top_n
-from lodestream.functions.columns import distance
+from lodestream.operators.radius import pairs_within
 
 _text = lambda c: F.trim(F.coalesce(c, F.lit("")))
 
 
 def home_bias(df: DataFrame, most: float) -> DataFrame:
     """Ordered pairs of one perspective and cluster within ``most``; the right geography is filled and differs from the
-    left one, which may be empty. An equi-join on the cluster with the rest as residual."""
-    a = df.select("perspective", "cluster_id", F.col("ticker").alias("source_ticker"), F.col("geo").alias("source_geo"), F.col("pcs").alias("x"))
-    b = df.select("perspective", "cluster_id", F.col("ticker").alias("alternative_ticker"), F.col("geo").alias("alternative_geo"), F.col("pcs").alias("y"))
-    j = a.join(b, ["perspective", "cluster_id"]).filter((F.col("source_ticker") != F.col("alternative_ticker")) & (_text(F.col("alternative_geo")) != "") & (_text(F.col("source_geo")) != _text(F.col("alternative_geo"))))
-    return j.withColumn("pc_distance", distance(F.col("x"), F.col("y"))).filter(F.col("pc_distance") <= most).drop("x", "y").distinct()
+    left one, which may be empty."""
+    rows = df.select("perspective", "cluster_id", "ticker", "geo", "pcs")
+    near = pairs_within(rows, ["perspective", "cluster_id"], "pcs", most)
+    side = lambda s, t: near.select(
+        f"{s}.perspective", f"{s}.cluster_id", F.col(f"{s}.ticker").alias("source_ticker"), F.col(f"{s}.geo").alias("source_geo"),
+        F.col(f"{t}.ticker").alias("alternative_ticker"), F.col(f"{t}.geo").alias("alternative_geo"), "pc_distance",
+    )
+    j = side("a", "b").unionByName(side("b", "a"))
+    return j.filter((F.col("source_ticker") != F.col("alternative_ticker")) & (_text(F.col("alternative_geo")) != "") & (_text(F.col("source_geo")) != _text(F.col("alternative_geo")))).distinct()
 
 
 def hidden_twins(df: DataFrame, labels: list[str], most: float, least: int = 2) -> DataFrame:
     """Unordered pairs of a cluster within ``most`` that differ in ``least`` labels both of which are filled."""
-    side = lambda s, t, v: df.select("perspective", "cluster_id", F.col("ticker").alias(t), F.col("pcs").alias(v), *[_text(F.col(c)).alias(f"{c}_{s}") for c in labels])
-    j = side("a", "ticker_a", "x").join(side("b", "ticker_b", "y"), ["perspective", "cluster_id"]).filter("ticker_a < ticker_b")
-    unlike = [(F.col(f"{c}_a") != "") & (F.col(f"{c}_b") != "") & (F.col(f"{c}_a") != F.col(f"{c}_b")) for c in labels]
+    rows = df.select("perspective", "cluster_id", "ticker", "pcs", *[_text(F.col(c)).alias(c) for c in labels])
+    near = pairs_within(rows, ["perspective", "cluster_id"], "pcs", most).filter("a.ticker <> b.ticker")
+    swap = F.col("a.ticker") > F.col("b.ticker")
+    j = near.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), "pc_distance")
+    unlike = [(F.col(f"a.{c}") != "") & (F.col(f"b.{c}") != "") & (F.col(f"a.{c}") != F.col(f"b.{c}")) for c in labels]
     n = reduce(lambda p, q: p + q, [u.cast("int") for u in unlike])
-    told = F.concat_ws("|", *[F.when(u, F.concat(F.lit(f"{c}:"), F.col(f"{c}_a"), F.lit("!="), F.col(f"{c}_b"))) for c, u in zip(labels, unlike, strict=True)])
-    j = j.withColumn("mismatch_count", n).filter(F.col("mismatch_count") >= least).withColumn("pc_distance", distance(F.col("x"), F.col("y"))).filter(F.col("pc_distance") <= most)
-    return j.select("perspective", "cluster_id", "ticker_a", "ticker_b", told.alias("label_mismatch"), "mismatch_count", "pc_distance")
+    told = F.concat_ws("|", *[F.when(u, F.concat(F.lit(f"{c}:"), F.col(f"a.{c}"), F.lit("!="), F.col(f"b.{c}"))) for c, u in zip(labels, unlike, strict=True)])
+    j = j.withColumn("mismatch_count", n).filter(F.col("mismatch_count") >= least)
+    return j.select("a.perspective", "a.cluster_id", F.col("a.ticker").alias("ticker_a"), F.col("b.ticker").alias("ticker_b"), told.alias("label_mismatch"), "mismatch_count", "pc_distance")
 
 
 def degree_capped(edges: DataFrame, a: str, b: str, order: list[str], cap: int = 10) -> DataFrame:
