@@ -232,6 +232,11 @@ def question_key(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(F.lower(c), F.lit("？"), F.lit("?")), r"\s+", " "))
 
 
+def match_key(c: Column) -> Column:
+    """Lower case, white space squeezed, and nothing else, for the ratio of two questions."""
+    return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+
+
 def squeezed(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 

@@ -61,8 +61,8 @@ def _flags(words: Iterable[str], texts: pd.Series) -> np.ndarray:
     return np.array([any(w in t for w in words) for t in texts.str.lower()], dtype=bool)
 
 
-def _best(q: pd.DataFrame, c: pd.DataFrame, k: int, accept: float) -> pd.DataFrame:
-    """The best ``k`` of one ticker's questions for each query. The ratio is at most the share of common characters, counted
+def _best(q: pd.DataFrame, c: pd.DataFrame, k: int, accept: float, about: dict[str, list[str]], lot_words: list[str]) -> pd.DataFrame:
+    """The best ``k`` of one ticker's questions for each query. The word lists come in, so that workers need not import them. The ratio is at most the share of common characters, counted
     with their repeats; questions come by that bound, and none is left out whose bound reaches the k-th score so far."""
     if not len(q) or not len(c):
         return pd.DataFrame({"query_id": [], "item": [], "score": []}).astype({"query_id": "int64", "item": "int64", "score": "float64"})
@@ -83,16 +83,15 @@ def _best(q: pd.DataFrame, c: pd.DataFrame, k: int, accept: float) -> pd.DataFra
     union = q["qt"].map(len).to_numpy()[:, None] + c["ct"].map(len).to_numpy()[None, :] - shared
     jaccard = shared / np.maximum(union, 1)
     tag, answer, size = c["tag"].str.lower(), c["answer"], c["ck"].map(len).to_numpy()
-    has = {kind: _flags(ws, c["ck"]) for kind, ws in C.fixed.LOOKUP_WORDS.items()}
+    has = {kind: _flags(ws, c["ck"]) for kind, ws in about.items()}
     risk_tag, fee_tag, dividend_tag = (_flags([w], tag) for w in ("risk", "fees_charges", "dividend"))
-    lots, old = _flags(C.fixed.LOT_WORDS, answer), _flags(["authorized under section 104"], answer)
+    lots, old = _flags(lot_words, answer), _flags(["authorized under section 104"], answer)
     short = np.where(answer.str.strip().str.len() < 25, 0.08, 0.0)
     spoken = c["language"].to_numpy()
     items, keys, out = c["item"].to_numpy(), c["ck"].tolist(), []
-    for i, (query, key, language, kinds) in enumerate(zip(q["query_id"], q["qk"], q["language"], q["kinds"], strict=True)):
+    for i, (query, key, pool, kinds) in enumerate(zip(q["query_id"], q["qk"], q["pool"], q["kinds"], strict=True)):
         risk, fee, dividend, tracking = kinds
-        pool = np.isin(spoken, ["zh", "zh-HK", "en"] if language == "zh" else ["en", "zh-HK"])
-        fits = pool if pool.any() else np.ones(len(c), dtype=bool)
+        fits = np.ones(len(c), dtype=bool) if pool is None else np.isin(spoken, list(pool))
         rest = 0.3 * jaccard[i] - short
         if risk:
             fits = fits & (has["risk"] | risk_tag)
@@ -122,15 +121,22 @@ def fuzzy_lookup(queries: DataFrame, corpus: DataFrame, k: int = 1, accept: floa
     with gates and bonuses by intent, at ``accept`` or more.
 
     ``queries`` (query_id, ticker, text), ``corpus`` (item, ticker, question, answer, language, tag). Risk, fee and dividend
-    queries look only at records of their kind; languages outside the query's pool count only where the pool is empty in a
-    block. Every query meets every record of its ticker, in blocks of about ``block`` rows of either; the ratio has no
-    built-in and runs over Arrow batches. An empty question is none.
+    queries look only at records of their kind; languages outside the query's pool count only where the ticker has no record
+    of the pool. Questions for a recommendation are not looked up, they are left to the synthesis. Every query meets every
+    record of its ticker, in blocks of about ``block`` rows of either, which change no result; the ratio has no built-in and
+    runs over Arrow batches. An empty question is none; null tickers meet nothing.
     """
     asks = lambda c: F.array(*[C.contains_any(c, C.fixed.INTENTS[x]) for x in ("risk", "fee", "dividend", "tracking")]).alias("kinds")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    q = queries.select("query_id", "ticker", C.question_key(text("text")).alias("qk")).filter("qk <> ''").select("query_id", "ticker", "qk", C.tokens(F.col("qk")).alias("qt"), C.language(F.col("qk")).alias("language"), asks(F.col("qk")))
-    c = corpus.select("item", "ticker", C.question_key(text("question")).alias("ck"), text("answer").alias("answer"), text("language").alias("language"), text("tag").alias("tag")).filter("ck <> ''")
-    c = c.withColumn("ct", C.tokens(F.col("ck")))
+    pools = {"zh": ["zh", "zh-HK", "en"], "en": ["en", "zh-HK"]}
+    q = queries.select("query_id", "ticker", C.match_key(text("text")).alias("qk")).filter("qk <> ''").filter(~C.contains_any(F.col("qk"), C.fixed.INTENTS["recommendation"]))
+    q = q.select("query_id", "ticker", "qk", C.tokens(F.col("qk")).alias("qt"), C.language(F.col("qk")).alias("_spoken"), asks(F.col("qk")))
+    c = corpus.select("item", "ticker", C.match_key(text("question")).alias("ck"), text("answer").alias("answer"), text("language").alias("language"), text("tag").alias("tag"))
+    # Whether a ticker has records of a pool is settled over all of them, before any block is dealt.
+    has = materialise(c.groupBy("ticker").agg(*[F.max(F.col("language").isin(ls).cast("int")).alias(f"_{z}") for z, ls in pools.items()]))
+    pool = F.coalesce(*[F.when((F.col("_spoken") == z) & (F.col(f"_{z}") == 1), F.array(*map(F.lit, ls))) for z, ls in pools.items()])
+    q = q.join(has, "ticker").withColumn("pool", pool).drop("_spoken", *[f"_{z}" for z in pools])
+    c = c.filter("ck <> ''").withColumn("ct", C.tokens(F.col("ck")))
     # As many blocks a ticker as its own rows fill.
     part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     counts = lambda df, n: materialise(df.groupBy("ticker").agg(F.ceil(F.count("*") / block).alias(n)))
@@ -138,7 +144,8 @@ def fuzzy_lookup(queries: DataFrame, corpus: DataFrame, k: int = 1, accept: floa
     q = q.join(nq, "ticker").join(nc, "ticker").select("*", part("query_id", "nq").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("nc").cast("int") - 1)).alias("cb")).drop("nq", "nc")
     c = c.join(nq, "ticker").join(nc, "ticker").select("*", part("item", "nc").alias("cb"), F.explode(F.sequence(F.lit(0), F.col("nq").cast("int") - 1)).alias("qb")).drop("nq", "nc")
     key = ["ticker", "qb", "cb"]
-    r = q.groupBy(*key).cogroup(c.groupBy(*key)).applyInPandas(lambda x, y: _best(x, y, k, accept), "query_id long, item long, score double")
+    about, lots = dict(C.fixed.LOOKUP_WORDS), list(C.fixed.LOT_WORDS)
+    r = q.groupBy(*key).cogroup(c.groupBy(*key)).applyInPandas(lambda x, y: _best(x, y, k, accept, about, lots), "query_id long, item long, score double")
     return top_n(r, ["query_id"], k, F.col("score").desc(), F.col("item"))
 
 

@@ -368,8 +368,8 @@ SELECT tag, pos, question, CAST(row_number() OVER (PARTITION BY tag ORDER BY pos
 
 @query
 def qa_fuzzy_lookup(spark, d):
-    """Every benchmark text against the questions of its ticker, both whole; the ticker is an id modulo ten."""
-    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 10).alias("ticker"), "text")
+    """Every user turn, asked again without its last word, against the whole questions of its ticker, an id modulo ten."""
+    asked = _turns(spark, d).filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), (F.col("conv_id") % 10).alias("ticker"), F.regexp_replace("text", r"\s+\S+\s*$", "").alias("text"))
     known = qa.question_pairs(_turns(spark, d)).select((F.col("conv_id") * 1000 + F.col("pos")).alias("item"), (F.col("conv_id") % 10).alias("ticker"), "question", "answer", F.lit("en").alias("language"), F.concat(F.lit("tag"), F.col("conv_id") % 3).alias("tag"))
     return rounded(qa.fuzzy_lookup(asked, known))
 

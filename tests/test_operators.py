@@ -1,10 +1,16 @@
 import datetime as dt
 import difflib
 import math
+import os
 import random
 import re
 import statistics
+import subprocess
+import sys
 
+import pandas as pd
+import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from lodestream import frames
@@ -194,12 +200,37 @@ def test_fuzzy_lookup_equals_brute_force(spark):
     assert sorted((r["query_id"], r["item"], round(r.score, 9)) for r in got.collect()) == sorted(want) and len(want) > 8
 
 
-def test_fuzzy_query_takes_whole_texts_of_every_item(spark, tmp_path):
+@pytest.mark.parametrize("block", [1, 7, 500])
+def test_fuzzy_lookup_pools_are_of_a_ticker(spark, block):
+    """A record outside the pool counts where no record of the ticker is inside, wherever blocks are cut."""
+    rows = [(1, "a", "what does it hold?", "x" * 60, "en", ""), (2, "a", "what does it hold", "y" * 60, "fr", ""), (3, "b", "what does it hold", "y" * 60, "fr", ""), (4, "c", "", "y" * 60, "en", ""), (5, "c", "what does it hold", "y" * 60, "fr", "")]
+    rows += [(n, "a", f"filler {n} of many", "z" * 60, "fr", "") for n in range(10, 30)]
+    asked = [(1, "a", "what does it hold"), (2, "b", "what does it hold"), (3, "c", "what does it hold"), (4, None, "what does it hold"), (5, "b", "which etf is it, what does it hold"), (6, "b", None)]
+    got = qa.fuzzy_lookup(spark.createDataFrame(asked, "query_id long, ticker string, text string"), records(spark, rows), block=block).collect()
+    assert sorted((r["query_id"], r["item"], round(r.score, 6)) for r in got) == [(1, 1, round(0.7 * 34 / 35 + 0.3, 6)), (2, 3, 1.0)]
+
+
+def test_fuzzy_lookup_needs_no_package_on_workers(tmp_path):
+    q = pd.DataFrame({"query_id": [1], "qk": ["fee of it"], "qt": [["fee", "of", "it"]], "pool": [None], "kinds": [[False, True, False, False]]})
+    c = pd.DataFrame({"item": [3], "ck": ["fee of it"], "ct": [["fee", "of", "it"]], "tag": [""], "answer": ["x" * 60], "language": ["en"]})
+    about, lots = dict(qa.C.fixed.LOOKUP_WORDS), list(qa.C.fixed.LOT_WORDS)
+    call = qa._best
+    (tmp_path / "work").write_bytes(cloudpickle.dumps(lambda: call(q, c, 1, 0.38, about, lots)))
+    code = "import pickle, sys; r = pickle.load(open('work', 'rb'))(); assert not any(m.startswith('lodestream') for m in sys.modules); print(r.values.tolist())"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True)
+    assert done.stdout.strip() == "[[1.0, 3.0, 1.16]]", done.stderr
+
+
+def test_fuzzy_query_takes_whole_texts_of_every_turn(spark, tmp_path):
     long = "what is known of " + " ".join(f"word{i}" for i in range(12))
-    save = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
-    save("benchmark", [(22, f"{long} last")], "item_id long, text string")
-    save("conversations", [(c, t, r, x) for c, end in ((1, "first"), (2, "last")) for t, r, x in ((1, "user", f"{long} {end}"), (2, "assistant", "y" * 60))], "conv_id long, turn long, role string, text string")
-    assert [(r["query_id"], r["item"], r.score) for r in serving.Q["qa_fuzzy_lookup"](spark, str(tmp_path)).collect()] == [(22, 2001, 1.0)]
+    turns = [(c, t, r, x) for c, end in ((1, "first of all"), (11, "last of all")) for t, r, x in ((1, "user", f"{long} {end}"), (2, "assistant", "y" * 60))]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["query_id"]: (r["item"], r.score) for r in serving.Q["qa_fuzzy_lookup"](spark, str(tmp_path)).collect()}
+    want = {}
+    for c, end in ((1, "first of"), (11, "last of")):
+        asked, known = f"{long} {end}", f"{long} {end} all"
+        want[c * 1000 + 1] = (c * 1000 + 1, 0.7 * difflib.SequenceMatcher(None, asked, known).ratio() + 0.3 * len(set(asked.split())) / len(set(known.split())))
+    assert got.keys() == want.keys() and all(got[q][0] == want[q][0] and abs(got[q][1] - want[q][1]) < 1e-6 for q in want)
 
 
 def test_shortest_answer_rule(spark):
