@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from lodestream.frames import keep_first, materialise, top_n
 from lodestream.functions import columns as C
+from lodestream.operators import vectors
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -45,37 +46,9 @@ def boost(text: Column, code: Column, metadata: Column, tags: Column, p: Preset
     return named + p.metadata_weight * hits(values) + p.tag_weight * hits(words)
 
 
-def _nearest(k: int):
-    def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(c):
-            c = c.sort_values("item", ignore_index=True)
-            items = c["item"].to_numpy()
-            # Twelve decimals, so that equal vectors score alike wherever they stand in the product.
-            scores = np.round(np.stack(q["q"].to_numpy()).astype(float) @ np.stack(c["v"].to_numpy()).astype(float).T, 12)
-            for name, row in zip(q["query_id"], scores, strict=True):
-                at = np.arange(len(row)) if len(row) <= k else np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
-                at = at[np.argsort(-row[at], kind="stable")][:k]
-                out.append(pd.DataFrame({"query_id": name, "item": items[at], "score": row[at]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "item": [], "score": []}).astype({"query_id": "int64", "item": "int64"})
-
-    return best
-
-
-def similar(queries: DataFrame, corpus: DataFrame, k: int, block: int = 8192, query_block: int = 2048) -> DataFrame:
-    """(query_id, item, score, rank): exact top k by dot product, ties to the smaller item.
-
-    ``queries`` (query_id, q) and ``corpus`` (item, v), any number of each: they meet in pairs of blocks of fixed size, each
-    a matrix product over Arrow batches that hands on k rows a query. Null vectors take no part.
-    """
-    queries, corpus = queries.filter("q is not null"), corpus.filter("v is not null")
-    nq, nc = (max(1, -(-df.count() // n)) for df, n in ((queries, query_block), (corpus, block)))
-    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select(F.col("query_id").cast("long"), "q", part("query_id", nq).alias("qb"), spread(nc).alias("cb"))
-    c = corpus.select(F.col("item").cast("long"), "v", part("item", nc).alias("cb"), spread(nq).alias("qb"))
-    found = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(_nearest(k), "query_id long, item long, score double")
-    return top_n(found, ["query_id"], k, F.col("score").desc(), F.col("item"))
+def similar(queries: DataFrame, corpus: DataFrame, k: int, **how) -> DataFrame:
+    """(query_id, item, score, rank): exact top k by dot product, ties to the smaller item; see ``vectors.nearest``."""
+    return vectors.nearest(queries, corpus, k, **how)
 
 
 def rerank(candidates: DataFrame, k: int, preset: Preset = FAST) -> DataFrame:

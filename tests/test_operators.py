@@ -247,7 +247,7 @@ def test_retrieval_in_blocks_and_eval(spark):
     rows = [(i, [float(rng.randint(-2, 2)) for _ in range(4)]) for i in range(300)]
     many = spark.createDataFrame(rows, "query_id long, q array<double>")
     got = {}
-    for r in retrieval.similar(many, many.toDF("item", "v"), 3, block=40, query_block=70).orderBy("query_id", "rank").collect():
+    for r in retrieval.similar(many, many.toDF("item", "v"), 3, chunk=40, batch_bytes=70 * 48).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["item"])
     dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
     assert got == {i: [j for _, j in sorted((-dot(v, w), j) for j, w in rows)[:3]] for i, v in rows}
