@@ -16,7 +16,7 @@ The default budget is a hundredth over the smallest at which no domain needs few
 documents and leaves none out of any domain; a smaller budget thins the large ones by a hash of the document.
 
 Defined results: a null or empty text has 0 tokens, the prior as posterior, and its rate; targets for unseen domains are
-ignored, domains without a target keep their share; null labels are ignored; without labels all documents are one
+ignored, domains without a target keep their share; targets that are all 0 leave every rate at 1; null labels are ignored; without labels all documents are one
 domain at rate 1; equal rows get equal rates; other columns pass through.
 """
 
@@ -36,6 +36,7 @@ SMOOTHING = 256.0
 HITS = 8.0
 GRID = 32
 ROUNDS = 60
+WRITE = 5
 
 
 def words(text: Column) -> Column:
@@ -75,11 +76,14 @@ def posterior(idx: Column, prior: list[float], rates: list[list[float]], hits: f
     """Posterior in units of 1/GRID, an int array that sums to about GRID. The evidence of a text counts as at most ``hits``
     words, which keeps the memberships of long texts with words of several domains soft."""
 
+    k = len(prior)
+    by_bucket = numbers([round(r[b], 9) for b in range(len(rates[0])) for r in rates])  # the k rates of a bucket side by side
+
     def scores(i: Column) -> Column:
         n = F.size(i)
         scale = F.when(n > hits, F.lit(hits) / n).otherwise(F.lit(1.0))
-        fold = lambda r: F.aggregate(i, F.lit(0.0), lambda s, b: s + F.get(numbers([round(x, 9) for x in r]), b))
-        return F.array(*[F.lit(p) + scale * fold(r) for p, r in zip(prior, rates, strict=True)])
+        told = F.aggregate(i, numbers([0.0] * k), lambda s, b: F.zip_with(s, F.slice(by_bucket, b * k + 1, F.lit(k)), lambda x, y: x + y))
+        return F.zip_with(numbers(prior), told, lambda p, x: p + scale * x)
 
     def soft(s: Column) -> Column:
         return let(F.transform(s, lambda x: F.exp(x - F.array_max(s))), lambda e: F.transform(e, lambda x: F.round(x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b) * GRID).cast("int")))
@@ -91,38 +95,55 @@ def _shares(q: Column) -> Column:
     return let(q, lambda v: let(F.aggregate(v, F.lit(0), lambda a, b: a + b), lambda s: F.transform(v, lambda x: F.try_divide(x.cast("double"), s))))
 
 
+def _moved(rate: Column, p: Column, step: Column) -> Column:
+    return F.greatest(F.lit(0.0), rate - F.aggregate(F.zip_with(p, step, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
+
+
 def rate_of(p: Column, steps: list[list[float]]) -> Column:
-    """The rate after the recorded steps: each subtracts its dot product with ``p``, then cuts at 0."""
+    """The rate after the recorded steps: each subtracts its dot product with ``p``, then cuts at 0. All steps are one literal."""
     if not steps:
         return F.lit(1.0)
-    moves = F.array(*[F.array(*[F.lit(x) for x in s]) for s in steps])
-    return F.aggregate(moves, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)))
+    k, every = len(steps[0]), numbers([x for s in steps for x in s])
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), F.lit(1.0), lambda r, t: _moved(r, p, F.slice(every, t * k + 1, F.lit(k))))
 
 
-def fit_rates(groups: DataFrame, domains: list[str], targets: dict[str, float] | None, budget: float | None = None, rounds: int = ROUNDS, close: float = 1e-7):
+def fit_rates(groups: DataFrame, domains: list[str], targets: dict[str, float] | None, budget: float | None = None, rounds: int = ROUNDS, close: float = 1e-7, scale: float | None = None):
     """(steps, sums, wanted). ``groups`` (p, w): posterior and tokens. ``targets``: weights by domain; None: the square
-    roots of the present sizes."""
-    k = len(domains)
-    sums = lambda steps: [float(x or 0) for x in groups.agg(*[F.sum(F.col("w") * F.get("p", F.lit(i)) * rate_of(F.col("p"), steps)).alias(f"s{i}") for i in range(k)]).first()]
-    have = sums([])
+    roots of the present sizes. ``budget`` in tokens, or ``scale`` times the present ones.
+
+    The rate is a column of the grid points, which a round moves by one step; it is written every ``WRITE`` rounds, so that
+    the plan of a round does not grow with the rounds before, nor with the domains, whose sums are grouped rows."""
+
+    def sums(g: DataFrame) -> list[float]:
+        parts = g.select((F.col("w") * F.col("r")).alias("m"), F.posexplode("p").alias("k", "x")).filter("x > 0")
+        by = {r["k"]: r["s"] for r in parts.groupBy("k").agg(F.sum(F.col("m") * F.col("x")).alias("s")).collect()}
+        return [float(by.get(i) or 0) for i in range(len(domains))]
+
+    rated = groups.select("p", "w", F.lit(1.0).alias("r"))
+    have = sums(rated)
     total = sum(have)
     if not total:
         return [], have, have
     weight = [math.sqrt(h) for h in have] if targets is None else [targets.get(d, h / total) if h else 0.0 for d, h in zip(domains, have, strict=True)]
+    if not sum(weight):
+        return [], have, have
     goal = [w / sum(weight) for w in weight]
-    budget = budget or 1.01 * max(h / g for h, g in zip(have, goal, strict=True) if g)
+    budget = budget or (scale * total if scale else 1.01 * max(h / g for h, g in zip(have, goal, strict=True) if g))
     wanted = [g * budget for g in goal]
     steps: list[list[float]] = []
     now = have
-    for _ in range(rounds):
-        steps.append([(n - w) / h if h else 0.0 for n, w, h in zip(now, wanted, have, strict=True)])
-        now = sums(steps)
-        if max(abs(n - w) for n, w in zip(now, wanted, strict=True)) <= close * budget:
+    for n in range(rounds):
+        steps.append([(x - w) / h if h else 0.0 for x, w, h in zip(now, wanted, have, strict=True)])
+        rated = rated.withColumn("r", _moved(F.col("r"), F.col("p"), numbers(steps[-1])))
+        if n % WRITE == WRITE - 1:
+            rated = staged(rated, "rates")
+        now = sums(rated)
+        if max(abs(x - w) for x, w in zip(now, wanted, strict=True)) <= close * budget:
             break
     return steps, now, wanted
 
 
-def plan(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] | None = None, budget: float | None = None, sample: int = SAMPLE):
+def plan(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] | None = None, budget: float | None = None, sample: int = SAMPLE, scale: float | None = None):
     """Fit on all ``docs``; returns (scored, domains, rate column of a posterior, sums, wanted). ``scored`` (row, t, p) has
     every row of ``docs`` as a struct with its tokens and posterior, written once, so that texts are read a single time."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -133,7 +154,7 @@ def plan(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.struct("*").alias("row"))
     scored = staged(rows.select("row", let(words(F.col(f"row.`{text_col}`")), of).alias("x")).select("row", "x.t", "x.q"), "scored")
     groups = staged(scored.groupBy("q").agg(F.sum("t").cast("double").alias("w")).select(_shares(F.col("q")).alias("p"), "w"), "groups")
-    steps, now, wanted = fit_rates(groups, domains, targets, budget)
+    steps, now, wanted = fit_rates(groups, domains, targets, budget, scale=scale)
     return scored.select("row", "t", _shares(F.col("q")).alias("p")), domains, lambda p: rate_of(p, steps), now, wanted
 
 
@@ -157,10 +178,12 @@ def labelled_domains(docs: DataFrame, labels: DataFrame, domain_col: str = "lang
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
-    """Tokens, domain posterior, rate and copies of every document."""
+    """Tokens, domain posterior, rate and copies of every document, for even shares of as many tokens as there are: domains
+    above their share are thinned, the others repeat."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     told = labelled_domains(docs, table(spark, sf_dir, "labels"))
-    scored, domains, rate, _, _ = plan(docs.select("doc_id", "text"), told)
+    even = {r["domain"]: 1.0 for r in told.select("domain").distinct().limit(DOMAINS + 1).collect()}
+    scored, domains, rate, _, _ = plan(docs.select("doc_id", "text"), told, targets=even, scale=1.0)
     top = F.get(F.array(*[F.lit(d) for d in domains]), (F.array_position("p", F.array_max("p")) - 1).cast("int"))
     out = scored.select("row.doc_id", F.col("t").alias("n_tokens"), top.alias("domain"), "p", rate(F.col("p")).alias("rate"))
     return out.select("doc_id", "n_tokens", "domain", F.array_join(F.transform("p", lambda x: F.format_number(x, 4)), ",").alias("posterior"), "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))

@@ -96,6 +96,23 @@ def test_posteriors_of_three_subjects_match_brute_force(spark):
     assert right > 0.8 * 270 and max(got[9][1]) < 0.75
 
 
+def test_many_domains_and_rounds(spark):
+    """64 domains on 500 documents; the plan of a late round is no larger than that of an early one."""
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(str(rng.choice([f"d{i % 64}w{n}" for n in range(30)] + [f"common{n}" for n in range(20)])) for _ in range(60))) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, f"domain{i % 64:02}") for i in range(320)], "doc_id long, domain string")
+    even = {f"domain{n:02}": 1.0 for n in range(64)}
+    even["domain05"] = 0.0
+    scored, domains, rate, now, wanted = M.plan(docs, labels, targets=even, scale=1.0)
+    assert len(domains) == 64 and wanted[5] == 0 and abs(sum(wanted) - 30_000) < 1e-6
+    got = scored.select("row.doc_id", "t", "p", rate(F.col("p")).alias("r")).collect()
+    p, w, r = np.array([x.p for x in got]), np.array([x.t for x in got], dtype=float), np.array([x.r for x in got])
+    assert np.allclose((w * r) @ p, now) and r.min() == 0.0
+    want = brute_rates(p, w, np.array(wanted), rounds=M.ROUNDS)
+    assert np.allclose(r, want, atol=1e-9)
+
+
 def test_odd_tables(spark):
     labels = spark.createDataFrame([(1, "a"), (1, None), (None, "b"), (2, "b")], "doc_id long, domain string")
     for docs in odd_documents(spark):
