@@ -208,7 +208,14 @@ def pca_components(spark, d):
 @query
 def kmeans_clusters(spark, d):
     z = clustering.standardise(vectors(spark, d).select("ticker", F.col("pcs").alias("x")))
-    return clustering.best_kmeans(z, 4).groupBy("cluster_id").agg(F.count("*").alias("n"))
+    return clustering.best_kmeans(z, 4).select("ticker", "cluster_id")
+
+
+@query
+def auto_clusters(spark, d):
+    """The number of clusters of the best mean silhouette, and the cluster of every instrument."""
+    z = clustering.standardise(vectors(spark, d).select("ticker", F.col("pcs").alias("x")))
+    return clustering.auto_kmeans(z, "ticker").select("ticker", "cluster_id", "selected_k")
 
 
 @query
