@@ -167,10 +167,14 @@ SQL["query_canonicalise"] = f"""WITH {_headlines_sql()}, q AS (SELECT headline A
 
 @query
 def synthetic_headlines(spark, d):
-    return stability.synthetic_headlines(spark)
+    """Every benchmark text led in by the headline that its id picks: the concept by its rest, the variant by the quotient."""
+    texts = read(spark, d, "benchmark").select("item_id", "text", (F.col("item_id") % 100 + 1).cast("int").alias("concept_id"), (F.floor(F.col("item_id") / 100) % 20 + 1).cast("int").alias("variant_id"))
+    j = texts.join(stability.synthetic_headlines(spark), ["concept_id", "variant_id"])
+    return j.select("item_id", "concept_id", "domain", "variant_id", "region_anchor", "theme_anchor", "base_meaning", F.concat_ws(" ", "headline", "text").alias("headline"))
 
 
-SQL["synthetic_headlines"] = f"WITH {_headlines_sql()} SELECT * FROM headlines"
+SQL["synthetic_headlines"] = f"""WITH {_headlines_sql()} SELECT item_id, concept_id, domain, variant_id, region_anchor, theme_anchor, base_meaning, headline || ' ' || text AS headline
+FROM benchmark JOIN headlines ON concept_id = item_id % 100 + 1 AND variant_id = item_id // 100 % 20 + 1"""
 
 
 @query

@@ -521,15 +521,15 @@ SELECT query_id, rule, CASE rule WHEN 1 THEN t1 WHEN 2 THEN t2 WHEN 5 THEN NULL
 
 @query
 def risk_bullets(spark, d):
-    """Up to three answers about risks for every benchmark text, by token overlap with the recorded questions."""
+    """Up to three answers about risks for every whole user turn, by token overlap with the recorded questions."""
     p = qa.question_pairs(_turns(spark, d)).select((F.col("conv_id") * 1000 + F.col("pos")).alias("item"), "question", "answer", F.concat(F.lit("tag"), F.col("conv_id") % 3).alias("tag"))
-    asked = read(spark, d, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat(F.lit("what is the fee risk of "), F.substring_index("text", " ", 2)).alias("text"))
+    asked = read(spark, d, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat(F.lit("what is the fee risk of "), "text").alias("text"))
     scored = retrieval.lexical(asked, p.select("item", F.col("question").alias("text")), 8).withColumnRenamed("overlap", "score").drop("rank")
     return qa.risk_bullets(scored.join(p, "item"))
 
 
 SQL["risk_bullets"] = rf"""WITH {_TURNS}, p AS (SELECT u.conv_id * 1000 + u.turn AS item, u.text AS question, a.text AS answer FROM t u JOIN t a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'),
-q AS (SELECT query_id, {_WORDS} AS qt FROM (SELECT conv_id * 1000 + turn AS query_id, lower('what is the fee risk of ' || array_to_string(string_split(text, ' ')[1:2], ' ')) AS low FROM conversations WHERE role = 'user')),
+q AS (SELECT query_id, {_WORDS} AS qt FROM (SELECT conv_id * 1000 + turn AS query_id, lower('what is the fee risk of ' || text) AS low FROM conversations WHERE role = 'user')),
 k AS (SELECT item, unnest({_WORDS}) AS t FROM (SELECT item, lower(question) AS low FROM p)),
 h AS (SELECT query_id, item, count(*) / any_value(n) AS score FROM (SELECT query_id, len(qt) AS n, unnest(qt) AS t FROM q) JOIN k USING (t) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS i FROM h QUALIFY i <= 8),
@@ -555,21 +555,21 @@ SELECT doc_id, CASE WHEN lang = 'en' AND fee IS NULL THEN {_quote(fixed.FEE_REPL
 
 @query
 def question_gates(spark, d):
-    """English and Chinese question gates, and sentences too noisy for an answer."""
-    q = F.get(F.array(*[F.lit(x) for x in _ASKED]), (F.col("doc_id") % len(_ASKED)).cast("int"))
-    lang = F.when(F.col("doc_id") % len(_ASKED) < 3, "zh-HK").otherwise("en")
-    first = F.substring_index("text", ".", 1)
-    return read(spark, d, "documents").select("doc_id", C.is_question(q, lang).alias("asks"), C.is_noisy_sentence(first).alias("noisy"), C.compact_answer(first, 60).alias("answer"))
+    """English and Chinese question gates over whole user turns, and which are too noisy for an answer."""
+    chinese = F.col("conv_id") % 2 == 1
+    asked = F.concat("text", F.when(chinese, "？").otherwise("?"))
+    t = _turns(spark, d).filter("role = 'user'")
+    return t.select("conv_id", "turn", C.is_question(asked, F.when(chinese, "zh-HK").otherwise("en")).alias("asks"), C.is_noisy_sentence(F.col("text")).alias("noisy"), C.compact_answer(F.col("text"), 300).alias("answer"))
 
 
-_ASKED = ["請總結風險？", "這隻ETF的費用是多少", "這隻ETF很好", "What is the fee?", "Tell me the fee?", "How much"]
-SQL["question_gates"] = rf"""WITH f AS (SELECT doc_id, trim(regexp_replace(string_split(text, '.')[1], '\s+', ' ', 'g')) AS s FROM documents)
-SELECT doc_id, doc_id % 6 IN (1, 3) AS asks, length(s) < 25 OR {" OR ".join(f"regexp_matches(lower(s), {_quote(p)})" for p in fixed.NOISY_SENTENCES)} AS noisy, trim(left(replace(replace(s, ' ,', ','), ' .', '.'), 60)) AS answer FROM f"""
+SQL["question_gates"] = rf"""WITH {_TURNS}, f AS (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS s FROM t WHERE role = 'user')
+SELECT conv_id, turn, CASE WHEN conv_id % 2 = 1 THEN NOT ({" OR ".join(f"starts_with(lower(s), {_quote(x)})" for x in fixed.CHINESE_INSTRUCTIONS)}) ELSE regexp_matches(lower(s), {_quote("^(" + "|".join(fixed.QUESTION_STARTS) + ")")}) END AS asks,
+  length(s) < 25 OR {" OR ".join(f"regexp_matches(lower(s), {_quote(p)})" for p in fixed.NOISY_SENTENCES)} AS noisy, trim(left(replace(replace(s, ' ,', ','), ' .', '.'), 300)) AS answer FROM f"""
 
 
 @query
 def topic_answers(spark, d):
-    """Two to four sentences for each question of a topic, by source; sentences are lines led in by a topic's word."""
+    """Two to four sentences for each question of a topic, by source; sentences are whole texts led in by a topic's word."""
     return qa.topic_answers(_topic_lines(spark, d), "source").select("source", "topic", "n", "question", "answer")
 
 
@@ -578,11 +578,11 @@ _TOPIC_WORDS = ["The strategy is ", "Tracking error of ", "Fees are ", "Futures
 
 def _topic_lines(spark, d):
     lead = F.get(F.array(*[F.lit(x) for x in _TOPIC_WORDS]), (F.col("doc_id") % len(_TOPIC_WORDS)).cast("int"))
-    return read(spark, d, "documents").select("source", F.col("doc_id").alias("pos"), F.concat(lead, C.squeezed(F.substring_index("text", "\n", 1))).alias("text"))
+    return read(spark, d, "documents").select("source", F.col("doc_id").alias("pos"), F.concat(lead, C.squeezed(F.col("text"))).alias("text"))
 
 
 _HEX = " + ".join(f"(strpos('0123456789abcdef', substr(md5(h), {i}, 1)) - 1) * {16 ** (4 - i)}" for i in range(1, 5))
-SQL["topic_answers"] = rf"""WITH l AS (SELECT source, doc_id AS pos, CASE doc_id % 7 {" ".join(f"WHEN {i} THEN {_quote(x)}" for i, x in enumerate(_TOPIC_WORDS))} END || trim(regexp_replace(string_split(text, chr(10))[1], '\s+', ' ', 'g')) AS text FROM documents),
+SQL["topic_answers"] = rf"""WITH l AS (SELECT source, doc_id AS pos, CASE doc_id % 7 {" ".join(f"WHEN {i} THEN {_quote(x)}" for i, x in enumerate(_TOPIC_WORDS))} END || trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents),
 p AS ({" UNION ALL ".join(f"SELECT source, pos, text, {_quote(t)} AS topic FROM l WHERE regexp_matches(lower(text), {_quote(x)})" for t, x in fixed.TOPIC_PATTERNS.items())}),
 r AS (SELECT *, row_number() OVER (PARTITION BY source, topic ORDER BY pos) AS i, count(*) OVER (PARTITION BY source, topic) AS c FROM p QUALIFY i <= 8),
 k AS ({" UNION ALL ".join(f"SELECT {_quote(t)} AS topic, {i} AS n, {_quote(q)} AS ask" for t, qs in fixed.TOPIC_QUESTIONS.items() for i, q in enumerate(qs))}),
@@ -617,15 +617,17 @@ SQL["embedding_text"] = r"""SELECT p_partkey, concat_ws(' ', 'Ticker ' || CASE W
 
 @query
 def chinese_questions(spark, d):
-    """Bilingual expansion by the first fitting beginning."""
-    q = F.concat(F.get(F.array(*[F.lit(a) for a, _ in fixed.CHINESE_QUESTIONS], F.lit("Tell me")), (F.col("p_partkey") % (len(fixed.CHINESE_QUESTIONS) + 1)).cast("int")), F.lit(" this fund?"))
-    return read(spark, d, "part").select("p_partkey", q.alias("question"), replies.chinese_question(q, F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("zh")).filter("zh is not null")
+    """Bilingual expansion of every user turn by the first fitting beginning; beginnings are dealt by conversation and turn."""
+    n = (F.col("conv_id") + F.col("turn")) % (len(fixed.CHINESE_QUESTIONS) + 1)
+    q = F.concat(F.get(F.array(*[F.lit(a) for a, _ in fixed.CHINESE_QUESTIONS], F.lit("Tell me")), n.cast("int")), F.lit(" "), "text")
+    t = read(spark, d, "conversations").filter("role = 'user'")
+    return t.select("conv_id", "turn", q.alias("question"), replies.chinese_question(q, F.lpad(F.col("conv_id").cast("string"), 6, "0")).alias("zh")).filter("zh is not null")
 
 
 _ZH = "[" + ", ".join(_quote(a) for a, _ in fixed.CHINESE_QUESTIONS) + ", 'Tell me']"
-SQL["chinese_questions"] = f"""WITH q AS (SELECT p_partkey, (SELECT {_ZH})[1 + p_partkey % {len(fixed.CHINESE_QUESTIONS) + 1}] || ' this fund?' AS question FROM part),
+SQL["chinese_questions"] = f"""WITH q AS (SELECT conv_id, turn, (SELECT {_ZH})[1 + (conv_id + turn) % {len(fixed.CHINESE_QUESTIONS) + 1}] || ' ' || text AS question FROM conversations WHERE role = 'user'),
 z AS (SELECT *, CASE {' '.join(f'WHEN starts_with(question, {_quote(a)}) THEN {_quote(b)}' for a, b in fixed.CHINESE_QUESTIONS)} END AS t FROM q)
-SELECT p_partkey, question, t || '（' || lpad(p_partkey::VARCHAR, 6, '0') || '）？' AS zh FROM z WHERE t IS NOT NULL"""
+SELECT conv_id, turn, question, t || '（' || lpad(conv_id::VARCHAR, 6, '0') || '）？' AS zh FROM z WHERE t IS NOT NULL"""
 
 
 @query
