@@ -16,23 +16,24 @@ from pyspark.sql.window import Window
 
 from lodestream.frames import materialise
 
-FEW = 4096
+FEW = 1 << 16
 BORDERS = 32
 
 
 def ranked_values(rows: DataFrame, wanted: DataFrame, few: int = FEW, borders: int = BORDERS) -> DataFrame:
-    """(g, rank, x): the values at the wanted ranks (from 0) of each group. ``rows`` (g, x) and ``wanted`` (g, rank) without nulls."""
+    """(g, rank, x): the values at the wanted ranks (from 0) of each group. ``rows`` (g, x) and ``wanted`` (g, rank)
+    are without nulls and best written tables, as they are read more than once."""
     # _p tells the range within a group, _r the rank within that range.
-    left = materialise(rows.select("g", F.lit("").alias("_p"), "x"))
-    asked = materialise(wanted.select("g", F.lit("").alias("_p"), "rank", F.col("rank").alias("_r")).distinct())
+    left = rows.select("g", F.lit("").alias("_p"), "x")
+    asked = wanted.select("g", F.lit("").alias("_p"), "rank", F.col("rank").alias("_r")).distinct()
     found = None
     steps = [F.lit((i + 1) / (borders + 1)) for i in range(borders)]
     while True:
         sizes = left.groupBy("g", "_p").agg(F.count("*").alias("n"), F.percentile_approx("x", F.array(*steps), F.lit(20 * borders)).alias("cuts"))
-        sizes = materialise(sizes.select("g", "_p", "n", F.when(F.col("n") > few, F.array_distinct("cuts")).otherwise(F.array().cast("array<double>")).alias("cuts")))
+        sizes = sizes.select("g", "_p", F.when(F.col("n") > few, F.array_distinct("cuts")).otherwise(F.array().cast("array<double>")).alias("cuts"))
         # 2 i: between the borders i - 1 and i; 2 i + 1: on border i. NaN is equal to itself and above all else, as in Spark's order.
         range_of = F.aggregate("cuts", F.lit(0), lambda s, c: s + F.when(F.col("x") > c, 2).when(F.col("x") == c, 1).otherwise(0))
-        dealt = materialise(left.join(sizes.select("g", "_p", "cuts"), ["g", "_p"]).select("g", "_p", range_of.alias("_b"), "x"))
+        dealt = materialise(left.join(sizes, ["g", "_p"]).select("g", "_p", range_of.alias("_b"), "x"))
         counts = dealt.groupBy("g", "_p", "_b").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
         before = F.sum("n").over(Window.partitionBy("g", "_p").orderBy("_b")) - F.col("n")  # at most 2 * borders + 1 rows a range
         hits = asked.join(counts.withColumn("_before", before), ["g", "_p"]).filter((F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("n")))
