@@ -1,10 +1,16 @@
-"""Line dedup over the hashes of runs of lines (operator 1, native).
+"""Line dedup by winnowing over line hashes (operator 1, native).
 
-Every run of ``window + 1`` neighbouring lines, and every shorter one of ``min_words`` words or more, is hashed as a whole
-from its line hashes: winnowing with every window's own run as its fingerprint, so none is left out. Where a run is not the
-first of its hash, its lines are deleted. A longer repeated run consists of such runs, each of which has its own first copy
-wherever that lies, so it goes whole, also where its parts first occur in different documents. No pairs are formed: a run is
-joined with the first of its hash only, and all runs of one hash are equal.
+The windows are all runs of ``window + 1`` neighbouring lines and all shorter ones of ``min_words`` words or more. Each
+window selects its smallest line hash (the first of equal ones) as a fingerprint, so equal windows select equal lines at
+equal places, and what a window shares with another is guaranteed to meet in a fingerprint. Neighbouring windows mostly
+select the same line, so there are fewer fingerprints than lines.
+
+Fingerprints of one hash are brought together; those met once only are done with, and so are all windows that selected
+them. Every other fingerprint is a match whose position is extended both ways, to the borders of each window that selected
+it, and the extended run is joined with the first copy of that very run: the first of each distinct context, not of the
+bare line. So no pairs are formed however often a line occurs, and of two later texts that share more with each other than
+with the first, the longer match is found too. Where an extended run is not the first copy, its lines are deleted; what
+overlaps of such runs makes up the longer matches.
 
 "First" is the smallest (id, text hash, line), so a deleted line always has an equal line before it, and the first copy of
 any line stays.
@@ -16,6 +22,9 @@ not dropped; other columns, whatever their names, pass through.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +40,7 @@ def _words(line: Column) -> Column:
 
 
 def fingerprints(keyed: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
-    """(k, uid, text) to (n, g, g2, k, uid, pos): every run of ``n`` lines from ``pos`` on that must not occur twice, as a 128-bit hash."""
+    """(k, uid, text) to (h, k, uid, pos, runs): the selected lines, each with the runs (n, g, g2, lo) that selected it, as 128-bit hashes."""
     lines = F.split("text", "\n", -1)
     # Two hashes of each line, seeded apart, carry 128 bits into the hash of a run.
     hashed = keyed.filter(F.col("text").isNotNull()).select(
@@ -40,26 +49,38 @@ def fingerprints(keyed: DataFrame, window: int = WINDOW, min_words: int = MIN_WO
     )
     hashed = hashed.select("k", "uid", "x.h", "x.h2", "x.w")
 
-    def of(n: int) -> Column:
-        """The runs of ``n`` lines: all of the full length, of shorter ones those with enough words."""
-        at = lambda c, i: [F.get(c, i + t) for t in range(n)]
-        runs = F.transform(
-            F.slice("h", 1, F.greatest(F.size("h") - (n - 1), F.lit(0))),
-            lambda _, i: F.struct(F.lit(n).alias("n"), F.xxhash64(*at(F.col("h"), i)).alias("g"), F.xxhash64(*at(F.col("h2"), i)).alias("g2"), i.alias("pos"), sum(at(F.col("w"), i)[1:], F.get("w", i)).alias("w")),
-        )
-        return runs if n > window else F.filter(runs, lambda s: s["w"] >= min_words)
-
-    found = hashed.select("k", "uid", F.explode(F.concat(*[of(n) for n in range(1, window + 2)])).alias("f"))
-    return found.select("f.n", "f.g", "f.g2", "k", "uid", "f.pos")
+    def run(n: int, before: int, h: Column, p: Column) -> Column:
+        """The run of ``n`` lines, ``before`` of them ahead of line ``p``, if it is a window that selects this line; else null."""
+        lo = p - before
+        at = lambda c: [F.get(c, lo + t) for t in range(n)]
+        hs = at(F.col("h"))
+        # Outside the text ``get`` is null, and so is the comparison.
+        selects = [x > h for x in hs[:before]] + [x >= h for x in hs[before + 1 :]]
+        if n <= window:
+            ws = at(F.col("w"))
+            selects.append(sum(ws[1:], ws[0]) >= min_words)
+        found = F.struct(F.lit(n).alias("n"), F.xxhash64(*hs).alias("g"), F.xxhash64(*at(F.col("h2"))).alias("g2"), lo.alias("lo"))
+        return F.when(reduce(and_, selects), found) if selects else found
+
+    runs = lambda h, p: F.array_compact(F.array(*[run(n, b, h, p) for n in range(1, window + 2) for b in range(n)]))
+    selected = F.filter(F.transform("h", lambda h, p: F.struct(h.alias("h"), p.alias("pos"), runs(h, p).alias("runs"))), lambda s: F.size(s["runs"]) > 0)
+    found = hashed.select("k", "uid", F.explode(selected).alias("f"))
+    return found.select("f.h", "k", "uid", "f.pos", "f.runs")
+
+
+def extended(prints: DataFrame) -> DataFrame:
+    """(n, g, g2, k, uid, lo): the runs around the fingerprints that were met more than once."""
+    met = prints.groupBy("h").count().filter("count > 1").select("h")
+    # Written and read again, so that the join has an exchange of its own on both sides: a line that half of all documents
+    # share then falls into splits instead of one task.
+    return prints.join(staged(met, "met"), "h", "left_semi").select("k", "uid", F.inline("runs")).select("n", "g", "g2", "k", "uid", "lo")
 
 
-def repeated_runs(prints: DataFrame) -> DataFrame:
+def repeated_runs(runs: DataFrame) -> DataFrame:
     """(k, uid, lo, hi): the runs of lines to delete, by line number."""
-    first = prints.groupBy("n", "g", "g2").agg(F.min(F.struct("k", "uid", "pos")).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    # Written and read again, so that the join has an exchange of its own on both sides: a run that half of all documents
-    # share then falls into splits instead of one task.
-    later = prints.join(staged(first, "first"), ["n", "g", "g2"]).filter(F.struct("k", "uid", "pos") != F.col("first"))
-    return later.select("k", "uid", F.col("pos").alias("lo"), (F.col("pos") + F.col("n") - 1).alias("hi"))
+    first = runs.groupBy("n", "g", "g2").agg(F.min(F.struct("k", "uid", "lo")).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    later = runs.join(staged(first, "first"), ["n", "g", "g2"]).filter(F.struct("k", "uid", "lo") != F.col("first"))
+    return later.select("k", "uid", "lo", (F.col("lo") + F.col("n") - 1).alias("hi"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
@@ -67,7 +88,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     uid = lambda i, t: F.xxhash64(i, t)
     order = lambda c: F.coalesce(c.cast("long"), F.lit(2**63 - 1)).alias("k")
     keyed = docs.select(order(F.col(id_col)), uid(F.col(id_col), F.col(text_col)).alias("uid"), F.col(text_col).alias("text"))
-    runs = repeated_runs(staged(fingerprints(keyed, window, min_words), "prints"))
+    runs = repeated_runs(staged(extended(staged(fingerprints(keyed, window, min_words), "prints")), "runs"))
     gone = runs.distinct().groupBy("k", "uid").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("lo", "hi")))).alias("gone"))
     whole = docs.select(F.struct("*").alias("row")).select("row", order(F.col(f"row.{id_col}")), uid(F.col(f"row.{id_col}"), F.col(f"row.{text_col}")).alias("uid"))
     text = F.col(f"row.{text_col}")

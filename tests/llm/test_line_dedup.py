@@ -76,6 +76,31 @@ def test_repeats_inside_one_text(spark):
     assert got.startswith("a b") and got.endswith("end") and got.count("a b") <= 3
 
 
+def test_fingerprints_are_the_minima_of_windows(spark):
+    rng = random.Random(4)
+    texts = ["\n".join(" ".join(f"v{rng.randrange(12)}" for _ in range(rng.choice([1, 2, 30]))) for _ in range(rng.randint(1, 30))) for _ in range(20)]
+    df = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "k long, uid long, text string")
+    lines = {x for t in texts for x in t.split("\n")}
+    h = dict(spark.createDataFrame([(x,) for x in lines], "x string").selectExpr("x", "xxhash64(x)").collect())
+    for window in (1, 2, 4):
+        want = {}
+        for k, t in enumerate(texts):
+            ls = t.split("\n")
+            for i in range(len(ls)):
+                for n in range(1, window + 2):
+                    if i + n <= len(ls) and (n > window or sum(x.count(" ") + 1 for x in ls[i : i + n]) >= 50):
+                        pos = min(range(i, i + n), key=lambda p: (h[ls[p]], p))
+                        want.setdefault((k, pos, h[ls[pos]]), set()).add((n, i))
+        got = {(r.k, r.pos, r.h): {(x.n, x.lo) for x in r.runs} for r in L.fingerprints(df, window).collect()}
+        assert got == want
+
+
+def test_unique_lines_leave_nothing_to_extend(spark):
+    df = spark.createDataFrame([(i, i, "\n".join(f"line {i} {j}" for j in range(200))) for i in range(20)], "k long, uid long, text string")
+    prints = L.fingerprints(df)
+    assert prints.count() < 0.6 * 4000 and L.extended(prints).count() == 0
+
+
 def test_odd_tables(spark):
     for docs in odd_documents(spark):
         out = L.dedup_lines(docs)
