@@ -318,3 +318,47 @@ FEE_REPLIES = {
         "根據基金文件，這隻ETF會有持續收費及交易相關費用；具體收費請以最新產品資料概要及基金章程為準。",
     ),
 }
+
+# Answers in plain words. Boilerplate that goes (any case), replacements in English answers, the fund's short
+# name in Chinese ones, and answers that known phrases stand for, each in this order.
+ANSWER_LEAD = r"^根據基金文件[:：]\s*"
+BOILERPLATE = [
+    r"under the section entitled [\"“][^\"”]+[\"”]",
+    r"shall be deemed to be deleted and replaced with the following[:：]?",
+    r"forms an integral part of[^\.]*",
+    r"with the prior approval of the Promoter[^\.]*",
+]
+PLAIN_WORDS = [("Sub-Fund", "ETF"), ("The Sub -Fund", "The ETF"), ("TraHK", "the ETF"), ("Objective and Investment Strategy Objective", "Investment objective")]
+PLAIN_WORDS_ZH = [("TraHK", "本ETF")]
+PLAIN_END = "Quick facts"
+KNOWN_FACTS = [
+    (["closely correspond to the performance of the hang seng index"], "The fund aims to closely correspond to the performance of the Hang Seng Index."),
+    (["tracks hang seng index"], "It tracks the Hang Seng Index."),
+    (["track hang seng index"], "It tracks the Hang Seng Index."),
+    (["investment objective", "hang seng index"], "Its investment objective is to closely track the Hang Seng Index."),
+]
+
+# The tags of a feature card with their labels, in this order, and the frames of replies.
+FEATURE_TAGS = {
+    "objective_strategy": ("Objective: ", "投資目標："),
+    "fees_charges": ("Fee profile: ", "費用重點："),
+    "dividend": ("Dividend: ", "派息資訊："),
+    "key_risks": ("Risk highlights: ", "風險重點："),
+    "currency_counter": ("Trading/currency counters: ", "交易櫃台/貨幣："),
+}
+FEATURE_REPLY = {
+    "en": ("Key ETF features for `{}` (from fund documents):\n", "\n\nPortfolio construction advice: treat this ETF as a core or satellite position, then add ETFs from different regions/asset classes to reduce single-market concentration."),
+    "zh": ("`{}` 的ETF特點如下（根據文件）：\n", "\n\n建議組合做法：可先把此ETF作為核心或衛星倉位，再搭配不同地區/資產類別ETF做分散，避免單一市場集中。"),
+}
+RISK_REPLY = {
+    "en": ("Based on fund documents, the key risks include:\n", "\nWhat this means: if your portfolio is concentrated in one market/theme, consider adding other regions or asset classes to diversify volatility."),
+    "zh": ("根據基金文件，主要風險包括：\n", "\n這代表甚麼：若你已集中港股或單一主題，宜搭配不同地區或資產類別ETF分散波動。"),
+}
+DISCOVERY_REPLY = {
+    "en": ("Based on Model 2 (Synapse) semantic matching, these ETFs are most related to your information:\n", "- {i}. `{t}`: event `{e}`; headline summary `{h}`", "\nPractical next step: open 1-2 of these tickers, then compare holdings, 1Y trend, and fee profile."),
+    "zh": ("根據Model 2（Synapse）語義匹配，以下ETF與你提供的資訊最相關：\n", "- {i}. `{t}`：事件 `{e}`；摘要 `{h}`", "\n建議：先點選其中1-2隻查看其持倉與1年走勢，再進一步比較風險與費用。"),
+}
+NO_DISCOVERY = {
+    "en": "I could not find confident related ETFs from Model 2 (Synapse). Please provide more specific news/event keywords.",
+    "zh": "未能從Model 2（Synapse）找到明確相關ETF。請提供更多新聞關鍵字、事件描述或市場主題。",
+}
