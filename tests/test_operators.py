@@ -119,10 +119,6 @@ def test_pairs_label_rules(spark):
 def test_merge_and_budget_folds(spark):
     df = spark.createDataFrame([(1, i, t) for i, t in enumerate(["a", "b.", "c;", "d", ""])], "k int, pos int, text string")
     assert [r.text for r in text.merge_fragments(df, "k").orderBy("merged_id").collect()] == ["a b.", "c; d"]
-    words = lambda p, n: " ".join(f"{p}{i}" for i in range(n))
-    rows = [(3, 0, words("a", 9)), (5, 1, words("b", 30)), (5, 2, words("c", 10)), (1, 3, words("a", 9)), (2, 4, "too short")]
-    r = spark.createDataFrame([([*rows],)], "x array<struct<score:int,pos:int,text:string>>").select(text.select_ranked(F.col("x"), 3, 70, F.array().cast("array<string>")).alias("s")).first().s
-    assert r.kept == [words("c", 10), words("a", 9)] and r.used == len(words("c", 10)) + len(words("a", 9))
 
 
 def test_impute_cap_and_first(spark):
