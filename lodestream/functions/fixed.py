@@ -175,8 +175,34 @@ KEY_FACTS = {
     "dividend_policy": r"Dividend policy[#:\s]*([^\.]+?)(?:\s{2,}|website|$)",
 }
 
-# Sentences that call a known instrument unknown, and cut-off tails.
-WRONG_CLAIMS = [
+# Phrases of which one must stand in a reply for it to be corrected, in this order.
+INVALID_CLAIMS = [
+    "does not correspond to any known etf",
+    "does not correspond to a known etf",
+    "does not correspond to an existing etf",
+    "is not a known etf",
+    "not an existing etf",
+    "isn't an etf",
+    "is not in our database",
+    "isn't in our database",
+    "there isn't an etf with the ticker",
+    "there is no etf with the ticker",
+    "not found in our database",
+    "couldn't find any information about the etf with the ticker",
+    "could not find any information about the etf with the ticker",
+    "might be incorrect",
+    "not listed in the hong kong market",
+    "confirm if",
+    "correct ticker",
+    "check the ticker again",
+    "provide more details",
+    "would you like more",
+    "並不是一個現有的etf",
+    "不是一個現有的etf",
+    "未能找到對應的etf",
+]
+# The sentences that then go, in this order.
+CLAIM_SENTENCES = [
     r"[^.\n]*there isn['’]t an etf with the ticker[^.\n]*[.\n]?",
     r"[^.\n]*there is no etf with the ticker[^.\n]*[.\n]?",
     r"[^.\n]*does not correspond to any known etf[^.\n]*[.\n]?",
@@ -190,13 +216,21 @@ WRONG_CLAIMS = [
     r"[^.\n]*confirm if[^.\n]*correct ticker[^.\n]*[.\n]?",
     r"[^.\n]*check the ticker again[^.\n]*[.\n]?",
     r"[^.\n]*provide more details[^.\n]*[.\n]?",
-    r"[^.\n]*local data is currently insufficient[^.\n]*[.\n]?",
-    r"[^.\n]*insufficient local data[^.\n]*[.\n]?",
+    r"(?is)\bwould you like more.*$",
     r"[^。\n]*不是一個現有的etf[^。\n]*[。\n]?",
+    r"[^。\n]*並不是一個現有的etf[^。\n]*[。\n]?",
     r"[^。\n]*未能找到對應的etf[^。\n]*[。\n]?",
+]
+# A line with the word and one of these goes at last.
+CLAIM_LINE = "ticker"
+CLAIM_LINE_WORDS = ["does not correspond", "not listed", "incorrect", "not in our database", "isn't an etf"]
+# Sentences that deny data which is there, and cut-off tails, in this order.
+INSUFFICIENT = [
     r"[^。\n]*目前本地資料不足以確認細節[^。\n]*[。\n]?",
+    r"[^.\n]*local data is currently insufficient[^.\n]*[.\n]?",
+    r"[^.\n]*insufficient local data[^.\n]*[.\n]?",
 ]
-CUT_TAILS = [r"(?s)(\(|（)\s*key\s*$", r"(?s)\bwould you like more.*$"]
+CUT_TAILS = [r"(?is)(\(|（)\s*key\s*$", r"(?is)\bwould you like more.*$"]
 
 # Words by which a recorded question is of a kind, and by which an answer is about lot sizes.
 LOOKUP_WORDS = {

@@ -34,15 +34,39 @@ def key_facts(corpus: Column) -> Column:
     return F.struct(*[F.nullif(F.trim(F.regexp_replace(F.regexp_extract(corpus, f"(?i){p}", 1), r"\s+", " ")), F.lit("")).alias(n) for n, p in fixed.KEY_FACTS.items()])
 
 
-def clean_reply(reply: Column, code: Column, known: Column) -> Column:
-    """For a known code: without sentences that call it unknown and without cut-off tails; corrected where one was cut."""
-    t = F.trim(F.coalesce(reply, F.lit("")))
-    for p in fixed.CUT_TAILS:
-        t = F.trim(F.regexp_replace(t, f"(?i){p}", ""))
-    cut = reduce(lambda a, p: F.trim(F.regexp_replace(a, f"(?i){p}", "")), fixed.WRONG_CLAIMS, t)
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def _without(c: Column, patterns: list[str]) -> Column:
+    return reduce(lambda a, p: _stripped(F.regexp_replace(a, f"(?i){p}", "")), patterns, c)
+
+
+def correct_claims(reply: Column, code: Column, known: Column) -> Column:
+    """For a known code: a reply with one of the listed claims that the code is unknown loses their sentences, then every line
+    that still says so, and says which code it is about; a cut offer of more at the end goes in any case."""
+    text = _stripped(F.coalesce(reply, F.lit("")))
+    t = _without(text, fixed.CUT_TAILS[1:])
+    wrong = lambda line: F.lower(line).contains(fixed.CLAIM_LINE) & C.contains_any(line, fixed.CLAIM_LINE_WORDS)
+    lines = F.transform(F.split(_without(t, fixed.CLAIM_SENTENCES), "\n"), _stripped)
+    rest = F.array_join(F.filter(lines, lambda x: (x != "") & ~wrong(x)), "\n")
     head = F.concat(F.lit("Using ticker `"), code, F.lit("` as the active ETF context.\n\n"))
-    rest = F.when(cut == "", "I can continue with risk, benchmark, fee, and alternatives for this ETF.").otherwise(cut)
-    return F.when(~known | (F.coalesce(code, F.lit("")) == ""), F.trim(F.coalesce(reply, F.lit("")))).when(cut == t, t).otherwise(F.concat(head, rest))
+    told = F.concat(head, F.when(rest == "", "I can continue with risk, benchmark, fee, and alternatives for this ETF.").otherwise(rest))
+    asked = F.coalesce(known, F.lit(False)) & (F.coalesce(code, F.lit("")) != "")
+    return F.when(~asked, text).when(C.contains_any(t, fixed.INVALID_CLAIMS), told).otherwise(t)
+
+
+def trim_reply(reply: Column, code: Column, known: Column, mapped: Column) -> Column:
+    """For a known code: without cut-off tails, and where its data is there (``mapped``) without sentences that deny it."""
+    text = _stripped(F.coalesce(reply, F.lit("")))
+    asked = F.coalesce(known, F.lit(False)) & (F.coalesce(code, F.lit("")) != "")
+    kept = F.when(F.coalesce(mapped, F.lit(False)), _without(text, fixed.INSUFFICIENT)).otherwise(text)
+    return F.when(asked, _without(kept, fixed.CUT_TAILS)).otherwise(text)
+
+
+def clean_reply(reply: Column, code: Column, known: Column, mapped: Column | None = None) -> Column:
+    """Both: first corrected, then trimmed."""
+    return trim_reply(correct_claims(reply, code, known), code, known, F.lit(True) if mapped is None else mapped)
 
 
 def fallback(query: Column, code: Column, alternatives: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestream.frames import read
-from lodestream.functions import fixed
+from lodestream.functions import fixed, replies
 from lodestream.operators import answers, qa, retrieval
 from lodestream.plans.documents import _any_sql, _quote
 
@@ -172,3 +172,35 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ow
 l AS (SELECT query_id, string_agg({_line_sql('en')}, chr(10) ORDER BY rank) AS en, string_agg({_line_sql('zh')}, chr(10) ORDER BY rank) AS zhs FROM (SELECT query_id, rank, r.ticker, e, h FROM r JOIN n USING (item)) GROUP BY 1)
 SELECT query_id, CASE WHEN en IS NULL THEN CASE WHEN zh THEN {_quote(fixed.NO_DISCOVERY['zh'])} ELSE {_quote(fixed.NO_DISCOVERY['en'])} END
   ELSE {_frame_sql(fixed.DISCOVERY_REPLY, 0)} || CASE WHEN zh THEN zhs ELSE en END || {_frame_sql(fixed.DISCOVERY_REPLY, 2)} END AS reply FROM u LEFT JOIN l USING (query_id)"""
+
+
+_CLAIMS = ["", "There is no ETF with the ticker 2800. ", "Please confirm if 2800 is the correct ticker.\nMaybe the ticker is incorrect\n", "這並不是一個現有的ETF。", "Local data is currently insufficient to say. ", "It isn't an ETF, the ticker is not listed.\n"]
+_ENDS = ["", " Would you like more details about", " (key "]
+
+
+@query
+def reply_guard(spark, d):
+    """Every whole assistant turn with claims before and a cut end after it, corrected for the codes that are known."""
+    pick = lambda xs, by: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col(by) % len(xs)).cast("int") + 1)
+    t = _turns(spark, d).filter("role = 'assistant'").select("conv_id", "turn", F.concat(pick(_CLAIMS, "conv_id"), "text", pick(_ENDS, "turn")).alias("text"), F.lpad((F.col("conv_id") % 50).cast("string"), 4, "0").alias("code"))
+    return t.select("conv_id", "turn", replies.clean_reply(F.col("text"), F.col("code"), F.col("conv_id") % 5 > 0, F.col("conv_id") % 7 > 0).alias("reply"))
+
+
+def _stripped_sql(x):
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def _without_sql(x, patterns):
+    for p in patterns:
+        x = _stripped_sql(f"regexp_replace({x}, {_quote('(?i)' + p)}, '', 'g')")
+    return x
+
+
+_ASKED_CODE = "conv_id % 5 > 0"
+_LINES = f"[{_stripped_sql('x')} FOR x IN string_split(c, chr(10))]"
+SQL["reply_guard"] = f"""WITH t AS (SELECT conv_id, turn, {_stripped_sql(f"[{', '.join(map(_quote, _CLAIMS))}][conv_id % {len(_CLAIMS)} + 1] || text || [{', '.join(map(_quote, _ENDS))}][turn % {len(_ENDS)} + 1]")} AS text, lpad((conv_id % 50)::VARCHAR, 4, '0') AS code FROM conversations WHERE role = 'assistant'),
+a AS (SELECT *, {_without_sql('text', fixed.CUT_TAILS[1:])} AS t FROM t), b AS (SELECT *, {_without_sql('t', fixed.CLAIM_SENTENCES)} AS c FROM a),
+e AS (SELECT *, array_to_string(list_filter({_LINES}, lambda x: x <> '' AND NOT (contains(lower(x), '{fixed.CLAIM_LINE}') AND {_any_sql('lower(x)', fixed.CLAIM_LINE_WORDS)})), chr(10)) AS rest FROM b),
+f AS (SELECT *, CASE WHEN NOT ({_ASKED_CODE}) THEN text WHEN {_any_sql('lower(t)', fixed.INVALID_CLAIMS)} THEN 'Using ticker `' || code || '` as the active ETF context.' || chr(10) || chr(10) || CASE WHEN rest = '' THEN 'I can continue with risk, benchmark, fee, and alternatives for this ETF.' ELSE rest END ELSE t END AS r FROM e),
+g AS (SELECT *, {_stripped_sql('r')} AS s FROM f), h AS (SELECT *, CASE WHEN conv_id % 7 > 0 THEN {_without_sql('s', fixed.INSUFFICIENT)} ELSE s END AS k FROM g)
+SELECT conv_id, turn, CASE WHEN {_ASKED_CODE} THEN {_without_sql('k', fixed.CUT_TAILS)} ELSE s END AS reply FROM h"""

@@ -81,3 +81,18 @@ def test_discovery_against_brute_force(spark):
     told = A.discovery_replies(q.select("query_id", F.lit(False).alias("zh")), A.discovered(q, n), n.select("item", F.col("text").alias("headline"), F.lit("").alias("event"))).collect()
     assert len(told) == 26 and {r.reply for r in told if r.query_id == 99} == {fixed.NO_DISCOVERY["en"]}
     assert any("- 1. `t" in r.reply and "event `N/A`" in r.reply for r in told)
+
+
+def test_reply_guard(spark):
+    from lodestream.functions import replies as R
+
+    head = "Using ticker `2800` as the active ETF context.\n\n"
+    known = lambda c: R.clean_reply(c, F.lit("2800"), F.lit(True))
+    assert one(spark, "It tracks. The code might be incorrect. Fine.\nThe ticker is not listed here\nGood", known) == head + "It tracks. Fine.\nGood"
+    assert one(spark, "這並不是一個現有的ETF。", known) == head + "I can continue with risk, benchmark, fee, and alternatives for this ETF."
+    # No listed phrase, so a line of the last resort stays.
+    assert one(spark, "The ticker looks incorrect", known) == "The ticker looks incorrect"
+    assert one(spark, "So. Insufficient local data now. Ok (key ", known) == "So. Ok"
+    assert one(spark, "So. Insufficient local data now. Ok (key ", lambda c: R.clean_reply(c, F.lit("2800"), F.lit(True), F.lit(False))) == "So. Insufficient local data now. Ok"
+    assert one(spark, " Might be incorrect. ", lambda c: R.clean_reply(c, F.lit("2800"), F.lit(False))) == "Might be incorrect."
+    assert one(spark, None, known) == ""
