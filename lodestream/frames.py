@@ -29,7 +29,8 @@ def materialise(df: DataFrame) -> DataFrame:
             _OWN.append(tempfile.mkdtemp(prefix="lodestream-"))
             atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
         root = "file://" + _OWN[0]
-    path = f"{root.rstrip('/')}/frame-{uuid.uuid4().hex}"
+    # One folder a run, to be removed once the application has ended.
+    path = f"{root.rstrip('/')}/lodestream-{spark.conf.get('spark.app.id')}/frame-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
