@@ -37,7 +37,8 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     partitioning, so that later joins bring their own exchange, which AQE can split when a key is hot.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/lodestream-{tag}-{uuid.uuid4().hex}"
+    # One folder a run, to be removed once the application has ended.
+    path = f"{scratch_root(spark)}/lodestream-{spark.conf.get('spark.app.id')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
