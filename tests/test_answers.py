@@ -96,3 +96,28 @@ def test_reply_guard(spark):
     assert one(spark, "So. Insufficient local data now. Ok (key ", lambda c: R.clean_reply(c, F.lit("2800"), F.lit(True), F.lit(False))) == "So. Insufficient local data now. Ok"
     assert one(spark, " Might be incorrect. ", lambda c: R.clean_reply(c, F.lit("2800"), F.lit(False))) == "Might be incorrect."
     assert one(spark, None, known) == ""
+
+
+def test_counts_of_shared_words_in_slices():
+    import random
+
+    import numpy as np
+    from lodestream.operators import overlap
+
+    rng = random.Random(3)
+    draw = lambda: " ".join(sorted({f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.randint(0, 30))}))
+    asked, rows = [draw() for _ in range(70)], [draw() for _ in range(90)]
+    want = [[len(set(a.split()) & set(b.split())) for b in rows] for a in asked]
+    for cells in (1, 400, 10**6):
+        got = np.concatenate([m for _, m in overlap.shared(asked, rows, cells)])
+        assert got.tolist() == want
+    assert overlap.units(np.array([0.0025390625, 0.0025390635, 1e-9, -0.5])).tolist() == [2539063, 2539064, 1, -500000000]
+
+
+def test_discovery_pairs_do_not_travel(spark):
+    """Words that every question and every news row has: pairs of blocks hand on k rows a question, not one row a pair."""
+    q = spark.range(700).select(F.col("id").alias("query_id"), F.concat(F.lit("the of and "), F.col("id").cast("string")).alias("text"))
+    n = spark.range(900).select(F.col("id").alias("item"), (F.col("id") % 40).cast("string").alias("ticker"), F.concat(F.lit("the of and x"), F.col("id").cast("string")).alias("text"), F.lit(0.5).alias("score"))
+    found = A.discovered(q, n)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    assert found.filter("rank = 1 and ticker = '0' and item = 0 and abs(score - (0.65 * 3 / 4 + 0.175)) < 1e-9").count() == 700 and found.count() == 2100
