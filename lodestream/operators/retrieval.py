@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from lodestream.frames import keep_first, materialise, top_n
 from lodestream.functions import columns as C
-from lodestream.operators import vectors
+from lodestream.operators import overlap, vectors
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -76,50 +76,38 @@ def latencies(runs: DataFrame) -> DataFrame:
     return r.select("latency_avg", F.get("s", F.greatest(F.floor(F.size("s") * 0.95).cast("int") - 1, F.lit(0))).alias("latency_p95"))
 
 
-def _lexical(asked: list[tuple[int, list[str]]], k: int):
-    ids = np.array([i for i, _ in asked], dtype=np.int64)
-    sizes = np.array([max(1, len(ts)) for _, ts in asked], dtype=float)
-    index: dict[str, list[int]] = {}
-    for n, (_, ts) in enumerate(asked):
-        for t in ts:
-            index.setdefault(t, []).append(n)
-    index = {t: np.array(ns) for t, ns in index.items()}
+def _lexical(asked: list[tuple[int, str, int]], k: int):
+    ids, sizes = (np.array([x[c] for x in asked], dtype=np.int64) for c in (0, 2))
+    texts = [x[1] for x in asked]
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: pd.DataFrame | None = None
         for f in frames:
-            q, item, score = [], [], []
-            for name, ts in zip(f["item"], f["ts"], strict=True):
-                met = [index[t] for t in ts if t in index]
-                if met:
-                    shared = np.bincount(np.concatenate(met), minlength=len(ids))
-                    at = np.flatnonzero(shared)
-                    q.append(ids[at]), score.append(shared[at] / sizes[at]), item.append(np.full(len(at), name))
-            if q:
-                new = pd.DataFrame({"query_id": np.concatenate(q), "item": np.concatenate(item), "overlap": np.concatenate(score)})
-                best = new if best is None else pd.concat([best, new])
-                best = best.sort_values(["query_id", "overlap", "item"], ascending=[True, False, True]).groupby("query_id").head(k)
+            new = overlap.best_shared(ids, texts, sizes, f["item"], f["ws"].tolist(), k)
+            best = new if best is None else pd.concat([best, new])
+            best = best.sort_values(["query_id", "overlap", "item"], ascending=[True, False, True], na_position="first").groupby("query_id").head(k)
         if best is not None:
-            yield best
+            yield best.astype({"item": "Int64"})
 
     return work
 
 
-def lexical(queries: DataFrame, rows: DataFrame, k: int, most_tokens: int = 2_000_000) -> DataFrame:
+def lexical(queries: DataFrame, rows: DataFrame, k: int, most_tokens: int = 200_000) -> DataFrame:
     """Top k rows a query by the share of its tokens they hold. ``queries`` (query_id, text), ``rows`` (item, text).
 
-    A batch of up to ``most_tokens`` query tokens is sent to the rows as an inverted index: each task hands on k rows a
-    query, and neither tokens nor pairs travel. A larger batch is joined on tokens.
+    Words shared are counted for slices of queries and rows, see ``overlap.shared``. A batch of up to ``most_tokens`` query
+    tokens is sent to the rows; beyond, blocks of queries meet blocks of rows. Either way each task hands on k rows a query and
+    no pairs travel.
     """
-    q = queries.select(F.col("query_id").cast("long"), C.tokens(F.col("text")).alias("ts"))
-    r = rows.select(F.col("item").cast("long"), C.tokens(F.col("text")).alias("ts"))
-    if (q.agg(F.sum(F.size("ts")).alias("n")).first()["n"] or 0) <= most_tokens:
-        asked = [(x["query_id"], x["ts"]) for x in q.filter("ts is not null").collect()]
-        hit = r.filter("ts is not null").mapInPandas(_lexical(asked, k), "query_id long, item long, overlap double")
+    words = F.array_join("ts", " ").alias("ws")
+    q = queries.select(F.col("query_id").cast("long"), C.tokens(F.col("text")).alias("ts")).filter("ts is not null").select("query_id", words, F.size("ts").cast("long").alias("n"))
+    r = rows.select(F.col("item").cast("long"), C.tokens(F.col("text")).alias("ts")).filter("size(ts) > 0").select("item", words)
+    schema = "query_id long, item long, overlap double"
+    if (q.agg(F.sum("n").alias("n")).first()["n"] or 0) <= most_tokens:
+        hit = r.mapInPandas(_lexical([tuple(x) for x in q.filter("query_id is not null").collect()], k), schema)
     else:
-        words = q.select("query_id", F.size("ts").alias("n"), F.explode("ts").alias("token"))
-        shared = words.join(r.select("item", F.explode("ts").alias("token")), "token").groupBy("query_id", "n", "item").agg(F.count("*").alias("shared"))
-        hit = shared.select("query_id", "item", (F.col("shared") / F.greatest("n", F.lit(1))).alias("overlap"))
+        block = lambda a, b: overlap.best_shared(a["query_id"].to_numpy(), a["ws"].tolist(), a["n"].to_numpy(), b["item"], b["ws"].tolist(), k).astype({"item": "Int64"})
+        hit = overlap.in_blocks(q.filter("query_id is not null"), r, block, schema)
     return top_n(hit, ["query_id"], k, F.col("overlap").desc(), F.col("item"))
 
 

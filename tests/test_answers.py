@@ -121,3 +121,16 @@ def test_discovery_pairs_do_not_travel(spark):
     found = A.discovered(q, n)
     assert "Join" not in found._jdf.queryExecution().toString()
     assert found.filter("rank = 1 and ticker = '0' and item = 0 and abs(score - (0.65 * 3 / 4 + 0.175)) < 1e-9").count() == 700 and found.count() == 2100
+
+
+def test_lexical_answers_are_alike_by_either_path(spark):
+    from lodestream.operators import retrieval
+
+    q = spark.range(600).select(F.col("id").alias("query_id"), F.concat_ws(" ", F.lit("the of"), (F.col("id") % 7).cast("string"), (F.col("id") % 11 + 100).cast("string")).alias("text"))
+    r = spark.range(700).select((700 - F.col("id")).alias("item"), F.concat_ws(" ", F.lit("the"), (F.col("id") % 5).cast("string"), (F.col("id") % 13 + 100).cast("string")).alias("text"))
+    by = [sorted(map(tuple, retrieval.lexical(q, r, 4, most_tokens=n).select("query_id", "item", "overlap", "rank").collect())) for n in (0, 10**6)]
+    texts = {x: set(t.split()) for x, t in r.collect()}
+    asked = {x: set(t.split()) for x, t in q.collect()}
+    want = [(i, item, -s, n) for i, a in asked.items() for n, (s, item) in enumerate(sorted((-len(a & b) / len(a), item) for item, b in texts.items())[:4], 1)]
+    assert by[0] == by[1] == sorted(want)
+    assert "Join" not in retrieval.lexical(q, r, 4, most_tokens=0)._jdf.queryExecution().toString()
