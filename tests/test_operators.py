@@ -206,6 +206,33 @@ def test_fuzzy_lookup_pools_are_of_a_ticker(spark, block):
     assert sorted((r["query_id"], r["item"], round(r.score, 6)) for r in got) == [(1, 1, round(0.7 * 34 / 35 + 0.3, 6)), (2, 3, 1.0)]
 
 
+def test_fuzzy_bounds_lose_nothing_and_spare_pairs(monkeypatch):
+    """Texts on both sides of 200 characters against the plain ratio, with and without a floor; few pairs are compared."""
+    rng = random.Random(8)
+    speak = lambda n: " ".join("".join(rng.choices("etaoinshrdlu", [12, 9, 8, 8, 7, 7, 6, 6, 6, 4, 4, 3], k=rng.randint(1, 9))) for _ in range(n))
+    known = [speak(rng.choice([3, 20, 38, 60])) + rng.choice(["", " jazz", "?"]) for _ in range(120)]
+    asked = [speak(rng.choice([2, 25, 55])) for _ in range(12)] + [x.rsplit(" ", 1)[0] for x in known[:12]]
+    c = pd.DataFrame({"item": range(120), "ck": known, "ct": [sorted(set(x.split())) for x in known], "tag": "", "answer": "x" * 60, "language": "en"})
+    q = pd.DataFrame({"query_id": range(24), "qk": asked, "qt": [sorted(set(x.split())) for x in asked], "pool": [None] * 24, "kinds": [[False] * 4] * 24})
+    full = {}
+    for i, a in enumerate(asked):
+        for j, b in enumerate(known):
+            x, y = set(a.split()), set(b.split())
+            full[i, j] = 0.7 * difflib.SequenceMatcher(None, a, b).ratio() + 0.3 * len(x & y) / len(x | y)
+    made = []
+    ratio = qa._ratio
+    monkeypatch.setattr(qa, "_ratio", lambda m, least: made.append(1) or ratio(m, least))
+    for k, accept in ((1, 0.38), (3, 0.2), (2, 0.3)):
+        want = [(i, j, s) for i in range(24) for s, j in sorted(((-full[i, j], j) for j in range(120) if full[i, j] >= accept))[:k]]
+        floors = [sorted((full[i, j] for j in range(120)), reverse=True)[k - 1] for i in range(24)]
+        for asks in (q, q.assign(floor=floors), q.assign(floor=None)):
+            got = qa._best(asks, c, k, accept, {"risk": [], "fee": [], "tracking": []}, [])
+            assert [(r.query_id, r.item) for r in got.itertuples()] == [(i, j) for i, j, _ in want]
+            assert all(abs(s + w) < 1e-9 for s, (*_, w) in zip(got.score, want, strict=True))
+        if accept == 0.38:
+            assert len(made) < 3 * 24 * 120 / 4
+
+
 def test_fuzzy_lookup_needs_no_package_on_workers(tmp_path):
     q = pd.DataFrame({"query_id": [1], "qk": ["fee of it"], "qt": [["fee", "of", "it"]], "pool": [None], "kinds": [[False, True, False, False]]})
     c = pd.DataFrame({"item": [3], "ck": ["fee of it"], "ct": [["fee", "of", "it"]], "tag": [""], "answer": ["x" * 60], "language": ["en"]})
