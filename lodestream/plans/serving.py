@@ -493,12 +493,12 @@ SELECT *, tickers - with_pairs AS failed FROM g, (SELECT count(DISTINCT conv_id)
 
 @query
 def ticker_resolution(spark, d):
-    """The whole cascade for every whole user turn, some of them led by words that call for a rule: code, name, sure and moderate hybrid rank, suggestions. Instruments are nations."""
+    """The whole cascade for every whole user turn, some of them led by words that call for a rule: code, name, sure and moderate hybrid rank, suggestions. Instruments are all nations, a code each from 0001: code 0000 is none."""
     lead = F.when(F.col("conv_id") % 5 == 0, F.concat(F.lit("code 9999 and "), F.lpad((F.col("conv_id") % 25).cast("string"), 4, "0"), F.lit(" "))).when(F.col("conv_id") % 5 == 1, "buy GERMANY now ").when(F.col("conv_id") % 5 == 2, "oil ").when(F.col("conv_id") % 5 == 3, "dividend income and oil of europe ").otherwise("")
     text = F.concat(lead, "text")
     asked = frames.materialise(read(spark, d, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), text.alias("text")))
     geo = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    nations = geo.select(F.lpad(F.col("n_nationkey").cast("string"), 4, "0").alias("ticker"), F.col("n_name").alias("name"), F.concat_ws(" ", "n_name", "r_name", F.when(F.col("n_nationkey") == 7, "oil dividend")).alias("bundle")).filter("ticker <> '0000'")
+    nations = geo.select(F.lpad((F.col("n_nationkey") + 1).cast("string"), 4, "0").alias("ticker"), F.col("n_name").alias("name"), F.concat_ws(" ", "n_name", "r_name", F.when(F.col("n_nationkey") == 7, "oil dividend")).alias("bundle"))
     nothing = asked.select("query_id", F.lit("").alias("ticker"), F.lit(0.0).alias("score")).filter("false")
     ranked = retrieval.hybrid(asked, nations, nothing, nations.select("ticker", F.lit("").alias("text"), F.lit(0.0).alias("score")).filter("false"), 3)
     hints = retrieval.lexical(asked, nations.select(F.col("ticker").cast("long").alias("item"), F.col("bundle").alias("text")), 3).select("query_id", F.lpad(F.col("item").cast("string"), 4, "0").alias("ticker"), "rank")
@@ -507,7 +507,7 @@ def ticker_resolution(spark, d):
 
 SQL["ticker_resolution"] = rf"""WITH a AS (SELECT conv_id * 1000 + turn AS query_id, CASE conv_id % 5 WHEN 0 THEN 'code 9999 and ' || lpad((conv_id % 25)::VARCHAR, 4, '0') || ' ' || text WHEN 1 THEN 'buy GERMANY now ' || text WHEN 2 THEN 'oil ' || text
   WHEN 3 THEN 'dividend income and oil of europe ' || text ELSE text END AS text FROM conversations WHERE role = 'user'),
-n AS (SELECT lpad(n_nationkey::VARCHAR, 4, '0') AS ticker, lower(n_name) AS name, lower(n_name || ' ' || r_name || CASE WHEN n_nationkey = 7 THEN ' oil dividend' ELSE '' END) AS low FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey <> 0),
+n AS (SELECT lpad((n_nationkey + 1)::VARCHAR, 4, '0') AS ticker, lower(n_name) AS name, lower(n_name || ' ' || r_name || CASE WHEN n_nationkey = 7 THEN ' oil dividend' ELSE '' END) AS low FROM nation JOIN region ON n_regionkey = r_regionkey),
 q AS (SELECT query_id, {_WORDS} AS qt, {_has_themes(fixed.THEMES)} AS qth, low FROM (SELECT query_id, lower(trim(text, ' ')) AS low FROM a)),
 m AS (SELECT ticker, name, {_WORDS} AS mt, {_has_themes(fixed.BUNDLE_THEMES)} AS mth FROM n),
 c AS (SELECT query_id, first(h ORDER BY o) AS t1 FROM (SELECT query_id, unnest(hs) AS h, unnest(range(len(hs))) AS o FROM (SELECT query_id, regexp_extract_all(text, '\b(\d{{4}})\b', 1) AS hs FROM a)) WHERE h IN (SELECT ticker FROM n) GROUP BY 1),

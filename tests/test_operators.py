@@ -256,6 +256,16 @@ def test_fuzzy_query_takes_whole_texts_of_every_turn(spark, tmp_path):
     assert got.keys() == want.keys() and all(got[q][0] == want[q][0] and abs(got[q][1] - want[q][1]) < 1e-6 for q in want)
 
 
+def test_ticker_resolution_knows_every_nation(spark, tmp_path):
+    """The first nation has a code of its own too: it is found by name, by code and among the suggestions."""
+    spark.createDataFrame([(0, "ALGERIA", 0), (7, "GERMANY", 1)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(0, "AFRICA"), (1, "EUROPE")], "r_regionkey int, r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    turns = [(4, 0, "user", "what of algeria"), (25, 0, "user", "x"), (26, 0, "user", "x"), (50, 0, "user", "0001")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.query_id: (r.rule, r.ticker) for r in serving.Q["ticker_resolution"](spark, str(tmp_path)).collect()}
+    assert got[4000] == (2, "0001") and got[26000] == (2, "0008") and got[50000] == (1, "0001") and got[25000][0] > 2
+
+
 def test_shortest_answer_rule(spark):
     rows = [("q", 1, "a" * 60), ("q", 2, "b" * 50), ("q", 3, "c" * 50), ("q", 4, "d" * 20), ("p", 1, "e" * 45), ("p", 2, "f" * 45)]
     got = {r.k: r.answer[0] for r in qa.shortest_answers(spark.createDataFrame(rows, "k string, pos int, answer string"), ["k"]).collect()}
