@@ -38,30 +38,42 @@ def _stripped(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def _once(c: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def _at_start(p: str) -> str:
+    """A pattern led by ``[^..]*`` tried at the start of a sentence only: from there it takes all that it could take from any
+    later place, and what it has taken ends where the next sentence starts."""
+    return f"(?<!{p[: p.index(']*') + 1]}){p}" if p.startswith("[^") else p
+
+
 def _without(c: Column, patterns: list[str]) -> Column:
-    return reduce(lambda a, p: _stripped(F.regexp_replace(a, f"(?i){p}", "")), patterns, c)
+    return reduce(lambda a, p: _stripped(F.regexp_replace(a, f"(?i){_at_start(p)}", "")), patterns, c)
 
 
 def correct_claims(reply: Column, code: Column, known: Column) -> Column:
     """For a known code: a reply with one of the listed claims that the code is unknown loses their sentences, then every line
     that still says so, and says which code it is about; a cut offer of more at the end goes in any case."""
-    text = _stripped(F.coalesce(reply, F.lit("")))
-    t = _without(text, fixed.CUT_TAILS[1:])
     wrong = lambda line: F.lower(line).contains(fixed.CLAIM_LINE) & C.contains_any(line, fixed.CLAIM_LINE_WORDS)
-    lines = F.transform(F.split(_without(t, fixed.CLAIM_SENTENCES), "\n"), _stripped)
-    rest = F.array_join(F.filter(lines, lambda x: (x != "") & ~wrong(x)), "\n")
     head = F.concat(F.lit("Using ticker `"), code, F.lit("` as the active ETF context.\n\n"))
-    told = F.concat(head, F.when(rest == "", "I can continue with risk, benchmark, fee, and alternatives for this ETF.").otherwise(rest))
     asked = F.coalesce(known, F.lit(False)) & (F.coalesce(code, F.lit("")) != "")
-    return F.when(~asked, text).when(C.contains_any(t, fixed.INVALID_CLAIMS), told).otherwise(t)
+
+    def rest(t: Column) -> Column:
+        lines = F.transform(F.split(_without(t, fixed.CLAIM_SENTENCES), "\n"), _stripped)
+        return F.array_join(F.filter(lines, lambda x: (x != "") & ~wrong(x)), "\n")
+
+    told = lambda t: F.concat(head, _once(rest(t), lambda r: F.when(r == "", "I can continue with risk, benchmark, fee, and alternatives for this ETF.").otherwise(r)))
+    claims = lambda t: F.when(C.contains_any(t, fixed.INVALID_CLAIMS), told(t)).otherwise(t)
+    return _once(_stripped(F.coalesce(reply, F.lit(""))), lambda text: F.when(~asked, text).otherwise(_once(_without(text, fixed.CUT_TAILS[1:]), claims)))
 
 
 def trim_reply(reply: Column, code: Column, known: Column, mapped: Column) -> Column:
     """For a known code: without cut-off tails, and where its data is there (``mapped``) without sentences that deny it."""
-    text = _stripped(F.coalesce(reply, F.lit("")))
     asked = F.coalesce(known, F.lit(False)) & (F.coalesce(code, F.lit("")) != "")
-    kept = F.when(F.coalesce(mapped, F.lit(False)), _without(text, fixed.INSUFFICIENT)).otherwise(text)
-    return F.when(asked, _without(kept, fixed.CUT_TAILS)).otherwise(text)
+    kept = lambda text: F.when(F.coalesce(mapped, F.lit(False)), _without(text, fixed.INSUFFICIENT)).otherwise(text)
+    return _once(_stripped(F.coalesce(reply, F.lit(""))), lambda text: F.when(asked, _without(kept(text), fixed.CUT_TAILS)).otherwise(text))
 
 
 def clean_reply(reply: Column, code: Column, known: Column, mapped: Column | None = None) -> Column:

@@ -134,3 +134,12 @@ def test_lexical_answers_are_alike_by_either_path(spark):
     want = [(i, item, -s, n) for i, a in asked.items() for n, (s, item) in enumerate(sorted((-len(a & b) / len(a), item) for item, b in texts.items())[:4], 1)]
     assert by[0] == by[1] == sorted(want)
     assert "Join" not in retrieval.lexical(q, r, 4, most_tokens=0)._jdf.queryExecution().toString()
+
+
+def test_reply_guard_reads_a_reply_once_and_in_line_with_its_length(spark):
+    from lodestream.functions import replies as R
+
+    known = lambda c: R.clean_reply(c, F.lit("2800"), F.lit(True))
+    df = spark.createDataFrame([("word " * 20_000 + "might be incorrect here. Fine",)], "t string").select(known(F.col("t")).alias("r"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("local data is currently insufficient") == 1
+    assert df.first()[0] == "Using ticker `2800` as the active ETF context.\n\nFine"
