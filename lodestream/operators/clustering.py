@@ -20,6 +20,9 @@ SAMPLE = 4096
 STEPS = 40
 CLOSE = 1e-4
 BLOCK = 1024
+SPREAD = 8
+MOST = 32_768
+CELLS = 4_000_000
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -64,38 +67,56 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    """Of each row of one block, the sum of distances to the rows of each label in another, those of its own key left out."""
-    if not len(a) or not len(b):
-        return pd.DataFrame({"n": [], "lj": [], "sum": [], "rows": []}).astype({"n": "int64", "lj": "int64", "sum": "float64", "rows": "int64"})
-    far = _distances(np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy()))
-    other = a["h"].to_numpy()[:, None] != b["h"].to_numpy()[None, :]
-    labels, at = np.unique(b["l"].to_numpy(), return_inverse=True)
-    member = np.zeros((len(b), len(labels)))
-    member[np.arange(len(b)), at] = 1
-    total, rows = (far * other) @ member, other @ member
-    i, c = np.nonzero(rows)
-    return pd.DataFrame({"n": a["n"].to_numpy()[i], "lj": labels[c], "sum": total[i, c], "rows": rows[i, c].astype(np.int64)})
+    """Of each row of one block, the sum of distances to the rows of each label in another, those of its own key left out;
+    for each place ``t`` of the labels. A slice of the rows at a time."""
+    out = {"n": [np.zeros(0, np.int64)], "t": [np.zeros(0, np.int64)], "lj": [np.zeros(0, np.int64)], "sum": [np.zeros(0)], "rows": [np.zeros(0, np.int64)]}
+    if len(a) and len(b):
+        x, y, ls, hs = np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy()), np.stack(b["ls"].to_numpy()), b["h"].to_numpy()
+        own = [np.unique(ls[:, t], return_inverse=True) for t in range(ls.shape[1])]
+        member = np.zeros((len(b), sum(len(u) for u, _ in own)))
+        at = np.cumsum([0, *(len(u) for u, _ in own)])
+        for t, (_, which) in enumerate(own):
+            member[np.arange(len(b)), at[t] + which] = 1
+        places, labels = np.repeat(np.arange(len(own)), np.diff(at)), np.concatenate([u for u, _ in own])
+        step = max(1, CELLS // len(b))
+        for lo in range(0, len(a), step):
+            far = _distances(x[lo : lo + step], y)
+            same = a["h"].to_numpy()[lo : lo + step, None] == hs[None, :]
+            far[same] = 0
+            rows = member.sum(0) - same @ member if same.any() else np.broadcast_to(member.sum(0), (len(far), member.shape[1]))
+            total = far @ member
+            i, c = np.nonzero(rows)
+            for name, v in (("n", a["n"].to_numpy()[lo + i]), ("t", places[c]), ("lj", labels[c]), ("sum", total[i, c]), ("rows", rows[i, c].astype(np.int64))):
+                out[name].append(v)
+    return pd.DataFrame({c: np.concatenate(v) for c, v in out.items()})
+
+
+def _silhouettes(rows: DataFrame, block: int) -> DataFrame:
+    """(n, t, silhouette) of every row and every one of its labels. ``rows`` (n, h, ls, x), written."""
+    count = rows.count()
+    blocks = max(1, -(-count // MOST), min(SPREAD, -(-count // block)))
+    own = F.pmod(F.xxhash64("n"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = rows.select("n", "h", "x", own.alias("p"), every.alias("q"))
+    b = rows.select(F.col("h").alias("h"), F.col("ls").alias("ls"), F.col("x").alias("x"), own.alias("q"), every.alias("p"))
+    parts = a.groupBy("p", "q").cogroup(b.groupBy("p", "q")).applyInPandas(_sums, "n long, t int, lj long, sum double, rows long")
+    mean = parts.groupBy("n", "t", "lj").agg((F.sum("sum") / F.sum("rows")).alias("d"))
+    j = rows.select("n", F.posexplode("ls").alias("t", "l")).join(mean, ["n", "t"], "left")
+    r = j.groupBy("n", "t").agg(F.min(F.when(F.col("l") == F.col("lj"), F.col("d"))).alias("a"), F.min(F.when(F.col("l") != F.col("lj"), F.col("d"))).alias("b"))
+    return r.select("n", "t", F.when(F.col("a").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("silhouette"))
 
 
 def silhouettes(df: DataFrame, key: str, label: str, column: str, block: int = BLOCK) -> DataFrame:
     """Exact Euclidean silhouette of every row: (key, label, silhouette).
 
-    Rows are dealt into blocks; a pair of blocks meets as a matrix product, which leaves one sum a row and label. The work is
-    all pairs by definition, so this is for instrument tables; memory is that of two blocks. Defined results: rows without a
+    Rows are dealt into up to ``SPREAD`` blocks of at least ``block`` rows, or as many as keep a block under ``MOST``; a pair of
+    blocks meets as matrix products of bounded slices, which leave one sum a row and label. The work is
+    all pairs by definition, so this is for instrument tables; a row travels once a block, memory is that of two blocks. Defined results: rows without a
     sound vector or a label are in none; a row alone in its cluster, or without another cluster, has 0; rows of one key do
     not count for each other; an empty table gives none."""
-    rows = df.select(F.struct(key, label).alias("row"), F.xxhash64(key).alias("h"), F.xxhash64(label).alias("l"), F.col(column).cast("array<double>").alias("x"), F.col(label).alias("_l"))
+    rows = df.select(F.struct(key, label).alias("row"), F.xxhash64(key).alias("h"), F.array(F.xxhash64(label)).alias("ls"), F.col(column).cast("array<double>").alias("x"), F.col(label).alias("_l"))
     rows = materialise(rows.filter(sound(F.col("x")) & F.col("_l").isNotNull()).drop("_l").withColumn("n", F.monotonically_increasing_id()))
-    blocks = max(1, -(-rows.count() // block))
-    own = F.pmod(F.xxhash64("n"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    a = rows.select("n", "h", "x", own.alias("p"), every.alias("q"))
-    b = rows.select(F.col("h").alias("h"), F.col("l").alias("l"), F.col("x").alias("x"), own.alias("q"), every.alias("p"))
-    parts = a.groupBy("p", "q").cogroup(b.groupBy("p", "q")).applyInPandas(_sums, "n long, lj long, sum double, rows long")
-    mean = parts.groupBy("n", "lj").agg((F.sum("sum") / F.sum("rows")).alias("d"))
-    j = rows.select("n", "row", "l").join(mean, "n", "left")
-    r = j.groupBy("n").agg(F.first("row").alias("row"), F.min(F.when(F.col("l") == F.col("lj"), F.col("d"))).alias("a"), F.min(F.when(F.col("l") != F.col("lj"), F.col("d"))).alias("b"))
-    return r.select("row.*", F.when(F.col("a").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("silhouette"))
+    return rows.select("n", "row").join(_silhouettes(rows, block), "n").select("row.*", "silhouette")
 
 
 def starts(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -201,15 +222,19 @@ def auto_kmeans(df: DataFrame, key: str, column: str = "x", ks=range(2, 7), leas
     if n < 6:
         k = min(n_clusters, max(2, n - 1))
         return best_kmeans(df, k, column, seeds).withColumn("selected_k", F.lit(k))
-    best = None
-    for k in ks:
-        if k >= n:
-            break
-        out = materialise(best_kmeans(df, k, column, seeds))
-        if out.groupBy("cluster_id").count().agg(F.min("count")).first()[0] < max(1, int(least_share * n)):
-            continue
-        score = silhouettes(out, key, "cluster_id", column).agg(F.avg("silhouette")).first()[0]
-        if best is None or score > best[0]:
-            best = (score, k, out)
-    _, k, out = best or (0, min(n_clusters, n - 1), best_kmeans(df, min(n_clusters, n - 1), column, seeds))
+    named, passed = df, []
+    for k in (k for k in ks if k < n):
+        one = best_kmeans(named, k, column, seeds).withColumnRenamed("cluster_id", f"_c{k}")
+        if one.groupBy(f"_c{k}").count().agg(F.min("count")).first()[0] >= max(1, int(least_share * n)):
+            named, passed = one, [*passed, k]
+    if passed:
+        # One run over all pairs for every k: the distances are the same, only the labels differ.
+        named = materialise(named.withColumn("_n", F.monotonically_increasing_id()))
+        labelled = named.filter(sound(F.col(column))).select(F.col("_n").alias("n"), F.xxhash64(key).alias("h"), F.array(*[F.xxhash64(f"_c{k}") for k in passed]).alias("ls"), F.col(column).cast("array<double>").alias("x"))
+        scores = {r["t"]: r["s"] for r in _silhouettes(labelled, BLOCK).groupBy("t").agg(F.avg("silhouette").alias("s")).collect()}
+        k = passed[max(range(len(passed)), key=lambda t: (scores.get(t, -2.0), -t))]
+        out = named.withColumn("cluster_id", F.col(f"_c{k}")).drop("_n", *[f"_c{x}" for x in passed])
+    else:
+        k = min(n_clusters, n - 1)
+        out = best_kmeans(df, k, column, seeds)
     return out.withColumn("selected_k", F.lit(k))

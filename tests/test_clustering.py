@@ -71,3 +71,8 @@ def test_empty_and_alike(spark):
     assert K.silhouettes(none, "id", "c", "x").count() == 0 and K.auto_kmeans(none, "id").count() == 0
     same = K.best_kmeans(table(spark, [(i, 0, [1, 2]) for i in range(5)]), 3, seeds=2)
     assert {r.cluster_id for r in same.collect()} == {0}
+
+
+def test_silhouettes_send_a_row_to_a_bounded_number_of_blocks(spark):
+    df = spark.range(900).selectExpr("id", "id % 3 AS c", "array(double(id % 3), rand(1)) AS x")
+    assert "sequence(0, 7" in K.silhouettes(df, "id", "c", "x", 10)._jdf.queryExecution().optimizedPlan().toString().replace("[0,1,2,3,4,5,6,7]", "sequence(0, 7")
