@@ -4,8 +4,8 @@ Vectors are turned to a few principal axes. No axis shows two rows farther apart
 in the same or in neighbouring cells of a grid over the axes that is as wide or wider. It is wider where cells would hold
 fewer than about ``ROWS`` rows. Each row is at home in its cell and visits the
 cells on one side of it, so every pair of neighbouring cells meets once. A cell with many rows is dealt into blocks, and a
-pair of blocks meets in one Arrow batch as a matrix product; only what may be near leaves it, and the distance itself is
-computed by Spark on those rows alone. The axes only direct the search: they are fitted on a bounded sample, and any axes
+pair of blocks meets in one Arrow batch as a matrix product; the distance itself is computed of what may be near, and only
+pairs within ``most`` leave, without their vectors. The axes only direct the search: they are fitted on a bounded sample, and any axes
 give the same pairs.
 """
 
@@ -21,12 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.frames import materialise
-from lodestream.functions.columns import distance
 
 SAMPLE = 4096
 AXES = 2
 BLOCK = 1024
 ROWS = 64
+SLICE = 1_000_000
 
 
 def sound(v: Column) -> Column:
@@ -73,17 +73,27 @@ def _met(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
 
 def _near(most: float):
     def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"_a": np.zeros(0, np.int64), "_b": np.zeros(0, np.int64)})
+        none = pd.DataFrame({"_a": np.zeros(0, np.int64), "_b": np.zeros(0, np.int64), "pc_distance": np.zeros(0)})
         if not len(a) or not len(b):
             return none
         x, y = np.stack(a["_v"].to_numpy()), np.stack(b["_v"].to_numpy())
+        ai, bi, same = a["_i"].to_numpy(), b["_i"].to_numpy(), b["_same"].to_numpy()
+        kept = [none]
         with np.errstate(all="ignore"):
             x2, y2 = (x * x).sum(1), (y * y).sum(1)
             gap = x2[:, None] + y2[None, :] - 2 * (x @ y.T)
-            far = gap > most * most + 1e-9 * (most * most + x2[:, None] + y2[None, :])  # not: what overflows is kept for Spark to judge
-        ai, bi = a["_i"].to_numpy(), b["_i"].to_numpy()
-        i, j = np.nonzero(~far & (~b["_same"].to_numpy()[None, :] | (ai[:, None] < bi[None, :])))
-        return pd.DataFrame({"_a": ai[i], "_b": bi[j]})
+            far = gap > most * most + 1e-9 * (most * most + x2[:, None] + y2[None, :])  # not: what overflows is measured as well
+            i, j = np.nonzero(~far & (~same[None, :] | (ai[:, None] < bi[None, :])))
+            for lo in range(0, len(i), SLICE):
+                p, q = i[lo : lo + SLICE], j[lo : lo + SLICE]
+                square = np.zeros(len(p))
+                for axis in range(x.shape[1]):  # added up in order, as ``columns.distance`` does
+                    step = x[p, axis] - y[q, axis]
+                    square += step * step
+                distance = np.sqrt(square)
+                ok = distance <= most
+                kept.append(pd.DataFrame({"_a": ai[p[ok]], "_b": bi[q[ok]], "pc_distance": distance[ok]}))
+        return pd.concat(kept, ignore_index=True)
 
     return near
 
@@ -107,21 +117,21 @@ def _blocks(rows: DataFrame, keys: list[str], most: float, axes: int, block: int
 
 
 def pairs_within(df: DataFrame, keys: list[str], vec_col: str, most: float, axes: int = AXES, block: int = BLOCK) -> DataFrame:
-    """(a, b, pc_distance): every unordered pair of rows of ``df``, as structs, that agree in ``keys`` and lie within ``most``, once.
+    """(a, b, pc_distance): every unordered pair of rows of ``df``, as structs without the vector, that agree in ``keys`` and lie within ``most``, once.
 
     Defined results: rows with a null key, a null vector or a component that is null or not finite are in no pair; vectors
     meet those of their length only; equal rows are pairs at distance 0; an empty table gives none."""
     axes = max(1, min(axes, AXES))
-    named = df.select(F.struct("*").alias("row"))
-    rows = materialise(named.select("row", F.monotonically_increasing_id().alias("_i"), *[F.col(f"row.`{k}`").alias(f"_k{n}") for n, k in enumerate(keys)], F.col(f"row.`{vec_col}`").cast("array<double>").alias("_v")))
+    numbered = df.withColumn("_i", F.monotonically_increasing_id())
+    named = [F.col(f"`{c}`") for c in df.columns if c != vec_col]
+    rows = materialise(numbered.select(F.struct(*named).alias("row") if named else F.struct(F.lit(0).alias("_")).alias("row"), "_i", *[F.col(f"`{k}`").alias(f"_k{n}") for n, k in enumerate(keys)], F.col(f"`{vec_col}`").cast("array<double>").alias("_v")))
     own = [f"_k{n}" for n in range(len(keys))]
     good = rows.filter(sound(F.col("_v"))).dropna(subset=own) if own else rows.filter(sound(F.col("_v")))
     a, b, _ = _blocks(good.select(*own, "_i", "_v"), own, most, axes, block)
     by = [*own, "_d", "_cell", "_p", "_q"]
-    found = materialise(a.groupBy(*by).cogroup(b.groupBy(*by)).applyInPandas(_near(most), "_a long, _b long"))
-    left = rows.select(F.col("_i").alias("_a"), F.col("row").alias("a"), F.col("_v").alias("_x"))
-    right = rows.select(F.col("_i").alias("_b"), F.col("row").alias("b"), F.col("_v").alias("_y"))
-    return found.join(left, "_a").join(right, "_b").withColumn("pc_distance", distance(F.col("_x"), F.col("_y"))).filter(F.col("pc_distance") <= most).select("a", "b", "pc_distance")
+    found = a.groupBy(*by).cogroup(b.groupBy(*by)).applyInPandas(_near(most), "_a long, _b long, pc_distance double")
+    left, right = (rows.select(F.col("_i").alias(f"_{s}"), F.col("row").alias(s)) for s in "ab")
+    return found.join(left, "_a").join(right, "_b").select("a", "b", "pc_distance")
 
 
 def pairs_compared(df: DataFrame, keys: list[str], vec_col: str, most: float, axes: int = AXES) -> int:

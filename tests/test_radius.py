@@ -43,3 +43,11 @@ def test_odd_rows(spark):
     assert found(table(spark, xs, keys), 0.0) == {(1, 2): 0.0, (3, 4): 0.0, (5, 6): 0.0, (10, 11): 0.0}
     assert found(table(spark, [], []), 1.0) == {}
     assert found(table(spark, [[0.0]] * 4, ["k"] * 4), 0.0) == {(i, j): 0.0 for i in range(4) for j in range(i + 1, 4)}
+
+
+def test_pairs_travel_without_their_vectors(spark):
+    df = table(spark, [[i / 10, 0.0] for i in range(30)], ["k"] * 30)
+    out = R.pairs_within(df, ["k"], "v", 0.25)
+    assert out.schema["a"].dataType.names == ["id", "k"] and out.count() == 29 + 28
+    joins = [x for x in out._jdf.queryExecution().analyzed().toString().split("\n") if "Join Inner" in x]
+    assert len(joins) >= 2 and "_x" not in out._jdf.queryExecution().analyzed().toString()
