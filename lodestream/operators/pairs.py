@@ -61,9 +61,10 @@ def degree_capped(edges: DataFrame, a: str, b: str, order: list[str], cap: int =
         room = F.lit(cap) - F.coalesce("kept", F.lit(0))
         state = ranked.groupBy(*keys).agg(F.min((F.col("r") <= room).cast("int")).alias("keep"), F.max((room <= 0).cast("int")).alias("full"))
         state = materialise(left.join(state, keys))
+        # Only the state of a round is written: what is taken and what is left are read from it.
         now = state.filter("keep = 1").drop("keep", "full")
-        taken = materialise(now if taken is None else taken.unionByName(now))
-        left = materialise(state.filter("keep = 0 and full = 0").drop("keep", "full"))
+        taken = now if taken is None else taken.unionByName(now)
+        left = state.filter("keep = 0 and full = 0").drop("keep", "full")
         if left.isEmpty():
             return taken
 

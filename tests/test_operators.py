@@ -266,6 +266,17 @@ def test_ticker_resolution_knows_every_nation(spark, tmp_path):
     assert got[4000] == (2, "0001") and got[26000] == (2, "0008") and got[50000] == (1, "0001") and got[25000][0] > 2
 
 
+def test_degree_cap_writes_a_round_once(spark, monkeypatch):
+    """A path of 12 edges that settles over several rounds: one written table a round and one for the edges."""
+    edges = spark.createDataFrame([(f"v{i:02d}", f"v{i + 1:02d}", float(i)) for i in range(12)], "a string, b string, d double")
+    written = []
+    keep = pairs.materialise
+    monkeypatch.setattr(pairs, "materialise", lambda df: written.append(set(df.columns)) or keep(df))
+    got = sorted(r.d for r in pairs.degree_capped(edges, "a", "b", ["d"], 1).collect())
+    assert got == [0.0, 2.0, 4.0, 6.0, 8.0, 10.0]
+    assert all({"keep", "full"} <= c for c in written[1:]) and len(written) > 3
+
+
 def test_shortest_answer_rule(spark):
     rows = [("q", 1, "a" * 60), ("q", 2, "b" * 50), ("q", 3, "c" * 50), ("q", 4, "d" * 20), ("p", 1, "e" * 45), ("p", 2, "f" * 45)]
     got = {r.k: r.answer[0] for r in qa.shortest_answers(spark.createDataFrame(rows, "k string, pos int, answer string"), ["k"]).collect()}
