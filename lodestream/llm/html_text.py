@@ -1,13 +1,18 @@
 """Main text of web pages with a host suffix array (operator 6).
 
-Pages meet by host; a host of more than ``SHARD`` bytes is dealt by a hash of its pages into parts of about that size, each
-a random slice of it, so no task holds more than one such part. Shares of pages mean the same in a slice as in the whole.
-In a part, every page becomes one token stream: the words of all its blocks, the article's too, each block led by a token for its template position
-(the chain of its elements). The streams are concatenated and the ranks of their suffixes built by prefix doubling; from
-the ranks come the substrings that distinct pages repeat. Those of ``RUN`` tokens or more are boilerplate candidates: on
-``FEW`` pages they speak for their position, on ``SHARE`` of the part's pages for themselves. So an idiom that two stories share, or two copies of one story, cover nothing.
-
-What is covered is summed up by template position; the position with the most words of a part is never chrome. Three
+Pages meet by host; a large host is dealt by a hash into parts, so no task holds more than one part of it, and what is told
+from repetition is told from the whole host: passes over the parts send small rows, Spark sums them by host, and the next
+pass gets the sums. So the size of the parts changes no result.
+
+In a part, every distinct page becomes one token stream: the words of all its blocks, the article's too, each block led by a
+token for its template position (the chain of its elements). The streams are concatenated and the ranks of their suffixes built
+by prefix doubling; from the ranks come the substrings that distinct pages of the part repeat. What is on a share of a host's
+pages is on that share of the pages of one of its parts, so these are all candidates; they are counted, by 64-bit names that all parts
+share, in every part. Substrings of ``RUN`` tokens or more are boilerplate candidates: on ``FEW`` pages of the host, or
+one in ``RARE`` where that is more, they speak for their position, on ``SHARE`` of its pages for themselves. So an idiom that two
+stories share, or two copies of one story, cover nothing.
+
+What is covered is summed up by template position; the position with the most words of a host is never chrome. Three
 questions are then answered from covered and unique tokens, with the meaning that HTML gives to elements as evidence
 beside them (no class names, but for lists of reader comments):
 
@@ -24,8 +29,8 @@ its words and no reply line or comment form speaks for readers: a live blog. Rep
 are comments as well, and so is what carries one of the usual names of a comment list. A whole block of an article that
 the share of pages repeats goes if it speaks as a notice does (newsletter, cookies); other repeated blocks of articles stay.
 
-Defined results: null html is empty and gives an empty text; a null url is of the host ""; repeated rows and pages of one
-stream count as one page and get one text each; unclosed and misnested tags end where an outer element ends, an unclosed
+Defined results: null html is empty and gives an empty text; a null url is of the host ""; repeated rows and pages of the
+same blocks count as one page and get one text each; unclosed and misnested tags end where an outer element ends, an unclosed
 quote where the next ">" stands; a page of which nothing would be left keeps those blocks that do
 not stand mostly on pages with a text of their own, so a page with nothing but the host's menu is empty and copies of one story are not; a host of fewer than
 three distinct pages is judged by markup alone; unique text in a position that nothing tells apart from the story (an
@@ -37,11 +42,13 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
+from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream.llm.common import ship, staged, table
@@ -49,9 +56,10 @@ from lodestream.llm.common import ship, staged, table
 RUN = 5
 LONG = 12
 FEW = 3
+RARE = 80
 SHARE = 0.3
 SHARD = 1_000_000
-MOST_BROADCAST = 100_000
+LEAST = 500
 
 TAG = re.compile(r"""(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 ATTR = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
@@ -259,11 +267,12 @@ def repeats(tokens: np.ndarray, pages: np.ndarray, depth: int, need: int, within
     n = len(tokens)
     if n == 0:
         return np.zeros(0, dtype=bool)
-    left = np.searchsorted(pages, pages, side="right") - np.arange(n)
+    left = np.cumsum(np.bincount(pages))[pages] - np.arange(n)
     width, span = np.int64(pages[-1]) + 1, np.int64(max(n, int(tokens.max())) + 1)
 
     def ranked(where: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        on = np.bincount(np.unique(cls * width + pages[where]) // width, minlength=int(cls.max(initial=-1)) + 1)
+        pairs = np.sort(cls * width + pages[where])
+        on = np.bincount(pairs[np.diff(pairs, prepend=-1) > 0] // width, minlength=int(cls.max(initial=-1)) + 1)
         enough = on[cls] >= need
         rank = np.full(n, -1, dtype=np.int64)
         rank[where[enough]] = cls[enough]
@@ -275,7 +284,7 @@ def repeats(tokens: np.ndarray, pages: np.ndarray, depth: int, need: int, within
         step = min(reached, depth - reached)
         where = np.flatnonzero((rank >= 0) & (left >= reached + step))
         where = where[rank[where + step] >= 0]
-        rank = ranked(where, np.unique(rank[where] * span + rank[where + step], return_inverse=True)[1].astype(np.int64))
+        rank = ranked(where, pd.factorize(rank[where] * span + rank[where + step])[0].astype(np.int64))
         reached += step
     return (rank >= 0) & (left >= depth)
 
@@ -290,159 +299,395 @@ def covered_by(starts: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(mark[:-1]) > 0
 
 
-def main_texts(htmls: list[str | None], run: int = RUN, long: int = LONG, share: float = SHARE) -> list[str]:
-    """The main text of each page of one host."""
-    known: dict[str | None, int] = {}
-    which = [known.setdefault(h, len(known)) for h in htmls]
-    positions, ids = Numbers(), Numbers()
-    parsed = [blocks(h, positions) for h in known]
-    streams, seen, page_of = [], {}, []
-    for page in parsed:
-        stream: list[int] = []
-        for b in page:
-            stream.append(ids[b.path])
-            stream += map(ids.__getitem__, b.text.split(" "))
-        key = np.array(stream, dtype=np.int64)
-        own = seen.setdefault(key.tobytes(), len(streams))
-        if own == len(streams):
-            streams.append(key)
-        page_of.append(own)
-    tokens = np.concatenate(streams) if streams else np.zeros(0, dtype=np.int64)
-    start = np.concatenate([[0], np.cumsum([len(s) for s in streams])]).astype(np.int64)
-    on = np.repeat(np.arange(len(streams)), np.diff(start))
-
-    def covers(depth: int, need: int, within: np.ndarray | None = None) -> np.ndarray:
-        return covered_by(repeats(tokens, on, depth, need, within), depth) if len(streams) >= need else np.zeros(len(tokens), dtype=bool)
-
-    need = max(FEW, int(np.ceil(share * len(streams))))
-    covered = covers(run, FEW)
-    common = covered if need == FEW else covers(run, need, covered)
-    ends = covers(long, need, common)
-
-    # Covered and all tokens by position, over distinct pages; positions that marked pages have outside their articles.
-    total, hit, outside, bulk = Counter(), Counter(), Counter(), Counter()
-    article = article_hit = beside = 0
-    spans: list[list[tuple[int, int]]] = []
-    first = {own: i for i, own in reversed(list(enumerate(page_of)))}
-    for own in range(len(streams)):
-        page = parsed[first[own]]
-        at, where = int(start[own]), []
-        marked = any(b.zone == ARTICLE for b in page)
-        for b in page:
-            n = 1 + b.text.count(" ") + 1
-            c = int(covered[at : at + n].sum())
-            where.append((at, at + n))
-            at += n
-            total[b.path] += n
-            hit[b.path] += c
-            if b.zone == ARTICLE:
-                article += n
-                article_hit += c
-            elif marked and b.zone != CHROMED and not b.in_main:
-                beside += n - c
-                outside[b.path] += n
-            if b.zone != CHROMED:
-                bulk[b.path] += n
-        spans.append(where)
-    trusted = 10 * (article + 50) >= article + beside + 50  # else articles are cards beside the story
-    unique_articles = article_hit < 0.2 * article
-    story = max(bulk, key=bulk.get, default=None)
-
-    def chrome(b: Block) -> bool:
-        n, c = total[b.path], hit[b.path]
-        if b.path == story:
-            return False
-        if b.zone == ARTICLE and trusted:
-            return not b.direct and unique_articles and c >= 0.8 * n + 4
-        return c + (outside[b.path] if trusted else 0) > 0.5 * n + 2
-
-    texts, spares = [], []
-    for own in range(len(streams)):
-        page, where = parsed[first[own]], spans[own]
-        left = [i for i, b in enumerate(page) if b.zone != CHROMED]
-        inside = lambda i: where[i][1] - where[i][0]
-        cards = [i for i in left if page[i].zone == ARTICLE]
-        main = [i for i in left if page[i].in_main]
-        rest = [i for i in main if page[i].zone != ARTICLE and not chrome(page[i])]
-        if cards and trusted and not sum(map(inside, rest)) > sum(inside(i) for i in cards if page[i].in_main):
-            chosen = cards
-        elif main:
-            chosen = main
-        else:
-            chosen = left
-        kept, spare = [], []
-        for i in chosen:
-            b, (a, z) = page[i], where[i]
-            spare.append((b.path, b.text))
-            if chrome(b):
-                continue
-            if b.zone == ARTICLE and trusted:
-                if not (common[a:z].all() and NOTICE.search(b.text)):
-                    kept.append(b.text)
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One 64-bit name for each pair of names, in their order."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _few(pages: int) -> int:
+    """Pages of a host on which a substring speaks for its position."""
+    return max(FEW, -(-pages // RARE))
+
+
+def _need(pages: int, share: float) -> int:
+    """Pages of a host on which a substring speaks for itself."""
+    return max(_few(pages), int(np.ceil(share * pages)))
+
+
+def _hashed(texts: list[str]) -> np.ndarray:
+    codes, known = pd.factorize(np.array(texts, dtype=object))
+    return pd.util.hash_array(known, categorize=False)[codes]
+
+
+class Packer:
+    """Parsed pages as bytes: template positions (64-bit names of whole chains), zones, and texts of their blocks. Pages with
+    equal bytes are one page."""
+
+    def __init__(self):
+        self.positions, self.names = Numbers(), []
+
+    def __call__(self, html: str | None) -> bytes:
+        page = blocks(html, self.positions)
+        for key in [*islice(reversed(self.positions), len(self.positions) - len(self.names))][::-1]:
+            chain = f"{self.names[key[0]]} {key[1]}" if key else ""
+            self.names.append(int.from_bytes(blake2b(chain.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
+        head = np.array([len(page)], np.int64), np.array([self.names[b.path] for b in page], np.uint64), np.array([b.zone | b.direct << 3 | b.in_main << 4 for b in page], np.uint8)
+        packed = b"".join(x.tobytes() for x in head) + "\n".join(b.text for b in page).encode("utf-8", "surrogatepass")
+        if len(self.names) > 100_000:
+            self.__init__()
+        return packed
+
+
+class Stream:
+    """The words of some pages of a part as one token stream, each block led by a token for its position."""
+
+    def __init__(self, part: Part, some: np.ndarray):
+        texts, paths = [part.texts[i] for i in some], part.paths[some]
+        size = part.size[some]
+        self.start = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        lead = np.zeros(int(self.start[-1]), bool)
+        lead[self.start[:-1]] = True
+        self.named = np.zeros(len(lead), np.uint64)
+        if texts:
+            self.named[lead], self.named[~lead] = _mixed(paths, paths), _hashed(" ".join(texts).split(" "))
+        self.on = np.repeat(part.page[some], size)
+        self.left = np.cumsum(np.bincount(self.on))[self.on] - np.arange(len(self.on))  # tokens to the end of the page
+
+    def names(self, depth: int) -> np.ndarray:
+        """The name of the ``depth`` tokens at each place, by doubling; the same in every part."""
+        name, reached = self.named, 1
+        while reached < depth:
+            step = min(reached, depth - reached)
+            name = _mixed(name, np.concatenate([name[step:], np.zeros(min(step, len(name)), np.uint64)]))
+            reached += step
+        return name
+
+    def find(self, depth: int, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the sorted names begin, and which of them."""
+        if not len(names):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        name = self.names(depth)
+        which = np.minimum(np.searchsorted(names, name), len(names) - 1)
+        at = np.flatnonzero((names[which] == name) & (self.left >= depth))
+        return at, which[at]
+
+    def covers(self, depth: int, names: np.ndarray) -> np.ndarray:
+        starts = np.zeros(len(self.named), bool)
+        starts[self.find(depth, np.sort(names))[0]] = True
+        return covered_by(starts, depth)
+
+    def by_block(self, marks: np.ndarray) -> np.ndarray:
+        return np.diff(np.concatenate([[0], np.cumsum(marks)])[self.start])
+
+
+class Part:
+    """The distinct pages of one part of a host, as blocks. Sums are of ``mine``, the pages that do not count in another part."""
+
+    def __init__(self, packed: list[bytes], run: int, long: int, share: float, mine: list[bool] | None = None):
+        self.run, self.long, self.share = run, long, share
+        known: dict[bytes, int] = {}
+        self.which = [known.setdefault(bytes(p), len(known)) for p in packed]
+        self.held = len(known)
+        self.mine = np.ones(self.held, bool)
+        if mine is not None:
+            self.mine[self.which] = mine
+        self.pages = int(self.mine.sum())
+        texts, paths, flags, count = [], [], [], []
+        for p in known:
+            n = int.from_bytes(p[:8], "little")
+            count.append(n)
+            paths.append(np.frombuffer(p, np.uint64, n, 8))
+            flags.append(np.frombuffer(p, np.uint8, n, 8 + 8 * n))
+            if n:
+                texts += p[8 + 9 * n :].decode("utf-8", "surrogatepass").split("\n")
+        self.texts = texts
+        self.paths = np.concatenate([np.zeros(0, np.uint64), *paths])
+        flag = np.concatenate([np.zeros(0, np.uint8), *flags])
+        self.zone, self.direct, self.in_main = flag & 7, (flag & 8) > 0, (flag & 16) > 0
+        self.first = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)  # of each page, its first block
+        self.page = np.repeat(np.arange(self.held), np.array(count, np.int64))
+        self.size = np.array([t.count(" ") + 2 for t in texts], np.int64)  # tokens of a block, its position among them
+
+    def stream(self) -> Stream:
+        return Stream(self, np.arange(len(self.texts)))
+
+    def candidates(self, whole: bool) -> dict[int, np.ndarray]:
+        """Names of the substrings that may be on enough pages of the host, by depth. What is on a share of the pages of a host is on
+        that share of the pages of one of its parts at least; a part that is the ``whole`` host has the counts themselves."""
+        n = self.pages
+        few, need = (_few(n), _need(n, self.share)) if whole else (max(1, -(-n // RARE)), max(1, int(np.ceil(min(self.share, 1) * n - 1e-6))))
+        out, within, stream, tokens = {}, None, None, None
+        for depth, least in ((self.run, few), (self.long, max(few, need))):
+            if depth in out or n < least:
                 continue
-            if common[a:z].all():
+            if stream is None:
+                stream = Stream(self, np.flatnonzero(self.mine[self.page]))
+                tokens = pd.factorize(stream.named)[0].astype(np.int64)
+            at = repeats(tokens, stream.on, depth, least, within if depth > self.run else None)
+            within = covered_by(at, depth)
+            out[depth] = np.unique(stream.names(depth)[at]) if at.any() else np.zeros(0, np.uint64)
+        return out
+
+    def counts(self, wanted: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By depth, the wanted names that the part holds and on how many of its pages."""
+        out = {}
+        stream = self.stream() if any(map(len, wanted.values())) else None
+        for depth, names in wanted.items():
+            names = np.unique(names)
+            at, which = stream.find(depth, names) if len(names) else (names, names)
+            if not len(at):
                 continue
-            unique = np.flatnonzero(~ends[a:z])
-            words = b.text.split(" ")  # one token less than the block, whose first is its position
-            lo, hi = (int(unique[0]), int(unique[-1]) + 1) if len(unique) else (z - a, z - a)
-            lo, hi = lo if lo >= long else 0, hi if z - a - hi >= long else z - a
-            kept.append(" ".join(words[max(0, lo - 1) : hi - 1]))
-        texts.append("\n".join(k for k in kept if k))
-        spares.append(spare)
-    # A page of which nothing is left: what stands mostly on pages that have a text of their own is their menu; the rest is
-    # a story in copies and stays.
-    on_all, on_told = Counter(), Counter()
-    if not all(texts):
-        for text, spare in zip(texts, spares, strict=True):
-            on_all.update(set(spare))
-            if text:
-                on_told.update(set(spare))
-        texts = [t or "\n".join(x for b, x in ((b, b[1]) for b in spare) if 2 * on_told[b] <= on_all[b]) for t, spare in zip(texts, spares, strict=True)]
-    return [texts[page_of[w]] for w in which]
+            pairs = np.sort(which * np.int64(self.held + 1) + stream.on[at])
+            met, page = np.divmod(pairs[np.diff(pairs, prepend=-1) > 0], self.held + 1)
+            n, known = np.bincount(met, self.mine[page], len(names)).astype(np.int64), np.unique(met)
+            out[depth] = names[known], n[known]
+        return out
+
+    def told(self, pages: int, counts: dict[int, tuple[np.ndarray, np.ndarray]]) -> Part:
+        """Keep what repeats in the whole host of so many pages: substrings for their position, and those for themselves."""
+        few, need = _few(pages), _need(pages, self.share)
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        (runs, n), (longs, m) = counts.get(self.run, none), counts.get(self.long, none)
+        self.few, self.common, self.ends = runs[n >= few], runs[n >= need], longs[m >= need]
+        return self
+
+    def stats(self) -> dict[str, np.ndarray]:
+        """Covered and all tokens by position; ``outside`` and ``beside`` are of marked pages, outside their articles."""
+        article, shown = self.zone == ARTICLE, self.zone != CHROMED
+        marked = np.bincount(self.page, article, self.held) > 0
+        aside = ~article & shown & ~self.in_main & marked[self.page]
+        n, c = self.size, np.zeros(len(self.texts), np.int64)
+        if len(self.few):
+            stream = self.stream()
+            c = stream.by_block(stream.covers(self.run, self.few))
+        n, c = n * self.mine[self.page], c * self.mine[self.page]
+        sums = {"total": n, "hit": c, "outside": n * aside, "bulk": n * shown, "article": n * article, "article_hit": c * article, "beside": (n - c) * aside}
+        paths, which = np.unique(self.paths.view(np.int64), return_inverse=True)
+        return {"path": paths} | {k: np.bincount(which, x, len(paths)).astype(np.int64) for k, x in sums.items()}
+
+    def choose(self, host: dict[str, int], stats: dict[str, np.ndarray]) -> tuple[list[str], list[list[int]]]:
+        """The text of each distinct page, and the blocks among which it was chosen, by sums over the whole host."""
+        trusted = 10 * (host["article"] + 50) >= host["article"] + host["beside"] + 50  # else articles are cards beside the story
+        unique_articles = host["article_hit"] < 0.2 * host["article"]
+        order = np.argsort(stats["path"])
+        at = order[np.searchsorted(stats["path"], self.paths.view(np.int64), sorter=order)]
+        n, c, outside = (stats[k][at] for k in ("total", "hit", "outside"))
+        in_article = (self.zone == ARTICLE) & trusted
+        chrome = np.where(in_article, ~self.direct & unique_articles & (c >= 0.8 * n + 4), c + (outside if trusted else 0) > 0.5 * n + 2)
+        chrome &= self.paths.view(np.int64) != host["story"]
+        spares = []
+        inside = lambda some: sum(int(self.size[i]) for i in some)
+        for own in range(self.held):
+            left = [i for i in range(int(self.first[own]), int(self.first[own + 1])) if self.zone[i] != CHROMED]
+            cards = [i for i in left if self.zone[i] == ARTICLE]
+            main = [i for i in left if self.in_main[i]]
+            rest = [i for i in main if self.zone[i] != ARTICLE and not chrome[i]]
+            spares.append(cards if cards and trusted and inside(rest) <= inside(i for i in cards if self.in_main[i]) else main or left)
+        # Only pages with a block that may go for what it repeats are looked at word by word.
+        asked = [i for spare in spares for i in spare if not chrome[i] and (not in_article[i] or NOTICE.search(self.texts[i]))] if len(self.common) else []
+        common, ends = {}, {}
+        if asked:
+            some = np.flatnonzero(np.isin(self.page, self.page[asked]))
+            stream = Stream(self, some)
+            common = dict(zip(some.tolist(), (stream.by_block(stream.covers(self.run, self.common)) == self.size[some]).tolist(), strict=True))
+            marks = stream.covers(self.long, self.ends)
+            ends = {i: marks[a:z] for i, a, z in zip(some.tolist(), stream.start, stream.start[1:], strict=False)}
+
+        def left_of(i: int) -> str:
+            text = self.texts[i]
+            if chrome[i] or common.get(i) and (not in_article[i] or NOTICE.search(text)):
+                return ""
+            if in_article[i] or i not in ends or not ends[i].any():
+                return text
+            size, unique = int(self.size[i]), np.flatnonzero(~ends[i])
+            words = text.split(" ")  # one token less than the block, whose first is its position
+            lo, hi = (int(unique[0]), int(unique[-1]) + 1) if len(unique) else (size, size)
+            lo, hi = lo if lo >= self.long else 0, hi if size - hi >= self.long else size
+            return " ".join(words[max(0, lo - 1) : hi - 1])
+
+        return ["\n".join(filter(None, map(left_of, spare))) for spare in spares], spares
+
+    def block_names(self) -> np.ndarray:
+        return _mixed(self.paths, _hashed(self.texts)).view(np.int64) if self.texts else np.zeros(0, np.int64)
+
+    def spared(self, texts: list[str], spares: list[list[int]]) -> pd.DataFrame:
+        """On how many pages each block might have been chosen, on how many of those with a text, and without."""
+        name = self.block_names()
+        rows = [(x, mine and bool(text), mine and not text) for text, spare, mine in zip(texts, spares, self.mine.tolist(), strict=True) for x in {int(name[i]) for i in spare}]
+        out = pd.DataFrame(np.array(rows, np.int64).reshape(-1, 3), columns=["name", "told", "blank"])
+        return out.groupby("name", as_index=False).sum()
+
+    def finish(self, texts: list[str], spares: list[list[int]], menu: set[int]) -> list[str]:
+        """The texts of all pages. A page of which nothing is left: what stands mostly on pages that have a text of their own is
+        their ``menu``; the rest is a story in copies and stays."""
+        if not all(texts):
+            name = self.block_names()
+            texts = [t or "\n".join(self.texts[i] for i in spare if int(name[i]) not in menu) for t, spare in zip(texts, spares, strict=True)]
+        return [texts[w] for w in self.which]
+
+
+SUMS = ("total", "hit", "outside", "bulk", "article", "article_hit", "beside")
+
+
+def _whole(part: Part) -> list[str]:
+    """The main text of each page of a host that is one part."""
+    part.told(part.pages, part.counts(part.candidates(True)))
+    stats = part.stats()
+    told = {k: int(stats[k].sum()) for k in ("article", "article_hit", "beside")}
+    story = max(zip(stats["bulk"].tolist(), stats["path"].tolist(), strict=True), default=(0, 0))[1]
+    texts, spares = part.choose(told | {"story": story}, stats)
+    if all(texts):
+        return part.finish(texts, spares, set())
+    menu = part.spared(texts, spares)
+    return part.finish(texts, spares, set(menu["name"][menu["told"] > menu["blank"]]))
+
 
+def main_texts(htmls: list[str | None], run: int = RUN, long: int = LONG, share: float = SHARE) -> list[str]:
+    """The main text of each page of one host."""
+    return _whole(Part(list(map(Packer(), htmls)), run, long, share))
 
-def _extract(run: int, long: int, share: float):
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
-        part = None
 
-        def done() -> pd.DataFrame:
-            texts = main_texts([h for _, _, h in held], run, long, share)
-            return pd.DataFrame({"page_id": [p for p, _, _ in held], "url": [u for _, u, _ in held], "text": texts})
+def _packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    pack = Packer()
+    for f in frames:
+        yield f.assign(page=[pack(h) for h in f["html"]])[["host", "page_id", "url", "page"]]
 
+
+def _table(cells, names: tuple[str, ...]) -> pd.DataFrame:
+    """Answers of the whole host as a frame; they come as one array a column."""
+    return pd.DataFrame({k: np.array(c if c is not None else [], np.int64) for k, c in zip(names, cells, strict=True)})
+
+
+def _by_depth(t: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    return {int(d): (g["name"].to_numpy().view(np.uint64), g["n"].to_numpy()) for d, g in t.groupby("depth") if d}
+
+
+def _round(work, run: int, long: int, share: float):
+    """One pass over the parts: ``work`` of each part and the answers to it so far."""
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            for *key, page, url, html in zip(f["host"], f["part"], f["page_id"], f["url"], f["html"], strict=True):
-                if held and key != part:
-                    out.append(done())
-                    held.clear()
-                held.append((page, url, html))
-                part = key
-            if out:
-                yield pd.concat(out, ignore_index=True).astype({"page_id": "Int64"})
-        if held:
-            yield done().astype({"page_id": "Int64"})
+            got = []
+            for row in f.to_dict("records"):
+                other = set() if row.get("o_key") is None else set(row["o_key"].tolist())  # pages that count in another part
+                mine = [k not in other for k in row["key"]] if other else None
+                out = work(Part(row["page"], run, long, share, mine), row)
+                got.append(out if "page_id" in out else out.assign(host=row["host"], part=row["part"]))
+                if len(got) >= 64:
+                    yield pd.concat(got, ignore_index=True)
+                    got = []
+            if got:
+                yield pd.concat(got, ignore_index=True)
+
+    return rows
+
+
+def _listed(names: dict[int, np.ndarray], counts: dict[int, np.ndarray] | None, pages: int) -> pd.DataFrame:
+    depth = np.concatenate([[0], *(np.full(len(x), d) for d, x in names.items())]).astype(np.int64)
+    name = np.concatenate([np.zeros(1, np.uint64), *names.values()]).view(np.int64)
+    n = np.concatenate([[pages], *(counts[d] if counts else np.ones(len(x), np.int64) for d, x in names.items())]).astype(np.int64)
+    return pd.DataFrame({"depth": depth, "name": name, "n": n})
+
+
+def _ask(part: Part, row: dict) -> pd.DataFrame:
+    return _listed(part.candidates(False), None, part.pages)
+
+
+def _count(part: Part, row: dict) -> pd.DataFrame:
+    got = part.counts({d: x for d, (x, _) in _by_depth(_table((row["a_depth"], row["a_name"], row["a_depth"]), ("depth", "name", "n"))).items()})
+    return _listed({d: x for d, (x, _) in got.items()}, {d: n for d, (_, n) in got.items()}, part.pages)
+
+
+def _covered(part: Part, row: dict) -> Part:
+    t = _table((row["b_depth"], row["b_name"], row["b_n"]), ("depth", "name", "n"))
+    return part.told(int(t["n"][t["depth"] == 0].iloc[0]), _by_depth(t))
+
+
+def _sum(part: Part, row: dict) -> pd.DataFrame:
+    return pd.DataFrame(_covered(part, row).stats())
+
+
+def _chosen(part: Part, row: dict) -> tuple[list[str], list[list[int]]]:
+    stats = {k: np.array([] if row[f"c_{k}"] is None else row[f"c_{k}"], np.int64) for k in ("path", "total", "hit", "outside")}
+    told = {k: 0 if row[f"d_{k}"] is None or row[f"d_{k}"] != row[f"d_{k}"] else int(row[f"d_{k}"]) for k in ("article", "article_hit", "beside", "story")}
+    return _covered(part, row).choose(told, stats)
+
+
+def _spare(part: Part, row: dict) -> pd.DataFrame:
+    return part.spared(*_chosen(part, row))
+
 
-    return work
+def _text(part: Part, row: dict) -> pd.DataFrame:
+    if row["parts"] == 1:
+        texts = _whole(part)
+    else:
+        texts = part.finish(*_chosen(part, row), set() if row["e_name"] is None else {int(x) for x in row["e_name"]})
+    return pd.DataFrame({"page_id": pd.array([None if x is None else int(x) for x in row["page_id"]], dtype="Int64"), "url": list(row["url"]), "text": texts})
 
 
 ship(__name__)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN, long: int = LONG, share: float = SHARE, shard: int = SHARD) -> DataFrame:
-    """(page_id, url, text) of every row. The texts travel once, to the part of their host.
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN, long: int = LONG, share: float = SHARE, shard: int = SHARD, least: int = LEAST) -> DataFrame:
+    """(page_id, url, text) of every row. The parsed pages travel once, to the parts of their host.
 
-    The large hosts are broadcast while there are at most ``MOST_BROADCAST`` of them; beyond, they are merged in.
+    Each pass over the parts sends small rows of its parts, Spark adds them up over the host, and the next pass gets the sums
+    of what a part holds. A part has about ``shard`` bytes; where that is less than ``least`` pages, so many, up to 16 times the
+    bytes. Neither changes a result.
     """
     host = F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z]+://([^/?#]*)", 1)
-    cut = pages.select(host.alias("host"), F.xxhash64(F.col(id_col), F.col(url_col), F.col(html_col)).alias("h"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    parts = F.ceil(F.sum(F.octet_length("html")) / shard).cast("long")
+    cut = pages.select(host.alias("host"), F.col(id_col).cast("long").cast("string").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    size = F.sum(F.octet_length("html")) / shard
+    parts = F.ceil(F.greatest(F.least(size, F.count("*") / least), size / 16)).cast("long")
     large = staged(cut.groupBy("host").agg(parts.alias("parts")).filter("parts > 1"), "large")
-    few = large.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    told = cut.join(F.broadcast(large), "host", "left") if few else cut.hint("merge").join(large, "host", "left")
-    dealt = told.select("host", F.pmod("h", F.coalesce("parts", F.lit(1))).alias("part"), "h", "page_id", "url", "html")
-    near = dealt.repartition("host", "part").sortWithinPartitions("host", "part", "h")
-    return near.select("host", "part", "page_id", "url", "html").mapInPandas(_extract(run, long, share), "page_id long, url string, text string")
+    parsed = cut.mapInPandas(_packed, "host string, page_id string, url string, page binary")
+    dealt = parsed.join(large, "host", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("page_id", "url", "page"), "parts"))
+    near = dealt.repartition("host", "part").withColumn("key", F.xxhash64("page"))
+    held = near.groupBy("host", "part").agg(F.max("parts").alias("parts"), F.collect_list(F.struct("page_id", "url", "page", "key")).alias("held"))
+    each = lambda k: F.transform("held", lambda x: x[k]).alias(k)
+    key = ["host", "part"]
+    # Copies of a page are dealt over the parts, but count in one of them.
+    keys = held.filter("parts > 1").select(*key, F.explode(F.array_distinct(F.transform("held", lambda x: x["key"]))).alias("key"))
+    copies = keys.withColumn("first", F.min("part").over(Window.partitionBy("host", "key"))).filter("first < part")
+    others = copies.groupBy(key).agg(F.collect_list("key").alias("o_key"))
+    split = held.filter("parts > 1").select(*key, "parts", each("page"), each("key")).hint("merge").join(others, key, "left")
+
+    def sent(rows: DataFrame, work, columns: str) -> DataFrame:
+        return rows.drop("parts").mapInPandas(_round(work, run, long, share), f"{columns}, host string, part long")
+
+    def summed(rows: DataFrame, by: list[str], sums: tuple[str, ...]) -> DataFrame:
+        """The rows of each part with the sums over its host."""
+        over = Window.partitionBy("host", *by)
+        return rows.select(*key, *by, *(F.sum(k).over(over).alias(k) for k in sums))
+
+    def answer(rows: DataFrame, prefix: str, names: tuple[str, ...]) -> DataFrame:
+        got = rows.groupBy(key).agg(F.collect_list(F.struct(*names)).alias("got"))
+        return got.select(*key, *(F.col("got")[k].alias(f"{prefix}_{k}") for k in names))
+
+    def joined(rows: DataFrame, answers: DataFrame) -> DataFrame:
+        return rows.hint("merge").join(answers, key, "left")
+
+    # Substrings that are on enough pages of one part are counted in all parts of the host.
+    asked = sent(split, _ask, "depth long, name long, n long")
+    wanted = asked.filter("depth > 0").select("host", "depth", "name").distinct().groupBy("host").agg(F.collect_list(F.struct("depth", "name")).alias("got"))
+    every = large.select("host", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    a = every.join(wanted, "host").select(*key, F.col("got.depth").alias("a_depth"), F.col("got.name").alias("a_name"))
+    counted = sent(joined(split, a), _count, "depth long, name long, n long")
+    totals = summed(counted, ["depth", "name"], ("n",))
+    b = answer(totals.filter((F.col("depth") == 0) | (F.col("n") >= FEW)), "b", ("depth", "name", "n"))
+    # Sums by position; of the host, too.
+    stats = sent(joined(split, b), _sum, ", ".join(f"{k} long" for k in ("path", *SUMS)))
+    c = answer(summed(stats, ["path"], SUMS), "c", ("path", "total", "hit", "outside"))
+    by_path = stats.groupBy("host", "path").agg(*(F.sum(k).alias(k) for k in SUMS))
+    told = by_path.groupBy("host").agg(*(F.sum(k).alias(f"d_{k}") for k in ("article", "article_hit", "beside")), F.max(F.struct("bulk", "path"))["path"].alias("d_story"))
+    d = c.join(told, "host")
+    # Blocks of pages of which nothing is left that stand mostly on pages with a text.
+    spare = summed(sent(joined(joined(split, b), d), _spare, "name long, told long, blank long"), ["name"], ("told", "blank"))
+    e = answer(spare.filter("blank > 0 and told > blank"), "e", ("name",))
+    full = held.select(*key, "parts", each("page"), each("page_id"), each("url"))
+    return joined(joined(joined(full, b), d), e).mapInPandas(_round(_text, run, long, share), "page_id long, url string, text string")
 
 
 def op6_html_text(spark, sf_dir: str) -> DataFrame:
