@@ -644,7 +644,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     large = staged(cut.groupBy("host").agg(parts.alias("parts")).filter("parts > 1"), "large")
     parsed = cut.mapInPandas(_packed, "host string, page_id string, url string, page binary")
     dealt = parsed.join(large, "host", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("page_id", "url", "page"), "parts"))
-    near = dealt.repartition("host", "part").withColumn("key", F.xxhash64("page"))
+    # Never null, but said here, else the optimizer says so below one of the passes, which then parses pages of its own.
+    near = dealt.filter("host is not null and part is not null").repartition("host", "part").withColumn("key", F.xxhash64("page"))
     held = near.groupBy("host", "part").agg(F.max("parts").alias("parts"), F.collect_list(F.struct("page_id", "url", "page", "key")).alias("held"))
     each = lambda k: F.transform("held", lambda x: x[k]).alias(k)
     key = ["host", "part"]
