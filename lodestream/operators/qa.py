@@ -61,21 +61,60 @@ def _flags(words: Iterable[str], texts: pd.Series) -> np.ndarray:
     return np.array([any(w in t for w in words) for t in texts.str.lower()], dtype=bool)
 
 
+def _common(a: str, b: str) -> int:
+    """The length of the longest common subsequence: one bit a character of ``a``."""
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    whole = v = (1 << len(a)) - 1
+    for x in b:
+        if m := at.get(x):
+            u = v & m
+            v = (v + u | v - u) & whole
+    return len(a) - v.bit_count()
+
+
+def _longest(a: str, b: str) -> tuple[int, int, int]:
+    """The first longest common block of two texts (start in either, length), as ``find_longest_match`` tells it where no
+    character of ``b`` is too common: by sets of the stretches of one length, which is doubled and halved."""
+    at, size, over, n = 0, 0, min(len(a), len(b)) + 1, 6
+    while over - size > 1:
+        n = min(n, over - 1)
+        have = {b[j : j + n] for j in range(len(b) - n + 1)}
+        i = next((i for i in range(at, len(a) - n + 1) if a[i : i + n] in have), None)
+        if i is None:
+            over = n
+        else:
+            at, size = i, n  # a longer block starts no earlier
+        n = (size + over) // 2 if over <= 2 * size + 1 or i is None else 2 * size
+    return at, b.find(a[at : at + size]), size
+
+
 def _ratio(m: SequenceMatcher, least: float) -> float | None:
-    """``m.ratio()``, or None as soon as it can't reach ``least``: found so far and the shorter side of all ranges left."""
+    """``m.ratio()``, or None as soon as it can't reach ``least``: found so far and the common subsequences of all ranges
+    left, as the blocks of a range are one."""
     size = len(m.a) + len(m.b)
-    need, found, left = least * size / 2 - 1e-6, 0, [(0, len(m.a), 0, len(m.b))]
-    room = min(len(m.a), len(m.b))
+    need, found, left = least * size / 2 - 1e-6, 0, [(0, len(m.a), 0, len(m.b), min(len(m.a), len(m.b)))]
+    room = left[0][4]
     while left:
-        a, az, b, bz = left.pop()
-        room -= min(az - a, bz - b)
-        i, j, n = m.find_longest_match(a, az, b, bz)
+        a, az, b, bz, most = left.pop()
+        room -= most
+        if m.bpopular:
+            i, j, n = m.find_longest_match(a, az, b, bz)
+        else:
+            i, j, n = _longest(m.a[a:az], m.b[b:bz])
+            i, j = a + i, b + j
         if n:
             found += n
-            for r in ((a, i, b, j), (i + n, az, j + n, bz)):
-                if r[0] < r[1] and r[2] < r[3]:
-                    room += min(r[1] - r[0], r[3] - r[2])
-                    left.append(r)
+            sides = [(*r, min(r[1] - r[0], r[3] - r[2])) for r in ((a, i, b, j), (i + n, az, j + n, bz)) if r[0] < r[1] and r[2] < r[3]]
+            room += sum(r[4] for r in sides)
+            for *r, most in sorted(sides, key=lambda r: -r[4]):  # the larger first, often it is enough
+                if found + room < need:
+                    return None
+                less = _common(m.a[r[0] : r[1]], m.b[r[2] : r[3]])
+                room -= most - less
+                if less:
+                    left.append((*r, less))
         if found + room < need:
             return None
     return 2.0 * found / size if size else 1.0
@@ -113,10 +152,25 @@ def _grams(texts: Iterable[str], known: dict[str, int], n: int = 3) -> np.ndarra
     return out
 
 
-def _best(q: pd.DataFrame, c: pd.DataFrame, k: int, accept: float, about: dict[str, list[str]], lot_words: list[str], first: bool = False) -> pd.DataFrame:
+def _counted(a: Iterable, b: Iterable) -> tuple[np.ndarray, np.ndarray]:
+    """How often each list of either side holds each of the values that both sides have."""
+    sizes = [np.array([len(x) for x in xs], dtype=np.int64) for xs in (a, b)]
+    values = np.array([v for xs in (a, b) for x in xs for v in x], dtype=object)
+    codes, known = pd.factorize(values)
+    codes = np.split(codes, [sizes[0].sum()])
+    both = np.isin(np.arange(len(known)), codes[0]) & np.isin(np.arange(len(known)), codes[1])
+    place, out = np.cumsum(both) - 1, []
+    for n, code in zip(sizes, codes, strict=True):
+        row = np.repeat(np.arange(len(n)), n)
+        at = both[code]
+        out.append(np.bincount(row[at] * both.sum() + place[code[at]], minlength=len(n) * both.sum()).reshape(len(n), both.sum()).astype(np.int32))
+    return out[0], out[1]
+
+
+def _best(q: pd.DataFrame, c: pd.DataFrame, k: int, accept: float, about: dict[str, list[str]], lot_words: list[str], first: bool = False, alike: bool = True) -> pd.DataFrame:
     """The best ``k`` of one ticker's questions for each query, at ``accept`` or the query's ``floor``. The word lists come in,
     so that workers need not import them. Questions come by an upper bound of their score, and none is left out whose bound reaches the k-th score so far. ``first``: only the k
-    first by that bound, where half of the words are shared.
+    first by that bound, ``alike``: of those that share half of the words.
 
     Two bounds of the matched characters count: the common ones, with their repeats; and, as a block of n characters holds
     n - 2 common triples, the common triples and two a block. In texts of 200 characters or more the ratio finds a block
@@ -126,38 +180,39 @@ def _best(q: pd.DataFrame, c: pd.DataFrame, k: int, accept: float, about: dict[s
     if not len(q) or not len(c):
         return pd.DataFrame({"query_id": [], "item": [], "score": []}).astype({"query_id": "int64", "item": "int64", "score": "float64"})
     c = c.sort_values("item", ignore_index=True)
-    letters = {x: i for i, x in enumerate(sorted(set("".join(q["qk"]) + "".join(c["ck"]))))}
-    words = {x: i for i, x in enumerate(sorted({t for ts in q["qt"] for t in ts}))}
-
-    def counts(texts: Iterable, known: dict, like: type) -> np.ndarray:
-        out = np.zeros((len(texts), len(known)), like)
-        for i, xs in enumerate(texts):
-            for x, n in Counter(xs).items():
-                if x in known:
-                    out[i, known[x]] = n
-        return out
-
-    q_letters, c_letters = counts(q["qk"], letters, np.int32), counts(c["ck"], letters, np.int32)
-    shared = counts(q["qt"], words, np.float64) @ counts(c["ct"], words, np.float64).T
+    # Words and letters count where both sides have them: no others are shared.
+    q_words, c_words = _counted(q["qt"], c["ct"])
+    shared = q_words.astype(np.float64) @ c_words.T.astype(np.float64)
     union = q["qt"].map(len).to_numpy()[:, None] + c["ct"].map(len).to_numpy()[None, :] - shared
     jaccard = shared / np.maximum(union, 1)
+    if first and alike and not (2 * jaccard >= 1).any():
+        return pd.DataFrame({"query_id": [], "item": [], "score": []}).astype({"query_id": "int64", "item": "int64", "score": "float64"})
+    q_letters, c_letters = _counted(q["qk"].map(list), c["ck"].map(list))
     tag, answer, size = c["tag"].str.lower(), c["answer"], c["ck"].map(len).to_numpy()
     has = {kind: _flags(ws, c["ck"]) for kind, ws in about.items()}
     risk_tag, fee_tag, dividend_tag = (_flags([w], tag) for w in ("risk", "fees_charges", "dividend"))
     lots, old = _flags(lot_words, answer), _flags(["authorized under section 104"], answer)
     short = np.where(answer.str.strip().str.len() < 25, 0.08, 0.0)
     spoken = c["language"].to_numpy()
-    triples = {g: n for n, g in enumerate(sorted({t[j : j + 3] for t in q["qk"] for j in range(len(t) - 2)}))}
-    c_triples = _grams(c["ck"], triples)
     rare = np.where(c_letters <= size[:, None] // 100 + 1, c_letters, 0)
     items, keys, out = c["item"].to_numpy(), c["ck"].tolist(), []
     made: dict[int, SequenceMatcher] = {}
-    low = np.flatnonzero(size < 200)
-    lines = _Sequences([keys[j] for j in low]) if len(low) and not first else None
+    low = size < 200
+    # What only some queries need is made when the first of them does.
+    triples: dict[str, int] = {}
+    c_triples = lines = None
+    fitting: dict[tuple | None, np.ndarray] = {}
     floors = q["floor"] if "floor" in q else [None] * len(q)
     for i, (query, key, pool, kinds, floor) in enumerate(zip(q["query_id"], q["qk"], q["pool"], q["kinds"], floors, strict=True)):
         risk, fee, dividend, tracking = kinds
-        fits = np.ones(len(c), dtype=bool) if pool is None else np.isin(spoken, list(pool))
+        pool = None if pool is None else tuple(pool)
+        if pool not in fitting:
+            fitting[pool] = np.ones(len(c), dtype=bool) if pool is None else np.isin(spoken, list(pool))
+        fits = fitting[pool]
+        if first and alike:
+            fits = fits & (2 * jaccard[i] >= 1)
+            if not fits.any():
+                continue
         rest = 0.3 * jaccard[i] - short
         if risk:
             fits = fits & (has["risk"] | risk_tag)
@@ -170,21 +225,36 @@ def _best(q: pd.DataFrame, c: pd.DataFrame, k: int, accept: float, about: dict[s
             rest = rest + 0.14
         if tracking:
             rest = rest + 0.12 * has["tracking"]
-        common = np.minimum(c_letters, q_letters[i]).sum(1)
-        at = Counter(triples[key[j : j + 3]] for j in range(len(key) - 2))
-        rows, many = np.array([*at.keys()], dtype=np.int64), np.array([*at.values()], dtype=np.int32)
-        blocks = np.minimum(rare, q_letters[i]).sum(1) + 1
-        common = np.where(size >= 200, np.minimum(common, np.minimum(c_triples[rows], many[:, None]).sum(0) + 2 * blocks), common)
-        bound = np.where(fits, 0.7 * 2 * common / (len(key) + size) + rest, -np.inf)
-        best: list[tuple[float, int]] = []
         least = accept if floor is None or floor != floor else max(accept, floor)
-        if not first and (bound[low] >= least - 1e-9).sum() > 8:
+        # One bound after the other, each for those that the one before leaves: lengths, letters, triples, subsequences.
+        reach = lambda js, common: 0.7 * 2 * common / (len(key) + size[js]) + rest[js]  # noqa: B023, E731
+        js = np.flatnonzero(fits)
+        js = js[reach(js, np.minimum(size[js], len(key))) >= least - 1e-9]
+        if not len(js):
+            continue
+        common = np.minimum(c_letters[js], q_letters[i]).sum(1)
+        some = reach(js, common) >= least - 1e-9
+        js, common = js[some], common[some]
+        long = ~low[js]
+        if long.any():
+            if c_triples is None:
+                triples = {g: n for n, g in enumerate(sorted({t[j : j + 3] for t in q["qk"] for j in range(len(t) - 2)}))}
+                c_triples, long_of = _grams([keys[j] for j in np.flatnonzero(~low)], triples), np.cumsum(~low) - 1
+            at = Counter(triples[key[j : j + 3]] for j in range(len(key) - 2))
+            rows, many = np.array([*at.keys()], dtype=np.int64), np.array([*at.values()], dtype=np.int32)
+            blocks = np.minimum(rare[js[long]], q_letters[i]).sum(1) + 1
+            common[long] = np.minimum(common[long], np.minimum(c_triples[rows], many[:, None]).sum(0)[long_of[js[long]]] + 2 * blocks)
+        bound = reach(js, common)
+        if not first and (low[js] & (bound >= least - 1e-9)).sum() > 8:
             # Matched blocks are in order on both sides, so that they are a common subsequence.
-            bound[low] = np.minimum(bound[low], np.where(fits[low], 0.7 * 2 * lines.common(key) / (len(key) + size[low]) + rest[low], -np.inf))
+            if lines is None:
+                lines, line_of = _Sequences([keys[j] for j in np.flatnonzero(low)]), np.cumsum(low) - 1
+            bound[~long] = np.minimum(bound[~long], reach(js[~long], lines.common(key)[line_of[js[~long]]]))
+        best: list[tuple[float, int]] = []
         order = np.argsort(-bound, kind="stable")
-        for j in [j for j in order[:k] if 2 * jaccard[i, j] >= 1] if first else order:
-            need = max(least, best[-1][0]) if len(best) == k else least
-            if bound[j] < need - 1e-9:
+        for n in order[:k] if first else order:
+            j, need = js[n], max(least, best[-1][0]) if len(best) == k else least
+            if bound[n] < need - 1e-9:
                 break
             if j not in made:
                 made[j] = SequenceMatcher(None, "", keys[j])
@@ -197,7 +267,7 @@ def _best(q: pd.DataFrame, c: pd.DataFrame, k: int, accept: float, about: dict[s
     return pd.DataFrame(out, columns=["query_id", "item", "score"]).astype({"query_id": "int64", "item": "int64", "score": "float64"})
 
 
-def fuzzy_lookup(queries: DataFrame, corpus: DataFrame, k: int = 1, accept: float = 0.38, block: int = 500) -> DataFrame:
+def fuzzy_lookup(queries: DataFrame, corpus: DataFrame, k: int = 1, accept: float = 0.38, block: int = 1000) -> DataFrame:
     """Best answers of each query among the records of its ticker, by 0.7 * Ratcliff-Obershelp ratio + 0.3 * token Jaccard
     with gates and bonuses by intent, at ``accept`` or more.
 
@@ -228,9 +298,18 @@ def fuzzy_lookup(queries: DataFrame, corpus: DataFrame, k: int = 1, accept: floa
     about, lots = dict(C.fixed.LOOKUP_WORDS), list(C.fixed.LOT_WORDS)
     q, c, schema = materialise(q), materialise(c), "query_id long, item long, score double"
     # A question that is nearly the query's own lies in one block; what it scores spares the query most pairs of all others.
-    near = top_n(q.groupBy(*key).cogroup(c.groupBy(*key)).applyInPandas(lambda x, y: _best(x, y, k, accept, about, lots, True), schema), ["query_id"], k, F.col("score").desc(), F.col("item"))
-    q = q.join(near.filter(F.col("rank") == k).select("query_id", F.col("score").alias("floor")), "query_id", "left")
-    r = q.groupBy(*key).cogroup(c.groupBy(*key)).applyInPandas(lambda x, y: _best(x, y, k, accept, about, lots), schema)
+    # Without such a one the first by bound of every block are asked.
+    # Blocks are few bytes and much work, so that Spark may not gather them into fewer tasks.
+    dealt = lambda df: df.repartition(8 * df.sparkSession.sparkContext.defaultParallelism, *key).groupBy(*key)
+    asked = lambda *how: lambda x, y: _best(x, y, k, accept, about, lots, *how)
+    floors = None
+    for alike in (True, False):
+        some = q if floors is None else q.join(floors, "query_id", "left_anti")
+        near = dealt(some).cogroup(dealt(c)).applyInPandas(asked(True, alike), schema)
+        kth = materialise(top_n(near, ["query_id"], k, F.col("score").desc(), F.col("item")).filter(F.col("rank") == k).select("query_id", F.col("score").alias("floor")))
+        floors = kth if floors is None else floors.unionByName(kth)
+    q = q.join(floors, "query_id", "left")
+    r = dealt(q).cogroup(dealt(c)).applyInPandas(asked(), schema)
     return top_n(r, ["query_id"], k, F.col("score").desc(), F.col("item"))
 
 

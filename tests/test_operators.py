@@ -233,6 +233,26 @@ def test_fuzzy_bounds_lose_nothing_and_spare_pairs(monkeypatch):
             assert len(made) < 3 * 24 * 120 / 4
 
 
+def test_ratio_is_left_off_by_subsequences_and_exact_else(monkeypatch):
+    """The ratio is difflib's wherever it is reached, with texts of common characters too; what can't reach it is told after few blocks."""
+    rng = random.Random(8)
+    text = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    for n in range(600):
+        letters = "ab" if n % 3 else "abcdefghij klmnop"
+        a, b = text(rng.randint(0, 60), letters), text(rng.randint(0, 60), letters)
+        if n % 4 == 0:
+            a, b = a * 5 + b, b + a * 6
+        m, want = difflib.SequenceMatcher(None, a, b), difflib.SequenceMatcher(None, a, b).ratio()
+        assert qa._ratio(m, want) == want and qa._ratio(m, max(0.0, want - 0.1)) == want
+        if a and b and not m.bpopular:
+            assert qa._longest(a, b)[2] == m.find_longest_match().size and (not qa._longest(a, b)[2] or qa._longest(a, b) == tuple(m.find_longest_match()))
+    blocks = []
+    longest = qa._longest
+    monkeypatch.setattr(qa, "_longest", lambda a, b: blocks.append(1) or longest(a, b))
+    told = [qa._ratio(difflib.SequenceMatcher(None, text(150, "abcdefghij"), text(150, "abcdefghij")), 0.7) for _ in range(20)]
+    assert told == [None] * 20 and len(blocks) <= 40
+
+
 def test_fuzzy_lookup_needs_no_package_on_workers(tmp_path):
     q = pd.DataFrame({"query_id": [1], "qk": ["fee of it"], "qt": [["fee", "of", "it"]], "pool": [None], "kinds": [[False, True, False, False]]})
     c = pd.DataFrame({"item": [3], "ck": ["fee of it"], "ct": [["fee", "of", "it"]], "tag": [""], "answer": ["x" * 60], "language": ["en"]})
