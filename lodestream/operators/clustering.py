@@ -168,7 +168,7 @@ def fit_kmeans(vectors: DataFrame, k: int, seeds: int = 20, steps: int = STEPS)
     All starts move together: a step is one scan, in which every task adds up its rows by start and cluster, and only these
     sums are exchanged; a start rests once its centres move less than ``CLOSE`` of the mean variance. Starts are drawn from at most ``SAMPLE`` rows (smallest hash first); a cluster without rows keeps its centre."""
     spark = vectors.sparkSession
-    told = vectors.orderBy(F.xxhash64("x"), "x").limit(SAMPLE).toPandas()["x"]
+    told = materialise(vectors.orderBy(F.xxhash64("x"), "x").limit(SAMPLE)).toPandas()["x"]  # written: a limit alone may send that many rows of every partition
     sample = np.stack(list(told))
     centres = np.stack([starts(sample, k, seed) for seed in range(seeds)])
     cost, close = np.zeros(seeds), CLOSE * sample.var(axis=0).mean()

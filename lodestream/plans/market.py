@@ -181,7 +181,8 @@ def vectors(spark, d) -> DataFrame:
     """Embeddings as instruments: their dimensions as features, the label as cluster, part columns as labels."""
     e = read(spark, d, "embeddings").select(F.col("vec_id").alias("ticker"), F.transform("embedding", lambda x: x.cast("double")).alias("pcs"), F.col("label").alias("cluster_id"))
     p = read(spark, d, "part").select((F.col("p_partkey") - 1).alias("ticker"), F.when(F.col("p_size") % 5 != 0, F.col("p_brand")).alias("geo"), F.col("p_type").alias("kind"), F.col("p_size").cast("string").alias("focus"))
-    return e.join(p, "ticker", "left").withColumn("perspective", F.lit("macro"))
+    # Merged: the planner takes the few columns that are asked of a large part table for small, and its keys would pass the driver.
+    return e.join(p.hint("merge"), "ticker", "left").withColumn("perspective", F.lit("macro"))
 
 
 _VEC = """v AS (SELECT e.vec_id AS ticker, [CAST(x AS DOUBLE) FOR x IN embedding] AS pcs, e.label AS cluster_id,

@@ -77,3 +77,14 @@ def test_silhouettes_send_a_row_to_a_bounded_number_of_blocks(spark):
     df = spark.range(900).selectExpr("id", "id % 3 AS c", "array(double(id % 3), rand(1)) AS x")
     plan = K.silhouettes(df, "id", "c", "x", 10)._jdf.queryExecution().analyzed().toString()
     assert plan.count("sequence(0, 7") == 2, plan
+
+
+def test_instruments_are_no_broadcast(spark, tmp_path):
+    """The part table grows with the input: its keys are merged, whatever the planner thinks of their size."""
+    from lodestream.plans import market
+
+    spark.createDataFrame([(i, [float(i), 1.0], i % 2) for i in range(8)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, "b", "t", i) for i in range(1, 5)], "p_partkey long, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    for columns in (["ticker", "pcs"], ["ticker", "pcs", "geo", "kind"]):
+        v = market.vectors(spark, str(tmp_path)).select(*columns)
+        assert "Broadcast" not in v._jdf.queryExecution().executedPlan().toString() and v.count() == 8
