@@ -18,13 +18,23 @@ def home_bias(df: DataFrame, most: float) -> DataFrame:
     """Ordered pairs of one perspective and cluster within ``most``; the right geography is filled and differs from the
     left one, which may be empty."""
     rows = df.select("perspective", "cluster_id", "ticker", "geo", "pcs")
+    named = ["perspective", "cluster_id", "ticker", "geo"]
+    # Only rows whose names come again can give a pair of names again: just their pairs are compared.
+    repeats = not rows.groupBy(*named).count().filter("count > 1").isEmpty()
+    if repeats:
+        rows = rows.withColumn("_many", F.count("*").over(Window.partitionBy(*named)) > 1)
     near = pairs_within(rows, ["perspective", "cluster_id"], "pcs", most)
-    side = lambda s, t: near.select(
-        f"{s}.perspective", f"{s}.cluster_id", F.col(f"{s}.ticker").alias("source_ticker"), F.col(f"{s}.geo").alias("source_geo"),
-        F.col(f"{t}.ticker").alias("alternative_ticker"), F.col(f"{t}.geo").alias("alternative_geo"), "pc_distance",
+    side = lambda s, t: F.struct(F.col(s).alias("s"), F.col(t).alias("t"))
+    both = near.select(F.explode(F.array(side("a", "b"), side("b", "a"))).alias("_"), "pc_distance").select("_.*", "pc_distance")
+    j = both.filter((F.col("s.ticker") != F.col("t.ticker")) & (_text(F.col("t.geo")) != "") & (_text(F.col("s.geo")) != _text(F.col("t.geo"))))
+    out = lambda x: x.select(
+        "s.perspective", "s.cluster_id", F.col("s.ticker").alias("source_ticker"), F.col("s.geo").alias("source_geo"),
+        F.col("t.ticker").alias("alternative_ticker"), F.col("t.geo").alias("alternative_geo"), "pc_distance",
     )
-    j = side("a", "b").unionByName(side("b", "a"))
-    return j.filter((F.col("source_ticker") != F.col("alternative_ticker")) & (_text(F.col("alternative_geo")) != "") & (_text(F.col("source_geo")) != _text(F.col("alternative_geo")))).distinct()
+    if not repeats:
+        return out(j)
+    many = F.col("s._many") | F.col("t._many")
+    return out(j.filter(~many)).unionByName(out(j.filter(many)).distinct())
 
 
 def hidden_twins(df: DataFrame, labels: list[str], most: float, least: int = 2) -> DataFrame:

@@ -107,6 +107,24 @@ def test_degree_cap_is_the_sequential_scan(spark):
         assert sorted(map(tuple, pairs.degree_capped(df, "a", "b", ["d"], cap).select("d", "a", "b").collect())) == sorted(greedy(edges, cap))
 
 
+def clustered(spark, n=160, d=6):
+    """Rows of two clusters on a coarse grid, so that distances tie, one ticker named again."""
+    rng = random.Random(4)
+    rows = [("m", i % 2, i if i < n - 3 else 7, rng.choice(["", "us", "hk", "uk"]), [rng.randint(0, 4) / 2 for _ in range(d)]) for i in range(n)]
+    return spark.createDataFrame([*rows, rows[9]], "perspective string, cluster_id int, ticker long, geo string, pcs array<double>"), rows
+
+
+def test_pairs_of_names_that_come_again_are_told_once(spark):
+    df, rows = clustered(spark)
+    want = {(a[2], a[3], b[2], b[3], round(math.dist(a[4], b[4]), 9)) for a in rows for b in rows if a[1] == b[1] and a[2] != b[2] and b[3] and a[3] != b[3] and math.dist(a[4], b[4]) <= 2.0}
+    out = pairs.home_bias(df, 2.0)
+    got = [(r.source_ticker, r.source_geo, r.alternative_ticker, r.alternative_geo, round(r.pc_distance, 9)) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    single = pairs.home_bias(df.filter("ticker <> 7").dropDuplicates(["ticker"]), 2.0)._jdf.queryExecution().analyzed().toString()
+    # The pairs come last: no join and no exchange lies above where blocks meet.
+    assert "Join" not in single.split("MapInArrow")[0] and "Deduplicate" not in single and "Distinct" not in single
+
+
 def test_pairs_label_rules(spark):
     rows = [("m", 1, "a", "", "k1", [0.0]), ("m", 1, "b", "us", "k2", [1.0]), ("m", 1, "c", "hk", "k1", [1.5]), ("m", 2, "d", "us", "k9", [0.0]), ("m", 1, "e", "hk", "k3", [None])]
     df = spark.createDataFrame(rows, "perspective string, cluster_id int, ticker string, geo string, kind string, pcs array<double>")
