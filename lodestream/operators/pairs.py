@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestream.frames import keep_first, materialise, top_n
-from lodestream.operators.radius import pairs_within
+from lodestream.operators.radius import pairs_within, sound
+
+SAMPLE = 2048
+FIRST = 1.0
+GROWTH = 4.0
+HELD = 400_000
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _text = lambda c: F.trim(F.coalesce(c, F.lit("")))
 
@@ -50,16 +62,15 @@ def hidden_twins(df: DataFrame, labels: list[str], most: float, least: int = 2)
     return j.select("a.perspective", "a.cluster_id", F.col("a.ticker").alias("ticker_a"), F.col("b.ticker").alias("ticker_b"), told.alias("label_mismatch"), "mismatch_count", "pc_distance")
 
 
-def degree_capped(edges: DataFrame, a: str, b: str, order: list[str], cap: int = 10) -> DataFrame:
+def degree_capped(edges: DataFrame, a: str, b: str, order: list[str], cap: int = 10, taken: DataFrame | None = None) -> DataFrame:
     """What a scan of the edges in ``order`` keeps when an edge needs both ends below ``cap`` kept edges.
 
     Done in rounds instead of one fold: an edge is certain to be kept when it is among the first (cap - kept) left at
     either end, and certain to go when an end is full. Every round settles at least the first edge left, in practice most.
-    ``order`` with (a, b) must be a total order.
+    ``order`` with (a, b) must be a total order. ``taken`` holds what was kept of edges that come before all of these.
     """
     keys = [*order, a, b]
     left = materialise(edges)
-    taken = None
     while True:
         ends = left.select(F.col(a).alias("v"), *keys).union(left.select(F.col(b).alias("v"), *keys))
         ranked = ends.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy(*[F.col(f"`{k}`") for k in keys])))
@@ -79,6 +90,29 @@ def degree_capped(edges: DataFrame, a: str, b: str, order: list[str], cap: int =
             return taken
 
 
+def _nearest(k: int):
+    def cut(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["ticker", "pc_distance", "other"], kind="stable").drop_duplicates()
+        first = f.drop_duplicates(["ticker", "other"])[["ticker", "other", "pc_distance"]]
+        return f.merge(first[first.groupby("ticker").cumcount() < k], on=["ticker", "other", "pc_distance"])
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for f in frames:
+            held.append(f)
+            n += len(f)
+            if n >= HELD:
+                one = cut(pd.concat(held))
+                held, n = [one], len(one)
+                if n >= HELD // 2:
+                    yield one
+                    held, n = [], 0
+        if n:
+            yield cut(pd.concat(held))
+
+    return work
+
+
 def context(views: DataFrame, home: DataFrame, twins: DataFrame, k: int = 3) -> DataFrame:
     """(ticker, dominant_cluster, clusters, alternatives) of every ticker of ``views`` (ticker, perspective, cluster_id).
 
@@ -89,9 +123,12 @@ def context(views: DataFrame, home: DataFrame, twins: DataFrame, k: int = 3) ->
     own = view.groupBy("ticker").agg(F.mode("cluster_id", True).alias("dominant_cluster"), F.array_sort(F.collect_list(F.struct("perspective", "cluster_id"))).alias("clusters"))
     side = lambda df, a, b, signal: df.select(F.col(a).alias("ticker"), F.col(b).alias("other"), F.lit(signal).alias("signal"), F.coalesce("pc_distance", F.lit(999.0)).alias("pc_distance"), "perspective")
     alts = side(home, "source_ticker", "alternative_ticker", "home_bias_candidate")
-    for a, b in (("ticker_a", "ticker_b"), ("ticker_b", "ticker_a")):
-        alts = alts.unionByName(side(twins, a, b, "hidden_twin_candidate"))
-    once = keep_first(alts.filter("other is not null"), ["ticker", "other"], F.col("pc_distance"), F.col("signal").desc(), F.col("perspective"))
+    pair = lambda a, b: F.struct(F.col(a).alias("ticker"), F.col(b).alias("other"))
+    either = twins.select(F.explode(F.array(pair("ticker_a", "ticker_b"), pair("ticker_b", "ticker_a"))).alias("_"), "pc_distance", "perspective").select("_.*", "pc_distance", "perspective")
+    alts = alts.unionByName(side(either, "ticker", "other", "hidden_twin_candidate")).filter("ticker is not null and other is not null")
+    # A task leaves the k nearest of each ticker it has met, so that not all pairs are exchanged.
+    alts = alts.mapInPandas(_nearest(k), alts.schema)
+    once = keep_first(alts, ["ticker", "other"], F.col("pc_distance"), F.col("signal").desc(), F.col("perspective"))
     best = top_n(once, ["ticker"], k, F.col("pc_distance"), F.col("other"))
     got = best.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("other").alias("ticker"), "signal", "pc_distance", "perspective"))).alias("alternatives"))
     none = F.array().cast(got.schema["alternatives"].dataType)

@@ -125,6 +125,19 @@ def test_pairs_of_names_that_come_again_are_told_once(spark):
     assert "Join" not in single.split("MapInArrow")[0] and "Deduplicate" not in single and "Distinct" not in single
 
 
+def test_context_exchanges_the_nearest_of_a_task_only(monkeypatch):
+    import pandas as pd
+
+    rng = random.Random(5)
+    f = pd.DataFrame([(rng.randrange(20), rng.randrange(40), rng.choice(["home", "twin"]), rng.randint(0, 9) / 2, rng.choice("pq")) for _ in range(3000)], columns=["ticker", "other", "signal", "pc_distance", "perspective"])
+    best = lambda x: x.sort_values(["pc_distance", "signal"], ascending=[True, False], kind="stable").sort_values(["pc_distance", "signal", "perspective"], ascending=[True, False, True]).drop_duplicates(["ticker", "other"]).sort_values(["ticker", "pc_distance", "other"]).groupby("ticker").head(3).values.tolist()
+    for held in (10, 100, 10_000):
+        monkeypatch.setattr(pairs, "HELD", held)
+        got = pd.concat(pairs._nearest(3)(f[i : i + 50] for i in range(0, len(f), 50)))
+        assert best(got) == best(f)
+    assert len(got) < len(f) / 4
+
+
 def test_pairs_label_rules(spark):
     rows = [("m", 1, "a", "", "k1", [0.0]), ("m", 1, "b", "us", "k2", [1.0]), ("m", 1, "c", "hk", "k1", [1.5]), ("m", 2, "d", "us", "k9", [0.0]), ("m", 1, "e", "hk", "k3", [None])]
     df = spark.createDataFrame(rows, "perspective string, cluster_id int, ticker string, geo string, kind string, pcs array<double>")
