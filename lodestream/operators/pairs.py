@@ -90,6 +90,41 @@ def degree_capped(edges: DataFrame, a: str, b: str, order: list[str], cap: int =
             return taken
 
 
+def _radii(rows: DataFrame, most: float) -> list[float]:
+    """Distances up to which about ``FIRST`` pairs a row lie, ``GROWTH`` times as many and so on, then ``most``; told by a
+    sample, as any borders give the same edges."""
+    count = rows.count()
+    told = materialise(rows.filter(sound(F.col("pcs"))).orderBy(F.xxhash64("ticker", "perspective"), "ticker").limit(SAMPLE)).toPandas()
+    told = told.assign(d=told["pcs"].map(len)) if len(told) else told
+    found = [np.zeros(0)]
+    for _, g in told.groupby(["perspective", "cluster_id", "d"]) if len(told) else ():
+        x = np.stack(g["pcs"].to_numpy())
+        for i in range(len(x) - 1):
+            found.append(np.sqrt(((x[i] - x[i + 1 :]) ** 2).sum(1)))
+    gaps = np.sort(np.concatenate(found))
+    gaps, each = gaps[gaps < most], (count / max(1, len(told))) ** 2
+    borders, want = [], FIRST * count
+    while want / each < len(gaps) / 2:
+        borders.append(float(gaps[int(want / each)]))
+        want *= GROWTH
+    return sorted({*borders, most})
+
+
+def home_bias_capped(df: DataFrame, most: float, cap: int) -> DataFrame:
+    """``home_bias`` under the degree cap, nearest first, without all its pairs: they are taken ring by ring, and a ticker that
+    is full takes no part in the wider rings, as all pairs of a ring come before those of the next."""
+    a, b = "source_ticker", "alternative_ticker"
+    rows = materialise(df.select("perspective", "cluster_id", "ticker", "geo", "pcs"))
+    taken, inner, open_ = None, None, rows
+    for outer in _radii(rows, most):
+        edges = home_bias(open_, outer)
+        got = degree_capped(edges if inner is None else edges.filter(F.col("pc_distance") > inner), a, b, ["pc_distance"], cap, taken)
+        taken = materialise(got)
+        full = taken.select(F.col(a).alias("ticker")).union(taken.select(b)).groupBy("ticker").count().filter(F.col("count") >= cap)
+        open_, inner = rows.join(full, "ticker", "left_anti").select(*rows.columns), outer
+    return taken
+
+
 def _nearest(k: int):
     def cut(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["ticker", "pc_distance", "other"], kind="stable").drop_duplicates()

@@ -246,13 +246,9 @@ def cluster_centroids(spark, d):
 SQL["cluster_centroids"] = "SELECT 'macro' AS perspective, label AS cluster_id, round(avg(embedding[1]::DOUBLE), 6) AS pc1, round(avg(embedding[2]::DOUBLE), 6) AS pc2 FROM embeddings GROUP BY label"
 
 
-def _home(spark, d):
-    return pairs.home_bias(vectors(spark, d), NEAR)
-
-
 @query
 def home_bias_pairs(spark, d):
-    return rounded(_home(spark, d))
+    return rounded(pairs.home_bias(vectors(spark, d), NEAR))
 
 
 SQL["home_bias_pairs"] = f"""WITH {_VEC}
@@ -276,7 +272,7 @@ SELECT 'macro' AS perspective, cluster_id, ticker_a, ticker_b, array_to_string(f
 
 @query
 def pairs_degree_capped(spark, d):
-    return rounded(pairs.degree_capped(_home(spark, d), "source_ticker", "alternative_ticker", ["pc_distance"], 3))
+    return rounded(pairs.home_bias_capped(vectors(spark, d), NEAR, 3))
 
 
 @query

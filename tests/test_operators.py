@@ -114,6 +114,22 @@ def clustered(spark, n=160, d=6):
     return spark.createDataFrame([*rows, rows[9]], "perspective string, cluster_id int, ticker long, geo string, pcs array<double>"), rows
 
 
+def test_capped_rings_are_the_scan_over_all_pairs(spark, monkeypatch):
+    """The rings keep what a scan over all pairs keeps, and full tickers take no part in the wider ones."""
+    df, _ = clustered(spark)
+    monkeypatch.setattr(pairs, "FIRST", 0.5)
+    monkeypatch.setattr(pairs, "GROWTH", 2.0)
+    met = []
+    whole = pairs.home_bias
+    monkeypatch.setattr(pairs, "home_bias", lambda rows, most: met.append(rows.select("ticker").distinct().count()) or whole(rows, most))
+    all_pairs = [(r.pc_distance, r.source_ticker, r.alternative_ticker) for r in whole(df, 2.5).collect()]
+    for cap in (1, 3):
+        met.clear()
+        got = pairs.home_bias_capped(df, 2.5, cap).collect()
+        assert sorted((r.pc_distance, r.source_ticker, r.alternative_ticker) for r in got) == sorted(set(greedy(all_pairs, cap)))
+        assert len(met) > 2 and met[-1] < met[0]
+
+
 def test_pairs_of_names_that_come_again_are_told_once(spark):
     df, rows = clustered(spark)
     want = {(a[2], a[3], b[2], b[3], round(math.dist(a[4], b[4]), 9)) for a in rows for b in rows if a[1] == b[1] and a[2] != b[2] and b[3] and a[3] != b[3] and math.dist(a[4], b[4]) <= 2.0}
